@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import bisect
 import math
+import re
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -37,7 +38,7 @@ from crawlframe.llm.common import arrow_batches, materialise
 SIZE = 2048
 END_ID = 0
 #: Chunks of text whose ids a worker remembers.
-CACHE = 400_000
+CACHE = 800_000
 #: Rows in a rank's sort.
 RANK_ROWS = 50_000
 #: Rows of a plan that may be broadcast (about 10 MB); a larger one is joined by shuffle.
@@ -47,52 +48,81 @@ PLAN_ROWS = 200_000
 _MARK = "~"
 
 
+#: A run of letters that lower-case alike everywhere and that NFC leaves alone, and what often follows it.
+_SIMPLE = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([^A-Za-z0-9\\s\u0080-\U0010ffff'~]*)")
+
+
 class Encoder:
     """Ids of texts as little-endian bytes, with a memory for chunks between blanks.
 
     The tokenizer's pre-tokens never span white space, so a text's ids are
-    those of its chunks in a row.
+    those of its chunks in a row; and a run of letters and the ASCII signs
+    after it are two pre-tokens. The memory has a young and an old half: what
+    is used moves to the young one, and the old one is dropped when that is full.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, memory: int = CACHE):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.memory: dict[str, bytes] = {"": b""}
+        self.half = memory // 2
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         mark = self._direct(_MARK)
         self.mark = int.from_bytes(mark, "little") if len(mark) == 4 else None
 
     def _direct(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _learn(self, chunks: list[str]) -> None:
-        plain = [c for c in chunks if _MARK not in c] if self.mark is not None else []
-        for c in chunks if self.mark is None else (c for c in chunks if _MARK in c):
-            self.memory[c] = self._direct(c)
-        if plain:
-            joined = f" {_MARK} ".join(plain)
-            ids = np.array(self.tokenizer.encode(joined, add_special_tokens=False).ids, dtype="<u4")
-            cuts = np.flatnonzero(ids == self.mark).tolist()
-            if len(cuts) != len(plain) - 1:
-                for c in plain:
-                    self.memory[c] = self._direct(c)
-                return
-            raw, at = ids.tobytes(), 0
-            for c, cut in zip(plain, [*cuts, len(ids)], strict=True):
-                self.memory[c] = raw[4 * at : 4 * cut]
-                at = cut + 1
+    def _together(self, parts: list[str]) -> list[bytes]:
+        """Ids of each of parts, none of which holds the mark."""
+        if self.mark is None:
+            return [self._direct(p) for p in parts]
+        joined = f" {_MARK} ".join(parts)
+        ids = np.array(self.tokenizer.encode(joined, add_special_tokens=False).ids, dtype="<u4")
+        cuts = np.flatnonzero(ids == self.mark).tolist()
+        if len(cuts) != len(parts) - 1:
+            return [self._direct(p) for p in parts]
+        raw = ids.tobytes()
+        return [raw[4 * a : 4 * b] for a, b in zip([0, *(c + 1 for c in cuts)], [*cuts, len(ids)], strict=True)]
+
+    def _recall(self, wanted: set[str]) -> set[str]:
+        """Those of wanted that aren't in memory; the others are then in the young half."""
+        missing = wanted.difference(self.young)
+        again = {c: self.old[c] for c in missing if c in self.old}
+        self.young.update(again)
+        return missing.difference(again)
+
+    def _learn(self, chunks: set[str]) -> None:
+        simple: dict[str, tuple[str, str]] = {}
+        parts: set[str] = set()
+        for c in chunks:
+            if m := _SIMPLE.fullmatch(c):
+                word, signs = m.groups()
+                simple[c] = word, signs = word.lower(), signs
+                parts.add(word)
+                if signs:
+                    parts.add(signs)
+            elif _MARK in c:
+                self.young[c] = self._direct(c)
+            else:
+                parts.add(c)
+        waiting = list(self._recall(parts))
+        for at in range(0, len(waiting), 500):
+            some = waiting[at : at + 500]
+            self.young.update(zip(some, self._together(some), strict=True))
+        young = self.young
+        for c, (word, signs) in simple.items():
+            young[c] = young[word] + young[signs] if signs else young[word]
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        seen = set(chain.from_iterable(split))
-        unknown = seen.difference(self.memory)
-        if len(self.memory) + len(unknown) > CACHE:
-            self.memory = {"": b""}
-            unknown = seen.difference(self.memory)
-        waiting = list(unknown)
-        for at in range(0, len(waiting), 2000):
-            self._learn(waiting[at : at + 2000])
-        look = self.memory.__getitem__
+        if len(self.young) > self.half:
+            self.young, self.old = {}, self.young
+        self.young[""] = b""
+        if missing := self._recall(set(chain.from_iterable(split))):
+            self._learn(missing)
+        look = self.young.__getitem__
         for chunks in split:
             yield b"".join(map(look, chunks))
 
@@ -104,7 +134,7 @@ _PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigi
 
 def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE) -> DataFrame:
     """A row for each piece of at most size ids of each document's ids and END_ID."""
-    arrow_batches(docs.sparkSession, 200)
+    arrow_batches(docs.sparkSession, 500)
 
     def run(batches):
         if tokenizer not in _encoders:
