@@ -6,9 +6,12 @@
 2. Signatures are cut into bands. A pair with the linking similarity misses
    all bands with a chance of (1 - s**ROWS)**BANDS: 3e-6 at s = 0.8.
 3. Within a bucket (classes that share a band) no pairs are listed: each class
-   is held against the bucket's hub. Only buckets that still hold more than
-   one component go on, first with other hubs, and last with every pair across
-   components, so that no link between components is lost.
+   is held against the bucket's hub: the one whose buckets are the largest, so
+   that the text of which a group's members are variants is before the
+   variants, which may be linked with it alone. Only buckets that still hold
+   more than one component go on, first with other hubs, and last with every
+   pair across components that can be linked by the sizes of the sets and of
+   what each shares with any other text there; no such link is lost.
 4. A candidate's signatures are compared in batches. After each batch the pair
    goes if P(similarity >= s | matches so far) is under MISS (uniform prior).
    Survivors are verified on their full shingle sets, made again from the text.
@@ -42,7 +45,7 @@ BATCH = 16
 #: Chance to drop a pair that should be linked, at each look.
 MISS = 1e-6
 #: Rounds with hubs before the pairs across components are listed.
-HUB_ROUNDS = 3
+HUB_ROUNDS = 2
 #: Words whose hash a worker remembers.
 MEMORY = 300_000
 
@@ -166,6 +169,25 @@ def _texts(docs: DataFrame, classes: DataFrame, k: int) -> DataFrame:
     return chosen.select("id", "text", "digest").mapInArrow(run, "id bigint, text binary").dropDuplicates(["id"])
 
 
+def _shared_sizes(texts: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """Rows (id, own): the shingles that a text shares with no other text of ids. An id without any has no row."""
+
+    def run(batches):
+        for batch in batches:
+            sets = [shingles(t.as_py(), k) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.repeat(batch.column(0).to_numpy(), [len(s) for s in sets])),
+                    pa.array(np.concatenate([*sets, np.empty(0, np.uint64)]).view(np.int64)),
+                ],
+                names=["id", "shingle"],
+            )
+
+    each = texts.join(ids, "id", "left_semi").select("id", "text").mapInArrow(run, "id bigint, shingle bigint")
+    once = each.groupBy("shingle").agg(F.count("*").alias("c"), F.min("id").alias("id")).where("c = 1")
+    return once.groupBy("id").agg(F.count("*").alias("own"))
+
+
 def _verify(pairs: DataFrame, sigs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """The linked ones of pairs (a, b): pruned by posterior, then confirmed on full sets."""
     limits = least_matches(percent)
@@ -246,7 +268,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     classes = signed.select(F.col("rid").alias("id"), "n", "sig").join(members.select("id"), "id")
     rows = materialise(_bands(classes), "bands")
     shared = rows.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
-    buckets = materialise(rows.join(shared, "band").select("band", "id", "n"), "buckets")
+    sized = materialise(rows.join(shared, "band").select("band", "id", "n", "size"), "sized")
+    weights = sized.groupBy("id").agg(F.sum("size").alias("weight"))
+    buckets = materialise(sized.join(weights, "id").select("band", "id", "n", "weight"), "buckets")
     some = materialise(buckets.select("id").distinct(), "candidates")
     sigs = materialise(classes.join(some, "id", "left_semi").select("id", "sig"), "sigs")
     texts = materialise(_texts(docs, members.join(some, "id", "left_semi"), k), "texts")
@@ -258,22 +282,23 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
     def against(hubs: DataFrame, live: DataFrame) -> DataFrame:
         """Pairs of the live rows with their bucket's hub (band, hub, m, hub_label), where their components differ."""
-        return live.join(hubs, "band").where("id <> hub and label <> hub_label").select(F.col("hub").alias("a"), F.col("id").alias("b"), "n", "m")
+        return live.join(hubs, "band").where("id <> hub and label <> hub_label").select(F.col("hub").alias("a"), F.col("id").alias("b"), "*")
 
-    live = buckets.select("band", "id", "n", F.col("id").alias("label"))
+    live = buckets.withColumn("label", F.col("id"))
     links: list[DataFrame] = []
     labels = None
     for turn in range(HUB_ROUNDS + 1):
         if labels is not None:
             live = (
-                buckets.join(labels, "id", "left").select("band", "id", "n", F.coalesce("label", "id").alias("label"))
+                buckets.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
             )
             mixed = live.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("band")
             live = materialise(live.join(mixed, "band", "left_semi"), "live")
             if live.isEmpty():
                 break
         if turn < HUB_ROUNDS:
-            order = F.struct((F.col("id") if turn == 0 else F.xxhash64("id", "band", F.lit(turn))).alias("rank"), "id", "n", "label")
+            first = -F.col("weight") if turn == 0 else F.xxhash64("id", "band", F.lit(turn))
+            order = F.struct(first.alias("rank"), "id", "n", "label")
             hubs = live.groupBy("band").agg(F.min(order).alias("h")).select(
                 "band", F.col("h.id").alias("hub"), F.col("h.n").alias("m"), F.col("h.label").alias("hub_label")
             )
@@ -281,10 +306,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         else:
             sizes = live.groupBy("band", "label").count()
             main = sizes.groupBy("band").agg(F.max_by("label", F.struct("count", "label")).alias("main"))
+            own = _shared_sizes(texts, live.select("id").distinct(), k)
+            live = materialise(live.join(own, "id", "left").withColumn("e", F.col("n") - F.coalesce("own", F.lit(0))), "live")
             minor = live.join(main, "band").where("label <> main").select(
-                "band", F.col("id").alias("hub"), F.col("n").alias("m"), F.col("label").alias("hub_label")
+                "band", F.col("id").alias("hub"), F.col("n").alias("m"), F.col("label").alias("hub_label"), F.col("e").alias("f")
             )
-            found = check(against(minor, live))
+            # what two sets have in common is in neither one's own part
+            near = (100 + percent) * F.least("e", "f") >= percent * (F.col("n") + F.col("m"))
+            found = check(against(minor, live).where(near))
         if not found.isEmpty():
             links.append(found)
             labels = components(reduce(DataFrame.unionByName, links))

@@ -21,8 +21,10 @@ repeated row is packed again; an empty table gives an empty result.
 from __future__ import annotations
 
 import bisect
+import gc
 import math
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -52,6 +54,11 @@ _MARK = "~"
 _SIMPLE = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([^A-Za-z0-9\\s\u0080-\U0010ffff'~]*)")
 
 
+#: The byte-level alphabet: bytes that print stand for themselves, the others for the code points from 256 on.
+_PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_ALPHABET = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in _PRINTED)}
+
+
 class Encoder:
     """Ids of texts as little-endian bytes, with a memory for chunks between blanks.
 
@@ -65,6 +72,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.half = memory // 2
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -86,6 +94,13 @@ class Encoder:
         raw = ids.tobytes()
         return [raw[4 * a : 4 * b] for a, b in zip([0, *(c + 1 for c in cuts)], [*cuts, len(ids)], strict=True)]
 
+    def _word(self, part: str) -> bytes:
+        """Ids of one pre-token that needs no normalising: it goes to the model as it is, in its byte alphabet."""
+        if not part.isascii():
+            part = part.encode().decode("latin-1").translate(_ALPHABET)
+        ids = [token.id for token in self.model.tokenize(part)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
     def _recall(self, wanted: set[str]) -> set[str]:
         """Those of wanted that aren't in memory; the others are then in the young half."""
         missing = wanted.difference(self.young)
@@ -94,26 +109,26 @@ class Encoder:
         return missing.difference(again)
 
     def _learn(self, chunks: set[str]) -> None:
-        simple: dict[str, tuple[str, str]] = {}
-        parts: set[str] = set()
+        young, old, tokenize = self.young, self.old, self._word
+        others: list[str] = []
+
+        def known(part: str) -> bytes:
+            ids = young.get(part) or old.get(part) or tokenize(part)
+            young[part] = ids
+            return ids
+
         for c in chunks:
             if m := _SIMPLE.fullmatch(c):
                 word, signs = m.groups()
-                simple[c] = word, signs = word.lower(), signs
-                parts.add(word)
-                if signs:
-                    parts.add(signs)
+                ids = known(word.lower())
+                young[c] = ids + known(signs) if signs else ids
             elif _MARK in c:
-                self.young[c] = self._direct(c)
+                young[c] = self._direct(c)
             else:
-                parts.add(c)
-        waiting = list(self._recall(parts))
-        for at in range(0, len(waiting), 500):
-            some = waiting[at : at + 500]
-            self.young.update(zip(some, self._together(some), strict=True))
-        young = self.young
-        for c, (word, signs) in simple.items():
-            young[c] = young[word] + young[signs] if signs else young[word]
+                others.append(c)
+        for at in range(0, len(others), 500):
+            some = others[at : at + 500]
+            young.update(zip(some, self._together(some), strict=True))
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         split = [t.replace("\n", " ").split(" ") for t in texts]
@@ -144,7 +159,10 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE) -> DataFrame:
             names = batch.column(0).to_pylist()
             texts = [t or "" for t in batch.column(1).to_pylist()]
             rows: list[tuple] = []
-            for name, ids in zip(names, encoder.encode(texts), strict=True):
+            gc.disable()  # many strings and no cycles
+            coded = list(encoder.encode(texts))
+            gc.enable()
+            for name, ids in zip(names, coded, strict=True):
                 ids += end
                 for k, at in enumerate(range(0, len(ids), 4 * size)):
                     part = ids[at : at + 4 * size]
