@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from crawlframe.llm import decontaminate, near_dup, pack
+from crawlframe.llm import decontaminate, hmm, near_dup, pack, quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,10 +18,18 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack.pack(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op7_hmm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score(_table(spark, sf_dir, "documents"))
+
+
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(_table(spark, sf_dir, "documents"), k=2, percent=80)
 
@@ -31,7 +39,9 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 
 QUERIES = {
+    "op1_quality_rules": op1_quality_rules,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op7_hmm_scoring": op7_hmm_scoring,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
@@ -39,6 +49,38 @@ QUERIES = {
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLE = {
+    "op1_quality_rules": r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+    string_split(coalesce(text, ''), chr(10)) AS lines
+  FROM documents
+), g AS (
+  SELECT doc_id, p, w[p] || ' ' || w[p + 1] || ' ' || w[p + 2] AS g
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS p FROM d WHERE len(w) >= 3)
+), r AS (
+  SELECT doc_id, count(DISTINCT q) AS n FROM (
+    SELECT doc_id, unnest([p, p + 1, p + 2]) AS q
+    FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS c FROM g) WHERE c > 1
+  ) GROUP BY doc_id
+), l AS (
+  SELECT doc_id, count(*) - count(DISTINCT x) AS n
+  FROM (SELECT doc_id, unnest(lines) AS x FROM d) WHERE regexp_matches(x, '[^\x20\x09-\x0D]') GROUP BY doc_id
+), b AS (
+  SELECT doc_id, t, len(w)::BIGINT AS n_words,
+    length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
+    len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+    coalesce(l.n, 0)::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words, len(lines) AS n_lines
+  FROM d LEFT JOIN r USING (doc_id) LEFT JOIN l USING (doc_id)
+), f AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM b
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND 100 * n_symbols <= 7 * word_chars AND word_chars BETWEEN 2 * n_words AND 15 * n_words
+  AND (n_dup_lines <= 3 OR 100 * n_dup_lines <= 30 * n_lines)
+  AND 2 * length(regexp_replace(t, '\P{L}+', '', 'g')) >= word_chars
+  AND NOT regexp_matches(t, '[^\x20\x09-\x0D]{201}') AS kept
+FROM f
+""",
     "op9_minhash_near_dedup": rf"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents
