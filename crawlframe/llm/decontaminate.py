@@ -302,6 +302,7 @@ def remove(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most_cov
     """
     marked = mark(docs, benchmark, window).where(F.col("__dc_n_hit") <= most_coverage * F.col("__dc_n_words"))
     at = {name: k for k, name in enumerate(marked.columns)}
+    names = docs.columns
 
     def run(batches):
         for batch in batches:
@@ -315,11 +316,11 @@ def remove(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most_cov
                     if counts:
                         counts[k] = len(text)
                 out.append(text)
-            arrays = [batch.column(k) for k in range(len(docs.columns))]
+            arrays = [batch.column(k) for k in range(len(names))]
             arrays[at["text"]] = pa.array(out, pa.string())
             if counts is not None:
                 arrays[at["n_chars"]] = pa.array(counts, batch.column(at["n_chars"]).type)
-            yield pa.RecordBatch.from_arrays(arrays, names=docs.columns)
+            yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     return marked.mapInArrow(run, docs.schema)
 

@@ -325,8 +325,11 @@ def score(docs: DataFrame, states: int = STATES, passes: int = PASSES) -> DataFr
     counts = materialise(
         counted.select(F.when(F.col("c") > 1, F.col("word")).alias("word"), F.xxhash64("word").alias("h"), "k", "c"), "counts"
     )
-    total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = counts.where("word IS NOT NULL").orderBy(F.desc("c"), "word").limit(HEAD).collect()
+    powers = [F.count_if(F.col("c") >= 2**j) for j in range(1, 50)]
+    total, distinct, *above = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), *powers).first()
+    # the highest power of two that leaves enough words: each task then sends few rows to the driver
+    enough = 2 ** max((j for j, n in enumerate(above, 1) if n >= HEAD), default=1)
+    top = counts.where(F.col("c") >= enough).orderBy(F.desc("c"), "word").limit(HEAD).collect()
     head, head_counts = [bytes(r["word"]) for r in top], np.array([r["c"] for r in top], float)
     in_head = F.lit(False)
     if top:

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from crawlframe.llm.common import SPACES, let, words_of
 
 #: Most documents in the sample on which rules are timed.
-SAMPLE_ROWS = 2000
+SAMPLE_ROWS = 500
 SYMBOLS = "#*$%&|<>"
 
 
@@ -184,7 +184,9 @@ def judge(docs: DataFrame, rules: Sequence[Rule] | None = None, sample_rows: int
     """
     rules = standard_rules() if rules is None else list(rules)
     measured = base(docs)
-    sample = base(docs.limit(sample_rows)).cache()
+    # a few tasks read the rows; a limit within the plan would sort out so many rows from each of all tasks
+    some = docs.select("text").limit(sample_rows).collect()
+    sample = base(docs.sparkSession.createDataFrame(some, "text string")).cache()
     ordered = order(estimate(sample, rules))
     sample.unpersist()
     return measured.withColumn("kept", ~F.col("base_failed") & cascade(ordered))

@@ -3,8 +3,23 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from crawlframe.llm import (
+    chat,
+    decontaminate,
+    hmm,
+    kneser_ney,
+    license_scan,
+    near_dup,
+    pack,
+    pii,
+    quality,
+    token_count,
+)
 
-from crawlframe.llm import decontaminate, hmm, near_dup, pack, quality
+#: The key of the surrogates; a deployment sets its own.
+PII_KEY = b"set a secret key here"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,14 +37,37 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
+def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbouring conversations (2i, 2i + 1) as chosen and rejected: the table has no preferences of its own."""
+    turns = _table(spark, sf_dir, "conversations")
+    return chat.preference(turns, F.floor(F.col("conv_id") / 2).cast("bigint"), F.col("conv_id") % 2 == 0)
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack.pack(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_count.count(_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    replaced = pii.replace(_table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+    return replaced.select("doc_id", "text", F.size("__pii").cast("bigint").alias("n_entities"))
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op7_hmm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.score(_table(spark, sf_dir, "documents"))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(_table(spark, sf_dir, "documents"))
+
+
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(_table(spark, sf_dir, "documents"), k=2, percent=80)
 
@@ -40,8 +78,13 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_chat_formatting": op2_chat_formatting,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_token_counts": op4_token_counts,
+    "op5_pii": op5_pii,
+    "op6_quality_classifier": op6_quality_classifier,
     "op7_hmm_scoring": op7_hmm_scoring,
+    "op8_license_scan": op8_license_scan,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
@@ -80,6 +123,33 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   AND 2 * length(regexp_replace(t, '\P{L}+', '', 'g')) >= word_chars
   AND NOT regexp_matches(t, '[^\x20\x09-\x0D]{201}') AS kept
 FROM f
+""",
+    "op2_chat_formatting": r"""
+WITH d AS (
+  SELECT DISTINCT conv_id, turn, coalesce(role, 'user') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+), p AS (
+  SELECT conv_id // 2 AS pair_id,
+    coalesce(list({'role': role, 'text': text} ORDER BY turn NULLS FIRST, role, text) FILTER (conv_id % 2 = 0), []) AS c,
+    coalesce(list({'role': role, 'text': text} ORDER BY turn NULLS FIRST, role, text) FILTER (conv_id % 2 = 1), []) AS r
+  FROM d GROUP BY 1
+), n AS (
+  SELECT *, coalesce(list_min(list_filter(range(1, greatest(len(c), len(r)) + 1), lambda i: c[i] IS DISTINCT FROM r[i])) - 1, len(c)) AS n FROM p
+), t AS (
+  SELECT pair_id, n, c[1 : n] AS p, c[n + 1 :] AS c, r[n + 1 :] AS r FROM n
+), x AS (
+  SELECT pair_id, n, p, c, r,
+    list_transform(p, lambda t: '<|' || t.role || '|>' || chr(10) || replace(t.text, '<|', '< |') || '<|end|>' || chr(10)) AS ps,
+    list_transform(c, lambda t: '<|' || t.role || '|>' || chr(10) || replace(t.text, '<|', '< |') || '<|end|>' || chr(10)) AS cs,
+    list_transform(r, lambda t: '<|' || t.role || '|>' || chr(10) || replace(t.text, '<|', '< |') || '<|end|>' || chr(10)) AS rs
+  FROM t
+)
+SELECT pair_id, n::BIGINT AS n_prompt_turns, array_to_string(ps, '') AS prompt, array_to_string(cs, '') AS chosen, array_to_string(rs, '') AS rejected,
+  array_to_string(list_transform(list_filter(range(1, len(c) + 1), lambda i: c[i].role = 'assistant'), lambda i:
+    (length(array_to_string(cs[1 : i - 1], '')) + length(c[i].role) + 5) || '-' || (length(array_to_string(cs[1 : i], '')) - 1)), ',') AS chosen_spans,
+  array_to_string(list_transform(list_filter(range(1, len(r) + 1), lambda i: r[i].role = 'assistant'), lambda i:
+    (length(array_to_string(rs[1 : i - 1], '')) + length(r[i].role) + 5) || '-' || (length(array_to_string(rs[1 : i], '')) - 1)), ',') AS rejected_spans,
+  len(list_filter(c, lambda t: t.role = 'assistant')) > 0 AND len(list_filter(r, lambda t: t.role = 'assistant')) > 0 AS usable
+FROM x
 """,
     "op9_minhash_near_dedup": rf"""
 WITH RECURSIVE w AS (
