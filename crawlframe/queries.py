@@ -1,2 +1,529 @@
-QUERIES = {}
-ORACLE = {}
+"""The registered queries over the test tables, with their SQL.
+
+pages stands for fetch results, events for the log of fetch outcomes: the
+domain is d<user_id>.example, the value the latency in milliseconds; error is
+an error, signup a rate limit, anything else a success.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from crawlframe.functions import hashing, http, politeness, robots, sitemap, urls
+from crawlframe.operators import dedup, frontier, links, metrics, queue, ring
+from crawlframe.plans import crawl
+
+NOW_NS = 1_706_659_200_000_000_000  # 2024-01-31
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _pages(spark, sf_dir):
+    return _table(spark, sf_dir, "pages")
+
+
+def _domain() -> Column:
+    return F.concat(F.lit("d"), F.col("user_id").cast("string"), F.lit(".example"))
+
+
+def _log(spark, sf_dir):
+    kind = F.col("event_type")
+    outcome = F.when(kind == "error", "error").when(kind == "signup", "rate_limited").otherwise("ok")
+    return _table(spark, sf_dir, "events").select(
+        "event_id", "ts", (F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)") * 1000).alias("ts_ns"), _domain().alias("domain"),
+        outcome.alias("outcome"), F.round(F.col("value") * 1e6).cast("bigint").alias("latency_ns"),
+        F.lit(None).cast("bigint").alias("robots_delay_ns"),
+    )
+
+
+def _nodes(spark, n):
+    return spark.range(n).select(F.col("id").cast("int").alias("node_id"), F.concat(F.lit("10.0.0."), F.col("id").cast("string"), F.lit(":6379")).alias("address"))
+
+
+def _items(spark, sf_dir):
+    """Queue items: an event's URL within its domain."""
+    url = F.concat(F.lit("https://"), _domain(), F.lit("/"), F.col("event_type"), F.lit("/"), F.col("event_id").cast("string"))
+    return _table(spark, sf_dir, "events").select("event_id", _domain().alias("domain"), url.alias("url"), (F.col("event_id") % 30).cast("int").alias("depth"))
+
+
+def _queue(spark, sf_dir):
+    return queue.enqueue(queue.admit(_items(spark, sf_dir)), "event_id").select("domain", "seq", "url", "depth")
+
+
+ROBOTS = """# rules
+User-agent: *
+Disallow: /private
+Crawl-delay: 2
+User-agent: bot
+User-agent: crawlbot
+Allow: /the
+Disallow: /th
+Disallow: /*a$
+Disallow: /*/x # deep
+Crawl-delay: 0.5
+Sitemap: https://example.com/map.xml
+User-agent: crawl
+Disallow: /
+"""
+AGENT = "crawlbot/1.0"
+
+
+def extract_links(spark, sf_dir):
+    return links.extract(_pages(spark, sf_dir)).select("page_id", "pos", "href")
+
+
+def links_per_page(spark, sf_dir):
+    per = links.extract(_pages(spark, sf_dir)).groupBy("page_id").agg(F.count("*").cast("double").alias("links"))
+    return metrics.histogram(per, "links", metrics.LINKS).withColumn("le", F.col("le").cast("string"))
+
+
+def resolve_links(spark, sf_dir):
+    found = links.first_seen(links.resolve(links.extract(_pages(spark, sf_dir))), "page_id")
+    return found.select("page_id", "pos", "link", "link_domain")
+
+
+def normalize_url(spark, sf_dir):
+    return _pages(spark, sf_dir).select("page_id", urls.normalize_url(F.col("url")).alias("canonical"))
+
+
+def url_variants(spark, sf_dir):
+    canonical = urls.normalize_url(F.col("url"))
+    return _pages(spark, sf_dir).groupBy(canonical.alias("canonical")).agg(F.count("*").alias("n"))
+
+
+def extract_domain(spark, sf_dir):
+    return _pages(spark, sf_dir).select("page_id", urls.extract_domain(F.col("url")).alias("domain"))
+
+
+def robots_path(spark, sf_dir):
+    return _pages(spark, sf_dir).select("page_id", urls.robots_path(F.col("url")).alias("path"))
+
+
+def fnv1a64(spark, sf_dir):
+    return _pages(spark, sf_dir).select("page_id", hashing.fnv1a64_hex(F.col("url")).alias("h"))
+
+
+def queue_shard_counts(spark, sf_dir):
+    lengths = queue.lengths(_queue(spark, sf_dir))
+    return lengths.groupBy(hashing.shard_index(F.col("domain")).alias("shard")).agg(F.count("*").alias("domains"), F.sum("n").alias("n"))
+
+
+def _owned(spark, sf_dir, n):
+    domains = _table(spark, sf_dir, "events").select(_domain().alias("domain")).distinct()
+    return ring.with_owner(domains, F.col("domain"), _nodes(spark, n))
+
+
+def ring_owner(spark, sf_dir):
+    return _owned(spark, sf_dir, 3)
+
+
+def ring_balance(spark, sf_dir):
+    return _owned(spark, sf_dir, 5).groupBy("owner").agg(F.count("*").alias("n"))
+
+
+def ring_remap(spark, sf_dir):
+    before, after = _owned(spark, sf_dir, 3), _owned(spark, sf_dir, 5).withColumnRenamed("owner", "owner5")
+    return before.join(after, "domain").agg(F.count_if(F.col("owner") != F.col("owner5")).alias("moved"), F.count("*").alias("n"))
+
+
+def crawl_round(spark, sf_dir):
+    pages = _pages(spark, sf_dir)
+    fresh = crawl.crawl_round(pages, pages.select(urls.normalize_url(F.col("url")).alias("url")), _nodes(spark, 3))
+    return fresh.groupBy("owner").agg(F.count("*").alias("new_urls"), F.count_distinct("domain").alias("domains"))
+
+
+def new_urls(spark, sf_dir):
+    pages = _pages(spark, sf_dir)
+    found = links.resolve(links.extract(pages)).select(F.col("link").alias("url"))
+    return dedup.new_urls(found, pages.where("page_id % 2 = 0").select(urls.normalize_url(F.col("url")).alias("url")))
+
+
+def seen_union(spark, sf_dir):
+    pages = _pages(spark, sf_dir).select(urls.extract_domain(F.col("url")).alias("url"))
+    return dedup.mark_seen(pages, _table(spark, sf_dir, "events").select(_domain().alias("url")))
+
+
+def soft404(spark, sf_dir):
+    rows = _table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
+    return links.soft404(rows, "user_id", "event_type", "event_id")
+
+
+def admission(spark, sf_dir):
+    dead = frontier.fold(_log(spark, sf_dir)).where("dead OR consecutive_errors >= 3")
+    return queue.admit(_items(spark, sf_dir), dead).groupBy("domain").agg(F.count("*").alias("n"), F.max("depth").alias("deepest"))
+
+
+def enqueue_seq(spark, sf_dir):
+    held = queue.enqueue(queue.admit(_items(spark, sf_dir).where("event_id % 3 = 0")), "event_id")
+    more = _items(spark, sf_dir).where("event_id % 3 = 1")
+    return queue.enqueue(queue.admit(more), "event_id", held, domain_cap=40).select("domain", "seq", "url", "depth")
+
+
+def queue_head(spark, sf_dir):
+    return queue.heads(_queue(spark, sf_dir))
+
+
+def queue_rest(spark, sf_dir):
+    return queue.lengths(queue.dequeue(_queue(spark, sf_dir))[1])
+
+
+def queue_stats(spark, sf_dir):
+    return _queue(spark, sf_dir).agg(F.count("*").alias("total"), F.count_distinct("domain").alias("domains"), (F.max("seq") + 1).alias("next_seq"))
+
+
+def queue_cap(spark, sf_dir):
+    return queue.enqueue(_items(spark, sf_dir), "event_id", domain_cap=10).groupBy("domain").agg(F.count("*").alias("n"), F.max("seq").alias("last"))
+
+
+def global_cap(spark, sf_dir):
+    return queue.global_cap(_items(spark, sf_dir), 5, "event_id", cap=105).select("event_id", "url")
+
+
+def drop_domain(spark, sf_dir):
+    gone = _table(spark, sf_dir, "events").where("user_id % 2 = 0").select(_domain().alias("domain")).distinct()
+    return queue.lengths(queue.drop(_queue(spark, sf_dir), gone))
+
+
+def meta_upsert(spark, sf_dir):
+    rows = _table(spark, sf_dir, "events").select(_domain().alias("domain"), "event_id", "event_type")
+    return queue.upsert(rows.where("event_id % 2 = 0"), rows.where("event_id % 2 = 1"), "domain", "event_id")
+
+
+def wire_roundtrip(spark, sf_dir):
+    wire = http.encode_wire(F.col("url"), F.col("page_id").cast("int") % 26)
+    return _pages(spark, sf_dir).select("page_id", http.decode_wire(wire).alias("m")).select("page_id", "m.url", "m.depth")
+
+
+def forward_owner(spark, sf_dir):
+    wire = http.encode_wire(F.col("url"), F.col("depth"))
+    owned = ring.with_owner(_items(spark, sf_dir), F.col("domain"), _nodes(spark, 3))
+    peers = _nodes(spark, 2).withColumnRenamed("node_id", "owner")  # the third node has no peer: its rows drop
+    return owned.join(F.broadcast(peers), "owner").select("owner", "address", wire.alias("wire"))
+
+
+def peer_changes(spark, sf_dir):
+    return queue.peer_changes(_nodes(spark, 3), _nodes(spark, 6).where("node_id <> 1"))
+
+
+def robots_groups(spark, sf_dir):
+    parsed = spark.range(1).select(F.posexplode(robots.groups(F.lit(ROBOTS))).alias("g", "group"))
+    return parsed.select("g", F.array_join("group.agents", ",").alias("agents"), F.size("group.rules").alias("rules"), "group.delay")
+
+
+def robots_allowed(spark, sf_dir):
+    bodies = spark.range(1).select(F.lit("x").alias("domain"), F.lit(ROBOTS).alias("body"))
+    found = links.extract(_pages(spark, sf_dir)).select("page_id", "pos", F.concat(F.lit("https://x"), F.col("href")).alias("url"), F.lit("x").alias("domain"))
+    return crawl.robots_gate(found, bodies, AGENT).select("page_id", "pos", "allowed", "robots_delay_ns")
+
+
+def sitemap_locs(spark, sf_dir):
+    blocks = F.array_join(F.transform(F.array_sort(F.collect_list("url")), lambda u: F.concat(F.lit("<url><LOC> "), u, F.lit(" </LOC></url>"))), "\n")
+    shop = F.substring_index(F.substring_index("url", "/", 3), "/", -1)
+    maps = _pages(spark, sf_dir).groupBy(shop.alias("host")).agg(blocks.alias("body"))
+    return maps.select("host", F.explode(sitemap.locs(F.col("body"), "url")).alias("url"))
+
+
+def sitemap_recursive(spark, sf_dir):
+    pages = _pages(spark, sf_dir)
+    leaf = pages.select(
+        F.concat(F.lit("https://s/"), F.col("page_id").cast("string")).alias("url"),
+        F.concat(F.lit("<urlset><url><loc>"), F.col("url"), F.lit("</loc></url></urlset>")).alias("body"),
+    )
+    child = lambda n: F.concat(F.lit("<sitemap><loc>https://s/"), n, F.lit("</loc></sitemap>"))
+    index = pages.where("page_id % 10 = 0").select(
+        F.concat(F.lit("https://i/"), F.col("page_id").cast("string")).alias("url"),
+        F.concat(F.lit("<sitemapindex>"), child(F.col("page_id").cast("string")), child((F.col("page_id") + 1).cast("string")), F.lit("</sitemapindex>")).alias("body"),
+    )
+    roots = pages.where("page_id % 20 = 0").select(F.lit("d").alias("domain"), F.concat(F.lit("https://i/"), F.col("page_id").cast("string")).alias("url"))
+    return crawl.sitemap_urls(roots, leaf.unionByName(index))
+
+
+def politeness_state(spark, sf_dir):
+    return frontier.fold(_log(spark, sf_dir))
+
+
+def next_fetch(spark, sf_dir):
+    return frontier.rebuild(_queue(spark, sf_dir), frontier.fold(_log(spark, sf_dir)), F.lit(NOW_NS))
+
+
+def frontier_pop(spark, sf_dir):
+    due = frontier.rebuild(_queue(spark, sf_dir), frontier.fold(_log(spark, sf_dir)), F.lit(NOW_NS))
+    return frontier.pop_ready(due.withColumnRenamed("next_fetch_ns", "next_fetch"), F.lit(NOW_NS), 20)
+
+
+def frontier_push(spark, sf_dir):
+    log = _log(spark, sf_dir).select("domain", F.col("ts_ns").alias("next_fetch"))
+    return frontier.push(log, log.select("domain", (F.col("next_fetch") - 1000).alias("next_fetch")))
+
+
+def can_fetch(spark, sf_dir):
+    state = frontier.fold(_log(spark, sf_dir))
+    out = politeness.can_fetch(F.lit(NOW_NS - 2 * 86_400 * 10**9), F.col("last_fetch_ns"), F.col("crawl_delay_ns"), F.col("backoff_until_ns"))
+    return state.select("domain", out.alias("c")).select("domain", "c.ok", "c.wait")
+
+
+def error_runs(spark, sf_dir):
+    return frontier.error_runs(_log(spark, sf_dir))
+
+
+def retry_after(spark, sf_dir):
+    ts = F.col("ts")
+    value = F.when(F.col("event_id") % 3 == 0, (F.col("event_id") - 2000).cast("string")).when(
+        F.col("event_id") % 3 == 1, F.concat(F.date_format(ts + F.expr("INTERVAL 90 SECONDS"), "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" GMT"))
+    ).otherwise("soon")
+    return _table(spark, sf_dir, "events").select("event_id", http.retry_after_seconds(value, F.date_trunc("second", ts)).alias("wait"))
+
+
+def classify_error(spark, sf_dir):
+    message = F.element_at(
+        F.array(*map(F.lit, ("lookup x: no such host", "remote error: tls: bad record", "x509: certificate expired", "unexpected EOF", "read: connection reset by peer", "odd"))),
+        (F.col("event_id") % 6 + 1).cast("int"),
+    )
+    kind = F.when(F.col("event_id") % 7 == 0, F.lit("timeout"))
+    return _table(spark, sf_dir, "events").groupBy(http.classify_error(kind, message).alias("cause")).agg(F.count("*").alias("n"))
+
+
+def short_content_type(spark, sf_dir):
+    value = F.element_at(F.array(*map(F.lit, ("Text/HTML; charset=utf-8", " application/xhtml+xml ", "", ";x"))), (F.col("event_id") % 4 + 1).cast("int"))
+    return _table(spark, sf_dir, "events").groupBy(http.short_content_type(value).alias("type")).agg(F.count("*").alias("n"))
+
+
+def bloom_fp_rate(spark, sf_dir):
+    keys = _pages(spark, sf_dir).select("url")
+    n = max(1, keys.count())
+    bloom = dedup.load_bloom(dedup.build_bloom(keys, "url", n), n)
+    missed = sum(not bloom.test(r["url"]) for r in keys.toLocalIterator())
+    wrong = sum(bloom.test(f"probe-{k}") for k in range(2000))
+    return spark.createDataFrame([(missed, wrong / 2000)], "missed bigint, fp_rate double")
+
+
+def _daily(spark, sf_dir):
+    day = F.date_trunc("day", "ts").alias("start")
+    return _log(spark, sf_dir).groupBy(day).agg(
+        F.count("*").alias("pages"), F.count_if(F.col("outcome") == "error").alias("errors")
+    )
+
+
+def alert_error_rate(spark, sf_dir):
+    ratio = metrics.share(F.col("errors"), F.col("pages"))
+    ticks = _daily(spark, sf_dir).withColumn("ratio", ratio).withColumn("high", F.col("ratio") > 0.2)
+    return metrics.holding(ticks, "high", 1).select(F.date_format("start", "yyyy-MM-dd").alias("day"), "ratio", "high", "firing")
+
+
+def alert_stalled(spark, sf_dir):
+    hours = _log(spark, sf_dir).where("domain = 'd1.example'").select(F.date_trunc("hour", "ts").alias("start")).groupBy("start").agg(F.count("*").alias("n"))
+    ends = hours.agg(F.min("start").alias("a"), F.max("start").alias("b"))
+    spine = ends.select(F.explode(F.sequence("a", "b", F.expr("INTERVAL 1 HOUR"))).alias("start"))
+    ticks = spine.join(hours, "start", "left").withColumn("stalled", F.col("n").isNull())
+    return metrics.holding(ticks, "stalled", 5).groupBy("firing").agg(F.count("*").alias("n"))
+
+
+def latency_p95(spark, sf_dir):
+    seconds = _log(spark, sf_dir).withColumn("seconds", F.col("latency_ns") / 1e9)
+    return metrics.histogram_quantile(metrics.histogram(seconds, "seconds", metrics.DURATION, "outcome"), 0.95, "outcome")
+
+
+def counter_increase(spark, sf_dir):
+    samples = _table(spark, sf_dir, "events").where("user_id <= 20").select("ts", "user_id", (F.col("event_id") % 500).cast("double").alias("value"))
+    grown = metrics.increase(samples, "1 day", "user_id")
+    return grown.select("user_id", F.date_format("start", "yyyy-MM-dd").alias("day"), "increase")
+
+
+def cache_hit_ratio(spark, sf_dir):
+    hits, misses = F.count_if(F.col("event_type") == "view"), F.count_if(F.col("event_type") == "click")
+    rows = _table(spark, sf_dir, "events").groupBy("user_id").agg(hits.alias("hits"), misses.alias("misses"))
+    ratio = metrics.share(F.col("hits"), F.col("hits") + F.col("misses"))
+    return rows.select("user_id", ratio.alias("ratio")).where("ratio < 0.5")
+
+
+def last_gauge(spark, sf_dir):
+    rows = _table(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("ts"), "value")
+    return metrics.last_gauge(rows, "user_id").where("value > 100")
+
+
+def outcome_counters(spark, sf_dir):
+    return _log(spark, sf_dir).groupBy("domain", "outcome").agg(F.count("*").alias("n"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        crawl_round, extract_links, links_per_page, resolve_links, normalize_url, url_variants, extract_domain, robots_path,
+        fnv1a64, queue_shard_counts, ring_owner, ring_balance, ring_remap, new_urls, seen_union, soft404, admission,
+        enqueue_seq, queue_head, queue_rest, queue_stats, queue_cap, global_cap, drop_domain, meta_upsert, wire_roundtrip,
+        forward_owner, peer_changes, robots_groups, robots_allowed, sitemap_locs, sitemap_recursive, politeness_state,
+        next_fetch, frontier_pop, frontier_push, can_fetch, error_runs, retry_after, classify_error, short_content_type,
+        bloom_fp_rate, alert_error_rate, alert_stalled, latency_p95, counter_increase, cache_hit_ratio, last_gauge,
+        outcome_counters,
+    )
+}
+
+
+# SQL of the same, for DuckDB.
+
+
+def _fnv(s: str) -> str:
+    """FNV-1a 64 as 16 hex digits."""
+    byte = f"list_transform(range(0, octet_length(encode({s}))), lambda zz: ('0x' || substr(hex(encode({s})), 2 * zz::INT + 1, 2))::HUGEINT)"
+    x = "(xor(hh, bb))"
+    fold = f"list_reduce(list_prepend(14695981039346656037::HUGEINT, {byte}), lambda hh, bb: ({x} * 435 + ({x} % 16777216) * 1099511627776) % 18446744073709551616)"
+    return f"lpad(lower(hex(({fold})::UBIGINT)), 16, '0')"
+
+
+_HOST = "regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)), '^www\\.', '')"
+
+
+def _normal(url: str) -> str:
+    """Enough for the tables' URLs."""
+    host = f"regexp_replace(lower(regexp_extract({url}, '^[a-z]+://([^/?#]*)', 1)), '^www\\.', '')"
+    path = f"regexp_extract({url}, '^[a-z]+://[^/?#]*([^?#]*)', 1)"
+    path = f"CASE WHEN {path} IN ('', '/') THEN '/' ELSE replace(replace(url_encode(regexp_replace({path}, '/+$', '')), '%2F', '/'), '%2C', ',') END"
+    query = f"list_filter(string_split(regexp_extract({url}, '\\?([^#]*)', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(p, '^(ref|utm_source)='))"
+    shown = f"CASE WHEN len({query}) > 0 THEN '?' || array_to_string(list_sort({query}), '&') ELSE '' END"
+    return f"regexp_extract({url}, '^([a-z]+)://', 1) || '://' || {host} || {path} || {shown}"
+
+
+_LINKS = r"""l AS (
+  SELECT page_id, url, unnest(range(0, len(h))) AS pos, unnest(h) AS href
+  FROM (SELECT page_id, url, regexp_extract_all(html, '<a\s[^>]*?href="([^"]*)"', 1) AS h FROM pages)
+), r AS (
+  SELECT *, NORMAL AS link FROM (SELECT *, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || href AS target FROM l)
+), f AS (
+  SELECT page_id, pos, link, regexp_extract(link, '^[a-z]+://([^/?#]*)', 1) AS link_domain FROM r
+)""".replace("NORMAL", _normal("target"))
+_LOG = """log AS (
+  SELECT event_id, ts, (epoch_us(ts) * 1000)::BIGINT AS ts_ns, 'd' || user_id || '.example' AS domain,
+    CASE event_type WHEN 'error' THEN 'error' WHEN 'signup' THEN 'rate_limited' ELSE 'ok' END AS outcome,
+    round(value * 1e6)::BIGINT AS latency_ns
+  FROM events
+)"""
+_ITEMS = """items AS (
+  SELECT event_id, 'd' || user_id || '.example' AS domain,
+    'https://d' || user_id || '.example/' || event_type || '/' || event_id AS url, (event_id % 30)::INT AS depth
+  FROM events
+)"""
+_QUEUE = _ITEMS + """, q AS (
+  SELECT domain, n - 1 AS seq, url, depth FROM (
+    SELECT *, row_number() OVER (PARTITION BY domain ORDER BY event_id) AS n FROM items WHERE depth <= 25
+  ) WHERE n <= 1000
+)"""
+_FOLD = _LOG + """, e AS (
+  SELECT *, row_number() OVER (PARTITION BY domain ORDER BY ts_ns, event_id) AS n FROM log
+), s AS (
+  SELECT domain, 0::BIGINT AS n, false AS dead, 1000000000::BIGINT AS delay, 0::BIGINT AS ema, NULL::BIGINT AS last, NULL::BIGINT AS backoff, 0 AS errors
+  FROM (SELECT DISTINCT domain FROM log)
+  UNION ALL
+  SELECT domain, n, dead OR errors >= 10,
+    CASE outcome WHEN 'ok' THEN least(greatest(5 * ema, 250000000), 30000000000) WHEN 'rate_limited' THEN least(greatest(2 * delay, 250000000), 30000000000) ELSE delay END,
+    ema, CASE WHEN outcome = 'ok' THEN ts_ns ELSE last END,
+    CASE WHEN outcome = 'rate_limited' THEN ts_ns + least(greatest(2 * delay, 250000000), 30000000000)
+      WHEN outcome = 'error' AND errors >= 5 THEN ts_ns + (2 ** least(errors - 5, 6))::BIGINT * 60000000000 ELSE backoff END,
+    errors
+  FROM (
+    SELECT s.domain, e.n, s.dead, s.delay, s.last, s.backoff, e.outcome, e.ts_ns,
+      CASE WHEN e.outcome <> 'ok' THEN s.ema WHEN s.ema = 0 THEN e.latency_ns
+        ELSE trunc(0.3::DOUBLE * e.latency_ns::DOUBLE + 0.7::DOUBLE * s.ema::DOUBLE)::BIGINT END AS ema,
+      CASE e.outcome WHEN 'error' THEN s.errors + 1 WHEN 'ok' THEN 0 ELSE s.errors END AS errors
+    FROM s JOIN e ON e.domain = s.domain AND e.n = s.n + 1
+  )
+), state AS (
+  SELECT domain, dead, delay AS crawl_delay_ns, ema AS avg_latency_ns, last AS last_fetch_ns, backoff AS backoff_until_ns, errors::INT AS consecutive_errors
+  FROM (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY n DESC) AS k FROM s) WHERE k = 1
+)"""
+
+
+def _ring(n: int, source: str = "SELECT DISTINCT 'd' || user_id || '.example' AS domain FROM events") -> str:
+    vnode = _fnv("'node-' || i || '-vnode-' || k")
+    return f"""ring{n} AS (
+  SELECT {vnode} AS pos, i::INT AS node FROM range(0, {n}) a(i), range(0, 128) b(k)
+), o{n} AS (
+  SELECT d.*, coalesce(r.node, (SELECT arg_min(node, pos) FROM ring{n})) AS owner
+  FROM (SELECT *, {_fnv("domain")} AS h FROM ({source})) d ASOF LEFT JOIN ring{n} r ON d.h <= r.pos
+)"""
+
+
+_DUE = f"""WITH RECURSIVE {_QUEUE}, {_FOLD}, due AS (
+  SELECT domain, CASE WHEN backoff_until_ns > {NOW_NS} THEN backoff_until_ns WHEN last_fetch_ns IS NOT NULL THEN last_fetch_ns + crawl_delay_ns ELSE {NOW_NS} END AS next_fetch
+  FROM (SELECT DISTINCT domain FROM q) JOIN state USING (domain) WHERE NOT dead
+)"""
+_INF = "'Infinity'::DOUBLE"
+
+
+def _buckets(bounds, source: str, value: str, by: str) -> str:
+    return f"""SELECT {by} le, count(*) FILTER ({value} <= le)::BIGINT AS n
+  FROM ({source}), (SELECT unnest([{", ".join(map(str, bounds))}, {_INF}]::DOUBLE[]) AS le) GROUP BY ALL"""
+
+
+ORACLE = {
+    "crawl_round": f"""WITH {_LINKS}, n AS (
+  SELECT DISTINCT link AS url, link_domain AS domain FROM f WHERE link NOT IN (SELECT {_normal("url")} FROM pages)
+), {_ring(3, "SELECT * FROM n")} SELECT owner, count(*) AS new_urls, count(DISTINCT domain) AS domains FROM o3 GROUP BY owner""",
+    "extract_links": f"WITH {_LINKS} SELECT page_id, pos::INT AS pos, href FROM l",
+    "links_per_page": f"WITH {_LINKS}, c AS (SELECT page_id, count(*) AS links FROM l GROUP BY 1), b AS ("
+    + _buckets(metrics.LINKS, "SELECT * FROM c", "links", "") + ") SELECT CASE WHEN isinf(le) THEN 'Infinity' ELSE le::VARCHAR END AS le, n FROM b",
+    "resolve_links": f"WITH {_LINKS} SELECT page_id, min(pos)::INT AS pos, link, any_value(link_domain) AS link_domain FROM f GROUP BY page_id, link",
+    "normalize_url": f"SELECT page_id, {_normal('url')} AS canonical FROM pages",
+    "url_variants": f"SELECT {_normal('url')} AS canonical, count(*) AS n FROM pages GROUP BY 1",
+    "extract_domain": f"SELECT page_id, {_HOST} AS domain FROM pages",
+    "robots_path": "SELECT page_id, CASE WHEN regexp_extract(url, '://[^/]*(/.*)$', 1) = '' THEN '/' ELSE regexp_extract(url, '://[^/]*(/.*)$', 1) END AS path FROM pages",
+    "fnv1a64": f"SELECT page_id, {_fnv('url')} AS h FROM pages",
+    "queue_shard_counts": f"WITH {_QUEUE}, c AS (SELECT domain, count(*) AS n FROM q GROUP BY 1), h AS (SELECT *, {_fnv('domain')} AS h FROM c) SELECT (('0x' || right(h, 1))::INT % 8)::INT AS shard, count(*) AS domains, sum(n)::BIGINT AS n FROM h GROUP BY 1",
+    "ring_owner": f"WITH {_ring(3)} SELECT domain, owner FROM o3",
+    "ring_balance": f"WITH {_ring(5)} SELECT owner, count(*) AS n FROM o5 GROUP BY 1",
+    "ring_remap": f"WITH {_ring(3)}, {_ring(5)} SELECT count(*) FILTER (o3.owner <> o5.owner) AS moved, count(*) AS n FROM o3 JOIN o5 USING (domain)",
+    "new_urls": f"WITH {_LINKS} SELECT DISTINCT link AS url FROM f WHERE link NOT IN (SELECT {_normal('url')} FROM pages WHERE page_id % 2 = 0)",
+    "seen_union": f"SELECT {_HOST} AS url FROM pages UNION SELECT 'd' || user_id || '.example' FROM events",
+    "soft404": "SELECT event_id, user_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) < 3",
+    "admission": f"WITH RECURSIVE {_FOLD}, {_ITEMS} SELECT domain, count(*) AS n, max(depth) AS deepest FROM items WHERE depth <= 25 AND domain NOT IN (SELECT domain FROM state WHERE dead OR consecutive_errors >= 3) GROUP BY 1",
+    "enqueue_seq": f"""WITH {_ITEMS}, a AS (SELECT domain, count(*) AS held FROM items WHERE depth <= 25 AND event_id % 3 = 0 GROUP BY 1),
+n AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY event_id) AS n FROM items WHERE depth <= 25 AND event_id % 3 = 1)
+SELECT n.domain, n - 1 + coalesce(held, 0) AS seq, url, depth FROM n LEFT JOIN a USING (domain) WHERE n + coalesce(held, 0) <= 40""",
+    "queue_head": f"WITH {_QUEUE} SELECT * FROM q WHERE seq = 0",
+    "queue_rest": f"WITH {_QUEUE} SELECT domain, count(*) AS n FROM q WHERE seq > 0 GROUP BY 1",
+    "queue_stats": f"WITH {_QUEUE} SELECT count(*) AS total, count(DISTINCT domain) AS domains, max(seq) + 1 AS next_seq FROM q",
+    "queue_cap": f"WITH {_ITEMS} SELECT domain, least(count(*), 10) AS n, least(count(*), 10) - 1 AS last FROM items GROUP BY 1",
+    "global_cap": f"WITH {_ITEMS} SELECT event_id, url FROM items ORDER BY event_id LIMIT 100",
+    "drop_domain": f"WITH {_QUEUE} SELECT domain, count(*) AS n FROM q WHERE domain NOT IN (SELECT 'd' || user_id || '.example' FROM events WHERE user_id % 2 = 0) GROUP BY 1",
+    "meta_upsert": "SELECT 'd' || user_id || '.example' AS domain, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY 1",
+    "wire_roundtrip": "SELECT page_id, url, (page_id % 26)::INT AS depth FROM pages",
+    "forward_owner": f"WITH {_ITEMS}, {_ring(3, 'SELECT * FROM items')} SELECT owner, '10.0.0.' || owner || ':6379' AS address, depth || chr(9) || url AS wire FROM o3 WHERE owner < 2",
+    "peer_changes": "SELECT * FROM (VALUES (0, 'reuse'), (1, 'close'), (2, 'reuse'), (3, 'open'), (4, 'open'), (5, 'open')) t(node_id, change)",
+    "robots_groups": "SELECT * FROM (VALUES (0, '*', 1, 2.0::DOUBLE), (1, 'bot,crawlbot', 4, 0.5::DOUBLE), (2, 'crawl', 1, NULL)) t(g, agents, rules, delay)",
+    "robots_allowed": f"""WITH {_LINKS} SELECT page_id, pos::INT AS pos,
+  CASE WHEN starts_with(href, '/the') THEN true WHEN starts_with(href, '/th') OR (href LIKE '/%a' AND instr(substr(href, 2), 'a') = length(href) - 1) OR href LIKE '/%/x%' THEN false ELSE true END AS allowed,
+  500000000::BIGINT AS robots_delay_ns FROM l""",
+    "sitemap_locs": "SELECT split_part(url, '/', 3) AS host, url FROM pages",
+    "sitemap_recursive": "SELECT DISTINCT 'd' AS domain, url FROM pages WHERE page_id % 20 IN (0, 1)",
+    "politeness_state": f"WITH RECURSIVE {_FOLD} SELECT * FROM state",
+    "next_fetch": f"{_DUE} SELECT domain, next_fetch AS next_fetch_ns FROM due",
+    "frontier_pop": f"{_DUE} SELECT domain, next_fetch FROM due WHERE next_fetch <= {NOW_NS} ORDER BY next_fetch, domain LIMIT 20",
+    "frontier_push": f"WITH {_LOG} SELECT domain, min(ts_ns) - 1000 AS next_fetch FROM log GROUP BY 1",
+    "can_fetch": f"""WITH RECURSIVE {_FOLD}, t AS (SELECT *, {NOW_NS - 2 * 86_400 * 10**9} AS now FROM state)
+SELECT domain, NOT coalesce(backoff_until_ns > now, false) AS ok,
+  CASE WHEN backoff_until_ns > now THEN backoff_until_ns - now ELSE greatest(coalesce(last_fetch_ns + crawl_delay_ns - now, 0), 0) END AS wait FROM t""",
+    "error_runs": f"""WITH {_LOG}, i AS (SELECT *, coalesce(sum(CASE WHEN outcome = 'ok' THEN 1 ELSE 0 END) OVER (PARTITION BY domain ORDER BY ts_ns, event_id), 0)::BIGINT AS run FROM log)
+SELECT domain, run, count(*) AS n FROM i WHERE outcome = 'error' GROUP BY 1, 2""",
+    "retry_after": "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN CASE WHEN event_id > 2000 THEN least(event_id - 2000, 3600) ELSE 0 END WHEN event_id % 3 = 1 THEN 90 ELSE 0 END::BIGINT AS wait FROM events",
+    "classify_error": "SELECT CASE WHEN event_id % 7 = 0 THEN 'timeout' ELSE ['dns_nxdomain', 'tls_error', 'tls_cert', 'eof', 'conn_reset', 'other'][event_id % 6 + 1] END AS cause, count(*) AS n FROM events GROUP BY 1",
+    "short_content_type": "SELECT ['text/html', 'application/xhtml+xml', 'unknown', 'unknown'][event_id % 4 + 1] AS type, count(*) AS n FROM events GROUP BY 1",
+    "alert_error_rate": f"""WITH {_LOG}, d AS (SELECT date_trunc('day', ts) AS start, count(*) AS pages, count(*) FILTER (outcome = 'error') AS errors FROM log GROUP BY 1),
+r AS (SELECT start, errors::DOUBLE / pages AS ratio, errors::DOUBLE / pages > 0.2 AS high FROM d)
+SELECT strftime(start, '%Y-%m-%d') AS day, ratio, high, high AND coalesce(lag(high) OVER (ORDER BY start), false) AS firing FROM r""",
+    "alert_stalled": f"""WITH {_LOG}, h AS (SELECT date_trunc('hour', ts) AS start, count(*) AS n FROM log WHERE domain = 'd1.example' GROUP BY 1),
+t AS (SELECT unnest(generate_series(min(start), max(start), INTERVAL 1 HOUR)) AS start FROM h),
+s AS (SELECT t.start, n IS NULL AS stalled FROM t LEFT JOIN h USING (start)),
+f AS (SELECT min(stalled::INT) OVER w = 1 AND count(*) OVER w = 6 AS firing FROM s WINDOW w AS (ORDER BY start ROWS BETWEEN 5 PRECEDING AND CURRENT ROW))
+SELECT firing, count(*) AS n FROM f GROUP BY 1""",
+    "latency_p95": f"""WITH {_LOG}, b AS ({_buckets(metrics.DURATION, "SELECT outcome, latency_ns / 1e9 AS seconds FROM log", "seconds", "outcome,")}),
+s AS (SELECT *, coalesce(lag(n) OVER w, 0) AS below, coalesce(lag(le) OVER w, 0) AS lo, max(n) OVER (PARTITION BY outcome) AS every FROM b WINDOW w AS (PARTITION BY outcome ORDER BY le))
+SELECT outcome, CASE WHEN isinf(le) THEN lo ELSE lo + (le - lo) * (0.95 * every - below) / (n - below) END AS value FROM s WHERE n >= 0.95 * every AND below < 0.95 * every""",
+    "counter_increase": """WITH s AS (SELECT user_id, ts, (event_id % 500)::DOUBLE AS v, lag((event_id % 500)::DOUBLE) OVER (PARTITION BY user_id ORDER BY ts) AS b FROM events WHERE user_id <= 20)
+SELECT user_id, strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, sum(CASE WHEN b IS NULL THEN 0 WHEN v < b THEN v ELSE v - b END) AS increase FROM s GROUP BY ALL""",
+    "cache_hit_ratio": """SELECT user_id, h::DOUBLE / (h + m) AS ratio FROM (SELECT user_id, count(*) FILTER (event_type = 'view') AS h, count(*) FILTER (event_type = 'click') AS m FROM events GROUP BY 1)
+WHERE h + m > 0 AND h::DOUBLE / (h + m) < 0.5""",
+    "last_gauge": "SELECT * FROM (SELECT user_id, arg_max(value, event_id) AS value FROM events GROUP BY 1) WHERE value > 100",
+    "outcome_counters": f"WITH {_LOG} SELECT domain, outcome, count(*) AS n FROM log GROUP BY 1, 2",
+}
