@@ -185,8 +185,7 @@ def judge(docs: DataFrame, rules: Sequence[Rule] | None = None, sample_rows: int
     rules = standard_rules() if rules is None else list(rules)
     measured = base(docs)
     # a few tasks read the rows; a limit within the plan would sort out so many rows from each of all tasks
-    some = docs.select("text").limit(sample_rows).collect()
-    sample = base(docs.sparkSession.createDataFrame(some, "text string")).cache()
+    sample = base(docs.sparkSession.createDataFrame(docs.limit(sample_rows).collect(), docs.schema)).cache()
     ordered = order(estimate(sample, rules))
     sample.unpersist()
     return measured.withColumn("kept", ~F.col("base_failed") & cascade(ordered))
