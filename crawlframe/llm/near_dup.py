@@ -10,8 +10,8 @@
    that the text of which a group's members are variants is before the
    variants, which may be linked with it alone. Only buckets that still hold
    more than one component go on, first with other hubs, and last with every
-   pair across components that can be linked by the sizes of the sets and of
-   what each shares with any other text there; no such link is lost.
+   pair across components that the sizes of the sets and their rare shingles
+   let be linked; no link is lost there.
 4. A candidate's signatures are compared in batches. After each batch the pair
    goes if P(similarity >= s | matches so far) is under MISS (uniform prior).
    Survivors are verified on their full shingle sets, made again from the text.
@@ -46,6 +46,8 @@ BATCH = 16
 MISS = 1e-6
 #: Rounds with hubs before the pairs across components are listed.
 HUB_ROUNDS = 2
+#: Texts that may share a rare shingle, and texts in an arena where only unshared shingles are rare.
+RARE, SMALL = 32, 64
 #: Words whose hash a worker remembers.
 MEMORY = 300_000
 
@@ -169,8 +171,8 @@ def _texts(docs: DataFrame, classes: DataFrame, k: int) -> DataFrame:
     return chosen.select("id", "text", "digest").mapInArrow(run, "id bigint, text binary").dropDuplicates(["id"])
 
 
-def _shared_sizes(texts: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """Rows (id, own): the shingles that a text shares with no other text of ids. An id without any has no row."""
+def _exploded(texts: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """Rows (id, shingle) of the texts of ids."""
 
     def run(batches):
         for batch in batches:
@@ -183,9 +185,53 @@ def _shared_sizes(texts: DataFrame, ids: DataFrame, k: int) -> DataFrame:
                 names=["id", "shingle"],
             )
 
-    each = texts.join(ids, "id", "left_semi").select("id", "text").mapInArrow(run, "id bigint, shingle bigint")
-    once = each.groupBy("shingle").agg(F.count("*").alias("c"), F.min("id").alias("id")).where("c = 1")
-    return once.groupBy("id").agg(F.count("*").alias("own"))
+    return texts.join(ids, "id", "left_semi").select("id", "text").mapInArrow(run, "id bigint, shingle bigint")
+
+
+def _across(live: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """All pairs (a, b, n, m) of live (band, id, n, label) in one bucket and two components that the sizes of sets let be linked.
+
+    Buckets belong to the arena of their most frequent component. A shingle is
+    rare in an arena if few of its texts (RARE of them; in a small arena: one)
+    hold it. What two texts have in common is bounded by the smaller number of
+    their other shingles, and by the rare ones that they share, which an index
+    of rare shingles lists: at most RARE rows for each. So the many variants of
+    one text, which share a bucket and are too far apart to be linked, aren't
+    paired, and no pair that can be linked is missed.
+    """
+    main = live.groupBy("band", "label").count().groupBy("band").agg(F.max_by("label", F.struct("count", "label")).alias("arena"))
+    live = materialise(live.join(main, "band").select("band", "arena", "id", "n", "label"), "live")
+    members = live.select("arena", "id", "n", "label").distinct()
+    sized = members.join(members.groupBy("arena").agg(F.count("*").alias("members")), "arena")
+    placed = materialise(_exploded(texts, live.select("id").distinct(), k).join(sized, "id"), "placed")
+    limit = F.when(F.col("members") > SMALL, RARE).otherwise(1)
+    rare = placed.groupBy("arena", "shingle").agg(F.count("*").alias("c"), F.max("members").alias("members")).where(F.col("c") <= limit)
+    low = placed.join(rare.select("arena", "shingle", "c"), ["arena", "shingle"]).select("arena", "shingle", "id", "n", "label", "c")
+    low = materialise(low, "rare")
+    other = F.col("n") - F.coalesce("own", F.lit(0))
+    own = low.groupBy("arena", "id").agg(F.count("*").alias("own"))
+    every = live.groupBy("id").agg(F.collect_set("band").alias("bands"))  # BANDS at most
+    rows = materialise(live.join(own, ["arena", "id"], "left").withColumn("e", other).join(every, "id"), "live")
+
+    def side(table: DataFrame, *keys: str, **more: str) -> DataFrame:
+        named = {"id": "a", "n": "m", "label": "la", "e": "f"} | more
+        return table.select(*keys, *(F.col(c).alias(to) for c, to in named.items()))
+
+    can = lambda both: (100 + percent) * both >= percent * (F.col("n") + F.col("m"))
+    by_band = (
+        rows.join(side(rows.where("label <> arena"), "band", bands="la_bands"), "band")
+        .where((F.col("label") != F.col("la")) & can(F.least("e", "f")))
+        .where(F.array_min(F.array_intersect("bands", "la_bands")) == F.col("band"))  # in one of the buckets that they share
+        .select("a", F.col("id").alias("b"), "n", "m")
+    )
+    indexed = low.where("c > 1").join(own, ["arena", "id"]).withColumn("e", other).drop("own", "c")
+    by_index = (
+        indexed.join(side(indexed, "arena", "shingle"), ["arena", "shingle"]).where("id < a AND label <> la")
+        .groupBy("arena", "a", "id").agg(F.count("*").alias("common"), *(F.max(c).alias(c) for c in ("n", "m", "e", "f")))
+        .where(can(F.col("common") + F.least("e", "f")))
+        .select("a", F.col("id").alias("b"), "n", "m")
+    )
+    return by_band.unionByName(by_index)
 
 
 def _verify(pairs: DataFrame, sigs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -304,16 +350,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
             )
             found = check(against(hubs, live))
         else:
-            sizes = live.groupBy("band", "label").count()
-            main = sizes.groupBy("band").agg(F.max_by("label", F.struct("count", "label")).alias("main"))
-            own = _shared_sizes(texts, live.select("id").distinct(), k)
-            live = materialise(live.join(own, "id", "left").withColumn("e", F.col("n") - F.coalesce("own", F.lit(0))), "live")
-            minor = live.join(main, "band").where("label <> main").select(
-                "band", F.col("id").alias("hub"), F.col("n").alias("m"), F.col("label").alias("hub_label"), F.col("e").alias("f")
-            )
-            # what two sets have in common is in neither one's own part
-            near = (100 + percent) * F.least("e", "f") >= percent * (F.col("n") + F.col("m"))
-            found = check(against(minor, live).where(near))
+            found = check(_across(live, texts, k, percent))
         if not found.isEmpty():
             links.append(found)
             labels = components(reduce(DataFrame.unionByName, links))
