@@ -20,8 +20,10 @@ each counted; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import gc
 import math
 from collections.abc import Iterable
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,8 +35,8 @@ MARK = "▁"
 #: Log-probability of one UTF-8 byte that no piece covers: under any piece.
 BYTE = -20.0
 #: Counts that a worker remembers, and pre-tokens in one trie.
-MEMORY = 400_000
-TRIE_WORDS = 20_000
+MEMORY = 1_000_000
+TRIE_WORDS = 50_000
 
 
 def zipf_scores(pieces: Iterable[str]) -> dict[str, float]:
@@ -124,20 +126,26 @@ class Trie:
 
 
 class Counter:
-    """Counts of pre-tokens, remembered up to a bound."""
+    """Counts of pre-tokens. The memory has a young and an old half: what is used moves to the young one."""
 
-    def __init__(self, scores: dict[str, float]):
+    def __init__(self, scores: dict[str, float], memory: int = MEMORY):
         self.vocabulary = Vocabulary(scores)
-        self.memory: dict[str, tuple[int, int]] = {}
+        self.half = memory // 2
+        self.young: dict[str, tuple[int, int]] = {}
+        self.old: dict[str, tuple[int, int]] = {}
 
     def learn(self, wanted: set[str]) -> None:
-        if len(self.memory) + len(wanted) > MEMORY:
-            self.memory = {}
-        new = sorted(wanted.difference(self.memory))
+        """Have all of wanted in the young half."""
+        if len(self.young) > self.half:
+            self.young, self.old = {}, self.young
+        missing = wanted.difference(self.young)
+        again = {w: self.old[w] for w in missing if w in self.old}
+        self.young.update(again)
+        new = sorted(missing.difference(again))
         for at in range(0, len(new), TRIE_WORDS):
             trie = Trie(self.vocabulary)
             for word in new[at : at + TRIE_WORDS]:
-                self.memory[word] = trie.insert(MARK + word)
+                self.young[word] = trie.insert(MARK + word)
 
 
 _counters: dict[str, Counter] = {}
@@ -145,16 +153,18 @@ _counters: dict[str, Counter] = {}
 
 def count(docs: DataFrame, model: str) -> DataFrame:
     """Rows (doc_id, n_words, n_tokens, n_byte_tokens), one for each of docs."""
-    arrow_batches(docs.sparkSession, 500)
+    arrow_batches(docs.sparkSession)
 
     def run(batches):
         if model not in _counters:
             _counters[model] = Counter(zipf_scores(load_pieces(model)))
         counter = _counters[model]
         for batch in batches:
+            gc.disable()  # many tuples and no cycles
             split = [[w.decode() for w in (t.as_py() or b"").split()] for t in batch.column(1)]
-            counter.learn({w for words in split for w in words})
-            of = counter.memory.__getitem__
+            counter.learn(set(chain.from_iterable(split)))
+            gc.enable()
+            of = counter.young.__getitem__
             sums = [(len(words), *map(sum, zip(*map(of, words), strict=True))) if words else (0, 0, 0) for words in split]
             columns = list(zip(*sums, strict=True)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays(
