@@ -44,8 +44,8 @@ BANDS, ROWS = 32, 5
 BATCH = 16
 #: Chance to drop a pair that should be linked, at each look.
 MISS = 1e-6
-#: Rounds with hubs before the pairs across components are listed.
-HUB_ROUNDS = 2
+#: Rounds with hubs (the first by weight, further ones at random) before the pairs across components are listed.
+HUB_ROUNDS = 1
 #: Texts that may share a rare shingle, and texts in an arena where only unshared shingles are rare.
 RARE, SMALL = 32, 64
 #: Words whose hash a worker remembers.
