@@ -49,7 +49,7 @@ HUB_ROUNDS = 1
 #: Texts that may share a rare shingle, and texts in an arena where only unshared shingles are rare.
 RARE, SMALL = 32, 64
 #: Words whose hash a worker remembers.
-MEMORY = 300_000
+MEMORY = 200_000
 
 _rng = np.random.Generator(np.random.PCG64(20_240_229))
 _MUL = _rng.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
@@ -75,6 +75,12 @@ def shingles(text: bytes | None, k: int) -> np.ndarray:
     return np.unique(mixed)
 
 
+def _forgetting(batches):
+    """batches; the words' hashes go with the task, as a worker serves other operators too."""
+    yield from batches
+    _words.clear()
+
+
 def signature(found: np.ndarray) -> np.ndarray:
     low = (found >> np.uint64(32)).astype(np.uint32)
     least = np.full(BANDS * ROWS, np.iinfo(np.uint32).max, np.uint32)
@@ -119,7 +125,7 @@ def _sign(docs: DataFrame, k: int) -> DataFrame:
     arrow_batches(docs.sparkSession)
 
     def run(batches):
-        for batch in batches:
+        for batch in _forgetting(batches):
             out: list[list] = [[], [], []]
             for text in batch.column(1):
                 found = shingles(text.as_py(), k)
@@ -158,7 +164,7 @@ def _texts(docs: DataFrame, classes: DataFrame, k: int) -> DataFrame:
     """Rows (id, text) of the classes (digest, id, doc_id). A doc_id may repeat with other texts, so the digest decides."""
 
     def run(batches):
-        for batch in batches:
+        for batch in _forgetting(batches):
             same = []
             for text, digest in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
                 found = shingles(text.as_py(), k)
@@ -175,7 +181,7 @@ def _exploded(texts: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     """Rows (id, shingle) of the texts of ids."""
 
     def run(batches):
-        for batch in batches:
+        for batch in _forgetting(batches):
             sets = [shingles(t.as_py(), k) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -253,7 +259,7 @@ def _verify(pairs: DataFrame, sigs: DataFrame, texts: DataFrame, k: int, percent
 
     def confirm(batches):
         last: tuple = (None, None)
-        for batch in batches:
+        for batch in _forgetting(batches):
             linked = []
             for a, s, t in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3), strict=True):
                 if last[0] != a:

@@ -40,7 +40,7 @@ from crawlframe.llm.common import arrow_batches, materialise
 SIZE = 2048
 END_ID = 0
 #: Chunks of text whose ids a worker remembers.
-CACHE = 800_000
+CACHE = 500_000
 #: Rows in a rank's sort.
 RANK_ROWS = 50_000
 #: Rows of a plan that may be broadcast (about 10 MB); a larger one is joined by shuffle.
