@@ -1,0 +1,455 @@
+"""The corpus operators against brute force, with nulls, empty and long texts, ties, repeats, empty tables and odd columns."""
+
+import collections
+import itertools
+import math
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from crawlframe.llm import chat, common, decontaminate, hmm, kneser_ney, license_scan, near_dup, pack, pii, quality, token_count
+from crawlframe.llm.queries import tokenizer_path
+
+WORDS = "the of and to in a is that for it as was with be by on not he his but at are this have from or had an they which".split()
+
+
+def text(rng, n, words=WORDS):
+    return " ".join(rng.choice(words) for _ in range(n))
+
+
+def documents(spark, texts, ids=None):
+    rows = [(k if ids is None else ids[k], t, "en", "s", len(t or "")) for k, t in enumerate(texts)]
+    return spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+
+
+def odd(spark):
+    """Null, empty, blank and long texts, a repeated row, a null id, and clashing columns."""
+    long = text(random.Random(5), 30_000)
+    texts = [None, "", " \t\n ", "one", "one two", long, "x y z", "x y z", "ß É Ünï 中文"]
+    ids = [0, 1, 2, 3, 4, 5, 6, 6, None]
+    return documents(spark, texts, ids).withColumns({"n": F.lit(1), "size": F.lit(2), "label": F.lit(3), "kept": F.lit(True), "n_words": F.lit(-1)})
+
+
+# 1 quality
+
+
+def test_quality_order_and_cascade(spark):
+    rules = [quality.Rule("a", F.col("x") > 5), quality.Rule("b", F.col("x") < 2), quality.Rule("c", F.lit(None).cast("boolean"))]
+    ranked = quality.order([quality.Estimate(rules[0], 0.1, 1.0), quality.Estimate(rules[1], 0.5, 1.0), quality.Estimate(rules[2], 0.0, 1.0)])
+    assert [r.name for r in ranked] == ["b", "a", "c"]
+    df = spark.range(10).withColumnRenamed("id", "x")
+    for order in itertools.permutations(rules):
+        assert [r[0] for r in df.where(quality.cascade(order)).collect()] == [2, 3, 4, 5]
+
+
+def test_quality_odd(spark):
+    got = quality.judge(odd(spark)).collect()
+    assert len(got) == 9
+    by = {r["doc_id"]: r for r in got}
+    assert by[0]["n_words"] == 0 and by[0]["base_failed"] and not by[0]["kept"]
+    assert by[5]["n_words"] == 30_000 and by[5]["n_repeat_words"] > 20_000
+    assert quality.judge(odd(spark).limit(0)).count() == 0
+    assert quality.keep_good(odd(spark)).columns == odd(spark).columns
+
+
+# 2 chat
+
+
+def test_chat_prefix_and_spans(spark):
+    rows = [
+        (0, 0, "user", "hi"), (0, 1, "assistant", "yes <|end|>"), (1, 0, "user", "hi"), (1, 1, "assistant", "no"), (1, 2, "user", None),
+        (2, 0, None, "q"), (3, 0, "user", "q"), (4, 0, "user", "alone"), (0, 0, "user", "hi"), (None, 0, "user", "lost"),
+    ]
+    turns = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").withColumn("pair_id", F.lit("clash"))
+    got = {r["pair_id"]: r for r in chat.preference(turns, F.floor(F.col("conv_id") / 2).cast("bigint"), F.col("conv_id") % 2 == 0).collect()}
+    a = got[0]
+    assert a["n_prompt_turns"] == 1 and a["prompt"] == "<|user|>\nhi<|end|>\n" and a["usable"]
+    start, end = map(int, a["chosen_spans"].split("-"))
+    assert a["chosen"][start:end] == "yes < |end|><|end|>"
+    assert got[1]["n_prompt_turns"] == 1 and got[1]["chosen"] == "" == got[1]["rejected"] and not got[1]["usable"]
+    assert got[2]["n_prompt_turns"] == 0 and got[2]["rejected"] == "" and set(got) == {0, 1, 2}
+    assert chat.preference(turns.limit(0), F.col("conv_id"), F.lit(True)).count() == 0
+
+
+# 3 packing
+
+
+def test_plan_is_sound_and_near_the_bound():
+    rng = random.Random(1)
+    for _ in range(150):
+        size = rng.choice([10, 20, 50, 100])
+        counts = collections.Counter(rng.randint(1, size) for _ in range(rng.randint(0, 200)))
+        sequences, seen = collections.defaultdict(list), collections.Counter()
+        for length, lo, hi, each, first, at in pack.plan(counts, size):
+            for r in range(lo, hi):
+                sequences[first + (r - lo) // each].append((at + (r - lo) % each * length, length))
+                seen[length] += 1
+        assert seen == counts
+        for placed in sequences.values():
+            end = 0
+            for offset, length in sorted(placed):
+                assert offset == end
+                end += length
+            assert end <= size
+        plain = []  # first fit decreasing
+        for length in sorted(counts.elements(), reverse=True):
+            k = next((k for k, room in enumerate(plain) if room >= length), None)
+            if k is None:
+                plain.append(size - length)
+            else:
+                plain[k] -= length
+        assert len(sequences) <= len(plain) + 1
+
+
+def test_reduction_keeps_the_optimum():
+    def best(items, size):
+        items = sorted(items, reverse=True)
+        for n in range(1, len(items) + 1):
+            rooms = [size] * n
+
+            def fits(k, rooms=rooms):
+                if k == len(items):
+                    return True
+                for j in range(len(rooms)):
+                    if rooms[j] >= items[k] and rooms.index(rooms[j]) == j:
+                        rooms[j] -= items[k]
+                        if fits(k + 1):
+                            return True
+                        rooms[j] += items[k]
+                return False
+
+            if fits(0):
+                return n
+        return 0
+
+    rng = random.Random(2)
+    for _ in range(120):
+        size = rng.randint(6, 20)
+        items = [rng.randint(1, size) for _ in range(rng.randint(1, 8))]
+        free = [0] * (size + 1)
+        for x in items:
+            free[x] += 1
+        fixed = pack.reduce(free, size)
+        rest = [x for x, n in enumerate(free) for _ in range(n)]
+        assert sum(n for _, n in fixed) + best(rest, size) == best(items, size)
+
+
+def test_pack_round_trip(spark):
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path()
+    plain = Tokenizer.from_file(path)
+    rng = random.Random(4)
+    texts = [text(rng, n) for n in (0, 1, 50, 700, 5000)] + [None, "a~b ~ it's <|endoftext|> O'x 'S İß\x1c!b é 中文  x,y. z%%%"] * 2
+    docs = documents(spark, texts).withColumn("length", F.lit("clash"))
+    got = pack.pack(docs, path, 64).collect()
+    ids = {k: [*plain.encode(t or "", add_special_tokens=False).ids, 0] for k, t in enumerate(texts)}
+    by, sequences = collections.defaultdict(list), collections.defaultdict(list)
+    for r in got:
+        by[r["doc_id"]].append(r)
+        sequences[r["sequence_id"]].append((r["offset"], r["length"]))
+    for k, want in ids.items():
+        parts = sorted(by[k], key=lambda r: r["piece"])
+        assert [r["piece"] for r in parts] == list(range(math.ceil(len(want) / 64)))
+        for r in parts:
+            own = want[r["start"] : r["start"] + r["length"]]
+            assert r["start"] == 64 * r["piece"] and len(own) == r["length"]
+            assert r["ids_crc32"] == zlib.crc32(np.array(own, "<u4").tobytes())
+    for placed in sequences.values():
+        ends = [0, *itertools.accumulate(n for _, n in sorted(placed))]
+        assert [o for o, _ in sorted(placed)] == ends[:-1] and ends[-1] <= 64
+    assert pack.pack(docs.limit(0), path).count() == 0
+    assert pack.pack(odd(spark), path).select("doc_id").distinct().count() == 8
+
+
+# 4 token counts
+
+
+def test_trie_equals_plain_dynamic_programming(spark):
+    scores = token_count.zipf_scores(["▁a", "▁", "a", "b", "ab", "▁ab", "aba", "bb", "é"])
+    counter = token_count.Counter(scores)
+
+    def plain(word):
+        best = [(0.0, 0, 0)]
+        for end in range(1, len(word) + 1):
+            width = len(word[end - 1].encode())
+            s, t, b = best[end - 1]
+            here = (s + token_count.BYTE * width, t + width, b + width)
+            for start in range(end):
+                if word[start:end] in scores:
+                    v = best[start][0] + scores[word[start:end]]
+                    if v > here[0] or (v == here[0] and best[start][1] + 1 < here[1]):
+                        here = (v, best[start][1] + 1, best[start][2])
+            best.append(here)
+        return best[-1]
+
+    words = {"".join(p) for n in range(1, 6) for p in itertools.product("abé中", repeat=n)}
+    counter.learn(words)
+    for w in words:
+        score, *_ = plain("▁" + w)
+        assert math.isclose(score, plain("▁" + w)[0]) and counter.young[w] == plain("▁" + w)[1:]
+    got = token_count.count(odd(spark), tokenizer_path("piece_bpe_32k.model")).collect()
+    assert len(got) == 9 and {r["doc_id"]: r["n_tokens"] for r in got}[0] == 0
+
+
+# 5 personal data
+
+
+def test_permutation_is_one():
+    for size in (2, 7, 100, 1000):
+        assert sorted(pii.permute(x, size, b"k", "l") for x in range(size)) == list(range(size))
+
+
+def test_surrogates(spark):
+    t = (
+        "Mail Anna.B7@Mail.example.com or anna.b7@mail.example.com, call +1 (017) 555-7713 or +1 017 555 7713, host 10.0.0.1, "
+        "card 4111 1111 1111 1111 and 4111111111111111, not 4111111111111112, token = \"a1b2c3d4e5\" by Maria Smith, with Иван Петров."
+    )
+    new, done = pii.pseudonymise(t, b"key")
+    by = collections.defaultdict(list)
+    for kind, entity, surrogate in done:
+        assert entity not in new and entity != surrogate
+        by[kind].append((entity, surrogate))
+    assert {k: len(v) for k, v in by.items()} == {"email": 2, "phone": 2, "ipv4": 1, "card": 2, "secret": 1, "person": 2}
+    assert by["email"][0][1].lower() == by["email"][1][1] and by["email"][0][1][0].isupper()
+    digits = lambda s: re.sub(r"\D", "", s)
+    assert digits(by["phone"][0][1]) == digits(by["phone"][1][1]) and by["phone"][0][1].startswith("+1 (")
+    assert digits(by["card"][0][1]) == by["card"][1][1] and int(by["card"][1][1][-1]) == pii.luhn(by["card"][1][1][:-1])
+    assert "4111111111111112" in new
+    assert by["person"][0][1].split()[0] in pii.FIRST_NAMES["f", "latin"] and by["person"][1][1].split()[0] in pii.FIRST_NAMES["m", "cyrillic"]
+    assert pii.pseudonymise(t, b"other")[0] != new and pii.pseudonymise("A clean text, 12 of 2024.", b"key")[1] == []
+    docs = odd(spark).unionByName(odd(spark).limit(1).withColumns({"doc_id": F.lit(99).cast("bigint"), "text": F.lit(t)}))
+    got = pii.replace(docs, b"key")
+    rows = {r["doc_id"]: r for r in got.collect()}
+    assert rows[99]["text"] == new and rows[99]["n_chars"] == len(new) and rows[0]["text"] is None and rows[6]["text"] == "x y z"
+    assert pii.collisions(got).count() == 0 and pii.replace(docs.limit(0), b"key").count() == 0
+
+
+def test_many_surrogates_stay_distinct():
+    for make in (lambda k: (f"user{k}@mail.example.com", "email"), lambda k: (f"10.0.{k % 250}.{k // 250}", "ipv4"), lambda k: (f"+1 555 010 {k:04d}", "phone")):
+        found = [make(k) for k in range(3000)]
+        assert len({pii.surrogate(*f, b"key") for f in found}) == 3000
+
+
+# 6 Kneser-Ney
+
+
+def test_kneser_ney(spark):
+    rng = random.Random(6)
+    good = [text(rng, 80) for _ in range(120)]
+    junk = [" ".join(f"{rng.choice('qxzj')}{rng.randint(0, 10**6)}#" for _ in range(80)) for _ in range(20)]
+    docs = documents(spark, [*good, *junk, None, ""])
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(110)] + [(119, 1, 1), (None, 1, 0)], "doc_id bigint, quality int, toxic int")
+    model = kneser_ney.fit(docs.where("doc_id < 50").select("text"))
+    for context in (["the", "of"], ["the", "zzz"], ["zzz"], []):
+        known = [w for w in model.vocabulary if w not in (b"", b"\n")]
+        last = lambda w: model.probabilities([*(c.encode() for c in context), w])[len(context)]  # noqa: B023, E731
+        end = model.probabilities([c.encode() for c in context])[-1]
+        assert math.isclose(sum(last(w) for w in known) + last(b"never seen") + end, 1, rel_tol=1e-9)
+    kept = {r["doc_id"]: r["kept"] for r in kneser_ney.classify(docs, labels).collect()}
+    assert all(kept[k] for k in range(120)) and not any(kept[k] for k in range(120, 142))
+    assert kneser_ney.classify(odd(spark), labels.limit(0)).where("kept").count() == 6
+    assert kneser_ney.classify(docs.limit(0), labels).count() == 0
+
+
+# 7 hidden Markov model
+
+
+def test_forward_and_expectations_against_all_paths():
+    rng = np.random.default_rng(0)
+    states, symbols = 3, 7
+    model = hmm.Model.first(np.arange(1, symbols + 1.0), states)
+    model.move = rng.dirichlet(np.ones(states), states)
+    texts = [rng.integers(0, symbols, n).astype(np.int32) for n in (5, 1, 6, 3, 6)]
+    start, move, emit = np.zeros(states), np.zeros((states, states)), np.zeros((symbols, states))
+    total = []
+    for c in texts:
+        paths = list(itertools.product(range(states), repeat=len(c)))
+        weight = [
+            model.start[p[0]] * np.prod([model.emit[x, s] for x, s in zip(c, p, strict=True)]) * np.prod([model.move[a, b] for a, b in itertools.pairwise(p)])
+            for p in paths
+        ]
+        total.append(math.log(sum(weight)))
+        for p, w in zip(paths, np.array(weight) / sum(weight), strict=True):
+            start[p[0]] += w
+            for a, b in itertools.pairwise(p):
+                move[a, b] += w
+            for x, s in zip(c, p, strict=True):
+                emit[x, s] += w
+    assert np.allclose(hmm.forward(model, texts), total)
+    into = np.zeros_like(start), np.zeros_like(move), np.zeros_like(emit)
+    assert math.isclose(hmm.expect(model, texts, into), sum(total))
+    for got, want in zip(into, (start, move, emit), strict=True):
+        assert np.allclose(got, want)
+
+
+def test_scores(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    got = hmm.score(df).toPandas()
+    rows = dict(df.select("doc_id", "text").collect())
+    words = lambda t: [*re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")), "\n"]
+    counts = collections.Counter(w for k, t in rows.items() if zlib.crc32(str(k).encode()) % 7 != 2 for w in words(t))
+    n, v = sum(counts.values()), len(counts)
+    for r in got.itertuples():
+        own = words(rows[r.doc_id])
+        assert math.isclose(r.base_score, sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in own), rel_tol=1e-9)
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(own), sum(w in counts for w in own), n)
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 7 == 2)
+    held = got[got.held_out]
+    assert held.score.sum() > held.base_score.sum()
+    assert hmm.score(odd(spark)).count() == 9 and hmm.score(odd(spark).limit(0)).count() == 0
+
+
+# 8 licences
+
+
+def test_license_scan_against_all_windows(spark):
+    own = license_scan.Templates.of(license_scan.TEMPLATES)
+    assert own.guarantee() > 0.999
+    rng = random.Random(8)
+    texts = []
+    for k in range(80):
+        words = text(rng, rng.randint(0, 200)).split()
+        if k % 2:
+            at = rng.randint(0, len(words))
+            words[at:at] = license_scan.TEMPLATES[k // 2 % len(license_scan.TEMPLATES)][1].split()
+        texts.append(" ".join(words))
+    got = {r["doc_id"]: r for r in license_scan.scan(documents(spark, texts)).collect()}
+    for k in range(80):
+        found = license_scan.shingles(texts[k].encode())
+        best = max((len(np.intersect1d(s, found)) / len(s) for s in own.sets), default=0)
+        assert (best >= 1) == (k % 2 == 1)
+        assert got[k]["licenses"] == (license_scan.TEMPLATES[k // 2 % len(license_scan.TEMPLATES)][0] if k % 2 else "")
+    assert license_scan.scan(odd(spark)).where("licenses <> ''").count() == 0
+    with pytest.raises(ValueError, match="fewer"):
+        license_scan.Templates.of([("x", "word")])
+
+
+# 9 near-duplicates
+
+
+def brute_components(texts, k, percent):
+    def grams(t):
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set()
+
+    sets = [grams(t) for t in texts]
+    label = list(range(len(texts)))
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
+            a, b = sorted((label[i], label[j]))
+            label = [a if x == b else x for x in label]
+    return label, [len(s) for s in sets]
+
+
+@pytest.mark.parametrize("k", [2, 5])
+def test_near_duplicates_against_all_pairs(spark, k, monkeypatch):
+    monkeypatch.setattr(near_dup, "RARE", 3)
+    monkeypatch.setattr(near_dup, "SMALL", 8)
+    rng = random.Random(9)
+    many = [f"w{n}" for n in range(3000)]
+    base = text(rng, 120, many).split()
+    texts = [None, "", "A b", "a B", "a", "a"]
+    for n in range(90):  # variants of one text at all distances around the limit
+        words = list(base)
+        for at in rng.sample(range(120), rng.choice([1, 2, 3, 4, 5, 6, 8, 10, 14])):
+            words[at] = rng.choice(many[:40]) if n % 2 else f"v{n}-{at}"
+        texts.append(" ".join(words))
+    texts += [text(rng, 120, many) for _ in range(10)] + [" ".join(base)] * 5
+    docs = documents(spark, texts).withColumn("band", F.lit(1)).withColumn("digest", F.lit("x"))
+    want, sizes = brute_components(texts, k, 80)
+    got = {r["doc_id"]: r for r in near_dup.near_duplicates(docs, k, 80).collect()}
+    assert [got[n]["component_id"] for n in range(len(texts))] == want
+    assert [got[n]["n_shingles"] for n in range(len(texts))] == sizes
+    assert all(r["kept"] == (r["component_id"] == n) for n, r in got.items())
+
+
+def test_near_duplicates_odd(spark):
+    got = near_dup.near_duplicates(odd(spark), 2).collect()
+    assert len(got) == 9 and [tuple(r)[1:] for r in got if r["doc_id"] is None] == [(3, None, True)]  # four words
+    kept = near_dup.drop_near_duplicates(odd(spark), 2)
+    assert kept.columns == odd(spark).columns and kept.count() == 8
+    assert near_dup.near_duplicates(odd(spark).limit(0)).count() == 0
+
+
+def test_components_of_long_chains(spark):
+    links = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101)], "a bigint, b bigint")
+    got = {r["id"]: r["label"] for r in near_dup.components(links).collect()}
+    assert got == {k: 0 for k in range(41)} | {100: 100, 101: 100}
+
+
+# 10 decontamination
+
+
+def test_decontamination_against_brute_force(spark):
+    rng = random.Random(10)
+    few = [f"t{n}" for n in range(6)]
+    items = [(n, text(rng, rng.choice([1, 2, 5, 13, 14, 30]), few)) for n in range(12)] + [(50, None), (51, "..."), (None, text(rng, 15, few))]
+    items = [(n, t) for n, t in items if t is None or len(t.split()) != 1 or n == 0]
+    texts = [text(rng, rng.randint(0, 120), few) for _ in range(60)] + [None, "", "!!", "Q " + " ".join(t for n, t in items[3:5])]
+    window = 4
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    docs = documents(spark, texts).withColumn("item_id", F.lit(7)).withColumn("n_hit", F.lit(7))
+    bench = spark.createDataFrame(items, "item_id bigint, text string").withColumn("doc_id", F.lit(1))
+    for most in (decontaminate.BLOCK_WORDS, 20):
+        marked = {r["doc_id"]: r for r in decontaminate.mark(docs, bench, window, most).collect()}
+        for k, t in enumerate(texts):
+            own, hit, found = words(t), set(), set()
+            for name, item in items:
+                target = words(item)
+                size = min(window, len(target))
+                for a in range(len(target) - size + 1 if target else 0):
+                    for b in range(len(own) - size + 1):
+                        if own[b : b + size] == target[a : a + size]:
+                            hit |= set(range(b, b + size))
+                            found.add("" if name is None else str(name))
+            r = marked[k]
+            assert (r["__dc_n_words"], r["__dc_n_hit"], r["__dc_items"]) == (len(own), len(hit), sorted(found))
+            spans = [x for a, b in zip(r["__dc_spans"][::2], r["__dc_spans"][1::2], strict=True) for x in range(a, b)]
+            assert spans == sorted(hit)
+
+
+def test_removal(spark):
+    item = " ".join(f"q{n}" for n in range(20))
+    clean = text(random.Random(1), 60)
+    docs = documents(spark, [f"{clean}, «{item}» {clean}", clean, item, None, ""])
+    bench = spark.createDataFrame([(1, item)], "item_id bigint, text string")
+    got = {r["doc_id"]: r for r in decontaminate.remove(docs, bench).collect()}
+    assert set(got) == {0, 1, 3, 4} and got[1]["text"] == clean
+    assert "q5" not in got[0]["text"] and got[0]["text"].startswith(clean) and got[0]["n_chars"] == len(got[0]["text"])
+    assert decontaminate.report(odd(spark), bench.limit(0)).where("n_hit > 0").count() == 0
+    assert decontaminate.report(odd(spark).limit(0), bench).count() == 0
+
+
+# pipeline
+
+
+def test_pipeline_against_its_stages(spark):
+    import corpus_pipeline
+
+    folder = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "near_duplicates", "benchmark_decontamination", "personal_data", "packing"]
+    stage = dict(corpus_pipeline.STAGES)
+    kept = stage["quality_rules"](spark, docs, folder)
+    assert kept.columns == docs.columns
+    texts = {r["doc_id"]: r["text"] for r in kept.collect()}
+    order = sorted(texts)
+    label, _ = brute_components([texts[k] for k in order], 5, 80)
+    unique = {order[k] for k in range(len(order)) if label[k] == k}
+    left = common.materialise(stage["near_duplicates"](spark, kept, folder), "t")
+    assert {r["doc_id"] for r in left.collect()} == unique
+    clean = stage["personal_data"](spark, stage["benchmark_decontamination"](spark, left, folder), folder)
+    assert clean.columns == docs.columns
+    rows = {r["doc_id"]: r["text"] for r in clean.collect()}
+    assert set(rows) <= unique and not any(re.search(r"@mail\d\.example\.com", t) for t in rows.values())
+    packed = corpus_pipeline.run(spark, folder).collect()
+    assert {r["doc_id"] for r in packed} == set(rows)
+    filled = collections.Counter()
+    for r in packed:
+        filled[r["sequence_id"]] += r["length"]
+    assert max(filled.values()) <= 2048
