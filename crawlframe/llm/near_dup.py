@@ -9,9 +9,10 @@
    is held against the bucket's hub: the one whose buckets are the largest, so
    that the text of which a group's members are variants is before the
    variants, which may be linked with it alone. Only buckets that still hold
-   more than one component go on, first with other hubs, and last with every
-   pair across components that the sizes of the sets and their rare shingles
-   let be linked; no link is lost there.
+   more than one component go on, with every pair across components that the
+   sizes of the sets and their marks (parity bits of the shingles) let be
+   linked; no link is lost there. The rows of such a bucket are compared within
+   the join, which takes the square of their number in time but not in rows.
 4. A candidate's signatures are compared in batches. After each batch the pair
    goes if P(similarity >= s | matches so far) is under MISS (uniform prior).
    Survivors are verified on their full shingle sets, made again from the text.
@@ -30,6 +31,7 @@ from __future__ import annotations
 
 import math
 from functools import cache, reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -46,8 +48,8 @@ BATCH = 16
 MISS = 1e-6
 #: Rounds with hubs (the first by weight, further ones at random) before the pairs across components are listed.
 HUB_ROUNDS = 1
-#: Texts that may share a rare shingle, and texts in an arena where only unshared shingles are rare.
-RARE, SMALL = 32, 64
+#: 64-bit integers of a shingle set's mark.
+MARK = 16
 #: Words whose hash a worker remembers.
 MEMORY = 200_000
 
@@ -91,6 +93,12 @@ def signature(found: np.ndarray) -> np.ndarray:
     return least
 
 
+def mark(found: np.ndarray) -> list[int]:
+    """A bit for each residue of the shingles: whether the set has an odd number of that residue."""
+    odd = np.bincount((found & np.uint64(64 * MARK - 1)).astype(np.int64), minlength=64 * MARK) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+
+
 def band_keys(signed: np.ndarray) -> np.ndarray:
     """One 64-bit key for each band of the rows of signed."""
     rows = signed.reshape(len(signed), BANDS, ROWS).astype(np.uint64)
@@ -161,83 +169,42 @@ def _bands(classes: DataFrame) -> DataFrame:
 
 
 def _texts(docs: DataFrame, classes: DataFrame, k: int) -> DataFrame:
-    """Rows (id, text) of the classes (digest, id, doc_id). A doc_id may repeat with other texts, so the digest decides."""
+    """Rows (id, text, mark) of the classes (digest, id, doc_id). A doc_id may repeat with other texts, so the digest decides."""
 
     def run(batches):
         for batch in _forgetting(batches):
-            same = []
+            same, marks = [], []
             for text, digest in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
                 found = shingles(text.as_py(), k)
                 same.append(len(found) > 0 and xxhash.xxh3_128_digest(found.tobytes()) == digest)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(c).filter(pa.array(same, pa.bool_())) for c in (0, 1)], names=["id", "text"]
-            )
+                if same[-1]:
+                    marks.append(mark(found))
+            kept = [batch.column(c).filter(pa.array(same, pa.bool_())) for c in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(marks, pa.list_(pa.int64()))], names=["id", "text", "mark"])
 
     chosen = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("binary").alias("text")).join(classes, "doc_id")
-    return chosen.select("id", "text", "digest").mapInArrow(run, "id bigint, text binary").dropDuplicates(["id"])
-
-
-def _exploded(texts: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """Rows (id, shingle) of the texts of ids."""
-
-    def run(batches):
-        for batch in _forgetting(batches):
-            sets = [shingles(t.as_py(), k) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.repeat(batch.column(0).to_numpy(), [len(s) for s in sets])),
-                    pa.array(np.concatenate([*sets, np.empty(0, np.uint64)]).view(np.int64)),
-                ],
-                names=["id", "shingle"],
-            )
-
-    return texts.join(ids, "id", "left_semi").select("id", "text").mapInArrow(run, "id bigint, shingle bigint")
+    return chosen.select("id", "text", "digest").mapInArrow(run, "id bigint, text binary, mark array<bigint>").dropDuplicates(["id"])
 
 
-def _across(live: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """All pairs (a, b, n, m) of live (band, id, n, label) in one bucket and two components that the sizes of sets let be linked.
+def _across(live: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """All pairs (a, b, n, m) of live (band, id, n, label) in one bucket and two components that sizes and marks let be linked.
 
-    Buckets belong to the arena of their most frequent component. A shingle is
-    rare in an arena if few of its texts (RARE of them; in a small arena: one)
-    hold it. What two texts have in common is bounded by the smaller number of
-    their other shingles, and by the rare ones that they share, which an index
-    of rare shingles lists: at most RARE rows for each. So the many variants of
-    one text, which share a bucket and are too far apart to be linked, aren't
-    paired, and no pair that can be linked is missed.
+    The bits in which two marks differ are at most the shingles that only one of
+    the texts has, and linked texts have few of these. So the many variants of
+    one text, which share a bucket and are too far apart to be linked, are told
+    apart within the join, and no pair that can be linked is missed. At least
+    one row of each pair is outside its bucket's most frequent component.
     """
     main = live.groupBy("band", "label").count().groupBy("band").agg(F.max_by("label", F.struct("count", "label")).alias("arena"))
-    live = materialise(live.join(main, "band").select("band", "arena", "id", "n", "label"), "live")
-    members = live.select("arena", "id", "n", "label").distinct()
-    sized = members.join(members.groupBy("arena").agg(F.count("*").alias("members")), "arena")
-    placed = materialise(_exploded(texts, live.select("id").distinct(), k).join(sized, "id"), "placed")
-    limit = F.when(F.col("members") > SMALL, RARE).otherwise(1)
-    rare = placed.groupBy("arena", "shingle").agg(F.count("*").alias("c"), F.max("members").alias("members")).where(F.col("c") <= limit)
-    low = placed.join(rare.select("arena", "shingle", "c"), ["arena", "shingle"]).select("arena", "shingle", "id", "n", "label", "c")
-    low = materialise(low, "rare")
-    other = F.col("n") - F.coalesce("own", F.lit(0))
-    own = low.groupBy("arena", "id").agg(F.count("*").alias("own"))
-    every = live.groupBy("id").agg(F.collect_set("band").alias("bands"))  # BANDS at most
-    rows = materialise(live.join(own, ["arena", "id"], "left").withColumn("e", other).join(every, "id"), "live")
-
-    def side(table: DataFrame, *keys: str, **more: str) -> DataFrame:
-        named = {"id": "a", "n": "m", "label": "la", "e": "f"} | more
-        return table.select(*keys, *(F.col(c).alias(to) for c, to in named.items()))
-
-    can = lambda both: (100 + percent) * both >= percent * (F.col("n") + F.col("m"))
-    by_band = (
-        rows.join(side(rows.where("label <> arena"), "band", bands="la_bands"), "band")
-        .where((F.col("label") != F.col("la")) & can(F.least("e", "f")))
-        .where(F.array_min(F.array_intersect("bands", "la_bands")) == F.col("band"))  # in one of the buckets that they share
-        .select("a", F.col("id").alias("b"), "n", "m")
-    )
-    indexed = low.where("c > 1").join(own, ["arena", "id"]).withColumn("e", other).drop("own", "c")
-    by_index = (
-        indexed.join(side(indexed, "arena", "shingle"), ["arena", "shingle"]).where("id < a AND label <> la")
-        .groupBy("arena", "a", "id").agg(F.count("*").alias("common"), *(F.max(c).alias(c) for c in ("n", "m", "e", "f")))
-        .where(can(F.col("common") + F.least("e", "f")))
+    rows = materialise(live.join(main, "band").join(texts.select("id", "mark"), "id"), "live")
+    rest = rows.where("label <> arena").select("band", *(F.col(c).alias(to) for c, to in (("id", "a"), ("n", "m"), ("label", "la"), ("mark", "other"))))
+    apart = reduce(add, (F.bit_count(F.get("mark", F.lit(i)).bitwiseXOR(F.get("other", F.lit(i)))) for i in range(MARK)))
+    return (
+        rows.join(rest, "band").where("label <> la")
+        .where(100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
+        .where((100 + percent) * apart <= (100 - percent) * (F.col("n") + F.col("m")))
         .select("a", F.col("id").alias("b"), "n", "m")
     )
-    return by_band.unionByName(by_index)
 
 
 def _verify(pairs: DataFrame, sigs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -356,7 +323,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
             )
             found = check(against(hubs, live))
         else:
-            found = check(_across(live, texts, k, percent))
+            found = check(_across(live, texts, percent))
         if not found.isEmpty():
             links.append(found)
             labels = components(reduce(DataFrame.unionByName, links))

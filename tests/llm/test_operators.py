@@ -346,10 +346,9 @@ def brute_components(texts, k, percent):
     return label, [len(s) for s in sets]
 
 
-@pytest.mark.parametrize("k", [2, 5])
-def test_near_duplicates_against_all_pairs(spark, k, monkeypatch):
-    monkeypatch.setattr(near_dup, "RARE", 3)
-    monkeypatch.setattr(near_dup, "SMALL", 8)
+@pytest.mark.parametrize(("k", "rounds"), [(2, 0), (2, 1), (5, 1)])
+def test_near_duplicates_against_all_pairs(spark, k, rounds, monkeypatch):
+    monkeypatch.setattr(near_dup, "HUB_ROUNDS", rounds)
     rng = random.Random(9)
     many = [f"w{n}" for n in range(3000)]
     base = text(rng, 120, many).split()
@@ -368,6 +367,15 @@ def test_near_duplicates_against_all_pairs(spark, k, monkeypatch):
     assert all(r["kept"] == (r["component_id"] == n) for n, r in got.items())
 
 
+def test_marks_bound_the_difference():
+    rng = np.random.default_rng(3)
+    for n, other in itertools.product((0, 1, 50, 3000), (0, 5, 400)):
+        a = np.unique(rng.integers(0, 2**63, n + 20, dtype=np.uint64))
+        b = np.unique(np.concatenate((a[20:], rng.integers(0, 2**63, other, dtype=np.uint64))))
+        apart = sum((x ^ y).bit_count() for x, y in zip(*(np.array(near_dup.mark(s), np.int64).view(np.uint64).tolist() for s in (a, b)), strict=True))
+        assert apart <= len(np.setxor1d(a, b)) and near_dup.mark(a) == near_dup.mark(a[::-1])
+
+
 def test_near_duplicates_odd(spark):
     got = near_dup.near_duplicates(odd(spark), 2).collect()
     assert len(got) == 9 and [tuple(r)[1:] for r in got if r["doc_id"] is None] == [(3, None, True)]  # four words
