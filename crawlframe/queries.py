@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crawlframe.functions import hashing, http, politeness, robots, sitemap, urls
-from crawlframe.operators import dedup, frontier, links, metrics, queue, ring
+from crawlframe.operators import alerts, dedup, frontier, links, metrics, queue, ring
 from crawlframe.plans import crawl
 
 NOW_NS = 1_706_659_200_000_000_000  # 2024-01-31
@@ -321,6 +321,22 @@ def alert_stalled(spark, sf_dir):
     return metrics.holding(ticks, "stalled", 5).groupBy("firing").agg(F.count("*").alias("n"))
 
 
+def alert_rules(spark, sf_dir):
+    """A gauge rule and a ratio rule: an event's value is a gauge of its user, its id a counter of its user's errors or other events."""
+    events = _table(spark, sf_dir, "events").withColumn("instance", F.col("user_id").cast("string"))
+    none = F.lit(None).cast("double").alias("le")
+    shared = (F.lit("crawler").alias("job"), "instance", F.lit("").alias("series"), none, "ts")
+    gauge = events.select(F.lit("load").alias("metric"), *shared, "value")
+    kind = F.when(F.col("event_type") == "error", "errors_total").otherwise("others_total")
+    counter = events.select(kind.alias("metric"), *shared, F.col("event_id").cast("double").alias("value"))
+    day = 86_400
+    chosen = (
+        alerts.Rule("HighLoad", "gauge", "load", ">", 60, day, window=2 * day, by_instance=True),
+        alerts.Rule("HighErrors", "rate_ratio", "errors_total", ">", 0.9, day, "critical", other="others_total", window=day),
+    )
+    return alerts.evaluate(gauge.unionByName(counter), chosen, step=day // 4)
+
+
 def latency_p95(spark, sf_dir):
     seconds = _log(spark, sf_dir).withColumn("seconds", F.col("latency_ns") / 1e9)
     return metrics.histogram_quantile(metrics.histogram(seconds, "seconds", metrics.DURATION, "outcome"), 0.95, "outcome")
@@ -356,7 +372,7 @@ QUERIES = {
         enqueue_seq, queue_head, queue_rest, queue_stats, queue_cap, global_cap, drop_domain, meta_upsert, wire_roundtrip,
         forward_owner, peer_changes, robots_groups, robots_allowed, sitemap_locs, sitemap_recursive, politeness_state,
         next_fetch, frontier_pop, frontier_push, can_fetch, error_runs, retry_after, classify_error, short_content_type,
-        bloom_fp_rate, alert_error_rate, alert_stalled, latency_p95, counter_increase, cache_hit_ratio, last_gauge,
+        bloom_fp_rate, alert_error_rate, alert_stalled, alert_rules, latency_p95, counter_increase, cache_hit_ratio, last_gauge,
         outcome_counters,
     )
 }
@@ -517,6 +533,13 @@ t AS (SELECT unnest(generate_series(min(start), max(start), INTERVAL 1 HOUR)) AS
 s AS (SELECT t.start, n IS NULL AS stalled FROM t LEFT JOIN h USING (start)),
 f AS (SELECT min(stalled::INT) OVER w = 1 AND count(*) OVER w = 6 AS firing FROM s WINDOW w AS (ORDER BY start ROWS BETWEEN 5 PRECEDING AND CURRENT ROW))
 SELECT firing, count(*) AS n FROM f GROUP BY 1""",
+    "alert_rules": """WITH e AS (SELECT user_id::VARCHAR AS instance, ts, value, event_id::DOUBLE AS v, event_type = 'error' AS bad, (floor(epoch(ts) / 21600)::BIGINT + 1) * 21600 AS base FROM events),
+g AS (SELECT instance, base + 21600 * k AS tick, max({'ts': ts, 'value': value}).value AS value FROM (SELECT *, unnest(range(0, 8)) AS k FROM e WHERE value IS NOT NULL) GROUP BY ALL),
+c AS (SELECT *, lag(v) OVER (PARTITION BY instance, bad ORDER BY ts, v) AS b FROM e),
+r AS (SELECT bad, base + 21600 * k AS tick, sum(CASE WHEN v < b THEN v ELSE v - b END) / 86400 AS rate FROM (SELECT *, unnest(range(0, 4)) AS k FROM c WHERE b IS NOT NULL) GROUP BY ALL),
+s AS (SELECT 'HighLoad' AS alert, 'warning' AS severity, 'crawler' AS job, instance, '' AS series, tick, value FROM g WHERE value > 60
+  UNION ALL SELECT 'HighErrors', 'critical', NULL, NULL, NULL, x.tick, x.rate / y.rate FROM r x JOIN r y ON x.tick = y.tick AND x.bad AND NOT y.bad WHERE y.rate <> 0 AND x.rate / y.rate > 0.9)
+SELECT *, count(*) OVER (PARTITION BY alert, job, instance, series ORDER BY tick RANGE BETWEEN 86400 PRECEDING AND CURRENT ROW) = 5 AS firing FROM s""",
     "latency_p95": f"""WITH {_LOG}, b AS ({_buckets(metrics.DURATION, "SELECT outcome, latency_ns / 1e9 AS seconds FROM log", "seconds", "outcome,")}),
 s AS (SELECT *, coalesce(lag(n) OVER w, 0) AS below, coalesce(lag(le) OVER w, 0) AS lo, max(n) OVER (PARTITION BY outcome) AS every FROM b WINDOW w AS (PARTITION BY outcome ORDER BY le))
 SELECT outcome, CASE WHEN isinf(le) THEN lo ELSE lo + (le - lo) * (0.95 * every - below) / (n - below) END AS value FROM s WHERE n >= 0.95 * every AND below < 0.95 * every""",
