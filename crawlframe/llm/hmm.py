@@ -17,9 +17,8 @@ Passes over the corpus:
 2. coding: each document's symbols, and its rare words, are written once;
 3. Baum-Welch: every pass runs the scaled forward-backward recursion over all
    training documents; expected counts are added up in each partition and sent
-   once a partition, then summed. The first parameters come from a few passes
-   over a bounded sample (INIT_DOCS); they are a start only, all counts of the
-   final model come from all training documents;
+   once a partition, then summed. The first parameters are the symbols'
+   frequencies with noise, whatever the order of the rows;
 4. scoring: the scaled forward recursion gives the exact likelihood.
 
 Texts of over SEGMENT tokens are trained on as stretches of that size (all of
@@ -51,13 +50,10 @@ from crawlframe.llm.common import LOWER_BYTES, arrow_batches, materialise
 STATES = 8
 HEAD = 30_000
 RARE = 2_048
-#: Passes over all training documents, and over the sample that gives the start.
-PASSES = 2
-INIT_PASSES = 12
-#: Documents in the sample for the start.
-INIT_DOCS = 2_000
-#: Tokens of each of them, and the longest stretch of a text that one recursion of the training takes.
-INIT_TOKENS, SEGMENT = 2_000, 50_000
+#: Passes over all training documents.
+PASSES = 14
+#: The longest stretch of a text that one recursion of the training takes.
+SEGMENT = 50_000
 #: Distinct words that a worker counts before it passes them on.
 FLUSH = 200_000
 #: Pseudo-counts of emissions and transitions.
@@ -242,6 +238,7 @@ def expect(model: Model, coded: list[np.ndarray], into: tuple[np.ndarray, np.nda
     """Add the expected counts of start, move and emit over texts; the log-likelihood."""
     start, move, emit = into
     states = len(model.start)
+    ones, back, moved = np.ones(states), np.ascontiguousarray(model.move.T), np.zeros((states, states))
     log_likelihood = 0.0
     for lane in _lanes(coded):
         sizes = np.array([len(coded[k]) for k in lane])
@@ -256,22 +253,25 @@ def expect(model: Model, coded: list[np.ndarray], into: tuple[np.ndarray, np.nda
         for t in range(longest):
             n = alive[t]
             a = model.start * emitted[t, :n] if t == 0 else (alpha[t - 1, :n] @ model.move) * emitted[t, :n]
-            s = a.sum(axis=1)
-            alpha[t, :n] = a / s[:, None]
+            s = a @ ones
+            np.divide(a, s[:, None], out=alpha[t, :n])
             scale[t, :n] = s
         log_likelihood += float(np.log(scale).sum())
+        emitted /= scale[:, :, None]
         beta = np.ones((width, states))
         for t in range(longest - 1, 0, -1):
             n = alive[t]
-            later = emitted[t, :n] * beta[:n] / scale[t, :n, None]
-            move += (alpha[t - 1, :n].T @ later) * model.move
-            beta[:n] = later @ model.move.T
+            later = emitted[t, :n]
+            later *= beta[:n]
+            moved += alpha[t - 1, :n].T @ later
+            np.matmul(later, back, out=beta[:n])
             alpha[t - 1, :n] *= beta[:n]  # its posterior, once it has been used
         start += alpha[0].sum(axis=0)
         there = np.arange(longest)[:, None] < sizes[None, :]
         codes, gamma = grid[there], alpha[there]
         for s in range(states):
             emit[:, s] += np.bincount(codes, gamma[:, s], minlength=len(emit))
+    move += moved * model.move
     return log_likelihood
 
 
@@ -304,13 +304,6 @@ def _pass(coded: DataFrame, model: Model) -> tuple[Model, float]:
 def train(coded: DataFrame, counts: np.ndarray, states: int = STATES, passes: int = PASSES) -> Model:
     """coded (codes): all training documents; counts: of each symbol in them."""
     model = Model.first(counts, states)
-    some = coded.select(F.slice("codes", 1, INIT_TOKENS)).limit(INIT_DOCS).collect()
-    sample = [np.array(r[0], np.int32) for r in some]
-    for _ in range(INIT_PASSES if sample else 0):
-        into = np.zeros(states), np.zeros((states, states)), np.zeros(model.emit.shape)
-        expect(model, sample, into)
-        # symbols that the sample lacks keep their share of the corpus in every state
-        model = Model.of(into[0], into[1], into[2] + counts[:, None] / max(1.0, counts.sum()) * sum(map(len, sample)) / states / 10)
     for _ in range(passes):
         model, _ = _pass(coded, model)
     return model

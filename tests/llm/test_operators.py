@@ -304,6 +304,21 @@ def test_scores(spark):
     assert hmm.score(odd(spark)).count() == 9 and hmm.score(odd(spark).limit(0)).count() == 0
 
 
+def test_training_passes_take_every_document_whole(spark):
+    rng = np.random.default_rng(1)
+    texts = [rng.integers(0, 4, 3000), *(rng.integers(0 if k < 2000 else 4, 4 if k < 2000 else 8, 5) for k in range(2100))]
+    counts = np.bincount(np.concatenate(texts), minlength=8).astype(float)
+    want = hmm.Model.first(counts, 2)
+    for _ in range(3):
+        into = np.zeros(2), np.zeros((2, 2)), np.zeros((8, 2))
+        hmm.expect(want, texts, into)
+        want = hmm.Model.of(*into)
+    for order in (1, -1):
+        rows = spark.createDataFrame([([int(x) for x in t],) for t in texts[::order]], "codes array<int>")
+        got = hmm.train(rows, counts, 2, 3)
+        assert np.allclose(got.start, want.start) and np.allclose(got.move, want.move) and np.allclose(got.emit, want.emit)
+
+
 # 8 licences
 
 
