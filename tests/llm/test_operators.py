@@ -256,6 +256,12 @@ def test_kneser_ney(spark):
     assert kneser_ney.classify(docs.limit(0), labels).count() == 0
 
 
+def test_kneser_ney_counts_whole_texts(spark):
+    long = " ".join(f"w{k}" for k in range(2500))
+    grams = {(bytes(r[0]), bytes(r[1]), bytes(r[2])) for r in kneser_ney._ngrams(documents(spark, [long]).select("text")).drop("c").collect()}
+    assert len(grams) == 2501 and (b"w2498", b"w2499", b"\n") in grams and (b"w1998", b"w1999", b"\n") not in grams
+
+
 # 7 hidden Markov model
 
 
