@@ -46,8 +46,13 @@ FIRST_NAMES = {
 _NAMED = {name: (kind, k) for kind, names in FIRST_NAMES.items() for k, name in enumerate(names)}
 
 EMAIL = re.compile(r"(?<![\w.+-])[\w+-]+(?:\.[\w+-]+)*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
-PHONE = re.compile(r"(?<![\w+])\+\d{1,3}(?:[ .-]?\(\d{2,4}\)|[ .-]?\d{2,4})(?:[ .-]?\d{2,4}){2,3}(?!\d)")
-IPV4 = re.compile(r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)")
+_ADDRESS = r"(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)"
+IPV4 = re.compile(rf"(?<![\w.]){_ADDRESS}")
+# a blank before a group neither follows a complete number (seven digits in a row) nor precedes an IPv4 address
+_GROUP = rf"(?:(?<!\d{{7}}) (?!{_ADDRESS})|[.-])?\d{{2,4}}"
+# a blank before a third group doesn't follow two that make a number complete (three or four digits, then four)
+_THIRD = rf"(?!(?<=[ .-]\d{{3}}[ .-]\d{{4}}) |(?<=[ .-]\d{{4}}[ .-]\d{{4}}) ){_GROUP}"
+PHONE = re.compile(rf"(?<![\w+])\+\d{{1,3}}(?:[ .-]?\(\d{{2,4}}\)|[ .-]?\d{{2,4}})(?:{_GROUP}){{2}}(?:{_THIRD})?(?!\d)")
 CARD = re.compile(r"(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w-])")
 SECRET = re.compile(r"(?i)\b(?:\w*token|\w*secret|\w*passw(?:or)?d|api[_-]?key)\b\s*[:=]\s*[\"']([^\"'\s]{8,})[\"']")
 PERSON = re.compile(r"(?<!\w)([A-ZА-Я][a-zа-я]+)(?= ([A-ZА-ЯÀ-ÖØ-Þ][^\W\d_]+)(?!\w))")

@@ -235,6 +235,18 @@ def test_many_surrogates_stay_distinct():
         assert len({pii.surrogate(*f, b"key") for f in found}) == 3000
 
 
+def test_a_phone_ends_before_another_number():
+    alone = pii.pseudonymise("+1 (826) 555-4081", b"key")[0]
+    for number in ("+1 (826) 555-4081", "+1 826 555 4081", "+18265554081", "+44 20 7946 0958", "+1.826.555.4081"):
+        for rest, kinds in (("190.137.223.204", ["phone", "ipv4"]), ("300 words", ["phone"]), ("2024", ["phone"])):
+            found = pii.find(f"{number} {rest}")
+            assert [kind for _, _, kind in found] == kinds and found[0][:2] == (0, len(number)), (number, rest)
+    new = pii.pseudonymise("+1 (826) 555-4081 190.137.223.204", b"key")[0]
+    assert new.startswith(alone + " ") and ".137.223.204" not in new
+    for number in ("+55 11 91234 5678", "+49 (30) 12 34 56", "+44 7911 123 456", "+49 30 1234-5678-90"):
+        assert pii.find(f"call {number}, now") == [(5, 5 + len(number), "phone")]
+
+
 # 6 Kneser-Ney
 
 
