@@ -36,7 +36,7 @@ from operator import add
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crawlframe.llm.common import LOWER_BYTES, arrow_batches, materialise
@@ -141,12 +141,17 @@ def _sign(docs: DataFrame, k: int) -> DataFrame:
                 out[1].append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
                 out[2].append(signature(found).tobytes() if len(found) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary())],
-                names=["doc_id", "n", "digest", "sig"],
+                [batch.column(0), batch.column(2), pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary())],
+                names=["doc_id", "h", "n", "digest", "sig"],
             )
 
-    chosen = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("binary").alias("text"))
-    return chosen.mapInArrow(run, "doc_id bigint, n bigint, digest binary, sig binary")
+    chosen = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("binary").alias("text"), _text_hash().alias("h"))
+    return chosen.mapInArrow(run, "doc_id bigint, h bigint, n bigint, digest binary, sig binary")
+
+
+def _text_hash() -> Column:
+    """Tells the texts of one doc_id apart."""
+    return F.xxhash64(F.col("text").cast("binary"))
 
 
 def _bands(classes: DataFrame) -> DataFrame:
@@ -278,12 +283,24 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
     Documents are linked if 100 * |intersection| >= percent * |union| of their k-word shingle sets.
     """
+    return _placed(docs, k, percent).select(
+        "doc_id",
+        F.col("n").alias("n_shingles"),
+        F.col("component").alias("component_id"),
+        F.coalesce(F.col("component") == F.col("doc_id"), F.lit(True)).alias("kept"),
+    )
+
+
+def _placed(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Rows (doc_id, h, n, component, first), one for each row of docs; first is the hash of the component's first text."""
     signed = materialise(_sign(docs, k).withColumn("rid", F.monotonically_increasing_id()), "signed")
     grouped = (
         signed.where(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
-        .groupBy("digest").agg(F.min(F.struct("doc_id", "rid")).alias("first"))
+        .groupBy("digest").agg(F.min(F.struct("doc_id", "rid", "h")).alias("first"))
     )
-    members = materialise(grouped.select("digest", F.col("first.rid").alias("id"), F.col("first.doc_id").alias("doc_id")), "classes")
+    members = materialise(
+        grouped.select("digest", F.col("first.rid").alias("id"), F.col("first.doc_id").alias("doc_id"), F.col("first.h").alias("h")), "classes"
+    )
     classes = signed.select(F.col("rid").alias("id"), "n", "sig").join(members.select("id"), "id")
     rows = materialise(_bands(classes), "bands")
     shared = rows.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
@@ -330,21 +347,23 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         elif labels is None:
             labels = _empty(docs.sparkSession, "id bigint, label bigint")
     placed = members.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    least = placed.groupBy("label").agg(F.min("doc_id").alias("component"))
-    named = placed.join(least, "label").select("digest", "component")
+    least = placed.groupBy("label").agg(F.min(F.struct("doc_id", "id", "h")).alias("least"))
+    named = placed.join(least, "label").select("digest", F.col("least.doc_id").alias("component"), F.col("least.h").alias("first"))
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component", "doc_id"))
-    return signed.select("doc_id", "n", "digest").join(named, "digest", "left").select(
-        "doc_id",
-        F.col("n").alias("n_shingles"),
-        component.alias("component_id"),
-        F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"),
+    return signed.select("doc_id", "h", "n", "digest").join(named, "digest", "left").select(
+        "doc_id", "h", "n", component.alias("component"), "first"
     )
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The documents of which no near-duplicate with a smaller doc_id is there, with all columns; of rows that repeat a doc_id, one."""
-    gone = near_duplicates(docs, k, percent).where(~F.col("kept")).select("doc_id")
-    named = docs.where(F.col("doc_id").isNotNull())
-    return named.join(gone, "doc_id", "left_anti").select(docs.columns).dropDuplicates(["doc_id"]).unionByName(
+    """One row of each component, of its smallest doc_id, with all columns; of rows that repeat a doc_id and its text, one.
+
+    A doc_id that repeats with other texts is judged by each text. Rows without a doc_id stay.
+    """
+    other = (F.col("component") != F.col("doc_id")) | (F.col("first") != F.col("h"))
+    gone = _placed(docs, k, percent).where(other).select("doc_id", F.col("h").alias("__text")).distinct()
+    named = docs.where(F.col("doc_id").isNotNull()).withColumn("__text", _text_hash())
+    key = ["doc_id", "__text"]
+    return named.join(gone, key, "left_anti").dropDuplicates(key).select(docs.columns).unionByName(
         docs.where(F.col("doc_id").isNull())
     )

@@ -417,6 +417,15 @@ def test_near_duplicates_odd(spark):
     assert near_dup.near_duplicates(odd(spark).limit(0)).count() == 0
 
 
+def test_dropping_goes_by_row_where_a_doc_id_repeats(spark):
+    rng = random.Random(9)
+    a, b, c = (text(rng, 60) for _ in range(3))
+    rows = [(1, a), (2, a), (2, b), (3, c), (3, c + " end"), (4, c), (5, None), (5, ""), (5, b), (2, b)]
+    docs = documents(spark, [t for _, t in rows], [k for k, _ in rows])
+    left = [(r["doc_id"], r["text"]) for r in near_dup.drop_near_duplicates(docs).collect()]
+    assert len(left) == 5 and set(left) - {(3, c), (3, c + " end")} == {(1, a), (2, b), (5, None), (5, "")}
+
+
 def test_components_of_long_chains(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101)], "a bigint, b bigint")
     got = {r["id"]: r["label"] for r in near_dup.components(links).collect()}
