@@ -21,8 +21,9 @@ Passes over the corpus:
    frequencies with noise, whatever the order of the rows;
 4. scoring: the scaled forward recursion gives the exact likelihood.
 
-Texts of over SEGMENT tokens are trained on as stretches of that size (all of
-their tokens count) and scored as a whole.
+Texts of any length are trained on and scored as a whole; of those of over
+SEGMENT tokens, the training holds one stretch at a time and carries the
+recursion over its borders.
 
 Bounds: a worker holds (HEAD + RARE) x STATES parameters and HEAD words. The
 counts of rare words stay distributed and are joined by the word's 64-bit
@@ -50,16 +51,18 @@ from crawlframe.llm.common import LOWER_BYTES, arrow_batches, materialise
 STATES = 8
 HEAD = 30_000
 RARE = 2_048
-#: Passes over all training documents.
-PASSES = 14
-#: The longest stretch of a text that one recursion of the training takes.
+#: Passes over all training documents; more of them hardly change the score of held-out text (README).
+PASSES = 4
+#: Steps between two scalings of the forward values in training.
+RESCALE = 8
+#: Steps of one text whose values the training holds at a time.
 SEGMENT = 50_000
 #: Distinct words that a worker counts before it passes them on.
 FLUSH = 200_000
 #: Pseudo-counts of emissions and transitions.
 SMOOTH_EMIT, SMOOTH_MOVE = 0.05, 1.0
 #: Documents whose recursions run side by side, and the most cells (documents x steps) of one such block.
-LANES, CELLS = 256, 400_000
+LANES, CELLS = 512, 200_000
 END = b"\n"  # no word holds white space
 
 
@@ -230,42 +233,48 @@ def forward(model: Model, coded: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def segments(coded: list[np.ndarray]) -> list[np.ndarray]:
-    return [c[k : k + SEGMENT] for c in coded for k in range(0, len(c), SEGMENT)]
-
-
 def expect(model: Model, coded: list[np.ndarray], into: tuple[np.ndarray, np.ndarray, np.ndarray]) -> float:
-    """Add the expected counts of start, move and emit over texts; the log-likelihood."""
+    """Add the expected counts of start, move and emit over texts; the log-likelihood.
+
+    Forward values are scaled every RESCALE steps, and the backward ones by the
+    same factors, so that their product is a posterior at every step.
+    """
     start, move, emit = into
     states = len(model.start)
-    ones, back, moved = np.ones(states), np.ascontiguousarray(model.move.T), np.zeros((states, states))
-    log_likelihood = 0.0
-    for lane in _lanes(coded):
-        sizes = np.array([len(coded[k]) for k in lane])
+    back, moved = np.ascontiguousarray(model.move.T), np.zeros((states, states))
+    log_likelihood = sum(_expect_long(model, c, into) for c in coded if len(c) > SEGMENT)
+    short = [c for c in coded if len(c) <= SEGMENT]
+    for lane in _lanes(short):
+        sizes = np.array([len(short[k]) for k in lane])
         longest, width = int(sizes[0]), len(lane)
         grid = np.zeros((longest, width), np.int32)
         for j, k in enumerate(lane):
-            grid[: sizes[j], j] = coded[k]
-        alive = np.searchsorted(-sizes, -np.arange(longest), side="left")
-        emitted = model.emit[grid]
+            grid[: sizes[j], j] = short[k]
+        alive = np.searchsorted(-sizes, -np.arange(longest), side="left").tolist()
+        emitted = model.emit.take(grid, axis=0)
         alpha = np.zeros((longest, width, states))
-        scale = np.ones((longest, width))
-        for t in range(longest):
+        np.multiply(model.start, emitted[0], out=alpha[0])
+        for t in range(1, longest):
             n = alive[t]
-            a = model.start * emitted[t, :n] if t == 0 else (alpha[t - 1, :n] @ model.move) * emitted[t, :n]
-            s = a @ ones
-            np.divide(a, s[:, None], out=alpha[t, :n])
-            scale[t, :n] = s
-        log_likelihood += float(np.log(scale).sum())
-        emitted /= scale[:, :, None]
-        beta = np.ones((width, states))
+            a = alpha[t, :n]
+            np.matmul(alpha[t - 1, :n], model.move, out=a)
+            a *= emitted[t, :n]
+            if t % RESCALE == 0:
+                scale = a.sum(axis=1, keepdims=True)
+                a /= scale
+                emitted[t, :n] /= scale
+                log_likelihood += float(np.log(scale).sum())
+        last = alpha[sizes - 1, np.arange(width)].sum(axis=1, keepdims=True)
+        log_likelihood += float(np.log(last).sum())
+        beta = np.repeat(1 / last, states, axis=1)
         for t in range(longest - 1, 0, -1):
             n = alive[t]
             later = emitted[t, :n]
             later *= beta[:n]
+            alpha[t, :n] *= beta[:n]  # its posterior: the step after it is done
             moved += alpha[t - 1, :n].T @ later
             np.matmul(later, back, out=beta[:n])
-            alpha[t - 1, :n] *= beta[:n]  # its posterior, once it has been used
+        alpha[0] *= beta
         start += alpha[0].sum(axis=0)
         there = np.arange(longest)[:, None] < sizes[None, :]
         codes, gamma = grid[there], alpha[there]
@@ -275,6 +284,54 @@ def expect(model: Model, coded: list[np.ndarray], into: tuple[np.ndarray, np.nda
     return log_likelihood
 
 
+def _expect_long(model: Model, codes: np.ndarray, into: tuple[np.ndarray, np.ndarray, np.ndarray]) -> float:
+    """The same for one text of any length, holding the values of SEGMENT steps at a time.
+
+    A first run keeps the forward values before each stretch; the stretches are
+    then run again from the last to the first, and the backward values are
+    carried over their borders.
+    """
+    start, move, emit = into
+    states = len(model.start)
+    before: list[np.ndarray] = []
+    log_likelihood = 0.0
+
+    def step(a: np.ndarray | None, symbol: int) -> np.ndarray:
+        return (model.start if a is None else a @ model.move) * model.emit[symbol]
+
+    a = None
+    for at in range(0, len(codes), SEGMENT):
+        before.append(a)
+        for symbol in codes[at : at + SEGMENT].tolist():
+            a = step(a, symbol)
+            scale = a.sum()
+            a = a / scale
+            log_likelihood += float(np.log(scale))
+    beta = np.ones(states)
+    for k in range(len(before) - 1, -1, -1):
+        own = codes[k * SEGMENT : (k + 1) * SEGMENT]
+        alpha = np.empty((len(own), states))
+        a = before[k]
+        for t, symbol in enumerate(own.tolist()):
+            a = step(a, symbol)
+            a /= a.sum()
+            alpha[t] = a
+        for t in range(len(own) - 1, -1, -1):
+            gamma = alpha[t] * beta
+            gamma /= gamma.sum()
+            emit[own[t]] += gamma
+            earlier = alpha[t - 1] if t else before[k]
+            if earlier is None:
+                start += gamma
+                break
+            later = model.emit[own[t]] * beta
+            both = earlier[:, None] * model.move * later
+            move += both / both.sum()
+            beta = model.move @ later
+            beta /= beta.sum()
+    return log_likelihood
+
+
 def _pass(coded: DataFrame, model: Model) -> tuple[Model, float]:
     """One Baum-Welch pass over all of coded; the next model, and the log-likelihood under this one."""
     shared = coded.sparkSession.sparkContext.broadcast(model)
@@ -286,7 +343,7 @@ def _pass(coded: DataFrame, model: Model) -> tuple[Model, float]:
         into = np.zeros(states), np.zeros((states, states)), np.zeros((symbols, states))
         log_likelihood = 0.0
         for batch in batches:
-            log_likelihood += expect(own, segments(_arrays(batch.column(0))), into)
+            log_likelihood += expect(own, _arrays(batch.column(0)), into)
         used = np.flatnonzero(into[2].any(axis=1))
         rows = np.vstack((into[2][used], into[1], into[0], np.full(states, log_likelihood)))
         keys = np.concatenate((used, symbols + np.arange(states + 2)))

@@ -305,6 +305,18 @@ def test_forward_and_expectations_against_all_paths():
         assert np.allclose(got, want)
 
 
+def test_long_texts_carry_the_recursion_over_stretches(monkeypatch):
+    rng = np.random.default_rng(2)
+    model = hmm.Model.first(np.arange(1, 8.0), 3)
+    texts = [rng.integers(0, 7, n).astype(np.int32) for n in (60_000, 40, 21, 20, 1)]
+    into = [(np.zeros(3), np.zeros((3, 3)), np.zeros((7, 3))) for _ in range(2)]
+    monkeypatch.setattr(hmm, "SEGMENT", 10**6)
+    whole = hmm.expect(model, texts, into[0])
+    monkeypatch.setattr(hmm, "SEGMENT", 20)
+    assert math.isclose(hmm.expect(model, texts, into[1]), whole) and math.isclose(hmm.forward(model, texts).sum(), whole)
+    assert all(np.allclose(a, b) for a, b in zip(*into, strict=True))
+
+
 def test_scores(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     got = hmm.score(df).toPandas()
