@@ -43,6 +43,52 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Most keys of a table that may count as hot: those with over one in so many of its rows.
+HOT_KEYS = 2_000
+#: Rows of a key below which it isn't hot in any table.
+HOT_ROWS = 500
+
+
+def lookup(rows: DataFrame, table: DataFrame, key: str, counts: DataFrame, total: int, how: str = "inner") -> DataFrame:
+    """rows joined with table, which has each key once; a hot key's rows stay where they are.
+
+    counts (key, rows): how many of the `total` rows a key has, for the keys with more
+    than one at least. A key with over a HOT_KEYS-th of all rows is hot, so that
+    there are fewer than HOT_KEYS hot ones: their part of table is broadcast.
+    """
+    hot = materialise(counts.where(F.col("rows") > max(total // HOT_KEYS, HOT_ROWS)).select(key), "hot")
+    if hot.isEmpty():
+        return rows.join(table, key, how)
+    few = F.broadcast(hot)
+    beside = F.broadcast(table.join(few, key, "left_semi"))
+    return rows.join(few, key, "left_semi").join(beside, key, how).unionByName(rows.join(few, key, "left_anti").join(table, key, how))
+
+
+#: Bits of a filter of keys, of which a broadcast takes an eighth in bytes.
+FILTER_BITS = 1 << 27
+_PAGE = 32_768  # bits of one bitmap of Spark's
+
+
+def key_filter(keys: DataFrame, *key: str) -> DataFrame:
+    """(page, bits): one bit for the hash of each key, 16 MB at most whatever the number of keys."""
+    at = F.pmod(F.xxhash64(*key), F.lit(FILTER_BITS))
+    return keys.groupBy((at / _PAGE).cast("int").alias("page")).agg(F.bitmap_construct_agg(at % _PAGE).alias("bits"))
+
+
+def maybe_in(rows: DataFrame, found: DataFrame, *key: str, inside: bool = True) -> DataFrame:
+    """The rows whose key may be (inside) or surely isn't (not inside) one of key_filter's; no shuffle.
+
+    With very many keys the filter lets more of the others through, and costs a later join its size.
+    """
+    at = F.pmod(F.xxhash64(*key), F.lit(FILTER_BITS))
+    page, bit = (at / _PAGE).cast("int"), (at % _PAGE).cast("int")
+    pages = F.broadcast(found.withColumnsRenamed({"page": "__page", "bits": "__bits"}))
+    byte = F.conv(F.hex(F.expr("substring(__bits, __bit div 8 + 1, 1)")), 16, 10).cast("int")
+    held = F.coalesce(byte.bitwiseAND(F.expr("shiftleft(1, __bit % 8)")) > 0, F.lit(False))
+    joined = rows.withColumns({"__page": page, "__bit": bit}).join(pages, "__page", "left")
+    return joined.where(held if inside else ~held).select(rows.columns)
+
+
 def arrow_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Bound the Arrow batches of this session."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

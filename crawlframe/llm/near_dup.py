@@ -13,6 +13,8 @@
    sizes of the sets and their marks (parity bits of the shingles) let be
    linked; no link is lost there. The rows of such a bucket are compared within
    the join, which takes the square of their number in time but not in rows.
+   The rows of a large bucket, the pairs of a large hub and the copies of one
+   text are split, so that none of them lands in one task.
 4. A candidate's signatures are compared in batches. After each batch the pair
    goes if P(similarity >= s | matches so far) is under MISS (uniform prior).
    Survivors are verified on their full shingle sets, made again from the text.
@@ -39,7 +41,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crawlframe.llm.common import LOWER_BYTES, arrow_batches, materialise
+from crawlframe.llm.common import HOT_ROWS, LOWER_BYTES, arrow_batches, key_filter, lookup, materialise, maybe_in
 
 BANDS, ROWS = 32, 5
 #: Signature values compared between two looks at the posterior.
@@ -50,6 +52,8 @@ MISS = 1e-6
 HUB_ROUNDS = 1
 #: 64-bit integers of a shingle set's mark.
 MARK = 16
+#: Rows of one bucket, or pairs of one hub, that a task takes; more are split.
+SPLIT = 500
 #: Words whose hash a worker remembers.
 MEMORY = 200_000
 
@@ -187,87 +191,129 @@ def _texts(docs: DataFrame, classes: DataFrame, k: int) -> DataFrame:
             kept = [batch.column(c).filter(pa.array(same, pa.bool_())) for c in (0, 1)]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(marks, pa.list_(pa.int64()))], names=["id", "text", "mark"])
 
-    chosen = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("binary").alias("text")).join(classes, "doc_id")
+    every = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("binary").alias("text"))
+    chosen = maybe_in(every, key_filter(classes, "doc_id"), "doc_id").join(classes.select("id", "doc_id", "digest"), "doc_id")
     return chosen.select("id", "text", "digest").mapInArrow(run, "id bigint, text binary, mark array<bigint>").dropDuplicates(["id"])
 
 
+def _cells(parts: Column) -> Column:
+    return F.explode(F.sequence(F.lit(0), F.greatest(parts, F.lit(1)) - 1))
+
+
+def _parts(n: Column) -> Column:
+    """Into how many parts n rows of one key are split."""
+    return F.greatest(F.ceil(n / SPLIT).cast("int"), F.lit(1))
+
+
+def _part(id: str, parts: Column) -> Column:
+    return F.pmod(F.xxhash64(id), parts).cast("int")
+
+
 def _across(live: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """All pairs (a, b, n, m) of live (band, id, n, label) in one bucket and two components that sizes and marks let be linked.
+    """All pairs (a, b, w) of live (band, salt, id, n, size, label) in one bucket and two components that sizes and marks let be linked.
 
     The bits in which two marks differ are at most the shingles that only one of
     the texts has, and linked texts have few of these. So the many variants of
     one text, which share a bucket and are too far apart to be linked, are told
     apart within the join, and no pair that can be linked is missed. At least
-    one row of each pair is outside its bucket's most frequent component.
+    one row of each pair is outside its bucket's most frequent component. Both
+    sides of a bucket are dealt to cells of SPLIT by SPLIT rows, so that no
+    task compares more.
     """
-    main = live.groupBy("band", "label").count().groupBy("band").agg(F.max_by("label", F.struct("count", "label")).alias("arena"))
-    rows = materialise(live.join(main, "band").join(texts.select("id", "mark"), "id"), "live")
-    rest = rows.where("label <> arena").select("band", *(F.col(c).alias(to) for c, to in (("id", "a"), ("n", "m"), ("label", "la"), ("mark", "other"))))
+    by_label = live.groupBy("band", "label").agg(F.count("*").alias("n"), F.max("size").alias("size"))
+    main = by_label.groupBy("band").agg(
+        F.max_by("label", F.struct("n", "label")).alias("arena"), F.sum("n").alias("every"), F.max("n").alias("most"), F.max("size").alias("size")
+    )
+    spread = main.select(
+        "band", "arena", _parts(F.col("every")).alias("rows"), _parts(F.col("every") - F.col("most")).alias("columns"), _cells(_parts(F.col("size"))).alias("salt")
+    )
+    placed = live.select("band", "salt", "id", "n", "label").join(spread, ["band", "salt"])
+    rows = materialise(placed.join(texts.select("id", "mark"), "id"), "live")
+    left = rows.withColumn("row", _part("id", F.col("rows"))).select("band", "row", _cells(F.col("columns")).alias("column"), "id", "n", "label", "mark")
+    rest = rows.where("label <> arena").withColumn("column", _part("id", F.col("columns"))).select(
+        "band", _cells(F.col("rows")).alias("row"), "column", *(F.col(c).alias(to) for c, to in (("id", "a"), ("n", "m"), ("label", "la"), ("mark", "other")))
+    )
     apart = reduce(add, (F.bit_count(F.get("mark", F.lit(i)).bitwiseXOR(F.get("other", F.lit(i)))) for i in range(MARK)))
     return (
-        rows.join(rest, "band").where("label <> la")
+        left.join(rest, ["band", "row", "column"]).where("label <> la")
         .where(100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
         .where((100 + percent) * apart <= (100 - percent) * (F.col("n") + F.col("m")))
-        .select("a", F.col("id").alias("b"), "n", "m")
+        .select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b"), F.lit(0).cast("bigint").alias("w"))
     )
 
 
+def _beside(pairs: DataFrame, table: DataFrame, what: str) -> DataFrame:
+    """Rows (a, salt, b, value, w): in each group (a, salt), which one task reads in order, first a's own value (b null), then those of its b.
+
+    w bounds the pairs of a and says into how many groups they are dealt; a's
+    value goes once to each group and not to each pair.
+    """
+    dealt = pairs.withColumn("salt", _part("b", (F.col("w") / SPLIT).cast("int") + 1))
+    value = table.select(F.col("id"), F.col(what).alias("value"))
+    own = dealt.groupBy("a", "salt").agg(F.max("w").alias("w")).join(value.withColumnRenamed("id", "a"), "a")
+    others = dealt.join(value.withColumnRenamed("id", "b"), "b")
+    columns = ("a", "salt", "b", "value", "w")
+    every = own.withColumn("b", F.lit(None).cast("bigint")).select(*columns).unionByName(others.select(*columns))
+    return every.repartition("a", "salt").sortWithinPartitions("a", "salt", F.asc_nulls_first("b"))
+
+
 def _verify(pairs: DataFrame, sigs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """The linked ones of pairs (a, b): pruned by posterior, then confirmed on full sets."""
+    """The linked ones (a, b) of pairs (a, b, w): pruned by posterior, then confirmed on full sets."""
     limits = least_matches(percent)
 
     def prune(batches):
+        held = np.zeros((1, BANDS * ROWS), np.uint32)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(batch.num_rows, -1) for c in (2, 3))
-            alive = np.arange(batch.num_rows)
+            signed = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint32).reshape(batch.num_rows, -1)
+            first = np.array(batch.column(2).is_null())
+            known = np.concatenate((held, signed))
+            hub = np.maximum.accumulate(np.where(first, np.arange(1, batch.num_rows + 1), 0))
+            alive = np.flatnonzero(~first)
             matches = np.zeros(batch.num_rows, np.int64)
             for step, least in enumerate(limits):
                 at = slice(step * BATCH, (step + 1) * BATCH)
-                matches[alive] += (a[alive, at] == b[alive, at]).sum(axis=1)
+                matches[alive] += (known[hub[alive], at] == signed[alive, at]).sum(axis=1)
                 alive = alive[matches[alive] >= least]
-            yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(alive)) for c in (0, 1)], names=["a", "b"])
+            held = known[hub[-1]][None].copy()
+            yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(alive)) for c in (0, 2, 4)], names=["a", "b", "w"])
 
     def confirm(batches):
-        last: tuple = (None, None)
+        own = np.empty(0, np.uint64)
         for batch in _forgetting(batches):
             linked = []
-            for a, s, t in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3), strict=True):
-                if last[0] != a:
-                    last = a, shingles(s.as_py(), k)
-                x, y = last[1], shingles(t.as_py(), k)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                linked.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(c).filter(pa.array(linked, pa.bool_())) for c in (0, 1)], names=["a", "b"]
-            )
-
-    def beside(these: DataFrame, table: DataFrame, what: str) -> DataFrame:
-        x, y = (table.select(F.col("id").alias(c), F.col(what).alias(f"{what}_{c}")) for c in "ab")
-        return these.join(x, "a").join(y, "b").select("a", "b", f"{what}_a", f"{what}_b")
+            for b, text in zip(batch.column(2).to_pylist(), batch.column(3), strict=True):
+                found = shingles(text.as_py(), k)
+                if b is None:
+                    own = found
+                both = len(np.intersect1d(own, found, assume_unique=True))
+                linked.append(b is not None and 100 * both >= percent * (len(own) + len(found) - both))
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(linked, pa.bool_())) for c in (0, 2)], names=["a", "b"])
 
-    schema = "a bigint, b bigint"
-    survivors = beside(pairs, sigs, "sig").mapInArrow(prune, schema)
-    return beside(survivors, texts, "text").mapInArrow(confirm, schema)
+    survivors = materialise(_beside(pairs, sigs, "sig").mapInArrow(prune, "a bigint, b bigint, w bigint"), "survivors")
+    return _beside(survivors, texts, "text").mapInArrow(confirm, "a bigint, b bigint")
 
 
 def components(links: DataFrame) -> DataFrame:
     """Rows (id, label) of the ids in links (a, b): label is the smallest id that is reachable."""
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     edges = materialise(both, "edges")
+    total = edges.count()
+    degrees = materialise(edges.groupBy("b").agg(F.count("*").alias("rows")).where(F.col("rows") > HOT_ROWS), "degrees")
     labels = materialise(edges.groupBy(F.col("a").alias("id")).agg(F.min(F.least("a", "b")).alias("label")), "labels")
     while True:
         near = (
-            edges.join(labels.withColumnRenamed("id", "b"), "b")
+            lookup(edges, labels.withColumnRenamed("id", "b"), "b", degrees, total)
             .groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
         )
         lower = labels.join(near, "id").select("id", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         lower = materialise(lower, "labels")
         # the label's own label: chains shrink by half in each round
         up = lower.select(F.col("id").alias("label"), F.col("label").alias("up"))
+        sizes = lower.groupBy("label").agg(F.count("*").alias("rows"))
         nxt = materialise(
-            lower.join(up, "label").select("id", "old", F.least("label", "up").alias("label")), "labels"
+            lookup(lower, up, "label", sizes, lower.count()).select("id", "old", F.least("label", "up").alias("label")), "labels"
         )
         labels = nxt.select("id", "label")
         if nxt.where(F.col("old") != F.col("label")).isEmpty():
@@ -296,29 +342,31 @@ def _placed(docs: DataFrame, k: int, percent: int) -> DataFrame:
     signed = materialise(_sign(docs, k).withColumn("rid", F.monotonically_increasing_id()), "signed")
     grouped = (
         signed.where(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
-        .groupBy("digest").agg(F.min(F.struct("doc_id", "rid", "h")).alias("first"))
+        .groupBy("digest").agg(F.min(F.struct("doc_id", "rid", "h")).alias("first"), F.count("*").alias("rows"))
     )
     members = materialise(
-        grouped.select("digest", F.col("first.rid").alias("id"), F.col("first.doc_id").alias("doc_id"), F.col("first.h").alias("h")), "classes"
+        grouped.select("digest", F.col("first.rid").alias("id"), F.col("first.doc_id").alias("doc_id"), F.col("first.h").alias("h"), "rows"), "classes"
     )
     classes = signed.select(F.col("rid").alias("id"), "n", "sig").join(members.select("id"), "id")
     rows = materialise(_bands(classes), "bands")
-    shared = rows.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
-    sized = materialise(rows.join(shared, "band").select("band", "id", "n", "size"), "sized")
+    shared = materialise(rows.groupBy("band").agg(F.count("*").alias("size")).where("size > 1"), "shared")
+    sized = materialise(lookup(rows, shared, "band", shared.select("band", F.col("size").alias("rows")), rows.count()), "sized")
     weights = sized.groupBy("id").agg(F.sum("size").alias("weight"))
-    buckets = materialise(sized.join(weights, "id").select("band", "id", "n", "weight"), "buckets")
+    buckets = materialise(
+        sized.join(weights, "id").select("band", _part("id", _parts(F.col("size"))).alias("salt"), "id", "n", "size", "weight"), "buckets"
+    )
     some = materialise(buckets.select("id").distinct(), "candidates")
     sigs = materialise(classes.join(some, "id", "left_semi").select("id", "sig"), "sigs")
     texts = materialise(_texts(docs, members.join(some, "id", "left_semi"), k), "texts")
     alike = 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
 
     def check(pairs: DataFrame) -> DataFrame:
-        chosen = pairs.where(alike).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        return materialise(_verify(chosen, sigs, texts, k, percent), "links")
+        return materialise(_verify(materialise(pairs.distinct(), "pairs"), sigs, texts, k, percent), "links")
 
     def against(hubs: DataFrame, live: DataFrame) -> DataFrame:
-        """Pairs of the live rows with their bucket's hub (band, hub, m, hub_label), where their components differ."""
-        return live.join(hubs, "band").where("id <> hub and label <> hub_label").select(F.col("hub").alias("a"), F.col("id").alias("b"), "*")
+        """Pairs of the live rows with their bucket's hub (band, salt, hub, m, w, hub_label), where their components differ."""
+        met = live.join(hubs, ["band", "salt"]).where("id <> hub and label <> hub_label").where(alike)
+        return met.select(F.col("hub").alias("a"), F.col("id").alias("b"), "w")
 
     live = buckets.withColumn("label", F.col("id"))
     links: list[DataFrame] = []
@@ -328,15 +376,17 @@ def _placed(docs: DataFrame, k: int, percent: int) -> DataFrame:
             live = (
                 buckets.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
             )
-            mixed = live.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("band")
-            live = materialise(live.join(mixed, "band", "left_semi"), "live")
+            ends = live.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("size").alias("size"))
+            mixed = ends.where("lo <> hi").select("band", _cells(_parts(F.col("size"))).alias("salt"))
+            live = materialise(live.join(mixed, ["band", "salt"], "left_semi"), "live")
             if live.isEmpty():
                 break
         if turn < HUB_ROUNDS:
             first = -F.col("weight") if turn == 0 else F.xxhash64("id", "band", F.lit(turn))
-            order = F.struct(first.alias("rank"), "id", "n", "label")
-            hubs = live.groupBy("band").agg(F.min(order).alias("h")).select(
-                "band", F.col("h.id").alias("hub"), F.col("h.n").alias("m"), F.col("h.label").alias("hub_label")
+            order = F.struct(first.alias("rank"), "id", "n", "label", "weight")
+            hubs = live.groupBy("band").agg(F.min(order).alias("h"), F.max("size").alias("size")).select(
+                "band", _cells(_parts(F.col("size"))).alias("salt"), F.col("h.id").alias("hub"), F.col("h.n").alias("m"),
+                F.col("h.label").alias("hub_label"), F.col("h.weight").alias("w"),
             )
             found = check(against(hubs, live))
         else:
@@ -346,11 +396,13 @@ def _placed(docs: DataFrame, k: int, percent: int) -> DataFrame:
             labels = components(reduce(DataFrame.unionByName, links))
         elif labels is None:
             labels = _empty(docs.sparkSession, "id bigint, label bigint")
-    placed = members.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    least = placed.groupBy("label").agg(F.min(F.struct("doc_id", "id", "h")).alias("least"))
-    named = placed.join(least, "label").select("digest", F.col("least.doc_id").alias("component"), F.col("least.h").alias("first"))
+    placed = materialise(members.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id")), "placed")
+    least = materialise(placed.groupBy("label").agg(F.min(F.struct("doc_id", "id", "h")).alias("least"), F.count("*").alias("rows")), "least")
+    met = lookup(placed.drop("rows"), least.drop("rows"), "label", least.select("label", "rows"), placed.count())
+    named = materialise(met.select("digest", F.col("least.doc_id").alias("component"), F.col("least.h").alias("first")), "named")
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component", "doc_id"))
-    return signed.select("doc_id", "h", "n", "digest").join(named, "digest", "left").select(
+    counts = members.select("digest", "rows")
+    return lookup(signed.select("doc_id", "h", "n", "digest"), named, "digest", counts, signed.count(), "left").select(
         "doc_id", "h", "n", component.alias("component"), "first"
     )
 
@@ -361,9 +413,15 @@ def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> Data
     A doc_id that repeats with other texts is judged by each text. Rows without a doc_id stay.
     """
     other = (F.col("component") != F.col("doc_id")) | (F.col("first") != F.col("h"))
-    gone = _placed(docs, k, percent).where(other).select("doc_id", F.col("h").alias("__text")).distinct()
-    named = docs.where(F.col("doc_id").isNotNull()).withColumn("__text", _text_hash())
+    placed = materialise(_placed(docs, k, percent).where(F.col("doc_id").isNotNull()).select("doc_id", F.col("h").alias("__text"), other.alias("gone")), "verdicts")
     key = ["doc_id", "__text"]
-    return named.join(gone, key, "left_anti").dropDuplicates(key).select(docs.columns).unionByName(
-        docs.where(F.col("doc_id").isNull())
-    )
+    gone = placed.where("gone").select(key).distinct()
+    again = placed.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(key)
+    # most rows are neither dropped nor repeated: they stay without any shuffle of their texts
+    touched = key_filter(materialise(gone.unionByName(again).distinct(), "touched"), *key)
+    named = docs.where(F.col("doc_id").isNotNull()).withColumn("__text", _text_hash())
+    keyed = named.withColumn("doc_id", F.col("doc_id").cast("bigint")) if dict(docs.dtypes)["doc_id"] != "bigint" else named
+    sure = maybe_in(keyed, touched, *key, inside=False)
+    left = maybe_in(keyed, touched, *key).join(gone, key, "left_anti").dropDuplicates(key)
+    kept = sure.unionByName(left.select(sure.columns)).select([F.col(c).cast(t) for c, t in docs.dtypes])
+    return kept.unionByName(docs.where(F.col("doc_id").isNull()))

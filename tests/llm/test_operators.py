@@ -391,9 +391,11 @@ def brute_components(texts, k, percent):
     return label, [len(s) for s in sets]
 
 
-@pytest.mark.parametrize(("k", "rounds"), [(2, 0), (2, 1), (5, 1)])
-def test_near_duplicates_against_all_pairs(spark, k, rounds, monkeypatch):
+@pytest.mark.parametrize(("k", "rounds", "split"), [(2, 0, 500), (2, 1, 500), (5, 1, 500), (2, 0, 7), (2, 1, 7)])
+def test_near_duplicates_against_all_pairs(spark, k, rounds, split, monkeypatch):
     monkeypatch.setattr(near_dup, "HUB_ROUNDS", rounds)
+    monkeypatch.setattr(near_dup, "SPLIT", split)
+    monkeypatch.setattr(common, "HOT_ROWS", split)
     rng = random.Random(9)
     many = [f"w{n}" for n in range(3000)]
     base = text(rng, 120, many).split()
@@ -438,6 +440,24 @@ def test_dropping_goes_by_row_where_a_doc_id_repeats(spark):
     assert len(left) == 5 and set(left) - {(3, c), (3, c + " end")} == {(1, a), (2, b), (5, None), (5, "")}
 
 
+def test_key_filters_let_every_key_through(spark):
+    keys = spark.range(0, 3000, 3)
+    found = common.key_filter(keys, "id")
+    inside, outside = (common.maybe_in(spark.range(3000), found, "id", inside=i) for i in (True, False))
+    assert keys.subtract(inside).isEmpty() and 1000 <= inside.count() < 1010 and inside.count() + outside.count() == 3000
+    assert common.maybe_in(keys, common.key_filter(keys.limit(0), "id"), "id", inside=False).count() == 1000
+
+
+def test_hot_keys_are_looked_up_like_others(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 10)
+    rows = spark.range(200).select((F.col("id") % 20 * F.when(F.col("id") < 100, 0).otherwise(1)).alias("k"), "id")
+    table = spark.range(0, 30, 2).select(F.col("id").alias("k"), (F.col("id") * 7).alias("v"))
+    counts = rows.groupBy("k").agg(F.count("*").alias("rows"))
+    for how in ("inner", "left"):
+        got, want = common.lookup(rows, table, "k", counts, 200, how), rows.join(table, "k", how)
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
 def test_components_of_long_chains(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101)], "a bigint, b bigint")
     got = {r["id"]: r["label"] for r in near_dup.components(links).collect()}
