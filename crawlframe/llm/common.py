@@ -65,12 +65,12 @@ def lookup(rows: DataFrame, table: DataFrame, key: str, counts: DataFrame, total
 
 
 #: Bits of a filter of keys, of which a broadcast takes an eighth in bytes.
-FILTER_BITS = 1 << 27
+FILTER_BITS = 1 << 26
 _PAGE = 32_768  # bits of one bitmap of Spark's
 
 
 def key_filter(keys: DataFrame, *key: str) -> DataFrame:
-    """(page, bits): one bit for the hash of each key, 16 MB at most whatever the number of keys."""
+    """(page, bits): one bit for the hash of each key, 8 MB at most whatever the number of keys."""
     at = F.pmod(F.xxhash64(*key), F.lit(FILTER_BITS))
     return keys.groupBy((at / _PAGE).cast("int").alias("page")).agg(F.bitmap_construct_agg(at % _PAGE).alias("bits"))
 

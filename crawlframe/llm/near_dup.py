@@ -356,7 +356,8 @@ def _placed(docs: DataFrame, k: int, percent: int) -> DataFrame:
         sized.join(weights, "id").select("band", _part("id", _parts(F.col("size"))).alias("salt"), "id", "n", "size", "weight"), "buckets"
     )
     some = materialise(buckets.select("id").distinct(), "candidates")
-    sigs = materialise(classes.join(some, "id", "left_semi").select("id", "sig"), "sigs")
+    signatures = maybe_in(signed.select(F.col("rid").alias("id"), "sig"), key_filter(some, "id"), "id")
+    sigs = materialise(signatures.join(some, "id", "left_semi"), "sigs")
     texts = materialise(_texts(docs, members.join(some, "id", "left_semi"), k), "texts")
     alike = 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
 

@@ -268,6 +268,49 @@ def test_kneser_ney(spark):
     assert kneser_ney.classify(docs.limit(0), labels).count() == 0
 
 
+def brute_kneser_ney(trusted, text):
+    """Mean of -ln p by the textbook's recursion over counts, with no code of the operator's but its discounts."""
+    framed = lambda t: ["<s>", "<s>", *t.lower().split(), "</s>"]
+    tri = collections.Counter(g for t in trusted for g in zip(framed(t), framed(t)[1:], framed(t)[2:], strict=False))
+    bi = collections.Counter()
+    for (_, b, c), n in tri.items():
+        bi[b, c] += n if b == "<s>" else 1
+    uni = collections.Counter(c for _, c in bi)
+    cut = [kneser_ney.discounts(collections.Counter(x.values())) for x in (uni, bi, tri)]
+    off = lambda order, n: cut[order][min(n, 3) - 1]
+
+    def level(order, counts, context, word, lower):
+        here = {g: n for g, n in counts.items() if g[:-1] == context}
+        if not here:
+            return lower
+        total = sum(here.values())
+        own = here.get((*context, word), 0)
+        return (own - off(order, own) if own else 0) / total + sum(off(order, n) for n in here.values()) / total * lower
+
+    def p(a, b, c):
+        one = level(0, {(w,): n for w, n in uni.items()}, (), c, 1 / (len(uni) + 1))
+        return level(2, tri, (a, b), c, level(1, bi, (b,), c, one))
+
+    own = framed(text)
+    return -sum(math.log(p(*g)) for g in zip(own, own[1:], own[2:], strict=False)) / (len(own) - 2)
+
+
+@pytest.mark.parametrize("hot", [0, 20, 10**6])
+def test_kneser_ney_joins_against_the_recursion(spark, hot, monkeypatch):
+    monkeypatch.setattr(kneser_ney, "HOT", hot)
+    monkeypatch.setattr(common, "HOT_ROWS", 5)
+    rng = random.Random(16)
+    trusted = [text(rng, rng.randint(1, 60), WORDS[:12]) for _ in range(25)]
+    others = [text(rng, rng.randint(1, 40), [*WORDS[:14], "Zzz", "é"]) for _ in range(40)] + trusted[:5] + ["the", "zzz", trusted[0]]
+    docs = documents(spark, [*others, None, "", " "]).select("doc_id", "lang", F.col("text").cast("binary").alias("text"))
+    got = {r["doc_id"]: r for r in kneser_ney._score(docs, kneser_ney.levels(documents(spark, trusted).select("text"))).collect()}
+    for k, t in enumerate(others):
+        assert math.isclose(got[k]["ln_perplexity"], brute_kneser_ney(trusted, t), rel_tol=1e-9) and got[k]["n_words"] == len(t.split())
+    assert [got[len(others) + k]["ln_perplexity"] for k in range(3)] == [None] * 3
+    empty = kneser_ney._score(docs, kneser_ney.levels(documents(spark, []).select("text"))).collect()
+    assert len(empty) == len(others) + 3 and all(r["ln_perplexity"] in (None, 0.0) for r in empty)
+
+
 def test_kneser_ney_counts_whole_texts(spark):
     long = " ".join(f"w{k}" for k in range(2500))
     grams = {(bytes(r[0]), bytes(r[1]), bytes(r[2])) for r in kneser_ney._ngrams(documents(spark, [long]).select("text")).drop("c").collect()}
