@@ -22,12 +22,13 @@ KINDS = (
     "timeout", "cancelled", "dns_timeout", "dns_nxdomain", "dns_error", "conn_refused", "conn_reset",
     "conn_aborted", "tcp_timeout", "net_unreachable", "host_unreachable",
 )
-TLS_VERSIONS = {0x0301: "1.0", 0x0302: "1.1", 0x0303: "1.2", 0x0304: "1.3"}
+TLS_VERSIONS = {0x0301: "TLS 1.0", 0x0302: "TLS 1.1", 0x0303: "TLS 1.2", 0x0304: "TLS 1.3"}
 
 
 def short_content_type(value: Column) -> Column:
-    plain = F.lower(F.trim(F.split_part(F.coalesce(value, F.lit("")), F.lit(";"), F.lit(1))))
-    return F.when(plain == "", F.lit("unknown")).otherwise(plain)
+    """What is before the semicolon, trimmed, in lower case; unknown only where there is no header at all."""
+    plain = F.regexp_replace(F.lower(F.split_part(value, F.lit(";"), F.lit(1))), r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
+    return F.when(value.isNull() | (value == ""), F.lit("unknown")).otherwise(plain)
 
 
 def is_html(content_type: Column) -> Column:

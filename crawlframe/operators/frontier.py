@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crawlframe.functions import politeness as P
+from crawlframe.functions.binding import let
 
 
 def push(frontier: DataFrame, entries: DataFrame) -> DataFrame:
@@ -18,6 +20,11 @@ def pop_ready(frontier: DataFrame, now: Column, k: int = 1) -> DataFrame:
     return frontier.where(F.col("next_fetch") <= now).orderBy("next_fetch", "domain").limit(k)
 
 
+def wait(frontier: DataFrame, now: Column) -> DataFrame:
+    """One row (wait): how long the earliest domain isn't ready yet; 0 if one is ready or there is none."""
+    return frontier.agg(F.greatest(F.coalesce(F.min("next_fetch") - now, F.lit(0)), F.lit(0)).cast("bigint").alias("wait"))
+
+
 def peek(frontier: DataFrame) -> DataFrame:
     return frontier.orderBy("next_fetch", "domain").limit(1)
 
@@ -26,6 +33,16 @@ def remove(frontier: DataFrame, domains: DataFrame) -> DataFrame:
     return frontier.join(domains.select("domain"), "domain", "left_anti")
 
 
+def contains(frontier: DataFrame, domains: DataFrame) -> DataFrame:
+    """domains with held: whether the frontier has them."""
+    held = frontier.select("domain", F.lit(True).alias("held")).distinct()
+    return domains.join(held, "domain", "left").withColumn("held", F.coalesce("held", F.lit(False)))
+
+
+def size(frontier: DataFrame) -> DataFrame:
+    return frontier.agg(F.count("*").alias("n"))
+
+
 def rebuild(queue: DataFrame, state: DataFrame, now_ns: Column) -> DataFrame:
     """(domain, next_fetch_ns) of the queued domains that aren't dead."""
     dead = state.where("dead").select("domain")
@@ -35,40 +52,56 @@ def rebuild(queue: DataFrame, state: DataFrame, now_ns: Column) -> DataFrame:
     return active.select("domain", due.alias("next_fetch_ns"))
 
 
+STATE = "domain string, dead boolean, crawl_delay_ns bigint, avg_latency_ns bigint, last_fetch_ns bigint, backoff_until_ns bigint, consecutive_errors int"
+
+
 def fold(log: DataFrame, compat: bool = False) -> DataFrame:
-    """The politeness state of each domain after log (event_id, ts_ns, domain, outcome, latency_ns, robots_delay_ns).
+    """The politeness state (STATE) of each domain after log (event_id, ts_ns, domain, outcome, latency_ns, robots_delay_ns[, retry_after_ns]).
 
-    outcome: ok, rate_limited, error or nxdomain. Each step cuts to whole
-    nanoseconds, so the fold is in order: one domain's log is one row's work.
-    compat: a failed fetch is also recorded as a fetch, so that errors never
-    add up, as the crawler that this follows does.
+    outcome: ok, rate_limited, error or nxdomain; see politeness.step. Each step
+    cuts to whole nanoseconds, so the fold is in order: a task reads its
+    domains' events sorted and holds one state at a time, so that memory is
+    bounded however long a domain's log is (the sort spills).
     """
-    events = F.array_sort(F.collect_list(F.struct("ts_ns", "event_id", "outcome", "latency_ns", "robots_delay_ns")))
-    zero = F.struct(
-        F.lit(False).alias("dead"), F.lit(P.DEFAULT_DELAY).cast("bigint").alias("delay"), F.lit(0).cast("bigint").alias("ema"),
-        F.lit(None).cast("bigint").alias("last"), F.lit(None).cast("bigint").alias("backoff"), F.lit(0).alias("errors"),
+    if "retry_after_ns" not in log.columns:
+        log = log.withColumn("retry_after_ns", F.lit(None).cast("bigint"))
+    names = [c.split()[0] for c in STATE.split(", ")]
+    kinds = (pa.string(), pa.bool_(), *(pa.int64(),) * 4, pa.int32())
+
+    def run(batches):
+        domain, state, started = None, P.FRESH, False
+
+        def out(rows):
+            columns = list(zip(*rows, strict=True)) or [()] * len(names)
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+
+        for batch in batches:
+            done = []
+            for name, *event in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if not started or name != domain:
+                    if started:
+                        done.append((domain, *state))
+                    domain, state, started = name, P.FRESH, True
+                state = P.advance(state, *event, compat)
+            yield out(done)
+        if started:
+            yield out([(domain, *state)])
+
+    ordered = log.repartition("domain").sortWithinPartitions("domain", "ts_ns", "event_id")
+    return ordered.select("domain", "outcome", "ts_ns", "latency_ns", "robots_delay_ns", "retry_after_ns").mapInArrow(run, STATE)
+
+
+def record(state: DataFrame, events: DataFrame, compat: bool = False) -> DataFrame:
+    """state (STATE) after at most one event of each domain; a domain without state starts afresh. Native, one join."""
+    old = F.struct(
+        F.coalesce("dead", F.lit(False)).alias("dead"), F.coalesce("crawl_delay_ns", F.lit(P.DEFAULT_DELAY)).alias("delay"),
+        F.coalesce("avg_latency_ns", F.lit(0)).alias("ema"), F.col("last_fetch_ns").alias("last"),
+        F.col("backoff_until_ns").alias("backoff"), F.coalesce("consecutive_errors", F.lit(0)).alias("errors"),
     )
-
-    def step(s: Column, e: Column) -> Column:
-        ok, limited = e["outcome"] == "ok", e["outcome"] == "rate_limited"
-        error, gone = e["outcome"] == "error", e["outcome"] == "nxdomain"
-        recorded = (ok | error | gone) if compat else ok
-        average = F.when(recorded, P.ema(s["ema"], e["latency_ns"])).otherwise(s["ema"])
-        slower = P.clamp(s["delay"] * 2)
-        errors = F.when(error, F.when(F.lit(compat), F.lit(1)).otherwise(s["errors"] + 1)).when(recorded, F.lit(0)).otherwise(s["errors"])
-        return F.struct(
-            (s["dead"] | gone | (error & (errors >= P.DEAD_ERRORS))).alias("dead"),
-            F.when(recorded, P.adaptive_delay(average, e["robots_delay_ns"])).when(limited, slower).otherwise(s["delay"]).alias("delay"),
-            average.alias("ema"),
-            F.when(recorded, e["ts_ns"]).otherwise(s["last"]).alias("last"),
-            F.when(limited, e["ts_ns"] + slower)
-            .when(error & (errors >= P.BACKOFF_ERRORS), e["ts_ns"] + P.error_backoff(errors))
-            .otherwise(s["backoff"]).alias("backoff"),
-            errors.cast("int").alias("errors"),
-        )
-
-    folded = log.groupBy("domain").agg(F.aggregate(events, zero, step).alias("s"))
-    return folded.select(
+    event = F.struct("ts_ns", "outcome", "latency_ns", "robots_delay_ns", "retry_after_ns")
+    joined = state.join(events.select("domain", event.alias("e")), "domain", "full")
+    after = let(old, lambda s: F.when(F.col("e").isNull(), s).otherwise(P.step(s, F.col("e"), compat)))
+    return joined.select("domain", after.alias("s")).select(
         "domain", "s.dead", F.col("s.delay").alias("crawl_delay_ns"), F.col("s.ema").alias("avg_latency_ns"),
         F.col("s.last").alias("last_fetch_ns"), F.col("s.backoff").alias("backoff_until_ns"), F.col("s.errors").alias("consecutive_errors"),
     )

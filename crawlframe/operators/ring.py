@@ -18,6 +18,15 @@ def build(nodes: DataFrame, vnodes: int = VNODES) -> DataFrame:
     return each.select(fnv1a64_hex(name).alias("pos"), "node_id")
 
 
+def node(nodes: DataFrame, node_id: int) -> DataFrame:
+    """The row of one node, if there is one."""
+    return nodes.where(F.col("node_id") == node_id)
+
+
+def count(nodes: DataFrame) -> DataFrame:
+    return nodes.agg(F.count_distinct("node_id").alias("n"))
+
+
 def intervals(ring: DataFrame) -> DataFrame:
     """(lo, hi, node_id): the hashes in (lo, hi] belong to node_id; the last stretch wraps to the first node. A few hundred rows a node."""
     order = Window.orderBy("pos")

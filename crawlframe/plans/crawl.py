@@ -1,15 +1,19 @@
-"""Whole plans: a crawl round from pages to routed new URLs, robots gating, sitemap recursion."""
+"""Whole plans: the parse loop from pages to routed new URLs, the fetch loop, robots gating and its cache, sitemap recursion."""
 
 from __future__ import annotations
 
 from functools import reduce
+from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crawlframe.functions import robots, sitemap
+from crawlframe.functions.http import encode_wire
 from crawlframe.functions.urls import robots_path
-from crawlframe.operators import dedup, links, queue, ring
+from crawlframe.operators import dedup, frontier, links, queue, ring
+
+ROBOTS_TTL_NS = 24 * 3600 * 10**9
 
 
 def crawl_round(pages: DataFrame, seen: DataFrame, nodes: DataFrame, depth: Column | None = None) -> DataFrame:
@@ -34,23 +38,134 @@ def robots_gate(urls: DataFrame, bodies: DataFrame, agent: str) -> DataFrame:
     return joined.withColumn("allowed", robots.allowed(robots_path(F.col("url")), F.col("rules"))).drop("rules")
 
 
+def robots_due(domains: DataFrame, cache: DataFrame, now_ns: Column) -> DataFrame:
+    """The domains whose robots.txt is to be fetched: the cache (domain, expires_ns) has no answer of theirs that still holds."""
+    valid = cache.where(F.col("expires_ns") > now_ns).select("domain")
+    return domains.select("domain").distinct().join(valid, "domain", "left_anti")
+
+
+def robots_refreshed(cache: DataFrame, bodies: DataFrame, now_ns: Column) -> DataFrame:
+    """The cache (domain, body, expires_ns) with newly fetched bodies (domain, body), which hold for ROBOTS_TTL_NS."""
+    fresh = bodies.select("domain", "body", (now_ns + ROBOTS_TTL_NS).alias("expires_ns"))
+    return cache.join(bodies.select("domain"), "domain", "left_anti").select("domain", "body", "expires_ns").unionByName(fresh)
+
+
 def sitemap_candidates(hints: DataFrame) -> DataFrame:
     """(domain, pos, url) of (domain, hints): the default place, then distinct trimmed hints."""
     default = F.concat(F.lit("https://"), F.col("domain"), F.lit("/sitemap.xml"))
-    told = F.filter(F.transform(F.coalesce("hints", F.array()), F.trim), lambda h: h != "")
+    told = F.filter(F.transform(F.coalesce("hints", F.array()), lambda h: F.trim(h)), lambda h: h != "")
     return hints.select("domain", F.posexplode(F.array_distinct(F.concat(F.array(default), told))).alias("pos", "url"))
 
 
+def sitemap_due(domains: DataFrame, checked: DataFrame) -> DataFrame:
+    """The domains (domain, hints) whose sitemaps were never looked for: each is once, whatever comes of it."""
+    return domains.join(checked.select("domain"), "domain", "left_anti")
+
+
 def sitemap_urls(roots: DataFrame, bodies: DataFrame, depth: int = 2) -> DataFrame:
-    """(domain, url): pages of the sitemaps (url, body) under roots (domain, url), through indexes up to depth; at most MAX_URLS a domain."""
-    level, pages = roots.select("domain", "url"), []
+    """(domain, pos, url): pages of the sitemaps (url, body) under roots (domain, pos, url), through indexes up to depth.
+
+    In document order, root after root, each URL at its first place. A root
+    gives at most MAX_URLS, repeated ones counted, and so does a domain.
+    """
+    level = roots.select("domain", F.col("pos").alias("root"), F.lit(None).cast("array<int>").alias("path"), "url")
+    pages = []
     for k in range(depth + 1):
         opened = level.join(bodies, "url")
-        leaf = opened.where(~sitemap.is_index(F.col("body")))
-        pages.append(leaf.select("domain", F.explode(sitemap.locs(F.col("body"), "url")).alias("url")))
+        place = F.concat(F.coalesce("path", F.array().cast("array<int>")), F.array(F.col("at")))
+        tell = lambda rows, tag: rows.select("domain", "root", "path", F.posexplode(sitemap.locs(F.col("body"), tag)).alias("at", "url")).select(
+            "domain", "root", place.alias("path"), "url"
+        )
+        pages.append(tell(opened.where(~sitemap.is_index(F.col("body"))), "url"))
         if k < depth:
-            index = opened.where(sitemap.is_index(F.col("body")))
-            level = index.select("domain", F.explode(sitemap.locs(F.col("body"), "sitemap")).alias("url"))
-    every = reduce(DataFrame.unionByName, pages).distinct()
-    ordered = queue.enqueue(every.withColumn("depth", F.lit(0)), "url", domain_cap=sitemap.MAX_URLS)
-    return ordered.select("domain", "url")
+            level = tell(opened.where(sitemap.is_index(F.col("body"))), "sitemap")
+    within = Window.partitionBy("domain", "root").orderBy("path")
+    capped = reduce(DataFrame.unionByName, pages).withColumn("nth", F.row_number().over(within)).where(F.col("nth") <= sitemap.MAX_URLS)
+    first = capped.groupBy("domain", "url").agg(F.min(F.struct("root", "nth")).alias("first"))
+    pos = F.row_number().over(Window.partitionBy("domain").orderBy("first"))
+    return first.select("domain", pos.alias("pos"), "url").where(F.col("pos") <= sitemap.MAX_URLS)
+
+
+class Parsed(NamedTuple):
+    """new: (url, domain, depth, owner) of new URLs; enqueued: those of this node as queue items; forwarded: (owner, address, wire); counters: a row for each page."""
+
+    new: DataFrame
+    enqueued: DataFrame
+    forwarded: DataFrame
+    counters: DataFrame
+
+
+def parse_round(pages: DataFrame, seen: DataFrame, queued: DataFrame, dead: DataFrame, nodes: DataFrame, me: int) -> Parsed:
+    """The parse loop over pages (page_id, url, domain, depth, html), in the order of page_id.
+
+    The third and later pages of a domain with one body give no links. Of the
+    links of all other pages, those that seen (url) has or that an earlier place
+    has are dropped; the others go to the node that owns their domain: this one
+    (me) enqueues them within the caps, after what queued (domain, seq) holds,
+    unless the domain is dead; others get them by their address, and a node
+    without one gets nothing. Counters, as the pages count them: discovered,
+    deduped, enqueued (before caps), forwarded.
+    """
+    kept = links.soft404(pages.withColumn("__body", F.xxhash64("html")), "domain", "__body", "page_id").drop("__body")
+    each = links.first_seen(links.resolve(links.extract(kept)), "page_id").join(kept.select("page_id", (F.col("depth") + 1).alias("depth")), "page_id")
+    place = F.struct("page_id", "pos")
+    first = each.groupBy("link").agg(F.min(F.struct(place.alias("place"), "link_domain", "depth")).alias("f")).select(
+        F.col("link").alias("url"), F.col("f.link_domain").alias("domain"), "f.depth", F.col("f.place.page_id").alias("page_id"), F.col("f.place.pos").alias("pos")
+    )
+    fresh = ring.with_owner(dedup.new_urls(first, seen), F.col("domain"), nodes)
+    own = queue.admit(fresh.where(F.col("owner") == me), dead).withColumn("__at", F.struct("page_id", "pos"))
+    enqueued = queue.enqueue(own, "__at", queued).select("domain", "seq", "url", "depth")
+    peers = nodes.where(F.col("node_id") != me).select(F.col("node_id").alias("owner"), "address")
+    sent = fresh.join(F.broadcast(peers), "owner").select("owner", "address", encode_wire(F.col("url"), F.col("depth")).alias("wire"))  # nodes are few
+    found = each.groupBy("page_id").agg(F.count("*").alias("discovered"))
+    new = fresh.groupBy("page_id").agg(F.count_if(F.col("owner") == me).alias("enqueued"), F.count_if(F.col("owner") != me).alias("forwarded"))
+    none = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    counters = kept.select("page_id").join(found, "page_id", "left").join(new, "page_id", "left").select(
+        "page_id", none("discovered"), none("enqueued"), none("forwarded")
+    ).withColumn("deduped", F.col("discovered") - F.col("enqueued") - F.col("forwarded"))
+    return Parsed(fresh.select("url", "domain", "depth", "owner"), enqueued, sent, counters)
+
+
+class Fetched(NamedTuple):
+    """outcomes: (domain, url, depth, outcome) of each URL taken; pages, queue, state and frontier after the round."""
+
+    outcomes: DataFrame
+    pages: DataFrame
+    queue: DataFrame
+    state: DataFrame
+    frontier: DataFrame
+
+
+def fetch_round(front: DataFrame, queued: DataFrame, state: DataFrame, bodies: DataFrame, responses: DataFrame, agent: str, now_ns: Column, k: int, compat: bool = False) -> Fetched:
+    """One turn of the fetch loop for the k domains of front (domain, next_fetch) that have been ready longest.
+
+    Each gives the head of its queue (domain, seq, url, depth). A dead domain's
+    URL is lost, and the domain isn't put back. A URL that robots.txt (domain,
+    body) forbids is lost. The others are looked up in responses (url, outcome,
+    latency_ns, retry_after_ns, body); one without a response is an error. A rate-limited
+    URL goes to its queue's end. Outcomes are recorded in state; a domain that
+    dies loses its queue. A domain with URLs left comes back with its next time.
+    """
+    popped = frontier.pop_ready(front, now_ns, k).select("domain")
+    taken = queue.heads(queued.join(popped, "domain", "left_semi"))
+    alive = taken.join(state.where("dead").select("domain"), "domain", "left_anti")
+    gated = robots_gate(alive, bodies, agent)
+    asked = gated.where("allowed").drop("allowed").join(responses, "url", "left").withColumn("outcome", F.coalesce("outcome", F.lit("error")))
+    lost = taken.join(alive.select("domain"), "domain", "left_anti").withColumn("outcome", F.lit("dead")).select("domain", "url", "depth", "outcome")
+    blocked = gated.where("NOT allowed").select("domain", "url", "depth", F.lit("blocked").alias("outcome"))
+    outcomes = asked.select("domain", "url", "depth", "outcome").unionByName(blocked).unionByName(lost)
+    after = frontier.record(state, asked.withColumn("ts_ns", now_ns), compat)
+    dying = after.where("dead").join(asked.where("outcome IN ('error', 'nxdomain')").select("domain"), "domain", "left_semi")
+    rest = queue.drop(queued.join(taken.select("domain", "seq"), ["domain", "seq"], "left_anti"), dying)
+    again = asked.where("outcome = 'rate_limited'").select("domain", "url", "depth")
+    tail = queued.groupBy("domain").agg((F.max("seq") + 1).alias("seq"))
+    left = rest.unionByName(again.join(tail, "domain").select(*rest.columns))
+    back = frontier.rebuild(left.join(outcomes.where("outcome <> 'dead'").select("domain"), "domain", "left_semi"), after, now_ns)
+    held = front.join(popped, "domain", "left_anti")
+    return Fetched(
+        outcomes,
+        asked.where("outcome = 'ok'").select("domain", "url", "depth", "body"),
+        left,
+        after,
+        frontier.push(held.select("domain", "next_fetch"), back.withColumnRenamed("next_fetch_ns", "next_fetch")),
+    )

@@ -7,12 +7,13 @@ an error, signup a rate limit, anything else a success.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from crawlframe.functions import hashing, http, politeness, robots, sitemap, urls
-from crawlframe.operators import alerts, dedup, frontier, links, metrics, queue, ring
+from crawlframe.functions import hashing, html, http, politeness, robots, sitemap, urls
+from crawlframe.operators import alerts, dedup, frontier, inbox, links, metrics, queue, ring
 from crawlframe.plans import crawl
+from crawlframe.sources import tables
 
 NOW_NS = 1_706_659_200_000_000_000  # 2024-01-31
 
@@ -39,6 +40,22 @@ def _log(spark, sf_dir):
     )
 
 
+def _hard_log(spark, sf_dir):
+    """A log in which a third of the domains mostly fail, some names vanish, and rate limits may say how long to wait."""
+    n, user = F.col("event_id"), F.col("user_id")
+    outcome = (
+        F.when(user % 3 == 0, F.when(n % 13 == 0, "ok").otherwise("error"))
+        .when((user % 7 == 1) & (n % 40 == 0), "nxdomain").when(n % 5 == 0, "rate_limited").otherwise("ok")
+    )
+    return _log(spark, sf_dir).join(_table(spark, sf_dir, "events").select("event_id", "user_id"), "event_id").withColumns(
+        {
+            "outcome": outcome,
+            "retry_after_ns": F.when(n % 2 == 1, n % 90 * 1_000_000_000),
+            "robots_delay_ns": F.when(user % 5 == 0, F.lit(2_000_000_000)),
+        }
+    ).drop("user_id")
+
+
 def _nodes(spark, n):
     return spark.range(n).select(F.col("id").cast("int").alias("node_id"), F.concat(F.lit("10.0.0."), F.col("id").cast("string"), F.lit(":6379")).alias("address"))
 
@@ -158,7 +175,7 @@ def admission(spark, sf_dir):
 
 def enqueue_seq(spark, sf_dir):
     held = queue.enqueue(queue.admit(_items(spark, sf_dir).where("event_id % 3 = 0")), "event_id")
-    more = _items(spark, sf_dir).where("event_id % 3 = 1")
+    more = _items(spark, sf_dir).where("event_id % 3 <> 0")
     return queue.enqueue(queue.admit(more), "event_id", held, domain_cap=40).select("domain", "seq", "url", "depth")
 
 
@@ -227,24 +244,207 @@ def sitemap_locs(spark, sf_dir):
 
 
 def sitemap_recursive(spark, sf_dir):
+    """Every page is a sitemap of nine entries, one of them twice; ten pages to an index, the last first; ten indexes to a root, every other root to a domain."""
     pages = _pages(spark, sf_dir)
-    leaf = pages.select(
-        F.concat(F.lit("https://s/"), F.col("page_id").cast("string")).alias("url"),
-        F.concat(F.lit("<urlset><url><loc>"), F.col("url"), F.lit("</loc></url></urlset>")).alias("body"),
-    )
-    child = lambda n: F.concat(F.lit("<sitemap><loc>https://s/"), n, F.lit("</loc></sitemap>"))
-    index = pages.where("page_id % 10 = 0").select(
-        F.concat(F.lit("https://i/"), F.col("page_id").cast("string")).alias("url"),
-        F.concat(F.lit("<sitemapindex>"), child(F.col("page_id").cast("string")), child((F.col("page_id") + 1).cast("string")), F.lit("</sitemapindex>")).alias("body"),
-    )
-    roots = pages.where("page_id % 20 = 0").select(F.lit("d").alias("domain"), F.concat(F.lit("https://i/"), F.col("page_id").cast("string")).alias("url"))
-    return crawl.sitemap_urls(roots, leaf.unionByName(index))
+    name = lambda prefix, n: F.concat(F.lit(f"https://{prefix}/"), n.cast("string"))
+    entry = lambda tag, u: F.concat(F.lit(f"<{tag}><loc>"), u, F.lit(f"</loc></{tag}>"))
+    own = F.transform(F.sequence(F.lit(0), F.lit(8)), lambda k: entry("url", F.concat(F.col("page"), F.lit("?v="), (k % 8).cast("string"))))
+    leaf = pages.withColumnRenamed("url", "page").select(name("s", F.col("page_id")).alias("url"), F.concat(F.lit("<urlset>"), F.array_join(own, ""), F.lit("</urlset>")).alias("body"))
+
+    def index(rows, prefix, child, size, sign):
+        parts = F.array_join(F.transform(F.array_sort(F.collect_list(sign * F.col("n"))), lambda n: entry("sitemap", name(child, sign * n))), "")
+        grouped = rows.groupBy(F.floor(F.col("n") / size).alias("n")).agg(F.concat(F.lit("<sitemapindex>"), parts, F.lit("</sitemapindex>")).alias("body"))
+        return grouped.select("n", name(prefix, F.col("n")).alias("url"), "body")
+
+    low = index(pages.select(F.col("page_id").alias("n")), "i", "s", 10, -1)
+    high = index(low.select("n"), "r", "i", 10, 1)
+    roots = high.select(F.concat(F.lit("d"), (F.col("n") % 2).cast("string")).alias("domain"), F.col("n").cast("int").alias("pos"), "url")
+    return crawl.sitemap_urls(roots, leaf.unionByName(low.drop("n")).unionByName(high.drop("n")))
 
 
 def politeness_state(spark, sf_dir):
     return frontier.fold(_log(spark, sf_dir))
 
 
+def politeness_hard(spark, sf_dir):
+    return frontier.fold(_hard_log(spark, sf_dir))
+
+
+def tracked_domains(spark, sf_dir):
+    state = frontier.fold(_hard_log(spark, sf_dir))
+    return state.agg(F.count("*").alias("tracked"), F.count_if("dead").alias("dead"))
+
+
+def state_codec(spark, sf_dir):
+    """The state of each domain as bytes, and read back; every seventh is cut short, so that it reads as nothing."""
+    state = frontier.fold(_hard_log(spark, sf_dir)).withColumns({"robots_delay_ns": F.lit(2_000_000_000), "sitemap_checked": F.col("crawl_delay_ns") % 2 == 0})
+    coded = state.withColumn("data", politeness.encode_state(F.struct(*state.columns)))
+    cut = F.when(F.length("domain") == 2, F.substring("data", 1, 40)).otherwise(F.col("data"))
+    return coded.select("domain", F.hex("data").alias("data"), politeness.decode_state(cut).alias("s")).select("domain", "data", "s.*")
+
+
+def queue_codec(spark, sf_dir):
+    rows = _items(spark, sf_dir).withColumn("depth", (F.col("event_id") * 37 % 40_000 - 200).cast("int"))
+    coded = rows.withColumns({"k": queue.encode_seq(F.col("event_id")), "v": queue.encode_value(F.col("url"), F.col("depth"))})
+    back = coded.withColumns({"seq": queue.decode_seq(F.col("k")), "d": queue.decode_value(F.col("v"))})
+    return back.select("event_id", F.hex("k").alias("k"), "seq", F.hex(F.substring("v", 1, 4)).alias("head"), "d.url", "d.depth")
+
+
+def _front(spark, sf_dir):
+    """(queue, state, frontier) of the hard log; dead domains are still in the frontier, as of now."""
+    queued, state = _queue(spark, sf_dir), frontier.fold(_hard_log(spark, sf_dir))
+    due = frontier.rebuild(queued, state, F.lit(NOW_NS)).withColumnRenamed("next_fetch_ns", "next_fetch")
+    dead = queued.select("domain").distinct().join(state.where("dead").select("domain"), "domain", "left_semi")
+    return queued, state, due.unionByName(dead.withColumn("next_fetch", F.lit(NOW_NS)))
+
+
+def fetch_round(spark, sf_dir):
+    """One turn of the fetch loop: what became of the URL of each domain that was taken, and where the domain stands then."""
+    queued, state, front = _front(spark, sf_dir)
+    user = F.regexp_extract("domain", "[0-9]+", 0).cast("int")
+    bodies = state.where(user % 4 == 0).select("domain", F.lit("User-agent: *\nDisallow: /view\nCrawl-delay: 3").alias("body"))
+    n = F.col("event_id")
+    outcome = F.when(n % 6 == 0, "error").when(n % 6 == 1, "rate_limited").when(n % 6 == 2, "nxdomain").otherwise("ok")
+    responses = _items(spark, sf_dir).where("event_id % 11 <> 3").select(
+        "url", outcome.alias("outcome"), ((n % 7 + 1) * 100_000_000).alias("latency_ns"), F.when(n % 4 == 1, F.lit(60_000_000_000)).alias("retry_after_ns"), F.lit("").alias("body")
+    )
+    after = crawl.fetch_round(front, queued, state, bodies, responses, AGENT, F.lit(NOW_NS), 100)
+    left = queue.lengths(after.queue).withColumnRenamed("n", "left")
+    end = after.state.select("domain", "dead", "crawl_delay_ns", "backoff_until_ns", "consecutive_errors")
+    return (
+        after.outcomes.select("domain", "url", "outcome").join(left, "domain", "left").join(end, "domain", "left").join(after.frontier, "domain", "left")
+        .withColumn("left", F.coalesce("left", F.lit(0)))
+    )
+
+
+def frontier_wait(spark, sf_dir):
+    """How long to wait a month before now, by the earliest domain."""
+    _, _, front = _front(spark, sf_dir)
+    return frontier.wait(front.where(F.col("next_fetch") > NOW_NS - 10**14), F.lit(NOW_NS - 10**15))
+
+
+def frontier_peek(spark, sf_dir):
+    return frontier.peek(_front(spark, sf_dir)[2])
+
+
+def frontier_contains(spark, sf_dir):
+    held = frontier.remove(_front(spark, sf_dir)[2], _table(spark, sf_dir, "events").where("user_id % 3 = 1").select(_domain().alias("domain")).distinct())
+    asked = _table(spark, sf_dir, "events").select(_domain().alias("domain")).distinct()
+    return frontier.contains(held, asked).crossJoin(F.broadcast(frontier.size(held)))  # one row
+
+
+def has_urls(spark, sf_dir):
+    deep = _queue(spark, sf_dir).where("depth = 7 AND seq > 3")
+    return queue.has_urls(_table(spark, sf_dir, "events").select(_domain().alias("domain")).distinct(), deep)
+
+
+def enqueue_union(spark, sf_dir):
+    """Items of several ways into the queues, in their order of arrival; seeds and links may be deep, inbox items are admitted by length alone."""
+    items = _items(spark, sf_dir).withColumn("arrival", F.col("event_id"))
+    ways = [items.where(f"event_id % 4 = {k}").withColumn("origin", F.lit(name)) for k, name in enumerate(("seed", "link", "sitemap", "inbox"))]
+    every = queue.union(*(queue.admit(w, check_depth=k < 3) for k, w in enumerate(ways)))
+    return queue.enqueue(every, "arrival", domain_cap=50).groupBy("origin").agg(F.count("*").alias("n"), F.max("depth").alias("deepest"), F.sum("seq").alias("places"))
+
+
+def inbox_receive(spark, sf_dir):
+    """The latest five hundred of an inbox of one message for each event, of which pairs hold the same URL."""
+    url = F.concat(F.lit("https://"), _domain(), F.lit("/"), F.floor(F.col("event_id") / 2).cast("string"))
+    wires = _table(spark, sf_dir, "events").select(F.col("event_id").alias("arrival"), http.encode_wire(url, F.col("event_id") % 28).alias("value"))
+    seen = _table(spark, sf_dir, "events").where("event_id % 5 = 0").select(url.alias("url"))
+    return inbox.receive(wires, seen, _queue(spark, sf_dir)).items
+
+
+def meta_delete(spark, sf_dir):
+    rows = _table(spark, sf_dir, "events").select(_domain().alias("domain"), "event_id", "event_type")
+    held = queue.upsert(rows.where("event_id % 2 = 0"), rows.where("event_id % 2 = 1"), "domain", "event_id")
+    gone = rows.where("event_id % 5 = 0 AND event_type = 'view'").select("domain").distinct()
+    left = queue.delete(held, gone, "domain")
+    return left.unionByName(queue.load(held, "domain", "d3.example").withColumn("event_type", F.lit("loaded")))
+
+
+def ring_nodes(spark, sf_dir):
+    nodes = _nodes(spark, 5)
+    return ring.node(nodes, 3).crossJoin(F.broadcast(ring.count(nodes)))  # one row
+
+
+def robots_due(spark, sf_dir):
+    """Domains of the log whose cached robots.txt, fetched at their last event, no longer holds two days before now; then all are refreshed."""
+    now = NOW_NS - 2 * 86_400 * 10**9
+    cache = _log(spark, sf_dir).groupBy("domain").agg((F.max("ts_ns") + crawl.ROBOTS_TTL_NS - 86_400 * 10**9).alias("expires_ns")).withColumn("body", F.lit("old"))
+    due = crawl.robots_due(cache, cache.where(F.length("domain") < 12), F.lit(now))
+    fresh = crawl.robots_refreshed(cache, due.withColumn("body", F.lit("new")), F.lit(now))
+    return fresh.groupBy("body").agg(F.count("*").alias("n"), F.min("expires_ns").alias("first"), F.max("expires_ns").alias("last"))
+
+
+def sitemap_due(spark, sf_dir):
+    """Candidates of the domains whose sitemaps weren't looked for before."""
+    domains = _table(spark, sf_dir, "events").groupBy(_domain().alias("domain")).agg(F.count("*").alias("n"))
+    told = F.array(F.concat(F.lit(" https://"), "domain", F.lit("/sitemap.xml ")), F.lit(" "), F.concat(F.lit("https://"), "domain", F.lit("/b.xml")))
+    hinted = domains.select("domain", F.when(F.col("n") % 2 == 0, told).alias("hints"))
+    return crawl.sitemap_candidates(crawl.sitemap_due(hinted, domains.where("n % 3 = 0")))
+
+
+def fetch_filters(spark, sf_dir):
+    """Fetched pages by type, status and redirects; robots and sitemap answers by status and type."""
+    n = F.col("event_id")
+    pick = lambda k, *values: F.element_at(F.array(*map(F.lit, values)), (F.floor(n / k) % len(values) + 1).cast("int"))
+    rows = _table(spark, sf_dir, "events").select(
+        "event_id", F.concat(F.lit("u"), n.cast("string")).alias("url"), F.concat(F.lit("d"), n.cast("string")).alias("domain"),
+        pick(1, "text/html; charset=utf-8", "application/xhtml+xml", "Text/HTML", "application/xml", "image/png").alias("content_type"),
+        pick(3, 200, 404, 429).alias("status"), (n % 7).cast("int").alias("redirect_count"), F.lit("body").alias("body"),
+    )
+    pages = tables.fetched(rows).select(F.lit("page").alias("kind"), "url")
+    robots_texts = tables.robots_bodies(rows).where("body <> ''").select(F.lit("robots").alias("kind"), F.col("domain").alias("url"))
+    return pages.unionByName(robots_texts).unionByName(tables.sitemap_bodies(rows).select(F.lit("sitemap").alias("kind"), "url"))
+
+
+def tls_names(spark, sf_dir):
+    version = (F.lit(0x0300) + F.col("event_id") % 6).cast("int")
+    return _table(spark, sf_dir, "events").groupBy(http.tls_version_name(version).alias("name")).agg(F.count("*").alias("n"))
+
+
+def unescape_text(spark, sf_dir):
+    """Each event's number as a code point, as a decimal and a hexadecimal reference, with names and what is no reference."""
+    code = F.col("event_id") % 60_000 + 1
+    escaped = F.concat(F.lit("a&lt;"), F.lit("&#"), code.cast("string"), F.lit(";&#x"), F.hex(code), F.lit(";&amp;&nosuch;&"))
+    return _table(spark, sf_dir, "events").where("event_id % 60000 + 1 NOT BETWEEN 55296 AND 57343").select("event_id", html.unescape(escaped).alias("plain"))
+
+
+def topology(spark, sf_dir):
+    n = F.col("event_id")
+    services = _table(spark, sf_dir, "events").select(
+        F.when(n % 5 == 0, F.lit("x")).otherwise(n.cast("string")).alias("node_id"), F.when(n % 2 == 0, F.lit("")).otherwise(F.lit("10.0.0.1")).alias("service_address"),
+        F.lit("10.9.9.9").alias("node_address"), F.when(n % 3 == 0, F.lit("10.1.1.1:7000")).otherwise(F.lit("")).alias("redis_address"),
+    )
+    return tables.topology(spark, services).groupBy("address").agg(F.count("*").alias("n"), F.sum("node_id").alias("ids"))
+
+
+SAME = '<a href="/same">x</a> <a href="/view">y</a>'
+
+
+def _parsed(spark, sf_dir):
+    """The parse loop at node 1 of 3; every fifth page has one and the same body, pages of even number were seen, some hosts are dead."""
+    pages = _pages(spark, sf_dir)
+    host = urls.extract_domain(F.col("url"))
+    rows = pages.select("page_id", "url", host.alias("domain"), (F.col("page_id") % 3).cast("int").alias("depth"), F.when(F.col("page_id") % 5 == 0, F.lit(SAME)).otherwise(F.col("html")).alias("html"))
+    seen = pages.where("page_id % 2 = 0").select(urls.normalize_url(F.col("url")).alias("url"))
+    dead = pages.where("page_id % 17 = 0").select(host.alias("domain")).distinct()
+    queued = spark.createDataFrame([], "domain string, seq bigint, url string, depth int")
+    return crawl.parse_round(rows, seen, queued, dead, _nodes(spark, 3), 1)
+
+
+def parse_counters(spark, sf_dir):
+    return _parsed(spark, sf_dir).counters
+
+
+def parse_enqueued(spark, sf_dir):
+    return _parsed(spark, sf_dir).enqueued
+
+
+def parse_forwarded(spark, sf_dir):
+    return _parsed(spark, sf_dir).forwarded
+
+
 def next_fetch(spark, sf_dir):
     return frontier.rebuild(_queue(spark, sf_dir), frontier.fold(_log(spark, sf_dir)), F.lit(NOW_NS))
 
@@ -292,12 +492,23 @@ def short_content_type(spark, sf_dir):
 
 
 def bloom_fp_rate(spark, sf_dir):
+    """The pages' URLs in a filter: those that it misses, and how many of one name for each event it takes for known."""
     keys = _pages(spark, sf_dir).select("url")
     n = max(1, keys.count())
-    bloom = dedup.load_bloom(dedup.build_bloom(keys, "url", n), n)
-    missed = sum(not bloom.test(r["url"]) for r in keys.toLocalIterator())
-    wrong = sum(bloom.test(f"probe-{k}") for k in range(2000))
-    return spark.createDataFrame([(missed, wrong / 2000)], "missed bigint, fp_rate double")
+    bloom = dedup.build_bloom(keys, "url", n)
+    probes = _table(spark, sf_dir, "events").select(F.concat(F.lit("probe-"), F.col("event_id").cast("string")).alias("url"))
+    rows = keys.withColumn("own", F.lit(True)).unionByName(probes.withColumn("own", F.lit(False)))
+    tested = dedup.test_bloom(rows, "url", bloom, n)
+    return tested.agg(F.count_if(F.expr("own AND NOT maybe")).alias("missed"), F.count_if(F.expr("NOT own AND maybe")).alias("false_hits"), F.count_if(F.expr("NOT own")).alias("probes"))
+
+
+def bloom_new_urls(spark, sf_dir):
+    """new_urls by way of the filter of the seen ones."""
+    pages = _pages(spark, sf_dir)
+    found = links.resolve(links.extract(pages)).select(F.col("link").alias("url"))
+    seen = pages.where("page_id % 2 = 0").select(urls.normalize_url(F.col("url")).alias("url"))
+    n = max(1, seen.count())
+    return dedup.new_by_bloom(found, seen, dedup.build_bloom(seen, "url", n), n)
 
 
 def _daily(spark, sf_dir):
@@ -314,11 +525,12 @@ def alert_error_rate(spark, sf_dir):
 
 
 def alert_stalled(spark, sf_dir):
-    hours = _log(spark, sf_dir).where("domain = 'd1.example'").select(F.date_trunc("hour", "ts").alias("start")).groupBy("start").agg(F.count("*").alias("n"))
-    ends = hours.agg(F.min("start").alias("a"), F.max("start").alias("b"))
-    spine = ends.select(F.explode(F.sequence("a", "b", F.expr("INTERVAL 1 HOUR"))).alias("start"))
-    ticks = spine.join(hours, "start", "left").withColumn("stalled", F.col("n").isNull())
-    return metrics.holding(ticks, "stalled", 5).groupBy("firing").agg(F.count("*").alias("n"))
+    """Hours in which a domain was fetched from never, between its first and last; firing after six of them."""
+    hours = _log(spark, sf_dir).groupBy("domain", F.date_trunc("hour", "ts").alias("start")).agg(F.count("*").alias("n"))
+    ends = hours.groupBy("domain").agg(F.min("start").alias("a"), F.max("start").alias("b"))
+    spine = ends.select("domain", F.explode(F.sequence("a", "b", F.expr("INTERVAL 1 HOUR"))).alias("start"))
+    ticks = spine.join(hours, ["domain", "start"], "left").withColumn("stalled", F.col("n").isNull())
+    return metrics.holding(ticks, "stalled", 5, "domain").groupBy("firing").agg(F.count("*").alias("n"))
 
 
 def alert_rules(spark, sf_dir):
@@ -337,13 +549,38 @@ def alert_rules(spark, sf_dir):
     return alerts.evaluate(gauge.unionByName(counter), chosen, step=day // 4)
 
 
+def alert_kinds(spark, sf_dir):
+    """A rule of each further kind: a plain rate, a share of rates, a quantile of buckets' rates, a sum and a ratio of gauges."""
+    events = _table(spark, sf_dir, "events").withColumn("instance", F.col("user_id").cast("string"))
+    tell = lambda rows, metric, value, le=None: rows.select(
+        metric.alias("metric"), F.lit("crawler").alias("job"), "instance", F.lit("").alias("series"),
+        (F.lit(None) if le is None else F.col(le)).cast("double").alias("le"), "ts", value.cast("double").alias("value"),
+    )
+    kind = F.when(F.col("event_type") == "error", "errors_total").otherwise("others_total")
+    buckets = events.select("*", F.explode(F.array(*map(F.lit, (50.0, 100.0, 200.0, float("inf"))))).alias("le")).where("value <= le")
+    grown = F.row_number().over(Window.partitionBy("instance", "le").orderBy("ts", "event_id"))
+    samples = (
+        tell(events, kind, F.col("event_id")).unionByName(tell(events, F.lit("load"), F.col("value")))
+        .unionByName(tell(events, F.lit("room"), F.col("user_id") + 100)).unionByName(tell(buckets, F.lit("took_bucket"), grown, "le"))
+    )
+    day = 86_400
+    chosen = (
+        alerts.Rule("Errors", "rate", "errors_total", ">", 0.01, day, window=day),
+        alerts.Rule("Share", "rate_share", "errors_total", "<", 0.5, day, other="others_total", window=day, by_instance=True),
+        alerts.Rule("Slow", "quantile", "took_bucket", ">", 150, day, window=day),
+        alerts.Rule("Load", "gauge_sum", "load", ">", 1000, day, window=2 * day),
+        alerts.Rule("Full", "gauge_ratio", "load", ">", 0.8, day, other="room", window=2 * day, by_instance=True),
+    )
+    return alerts.evaluate(samples, chosen, step=day // 4)
+
+
 def latency_p95(spark, sf_dir):
     seconds = _log(spark, sf_dir).withColumn("seconds", F.col("latency_ns") / 1e9)
     return metrics.histogram_quantile(metrics.histogram(seconds, "seconds", metrics.DURATION, "outcome"), 0.95, "outcome")
 
 
 def counter_increase(spark, sf_dir):
-    samples = _table(spark, sf_dir, "events").where("user_id <= 20").select("ts", "user_id", (F.col("event_id") % 500).cast("double").alias("value"))
+    samples = _table(spark, sf_dir, "events").select("ts", "user_id", (F.col("event_id") % 500).cast("double").alias("value"))
     grown = metrics.increase(samples, "1 day", "user_id")
     return grown.select("user_id", F.date_format("start", "yyyy-MM-dd").alias("day"), "increase")
 
@@ -371,6 +608,9 @@ QUERIES = {
         fnv1a64, queue_shard_counts, ring_owner, ring_balance, ring_remap, new_urls, seen_union, soft404, admission,
         enqueue_seq, queue_head, queue_rest, queue_stats, queue_cap, global_cap, drop_domain, meta_upsert, wire_roundtrip,
         forward_owner, peer_changes, robots_groups, robots_allowed, sitemap_locs, sitemap_recursive, politeness_state,
+        politeness_hard, tracked_domains, state_codec, queue_codec, fetch_round, frontier_wait, frontier_peek, frontier_contains,
+        has_urls, enqueue_union, inbox_receive, meta_delete, ring_nodes, robots_due, sitemap_due, fetch_filters, tls_names, unescape_text, topology,
+        parse_counters, parse_enqueued, parse_forwarded, bloom_new_urls, alert_kinds,
         next_fetch, frontier_pop, frontier_push, can_fetch, error_runs, retry_after, classify_error, short_content_type,
         bloom_fp_rate, alert_error_rate, alert_stalled, alert_rules, latency_p95, counter_increase, cache_hit_ratio, last_gauge,
         outcome_counters,
@@ -402,18 +642,30 @@ def _normal(url: str) -> str:
     return f"regexp_extract({url}, '^([a-z]+)://', 1) || '://' || {host} || {path} || {shown}"
 
 
-_LINKS = r"""l AS (
+def _links(source: str) -> str:
+    return r"""l AS (
   SELECT page_id, url, unnest(range(0, len(h))) AS pos, unnest(h) AS href
-  FROM (SELECT page_id, url, regexp_extract_all(html, '<a\s[^>]*?href="([^"]*)"', 1) AS h FROM pages)
+  FROM (SELECT page_id, url, regexp_extract_all(html, '<a\s[^>]*?href="([^"]*)"', 1) AS h FROM SOURCE)
 ), r AS (
   SELECT *, NORMAL AS link FROM (SELECT *, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || href AS target FROM l)
 ), f AS (
   SELECT page_id, pos, link, regexp_extract(link, '^[a-z]+://([^/?#]*)', 1) AS link_domain FROM r
-)""".replace("NORMAL", _normal("target"))
+)""".replace("NORMAL", _normal("target")).replace("SOURCE", source)
+
+
+_LINKS = _links("pages")
 _LOG = """log AS (
   SELECT event_id, ts, (epoch_us(ts) * 1000)::BIGINT AS ts_ns, 'd' || user_id || '.example' AS domain,
     CASE event_type WHEN 'error' THEN 'error' WHEN 'signup' THEN 'rate_limited' ELSE 'ok' END AS outcome,
-    round(value * 1e6)::BIGINT AS latency_ns
+    round(value * 1e6)::BIGINT AS latency_ns, NULL::BIGINT AS retry, NULL::BIGINT AS robots
+  FROM events
+)"""
+_HARD = """log AS (
+  SELECT event_id, ts, (epoch_us(ts) * 1000)::BIGINT AS ts_ns, 'd' || user_id || '.example' AS domain,
+    CASE WHEN user_id % 3 = 0 THEN CASE WHEN event_id % 13 = 0 THEN 'ok' ELSE 'error' END
+      WHEN user_id % 7 = 1 AND event_id % 40 = 0 THEN 'nxdomain' WHEN event_id % 5 = 0 THEN 'rate_limited' ELSE 'ok' END AS outcome,
+    round(value * 1e6)::BIGINT AS latency_ns, CASE WHEN event_id % 2 = 1 THEN event_id % 90 * 1000000000 END AS retry,
+    CASE WHEN user_id % 5 = 0 THEN 2000000000 END AS robots
   FROM events
 )"""
 _ITEMS = """items AS (
@@ -426,20 +678,22 @@ _QUEUE = _ITEMS + """, q AS (
     SELECT *, row_number() OVER (PARTITION BY domain ORDER BY event_id) AS n FROM items WHERE depth <= 25
   ) WHERE n <= 1000
 )"""
-_FOLD = _LOG + """, e AS (
+_FOLDED = """, e AS (
   SELECT *, row_number() OVER (PARTITION BY domain ORDER BY ts_ns, event_id) AS n FROM log
 ), s AS (
   SELECT domain, 0::BIGINT AS n, false AS dead, 1000000000::BIGINT AS delay, 0::BIGINT AS ema, NULL::BIGINT AS last, NULL::BIGINT AS backoff, 0 AS errors
   FROM (SELECT DISTINCT domain FROM log)
   UNION ALL
-  SELECT domain, n, dead OR errors >= 10,
-    CASE outcome WHEN 'ok' THEN least(greatest(5 * ema, 250000000), 30000000000) WHEN 'rate_limited' THEN least(greatest(2 * delay, 250000000), 30000000000) ELSE delay END,
+  SELECT domain, n, dead OR outcome = 'nxdomain' OR (outcome = 'error' AND errors >= 10),
+    CASE outcome WHEN 'ok' THEN greatest(least(greatest(5 * ema, 250000000), 30000000000), coalesce(robots, 0))
+      WHEN 'rate_limited' THEN least(greatest(2 * delay, 250000000), 30000000000) ELSE delay END,
     ema, CASE WHEN outcome = 'ok' THEN ts_ns ELSE last END,
-    CASE WHEN outcome = 'rate_limited' THEN ts_ns + least(greatest(2 * delay, 250000000), 30000000000)
-      WHEN outcome = 'error' AND errors >= 5 THEN ts_ns + (2 ** least(errors - 5, 6))::BIGINT * 60000000000 ELSE backoff END,
+    CASE WHEN outcome = 'rate_limited' AND retry > 0 THEN ts_ns + retry
+      WHEN outcome = 'rate_limited' THEN ts_ns + least(greatest(2 * delay, 250000000), 30000000000)
+      WHEN outcome = 'error' AND errors BETWEEN 5 AND 9 THEN ts_ns + (2 ** (errors - 5))::BIGINT * 60000000000 ELSE backoff END,
     errors
   FROM (
-    SELECT s.domain, e.n, s.dead, s.delay, s.last, s.backoff, e.outcome, e.ts_ns,
+    SELECT s.domain, e.n, s.dead, s.delay, s.last, s.backoff, e.outcome, e.ts_ns, e.retry, e.robots,
       CASE WHEN e.outcome <> 'ok' THEN s.ema WHEN s.ema = 0 THEN e.latency_ns
         ELSE trunc(0.3::DOUBLE * e.latency_ns::DOUBLE + 0.7::DOUBLE * s.ema::DOUBLE)::BIGINT END AS ema,
       CASE e.outcome WHEN 'error' THEN s.errors + 1 WHEN 'ok' THEN 0 ELSE s.errors END AS errors
@@ -449,6 +703,7 @@ _FOLD = _LOG + """, e AS (
   SELECT domain, dead, delay AS crawl_delay_ns, ema AS avg_latency_ns, last AS last_fetch_ns, backoff AS backoff_until_ns, errors::INT AS consecutive_errors
   FROM (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY n DESC) AS k FROM s) WHERE k = 1
 )"""
+_FOLD, _HARD_FOLD = _LOG + _FOLDED, _HARD + _FOLDED
 
 
 def _ring(n: int, source: str = "SELECT DISTINCT 'd' || user_id || '.example' AS domain FROM events") -> str:
@@ -461,10 +716,40 @@ def _ring(n: int, source: str = "SELECT DISTINCT 'd' || user_id || '.example' AS
 )"""
 
 
+_NEXT = f"CASE WHEN backoff_until_ns > {NOW_NS} THEN backoff_until_ns WHEN last_fetch_ns IS NOT NULL THEN last_fetch_ns + crawl_delay_ns ELSE {NOW_NS} END"
 _DUE = f"""WITH RECURSIVE {_QUEUE}, {_FOLD}, due AS (
-  SELECT domain, CASE WHEN backoff_until_ns > {NOW_NS} THEN backoff_until_ns WHEN last_fetch_ns IS NOT NULL THEN last_fetch_ns + crawl_delay_ns ELSE {NOW_NS} END AS next_fetch
-  FROM (SELECT DISTINCT domain FROM q) JOIN state USING (domain) WHERE NOT dead
+  SELECT domain, {_NEXT} AS next_fetch FROM (SELECT DISTINCT domain FROM q) JOIN state USING (domain) WHERE NOT dead
+)"""
+_FRONT = f"""WITH RECURSIVE {_QUEUE}, {_HARD_FOLD}, front AS (
+  SELECT domain, CASE WHEN dead THEN {NOW_NS} ELSE {_NEXT} END AS next_fetch FROM (SELECT DISTINCT domain FROM q) JOIN state USING (domain)
 )"""
+
+
+def _fnv128(s: str) -> str:
+    """struct(a, b, c, d): FNV-1a 128 as four 32-bit limbs, the lowest first."""
+    byte = f"list_transform(range(0, octet_length(encode({s}))), lambda zz: {{'a': ('0x' || substr(hex(encode({s})), 2 * zz::INT + 1, 2))::UBIGINT, 'b': 0::UBIGINT, 'c': 0::UBIGINT, 'd': 0::UBIGINT}})"
+    low, high = lambda e: f"(({e}) % 4294967296)", lambda e: f"(({e}) // 4294967296)"
+    x = "xor(hh.a, bb.a)"
+    p = f"{x} * 315"
+    q = f"hh.b * 315 + {high(p)}"
+    r = f"hh.c * 315 + {high(q)} + {low(f'{x} * 16777216')}"
+    t = f"hh.d * 315 + {high(r)} + {x} // 256 + {low('hh.b * 16777216')}"
+    basis = ", ".join(f"'{c}': {dedup._BASIS >> 32 * k & 0xFFFFFFFF}::UBIGINT" for k, c in enumerate("abcd"))
+    return f"list_reduce(list_prepend({{{basis}}}, {byte}), lambda hh, bb: {{'a': {low(p)}, 'b': {low(q)}, 'c': {low(r)}, 'd': {low(t)}}})"
+
+
+def _parse_sql(rest: str) -> str:
+    """The parse loop: p the pages with links, g their links at their first places, w the places of new links, owned."""
+    return f"""WITH pp AS (
+  SELECT page_id, url, {_HOST} AS domain, page_id % 3 AS depth, CASE WHEN page_id % 5 = 0 THEN '{SAME}' ELSE html END AS html FROM pages
+), p AS (SELECT * FROM pp QUALIFY row_number() OVER (PARTITION BY domain, html ORDER BY page_id) < 3), {_links("p")}, g AS (
+  SELECT page_id, link, min(pos) AS pos, any_value(link_domain) AS domain FROM f GROUP BY 1, 2
+), w AS (
+  SELECT g.*, (p.depth + 1)::INT AS depth FROM g JOIN p USING (page_id) WHERE link NOT IN (SELECT {_normal("url")} FROM pages WHERE page_id % 2 = 0)
+  QUALIFY row_number() OVER (PARTITION BY link ORDER BY page_id, pos) = 1
+), {_ring(3, "SELECT * FROM w")} {rest}"""
+
+
 _INF = "'Infinity'::DOUBLE"
 
 
@@ -495,7 +780,7 @@ ORACLE = {
     "soft404": "SELECT event_id, user_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) < 3",
     "admission": f"WITH RECURSIVE {_FOLD}, {_ITEMS} SELECT domain, count(*) AS n, max(depth) AS deepest FROM items WHERE depth <= 25 AND domain NOT IN (SELECT domain FROM state WHERE dead OR consecutive_errors >= 3) GROUP BY 1",
     "enqueue_seq": f"""WITH {_ITEMS}, a AS (SELECT domain, count(*) AS held FROM items WHERE depth <= 25 AND event_id % 3 = 0 GROUP BY 1),
-n AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY event_id) AS n FROM items WHERE depth <= 25 AND event_id % 3 = 1)
+n AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY event_id) AS n FROM items WHERE depth <= 25 AND event_id % 3 <> 0)
 SELECT n.domain, n - 1 + coalesce(held, 0) AS seq, url, depth FROM n LEFT JOIN a USING (domain) WHERE n + coalesce(held, 0) <= 40""",
     "queue_head": f"WITH {_QUEUE} SELECT * FROM q WHERE seq = 0",
     "queue_rest": f"WITH {_QUEUE} SELECT domain, count(*) AS n FROM q WHERE seq > 0 GROUP BY 1",
@@ -512,7 +797,87 @@ SELECT n.domain, n - 1 + coalesce(held, 0) AS seq, url, depth FROM n LEFT JOIN a
   CASE WHEN starts_with(href, '/the') THEN true WHEN starts_with(href, '/th') OR (href LIKE '/%a' AND instr(substr(href, 2), 'a') = length(href) - 1) OR href LIKE '/%/x%' THEN false ELSE true END AS allowed,
   500000000::BIGINT AS robots_delay_ns FROM l""",
     "sitemap_locs": "SELECT split_part(url, '/', 3) AS host, url FROM pages",
-    "sitemap_recursive": "SELECT DISTINCT 'd' AS domain, url FROM pages WHERE page_id % 20 IN (0, 1)",
+    "sitemap_recursive": """WITH x AS (
+  SELECT 'd' || (page_id // 100 % 2) AS domain, page_id // 100 AS root, page_id // 10 AS low, -page_id AS page, k, url || '?v=' || (k % 8) AS u
+  FROM pages, range(0, 9) t(k)
+), c AS (SELECT *, row_number() OVER (PARTITION BY domain, root ORDER BY low, page, k) AS nth FROM x QUALIFY nth <= 1000),
+y AS (SELECT domain, u AS url, min({'root': root, 'nth': nth}) AS first FROM c GROUP BY 1, 2)
+SELECT domain, (row_number() OVER (PARTITION BY domain ORDER BY first))::INT AS pos, url FROM y QUALIFY pos <= 1000""",
+    "politeness_hard": f"WITH RECURSIVE {_HARD_FOLD} SELECT * FROM state",
+    "tracked_domains": f"WITH RECURSIVE {_HARD_FOLD} SELECT count(*) AS tracked, count(*) FILTER (dead) AS dead FROM state",
+    "state_codec": f"""WITH RECURSIVE {_HARD_FOLD}, x AS (
+  SELECT *, crawl_delay_ns % 2 = 0 AS checked, coalesce(last_fetch_ns, -6795364578871345152) AS l, coalesce(backoff_until_ns, -6795364578871345152) AS b FROM state
+), y AS (
+  SELECT *, '01' || lpad(hex(dead::INT + 2 * checked::INT), 2, '0') || array_to_string(list_transform([crawl_delay_ns, 2000000000, avg_latency_ns, l, b], lambda v:
+    array_to_string(list_transform(range(0, 8), lambda k: substr(lpad(hex(v), 16, '0'), (15 - 2 * k)::INT, 2)), '')), '')
+    || array_to_string(list_transform(range(0, 4), lambda k: substr(lpad(hex(consecutive_errors), 8, '0'), (7 - 2 * k)::INT, 2)), '') AS data,
+    length(domain) = 2 AS short FROM x
+) SELECT domain, data, dead, checked AS sitemap_checked, crawl_delay_ns, 2000000000::BIGINT AS robots_delay_ns, avg_latency_ns, last_fetch_ns, backoff_until_ns, consecutive_errors FROM y""",
+    "queue_codec": f"""WITH {_ITEMS}, x AS (SELECT event_id, url, (event_id * 37 % 40000 - 200)::INT AS depth FROM items),
+y AS (SELECT *, CASE WHEN depth >= 0 THEN 2 * depth ELSE -2 * depth - 1 END AS z FROM x)
+SELECT event_id, lpad(hex(event_id), 16, '0') AS k, event_id AS seq, left(CASE WHEN z < 128 THEN lpad(hex(z), 2, '0') WHEN z < 16384 THEN hex(z % 128 + 128) || lpad(hex(z // 128), 2, '0')
+  ELSE hex(z % 128 + 128) || hex(z // 128 % 128 + 128) || lpad(hex(z // 16384), 2, '0') END || hex(encode(url)), 8) AS head, url, depth FROM y""",
+    "fetch_round": f"""{_FRONT}, pop AS (SELECT domain FROM front WHERE next_fetch <= {NOW_NS} ORDER BY next_fetch, domain LIMIT 100),
+h AS (SELECT domain, url, split_part(url, '/', 4) AS kind, split_part(url, '/', 5)::BIGINT AS n, regexp_extract(domain, '[0-9]+')::INT AS u FROM q SEMI JOIN pop USING (domain) WHERE seq = 0),
+o AS (SELECT h.*, CASE WHEN state.dead THEN 'dead' WHEN u % 4 = 0 AND kind = 'view' THEN 'blocked' WHEN n % 11 = 3 OR n % 6 = 0 THEN 'error'
+  WHEN n % 6 = 1 THEN 'rate_limited' WHEN n % 6 = 2 THEN 'nxdomain' ELSE 'ok' END AS outcome, state.* EXCLUDE (domain) FROM h JOIN state USING (domain)),
+a AS (SELECT domain, url, outcome, dead AS was, CASE WHEN outcome <> 'ok' THEN avg_latency_ns WHEN avg_latency_ns = 0 THEN (n % 7 + 1) * 100000000
+    ELSE trunc(0.3::DOUBLE * ((n % 7 + 1) * 100000000)::DOUBLE + 0.7::DOUBLE * avg_latency_ns::DOUBLE)::BIGINT END AS ema,
+  CASE outcome WHEN 'error' THEN consecutive_errors + 1 WHEN 'ok' THEN 0 ELSE consecutive_errors END AS errors,
+  least(greatest(2 * crawl_delay_ns, 250000000), 30000000000) AS slower, crawl_delay_ns AS old, n, u, last_fetch_ns AS last, backoff_until_ns AS back FROM o),
+z AS (SELECT domain, url, outcome, errors, was OR outcome = 'nxdomain' OR (outcome = 'error' AND errors >= 10) AS dead,
+  CASE outcome WHEN 'ok' THEN greatest(least(greatest(5 * ema, 250000000), 30000000000), CASE WHEN u % 4 = 0 THEN 3000000000 ELSE 0 END) WHEN 'rate_limited' THEN slower ELSE old END AS crawl_delay_ns,
+  CASE WHEN outcome = 'ok' THEN {NOW_NS} ELSE last END AS last_fetch_ns,
+  CASE WHEN outcome = 'rate_limited' THEN {NOW_NS} + CASE WHEN n % 4 = 1 THEN 60000000000 ELSE slower END
+    WHEN outcome = 'error' AND errors BETWEEN 5 AND 9 THEN {NOW_NS} + (2 ** (errors - 5))::BIGINT * 60000000000 ELSE back END AS backoff_until_ns,
+  (SELECT count(*) FROM q WHERE q.domain = a.domain) - 1 + (outcome = 'rate_limited')::INT AS held FROM a),
+fin AS (SELECT *, CASE WHEN dead AND outcome <> 'dead' THEN 0 ELSE held END AS left_ FROM z)
+SELECT domain, url, outcome, left_::BIGINT AS "left", dead, crawl_delay_ns, backoff_until_ns, errors::INT AS consecutive_errors,
+  CASE WHEN left_ > 0 AND outcome <> 'dead' THEN {_NEXT} END AS next_fetch FROM fin""",
+    "frontier_wait": f"{_FRONT} SELECT greatest(coalesce(min(next_fetch) - {NOW_NS - 10**15}, 0), 0)::BIGINT AS wait FROM front WHERE next_fetch > {NOW_NS - 10**14}",
+    "frontier_peek": f"{_FRONT} SELECT domain, next_fetch FROM front ORDER BY next_fetch, domain LIMIT 1",
+    "frontier_contains": f"""{_FRONT}, c AS (SELECT domain FROM front WHERE regexp_extract(domain, '[0-9]+')::INT % 3 <> 1)
+SELECT domain, domain IN (SELECT domain FROM c) AS held, (SELECT count(*) FROM c) AS n FROM (SELECT DISTINCT 'd' || user_id || '.example' AS domain FROM events)""",
+    "has_urls": f"WITH {_QUEUE} SELECT domain, domain IN (SELECT domain FROM q WHERE depth = 7 AND seq > 3) AS has_urls FROM (SELECT DISTINCT domain FROM items)",
+    "enqueue_union": f"""WITH {_ITEMS}, x AS (SELECT *, ['seed', 'link', 'sitemap', 'inbox'][event_id % 4 + 1] AS origin FROM items WHERE depth <= 25 OR event_id % 4 = 3),
+y AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY event_id) - 1 AS seq FROM x)
+SELECT origin, count(*) AS n, max(depth) AS deepest, sum(seq)::BIGINT AS places FROM y WHERE seq < 50 GROUP BY 1""",
+    "inbox_receive": f"""WITH {_QUEUE}, base AS (SELECT domain, max(seq) + 1 AS base, count(*) AS held FROM q GROUP BY 1),
+x AS (SELECT event_id AS arrival, 'd' || user_id || '.example' AS domain, 'https://d' || user_id || '.example/' || (event_id // 2) AS url, (event_id % 28)::INT AS depth FROM events),
+y AS (SELECT * FROM (SELECT * FROM x ORDER BY arrival DESC LIMIT 500) WHERE url NOT IN (SELECT url FROM x WHERE arrival % 5 = 0) QUALIFY row_number() OVER (PARTITION BY url ORDER BY arrival DESC) = 1),
+z AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY arrival DESC) - 1 AS nth FROM y WHERE depth <= 25)
+SELECT z.domain, coalesce(base, 0) + nth AS seq, url, depth FROM z LEFT JOIN base USING (domain) WHERE nth + coalesce(held, 0) < 1000""",
+    "meta_delete": """WITH m AS (SELECT 'd' || user_id || '.example' AS domain, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY 1)
+SELECT * FROM m WHERE domain NOT IN (SELECT 'd' || user_id || '.example' FROM events WHERE event_id % 5 = 0 AND event_type = 'view')
+UNION ALL SELECT domain, event_id, 'loaded' FROM m WHERE domain = 'd3.example'""",
+    "ring_nodes": "SELECT 3::INT AS node_id, '10.0.0.3:6379' AS address, 5::BIGINT AS n",
+    "robots_due": f"""WITH {_LOG}, c AS (SELECT domain, max(ts_ns) AS e FROM log GROUP BY 1), t AS (SELECT *, {NOW_NS - 2 * 86_400 * 10**9} AS now FROM c),
+x AS (SELECT CASE WHEN e > now AND length(domain) < 12 THEN 'old' ELSE 'new' END AS body, CASE WHEN e > now AND length(domain) < 12 THEN e ELSE now + 86400000000000 END AS e FROM t)
+SELECT body, count(*) AS n, min(e)::BIGINT AS first, max(e)::BIGINT AS last FROM x GROUP BY 1""",
+    "sitemap_due": """WITH d AS (SELECT 'd' || user_id || '.example' AS domain, count(*) AS n FROM events GROUP BY 1)
+SELECT domain, 0::INT AS pos, 'https://' || domain || '/sitemap.xml' AS url FROM d WHERE n % 3 <> 0
+UNION ALL SELECT domain, 1, 'https://' || domain || '/b.xml' FROM d WHERE n % 3 <> 0 AND n % 2 = 0""",
+    "fetch_filters": """WITH x AS (SELECT event_id AS n, ['text/html; charset=utf-8', 'application/xhtml+xml', 'Text/HTML', 'application/xml', 'image/png'][event_id % 5 + 1] AS t,
+  [200, 404, 429][event_id // 3 % 3 + 1] AS s FROM events)
+SELECT 'page' AS kind, 'u' || n AS url FROM x WHERE n % 5 < 2 AND s <> 429 AND n % 7 <= 5
+UNION ALL SELECT 'robots', 'd' || n FROM x WHERE s = 200
+UNION ALL SELECT 'sitemap', 'u' || n FROM x WHERE s = 200 AND (t LIKE '%xml%' OR t LIKE '%text/%')""",
+    "tls_names": "SELECT ['unknown', 'TLS 1.0', 'TLS 1.1', 'TLS 1.2', 'TLS 1.3', 'unknown'][event_id % 6 + 1] AS name, count(*) AS n FROM events GROUP BY 1",
+    "unescape_text": "SELECT event_id, 'a<' || chr(c) || chr(c) || '&&nosuch;&' AS plain FROM (SELECT event_id, (event_id % 60000 + 1)::INT AS c FROM events) WHERE c NOT BETWEEN 55296 AND 57343",
+    "topology": """SELECT CASE WHEN event_id % 3 = 0 THEN '10.1.1.1:7000' WHEN event_id % 2 = 0 THEN '10.9.9.9:6379' ELSE '10.0.0.1:6379' END AS address,
+  count(*) AS n, sum(CASE WHEN event_id % 5 = 0 THEN 0 ELSE event_id END)::BIGINT AS ids FROM events GROUP BY 1""",
+    "parse_counters": _parse_sql("""SELECT p.page_id, count(g.link) AS discovered, count(o3.link) FILTER (owner = 1) AS enqueued, count(o3.link) FILTER (owner <> 1) AS forwarded,
+  count(g.link) - count(o3.link) AS deduped FROM p LEFT JOIN g USING (page_id) LEFT JOIN o3 ON o3.page_id = g.page_id AND o3.link = g.link GROUP BY 1"""),
+    "parse_enqueued": _parse_sql(f"""SELECT domain, row_number() OVER (PARTITION BY domain ORDER BY page_id, pos) - 1 AS seq, link AS url, depth FROM o3
+  WHERE owner = 1 AND domain NOT IN (SELECT {_HOST} FROM pages WHERE page_id % 17 = 0) QUALIFY seq < 1000"""),
+    "parse_forwarded": _parse_sql("SELECT owner, '10.0.0.' || owner || ':6379' AS address, depth || chr(9) || link AS wire FROM o3 WHERE owner <> 1"),
+    "bloom_fp_rate": f"""WITH n AS (SELECT greatest(count(*), 1) AS n FROM pages), z AS (SELECT n, trunc(-n * ln(0.01) / ln(2) ** 2)::BIGINT AS m, ceil(trunc(-n * ln(0.01) / ln(2) ** 2) / n * ln(2))::INT AS k FROM n),
+x AS (SELECT url AS s, true AS own FROM pages UNION ALL SELECT 'probe-' || event_id, false FROM events), h AS (SELECT own, s, {_fnv128("s")} AS h FROM x),
+w AS (SELECT own, s, list_transform(range(0, k), lambda i: ((h.d::HUGEINT * 4294967296 + h.c + i * (h.b::HUGEINT * 4294967296 + h.a)) % 18446744073709551616) % m) AS places FROM h, z),
+b AS (SELECT DISTINCT unnest(places) AS bit FROM w WHERE own), t AS (SELECT own, s, unnest(places) AS bit FROM w),
+r AS (SELECT own, s, count(*) = count(b.bit) AS maybe FROM t LEFT JOIN b USING (bit) GROUP BY own, s)
+SELECT count(*) FILTER (own AND NOT maybe) AS missed, count(*) FILTER (NOT own AND maybe) AS false_hits, count(*) FILTER (NOT own) AS probes FROM r""",
+    "bloom_new_urls": f"WITH {_LINKS} SELECT DISTINCT link AS url FROM f WHERE link NOT IN (SELECT {_normal('url')} FROM pages WHERE page_id % 2 = 0)",
     "politeness_state": f"WITH RECURSIVE {_FOLD} SELECT * FROM state",
     "next_fetch": f"{_DUE} SELECT domain, next_fetch AS next_fetch_ns FROM due",
     "frontier_pop": f"{_DUE} SELECT domain, next_fetch FROM due WHERE next_fetch <= {NOW_NS} ORDER BY next_fetch, domain LIMIT 20",
@@ -524,15 +889,28 @@ SELECT domain, NOT coalesce(backoff_until_ns > now, false) AS ok,
 SELECT domain, run, count(*) AS n FROM i WHERE outcome = 'error' GROUP BY 1, 2""",
     "retry_after": "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN CASE WHEN event_id > 2000 THEN least(event_id - 2000, 3600) ELSE 0 END WHEN event_id % 3 = 1 THEN 90 ELSE 0 END::BIGINT AS wait FROM events",
     "classify_error": "SELECT CASE WHEN event_id % 7 = 0 THEN 'timeout' ELSE ['dns_nxdomain', 'tls_error', 'tls_cert', 'eof', 'conn_reset', 'other'][event_id % 6 + 1] END AS cause, count(*) AS n FROM events GROUP BY 1",
-    "short_content_type": "SELECT ['text/html', 'application/xhtml+xml', 'unknown', 'unknown'][event_id % 4 + 1] AS type, count(*) AS n FROM events GROUP BY 1",
+    "short_content_type": "SELECT ['text/html', 'application/xhtml+xml', 'unknown', ''][event_id % 4 + 1] AS type, count(*) AS n FROM events GROUP BY 1",
     "alert_error_rate": f"""WITH {_LOG}, d AS (SELECT date_trunc('day', ts) AS start, count(*) AS pages, count(*) FILTER (outcome = 'error') AS errors FROM log GROUP BY 1),
 r AS (SELECT start, errors::DOUBLE / pages AS ratio, errors::DOUBLE / pages > 0.2 AS high FROM d)
 SELECT strftime(start, '%Y-%m-%d') AS day, ratio, high, high AND coalesce(lag(high) OVER (ORDER BY start), false) AS firing FROM r""",
-    "alert_stalled": f"""WITH {_LOG}, h AS (SELECT date_trunc('hour', ts) AS start, count(*) AS n FROM log WHERE domain = 'd1.example' GROUP BY 1),
-t AS (SELECT unnest(generate_series(min(start), max(start), INTERVAL 1 HOUR)) AS start FROM h),
-s AS (SELECT t.start, n IS NULL AS stalled FROM t LEFT JOIN h USING (start)),
-f AS (SELECT min(stalled::INT) OVER w = 1 AND count(*) OVER w = 6 AS firing FROM s WINDOW w AS (ORDER BY start ROWS BETWEEN 5 PRECEDING AND CURRENT ROW))
+    "alert_stalled": f"""WITH {_LOG}, h AS (SELECT domain, date_trunc('hour', ts) AS start, count(*) AS n FROM log GROUP BY 1, 2),
+t AS (SELECT domain, unnest(generate_series(min(start), max(start), INTERVAL 1 HOUR)) AS start FROM h GROUP BY 1),
+s AS (SELECT t.domain, t.start, n IS NULL AS stalled FROM t LEFT JOIN h USING (domain, start)),
+f AS (SELECT min(stalled::INT) OVER w = 1 AND count(*) OVER w = 6 AS firing FROM s WINDOW w AS (PARTITION BY domain ORDER BY start ROWS BETWEEN 5 PRECEDING AND CURRENT ROW))
 SELECT firing, count(*) AS n FROM f GROUP BY 1""",
+    "alert_kinds": """WITH e AS (SELECT user_id::VARCHAR AS instance, ts, value, user_id, event_id, event_id::DOUBLE AS v, event_type = 'error' AS bad, (floor(epoch(ts) / 21600)::BIGINT + 1) * 21600 AS base FROM events),
+g AS (SELECT instance, base + 21600 * k AS tick, max({'ts': ts, 'value': value}).value AS load, any_value(user_id) + 100 AS room FROM (SELECT *, unnest(range(0, 8)) AS k FROM e WHERE value IS NOT NULL) GROUP BY ALL),
+c AS (SELECT *, lag(v) OVER (PARTITION BY instance, bad ORDER BY ts, v) AS b FROM e),
+r AS (SELECT instance, bad, base + 21600 * k AS tick, sum(CASE WHEN v < b THEN v ELSE v - b END) / 86400 AS rate FROM (SELECT *, unnest(range(0, 4)) AS k FROM c WHERE b IS NOT NULL) GROUP BY ALL),
+u AS (SELECT instance, ts, base, le, row_number() OVER (PARTITION BY instance, le ORDER BY ts, event_id) AS nth FROM e, (SELECT unnest([50, 100, 200, 'Infinity'::DOUBLE]) AS le) WHERE value <= le),
+h AS (SELECT base + 21600 * k AS tick, le, count(*) / 86400 AS n FROM (SELECT *, unnest(range(0, 4)) AS k FROM u WHERE nth > 1) GROUP BY ALL),
+w AS (SELECT *, coalesce(lag(n) OVER o, 0) AS below, coalesce(lag(le) OVER o, 0) AS lo, max(n) OVER (PARTITION BY tick) AS every FROM h WINDOW o AS (PARTITION BY tick ORDER BY le)),
+s AS (SELECT 'Errors' AS alert, NULL::VARCHAR AS job, NULL::VARCHAR AS instance, NULL::VARCHAR AS series, tick, sum(rate) AS value FROM r WHERE bad GROUP BY tick HAVING sum(rate) > 0.01
+  UNION ALL SELECT 'Share', NULL, x.instance, NULL, x.tick, x.rate / (x.rate + y.rate) FROM r x JOIN r y ON x.tick = y.tick AND x.instance = y.instance AND x.bad AND NOT y.bad WHERE x.rate + y.rate <> 0 AND x.rate / (x.rate + y.rate) < 0.5
+  UNION ALL SELECT 'Slow', NULL, NULL, NULL, tick, CASE WHEN isinf(le) THEN lo ELSE lo + (le - lo) * (0.95 * every - below) / (n - below) END AS value FROM w WHERE n >= 0.95 * every AND below < 0.95 * every AND CASE WHEN isinf(le) THEN lo ELSE lo + (le - lo) * (0.95 * every - below) / (n - below) END > 150
+  UNION ALL SELECT 'Load', NULL, NULL, NULL, tick, sum(load) FROM g GROUP BY tick HAVING sum(load) > 1000
+  UNION ALL SELECT 'Full', 'crawler', instance, '', tick, load / room FROM g WHERE load / room > 0.8)
+SELECT *, 'warning' AS severity, count(*) OVER (PARTITION BY alert, job, instance, series ORDER BY tick RANGE BETWEEN 86400 PRECEDING AND CURRENT ROW) = 5 AS firing FROM s""",
     "alert_rules": """WITH e AS (SELECT user_id::VARCHAR AS instance, ts, value, event_id::DOUBLE AS v, event_type = 'error' AS bad, (floor(epoch(ts) / 21600)::BIGINT + 1) * 21600 AS base FROM events),
 g AS (SELECT instance, base + 21600 * k AS tick, max({'ts': ts, 'value': value}).value AS value FROM (SELECT *, unnest(range(0, 8)) AS k FROM e WHERE value IS NOT NULL) GROUP BY ALL),
 c AS (SELECT *, lag(v) OVER (PARTITION BY instance, bad ORDER BY ts, v) AS b FROM e),
@@ -543,7 +921,7 @@ SELECT *, count(*) OVER (PARTITION BY alert, job, instance, series ORDER BY tick
     "latency_p95": f"""WITH {_LOG}, b AS ({_buckets(metrics.DURATION, "SELECT outcome, latency_ns / 1e9 AS seconds FROM log", "seconds", "outcome,")}),
 s AS (SELECT *, coalesce(lag(n) OVER w, 0) AS below, coalesce(lag(le) OVER w, 0) AS lo, max(n) OVER (PARTITION BY outcome) AS every FROM b WINDOW w AS (PARTITION BY outcome ORDER BY le))
 SELECT outcome, CASE WHEN isinf(le) THEN lo ELSE lo + (le - lo) * (0.95 * every - below) / (n - below) END AS value FROM s WHERE n >= 0.95 * every AND below < 0.95 * every""",
-    "counter_increase": """WITH s AS (SELECT user_id, ts, (event_id % 500)::DOUBLE AS v, lag((event_id % 500)::DOUBLE) OVER (PARTITION BY user_id ORDER BY ts) AS b FROM events WHERE user_id <= 20)
+    "counter_increase": """WITH s AS (SELECT user_id, ts, (event_id % 500)::DOUBLE AS v, lag((event_id % 500)::DOUBLE) OVER (PARTITION BY user_id ORDER BY ts) AS b FROM events)
 SELECT user_id, strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, sum(CASE WHEN b IS NULL THEN 0 WHEN v < b THEN v ELSE v - b END) AS increase FROM s GROUP BY ALL""",
     "cache_hit_ratio": """SELECT user_id, h::DOUBLE / (h + m) AS ratio FROM (SELECT user_id, count(*) FILTER (event_type = 'view') AS h, count(*) FILTER (event_type = 'click') AS m FROM events GROUP BY 1)
 WHERE h + m > 0 AND h::DOUBLE / (h + m) < 0.5""",

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import importlib
+import io
+import time
 from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from crawlframe.functions import http, robots, sitemap
+from crawlframe.operators import ring
 from crawlframe.schemas import NODES
 
 BODY_BYTES = 1024 * 1024
@@ -16,11 +21,15 @@ MAX_REDIRECTS = 5
 RETRIES, RETRY_WAIT = 1, 0.5
 
 
-def seeds(spark: SparkSession, path: str) -> DataFrame:
-    """(url, domain, depth) of a file with one domain on a line; blank lines and those that start with # go."""
+def seeds(spark: SparkSession, path: str, nodes: DataFrame | None = None, me: int | None = None) -> DataFrame:
+    """(url, domain, depth) of a file with one domain on a line; blank lines and those that start with # go.
+
+    nodes and me: only the domains that the ring of nodes gives to the node me.
+    """
     domain = F.trim("value")
     lines = spark.read.text(path).where((domain != "") & ~domain.startswith("#"))
-    return lines.select(F.concat(F.lit("https://"), domain, F.lit("/")).alias("url"), domain.alias("domain"), F.lit(0).alias("depth"))
+    every = lines.select(F.concat(F.lit("https://"), domain, F.lit("/")).alias("url"), domain.alias("domain"), F.lit(0).alias("depth"))
+    return every if nodes is None else ring.with_owner(every, F.col("domain"), nodes).where(F.col("owner") == me).drop("owner")
 
 
 def fetched(responses: DataFrame) -> DataFrame:
@@ -32,15 +41,6 @@ def fetched(responses: DataFrame) -> DataFrame:
     return responses.where(kept).withColumn("body", F.substring(F.col("body").cast("binary"), 1, BODY_BYTES))
 
 
-def should_retry(cause: Column, attempt: Column) -> Column:
-    """At most RETRIES more attempts; none for a name that doesn't exist or a rate limit."""
-    return (attempt < RETRIES) & ~cause.isin("dns_nxdomain", "rate_limited", "not_retryable", "too_many_redirects")
-
-
-def retry_wait(attempt: Column) -> Column:
-    return attempt * RETRY_WAIT
-
-
 def robots_bodies(responses: DataFrame) -> DataFrame:
     """(domain, body): a status other than 200 is an empty body, which allows all; bodies are cut."""
     body = F.when(F.col("status") == 200, F.substring("body", 1, robots.MAX_BYTES)).otherwise(F.lit(""))
@@ -61,15 +61,61 @@ def topology(spark: SparkSession, services: DataFrame) -> DataFrame:
     return services.select(number.alias("node_id"), redis.alias("address")).to(spark.createDataFrame([], NODES).schema)
 
 
+# Causes after which no second attempt is made.
+FINAL = frozenset(("dns_nxdomain", "rate_limited", "not_retryable"))
+FETCHED = "url string, status int, content_type string, body binary, error string, attempts int"
+
+
+def attempt(fetch: Callable[[str], tuple], url: str, wait: Callable[[float], None] = time.sleep) -> tuple:
+    """(url, status, content_type, body, error, attempts) of one URL, with at most RETRIES more attempts.
+
+    fetch gives (status, content_type, body, error). A 429 is the error
+    rate_limited, another type than HTML the error not_retryable; any other
+    status with HTML is a page. Bodies are cut at BODY_BYTES; a failed fetch has none.
+    """
+    for n in range(RETRIES + 1):
+        if n:
+            wait(n * RETRY_WAIT)
+        status, kind, body, error = fetch(url)
+        if not error and status == 429:
+            error = "rate_limited"
+        elif not error and not any(t in (kind or "") for t in ("text/html", "application/xhtml")):
+            error = "not_retryable"
+        if not error or error in FINAL:
+            break
+    data = body.encode() if isinstance(body, str) else bytes(body or b"")
+    return url, status, kind, None if error else data[:BODY_BYTES], error, n + 1
+
+
+def _fetcher(name: str) -> Callable[[str], tuple]:
+    module, _, function = name.partition(":")
+    return getattr(importlib.import_module(module), function)
+
+
+def fetch_pages(urls: DataFrame, fetcher: str, partitions: int, wait: Callable[[float], None] = time.sleep) -> DataFrame:
+    """FETCHED rows of a table of URLs (url), fetched by fetcher (module:function) in so many tasks at once."""
+
+    def run(batches):
+        fetch = _fetcher(fetcher)
+        for batch in batches:
+            rows = [attempt(fetch, u, wait) for u in batch.column(0).to_pylist()]
+            columns = list(zip(*rows, strict=True)) or [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+
+    names = [c.split()[0] for c in FETCHED.split(", ")]
+    kinds = (pa.string(), pa.int32(), pa.string(), pa.binary(), pa.string(), pa.int32())
+    return urls.select("url").where("url IS NOT NULL").repartition(partitions).mapInArrow(run, FETCHED)
+
+
 class _Part(InputPartition):
-    def __init__(self, urls: list[str]):
-        self.urls = urls
+    def __init__(self, k: int):
+        self.k = k
 
 
 class FetchSource(DataSource):
-    """Pages by a fetch function: options urls (one on a line), fetcher (module:function) and partitions.
+    """FETCHED rows by a fetch function: options path (a file of URLs, one on a line, that all executors see) or urls, fetcher (module:function) and partitions.
 
-    The function takes a URL and returns (status, content_type, body, error). Network access is its own matter.
+    Network access is the function's own matter. A table of URLs goes through fetch_pages.
     """
 
     @classmethod
@@ -77,7 +123,7 @@ class FetchSource(DataSource):
         return "crawl_fetch"
 
     def schema(self) -> str:
-        return "url string, status int, content_type string, body string, error string, attempts int"
+        return FETCHED
 
     def reader(self, schema) -> DataSourceReader:
         return _Reader(self.options)
@@ -85,23 +131,16 @@ class FetchSource(DataSource):
 
 class _Reader(DataSourceReader):
     def __init__(self, options):
-        self.urls = [u for u in options.get("urls", "").split("\n") if u]
+        self.path, self.urls = options.get("path"), options.get("urls", "")
         self.fetcher = options["fetcher"]
         self.n = int(options.get("partitions", "4"))
 
     def partitions(self):
-        return [_Part(self.urls[k :: self.n]) for k in range(self.n)]
+        return [_Part(k) for k in range(self.n)]
 
     def read(self, partition: _Part) -> Iterator[tuple]:
-        import importlib
-        import time
-
-        module, _, function = self.fetcher.partition(":")
-        fetch: Callable = getattr(importlib.import_module(module), function)
-        for url in partition.urls:
-            for attempt in range(RETRIES + 1):
-                status, kind, body, error = fetch(url)
-                if not error or error in ("dns_nxdomain", "rate_limited") or attempt == RETRIES:
-                    break
-                time.sleep(RETRY_WAIT * (attempt + 1))
-            yield url, status, kind, body, error, attempt + 1
+        fetch = _fetcher(self.fetcher)
+        with open(self.path) if self.path else io.StringIO(self.urls) as lines:
+            for at, line in enumerate(lines):
+                if at % self.n == partition.k and line.strip():
+                    yield attempt(fetch, line.strip())

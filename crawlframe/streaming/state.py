@@ -14,6 +14,7 @@ from crawlframe.functions.hashing import fnv1a64_hex
 from crawlframe.functions.http import decode_wire
 from crawlframe.functions.urls import extract_domain
 from crawlframe.operators import queue
+from crawlframe.operators.links import SOFT404
 
 STATE = "dead boolean, delay bigint, ema bigint, last bigint, backoff bigint, errors int"
 OUT = "domain string, dead boolean, crawl_delay_ns bigint, avg_latency_ns bigint, last_fetch_ns bigint, backoff_until_ns bigint, consecutive_errors int"
@@ -27,32 +28,20 @@ def new_urls(urls: DataFrame, url: str = "url", event_time: str | None = None, w
     return keyed.withWatermark(event_time, within).dropDuplicatesWithinWatermark(["url_key"])
 
 
-def step(state: tuple, outcome: str, ts: int, latency: int, robots: int | None) -> tuple:
-    """The politeness state after one event; the same as the batch fold."""
-    dead, delay, ema, last, backoff, errors = state
-    if outcome == "ok":
-        ema = latency if ema == 0 else int(P.ALPHA * float(latency) + (1 - P.ALPHA) * float(ema))
-        delay = max(min(max(ema * P.MULTIPLIER, P.MIN_DELAY), P.MAX_DELAY), robots or 0)
-        last, errors = ts, 0
-    elif outcome == "rate_limited":
-        delay = min(max(delay * 2, P.MIN_DELAY), P.MAX_DELAY)
-        backoff = ts + delay
-    elif outcome == "error":
-        errors += 1
-        dead = dead or errors >= P.DEAD_ERRORS
-        if errors >= P.BACKOFF_ERRORS:
-            backoff = ts + 2 ** min(errors - P.BACKOFF_ERRORS, 6) * 60 * P.SECOND
-    elif outcome == "nxdomain":
-        dead = True
-    return dead, delay, ema, last, backoff, errors
+step = P.advance
 
 
 def _update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    own = state.get if state.exists else (False, P.DEFAULT_DELAY, 0, None, None, 0)
-    events = pd.concat(list(batches)).sort_values(["ts_ns", "event_id"])
-    for e in events.itertuples(index=False):
-        robots = None if pd.isna(e.robots_delay_ns) else int(e.robots_delay_ns)
-        own = step(own, e.outcome, int(e.ts_ns), int(e.latency_ns), robots)
+    """Events of a micro-batch in their order; only the numbers of them are held, not a joined frame."""
+    own = state.get if state.exists else P.FRESH
+    known = lambda x: None if pd.isna(x) else int(x)
+    events = sorted(
+        (e.ts_ns, e.event_id, e.outcome, known(e.latency_ns), known(e.robots_delay_ns), known(getattr(e, "retry_after_ns", None)))
+        for batch in batches
+        for e in batch.itertuples(index=False)
+    )
+    for ts, _, outcome, latency, robots, retry in events:
+        own = P.advance(own, outcome, int(ts), latency, robots, retry)
     state.update(own)
     yield pd.DataFrame([[key[0], *own]], columns=[c.split()[0] for c in OUT.split(", ")])
 
@@ -62,6 +51,30 @@ def politeness(log: DataFrame) -> DataFrame:
     return log.groupBy("domain").applyInPandasWithState(_update, OUT, STATE, "update", GroupStateTimeout.NoTimeout)
 
 
+def soft404(pages: DataFrame, order: str, ttl: str = "24 hours", threshold: int = SOFT404) -> DataFrame:
+    """pages (domain, html, ...) without the threshold-th and later copies of a body within a domain, by arrival and within a batch by order.
+
+    The state is one count for each domain and body, and goes when no copy has
+    come for ttl, so that it is bounded by the bodies of that time.
+    """
+    schema = pages.schema
+    names = schema.fieldNames()
+    milliseconds = int(pd.Timedelta(ttl).total_seconds() * 1000)
+
+    def count(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(batches)).sort_values(order)
+        before = state.get[0] if state.exists else 0
+        state.update((min(before + len(rows), threshold),))
+        state.setTimeoutDuration(milliseconds)
+        yield rows[names].head(max(0, threshold - 1 - before))
+
+    keyed = pages.withColumn("__body", F.xxhash64("html"))
+    return keyed.groupBy("domain", "__body").applyInPandasWithState(count, schema, "n int", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
 def inbox(wires: DataFrame) -> DataFrame:
     """(url, domain, depth) of new URLs among wire messages (value); the first of equal ones keeps its depth."""
     decoded = wires.select(decode_wire(F.col("value")).alias("m")).select("m.url", "m.depth")

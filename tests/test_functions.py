@@ -3,27 +3,29 @@ from pyspark.sql import functions as F
 
 from crawlframe.functions import hashing, html, http, politeness, robots, sitemap, urls
 
+# What must come out is fixed by the crawler's rules; the URLs are our own.
 NORMAL = [
-    ("HTTP://example.com/page", "http://example.com/page"),
-    ("https://EXAMPLE.COM/Page", "https://example.com/Page"),
-    ("http://example.com:80/page", "http://example.com/page"),
-    ("https://example.com:443/page", "https://example.com/page"),
-    ("https://example.com:8080/page", "https://example.com:8080/page"),
-    ("https://www.example.com/page", "https://example.com/page"),
-    ("https://example.com/page#section", "https://example.com/page"),
-    ("https://example.com", "https://example.com/"),
-    ("https://example.com/page/", "https://example.com/page"),
-    ("https://example.com/a//b///c", "https://example.com/a/b/c"),
-    ("https://example.com/search?b=2&a=1", "https://example.com/search?a=1&b=2"),
-    ("https://example.com/p?utm_source=google&id=123", "https://example.com/p?id=123"),
-    ("https://example.com/p?FBCLID=abc", "https://example.com/p"),
-    ("https://example.com/p?a=&b=1", "https://example.com/p?b=1"),
-    ("https://example.com/p?a=x%20y&a=1*~", "https://example.com/p?a=1%2A~&a=x+y"),
-    ("https://example.com/für", "https://example.com/f%C3%BCr"),
-    ("https://my_host.com/x", "https://my_host.com/x"),
-    ("ftp://example.com/f", ""),
-    ("mailto:a@b.c", ""),
-    ("https://example.com/%zz", ""),
+    ("HTTPS://Shop.Test/Cart", "https://shop.test/Cart"),
+    ("http://shop.test:80/a", "http://shop.test/a"),
+    ("https://shop.test:443/a", "https://shop.test/a"),
+    ("http://shop.test:443/a", "http://shop.test:443/a"),
+    ("https://shop.test:9443/a", "https://shop.test:9443/a"),
+    ("https://www.shop.test/a", "https://shop.test/a"),
+    ("https://shop.test/a#reviews", "https://shop.test/a"),
+    ("https://shop.test", "https://shop.test/"),
+    ("https://shop.test/a///", "https://shop.test/a"),
+    ("https://shop.test//x////y/z", "https://shop.test/x/y/z"),
+    ("https://shop.test/find?size=9&colour=red&colour=blue", "https://shop.test/find?colour=blue&colour=red&size=9"),
+    ("https://shop.test/a?utm_campaign=may&sku=77&gclid=x", "https://shop.test/a?sku=77"),
+    ("https://shop.test/a?MsClkId=1", "https://shop.test/a"),
+    ("https://shop.test/a?empty=&sku=1", "https://shop.test/a?sku=1"),
+    ("https://shop.test/a?k=&k=2", "https://shop.test/a?k=&k=2"),
+    ("https://shop.test/a?q=two%20words&q=5*~", "https://shop.test/a?q=5%2A~&q=two+words"),
+    ("https://shop.test/größe", "https://shop.test/gr%C3%B6%C3%9Fe"),
+    ("https://old_name.test/x", "https://old_name.test/x"),
+    ("gopher://shop.test/f", ""),
+    ("data:text/plain,hi", ""),
+    ("https://shop.test/%q1", ""),
     (None, ""),
 ]
 RESOLVED = [
@@ -81,9 +83,9 @@ PAGE = """<a href="/1">x</a><A class='k' HREF='/2?a=1&amp;b=2'>y</A><a/href=/3><
 
 def test_hrefs(spark):
     got = spark.range(1).select(html.hrefs(F.lit(PAGE))).first()[0]
-    assert got == ["/1", "/2?a=1&b=2", "/4", "/5"] or got == ["/1", "/2?a=1&b=2", "/3", "/4", "/5"]
-    exact = [r["href"] for r in html.ExactLinks(F.lit(PAGE)).collect()]
-    assert exact[:2] == got[:2]
+    assert got == ["/1", "/2?a=1&b=2", "/3", "/4", "/5"] == [r["href"] for r in html.ExactLinks(F.lit(PAGE)).collect()]
+    tricky = """<a title="x href=/no"href='/6' data-href=/no2><a href = /7/ ><a\nhref="a&#38;b"/><a href>"""
+    assert spark.range(1).select(html.hrefs(F.lit(tricky))).first()[0] == ["/6", "/7/", "a&b"]
 
 
 @pytest.mark.parametrize(
@@ -120,7 +122,7 @@ def test_http(spark):
     wires = {"3\thttps://x": ("https://x", 3), "https://x": ("https://x", 0), "\thttps://x": ("\thttps://x", 0), "a\tb": ("a\tb", 0)}
     for wire, want in wires.items():
         assert tuple(spark.range(1).select(http.decode_wire(F.lit(wire))).first()[0]) == want
-    assert spark.range(1).select(http.tls_version_name(F.lit(0x0304))).first()[0] == "1.3"
+    assert spark.range(1).select(http.tls_version_name(F.lit(0x0304))).first()[0] == "TLS 1.3"
 
 
 def test_politeness(spark):
