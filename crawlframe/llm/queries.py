@@ -18,8 +18,12 @@ from crawlframe.llm import (
     token_count,
 )
 
-#: The key of the surrogates; a deployment sets its own.
-PII_KEY = b"set a secret key here"
+#: The session's setting that holds the key of the surrogates. Without one a key that everyone knows is taken, which hides nothing.
+PII_KEY = "spark.crawlframe.pii.key"
+
+
+def pii_key(spark: SparkSession) -> bytes:
+    return spark.conf.get(PII_KEY, "no secret: set spark.crawlframe.pii.key").encode()
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,7 +56,7 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    replaced = pii.replace(_table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+    replaced = pii.checked_replace(_table(spark, sf_dir, "documents").select("doc_id", "text"), pii_key(spark))
     return replaced.select("doc_id", "text", F.size("__pii").cast("bigint").alias("n_entities"))
 
 
