@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor
 kept. All but the last return the columns of documents.
+
+Defined cases, by stage: a null, empty or short text fails the quality rules;
+rows that repeat a doc_id and its text become one, a doc_id with other texts
+keeps one row of each that is near no other; rows without a doc_id stay; an
+empty table gives an empty result; further columns go along, but names that
+start with two underscores are reserved.
 """
 
 from __future__ import annotations
@@ -10,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from crawlframe.llm import decontaminate, near_dup, pack, pii, quality
 from crawlframe.llm.common import materialise
-from crawlframe.llm.queries import PII_KEY, tokenizer_path
+from crawlframe.llm.queries import pii_key, tokenizer_path
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +36,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data is replaced by surrogates."""
-    return pii.replace(docs, PII_KEY).drop("__pii")
+    return pii.checked_replace(docs, pii_key(spark)).drop("__pii")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
