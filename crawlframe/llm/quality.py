@@ -16,8 +16,9 @@ empty table gives an empty result; other columns are kept as they are.
 
 from __future__ import annotations
 
+import math
 import time
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -26,15 +27,22 @@ from pyspark.sql import functions as F
 
 from crawlframe.llm.common import SPACES, let, words_of
 
-#: Most documents in the sample on which rules are timed.
-SAMPLE_ROWS = 500
+#: Most documents in the sample on which rules are timed, and the longest one in it.
+SAMPLE_ROWS, SAMPLE_BYTES = 500, 1 << 16
+#: Evaluations of a rule on each row of the sample in one job, and jobs of which the median counts.
+REPEATS, RUNS = 20, 5
 SYMBOLS = "#*$%&|<>"
 
 
 @dataclass(frozen=True)
 class Rule:
+    """rejects: a predicate over the rows' columns, or a function from the measures to one."""
+
     name: str
-    rejects: Column
+    rejects: Column | Callable[[Column], Column]
+
+    def of(self, measured: Column | None) -> Column:
+        return self.rejects if isinstance(self.rejects, Column) else self.rejects(measured)
 
 
 @dataclass(frozen=True)
@@ -105,27 +113,27 @@ def n_repeat_words(words: Column) -> Column:
     return F.when(F.size(words) < 4, F.lit(0)).otherwise(hashed(words)).cast("bigint")
 
 
-def base(docs: DataFrame) -> DataFrame:
-    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed."""
-    text = F.col("text")
-    measured = let(
-        words_of(text), lambda w: F.struct(F.size(w).cast("bigint").alias("n"), n_repeat_words(w).alias("r"))
-    )
-    return docs.withColumn("__words", measured).select(
-        *(c for c in docs.columns if c not in _BASE),
-        F.col("__words.n").alias("n_words"),
-        word_chars(text).alias("word_chars"),
-        n_symbols(text).alias("n_symbols"),
-        n_dup_lines(text).alias("n_dup_lines"),
-        F.col("__words.r").alias("n_repeat_words"),
-    ).withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
+_BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-_BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+def measures(text: Column) -> Column:
+    """struct of n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed; the text is split once."""
+
+    def counted(words: Column) -> Column:
+        return F.struct(
+            F.size(words).cast("bigint").alias("n_words"), word_chars(text).alias("word_chars"), n_symbols(text).alias("n_symbols"),
+            n_dup_lines(text).alias("n_dup_lines"), n_repeat_words(words).alias("n_repeat_words"),
+        )
+
+    def judged(m: Column) -> Column:
+        failed = (m["n_words"] < 50) | (100 * m["n_repeat_words"] > 50 * m["n_words"])
+        return F.struct(*(m[c].alias(c) for c in _BASE[:5]), failed.alias("base_failed"))
+
+    return let(let(words_of(text), counted), judged)
 
 
 def standard_rules() -> list[Rule]:
-    """Rules over text and the base columns.
+    """Rules over text and the measures.
 
     symbols: over 7 % of the characters in words are of #*$%&|<>;
     word_length: the mean word has fewer than 2 or more than 15 characters;
@@ -133,65 +141,94 @@ def standard_rules() -> list[Rule]:
     few_letters: under half of the characters in words are letters;
     long_word: a run of over 200 characters without white space.
     """
-    text, n, chars = F.col("text"), F.col("n_words"), F.col("word_chars")
-    lines = F.length(_text(text)) - F.length(F.translate(_text(text), "\n", "")) + 1
-    letters = F.length(F.regexp_replace(_text(text), "\\P{L}+", ""))
+    text = _text(F.col("text"))
+    lines = F.length(text) - F.length(F.translate(text, "\n", "")) + 1
+    letters = F.length(F.regexp_replace(text, "\\P{L}+", ""))
     return [
-        Rule("symbols", 100 * F.col("n_symbols") > 7 * chars),
-        Rule("word_length", (chars < 2 * n) | (chars > 15 * n)),
-        Rule("dup_lines", (F.col("n_dup_lines") > 3) & (100 * F.col("n_dup_lines") > 30 * lines)),
-        Rule("few_letters", 2 * letters < chars),
-        Rule("long_word", _text(text).rlike("[^\\x20\\x09-\\x0D]{201}")),
+        Rule("symbols", lambda m: 100 * m["n_symbols"] > 7 * m["word_chars"]),
+        Rule("word_length", lambda m: (m["word_chars"] < 2 * m["n_words"]) | (m["word_chars"] > 15 * m["n_words"])),
+        Rule("dup_lines", lambda m: (m["n_dup_lines"] > 3) & (100 * m["n_dup_lines"] > 30 * lines)),
+        Rule("few_letters", lambda m: 2 * letters < m["word_chars"]),
+        Rule("long_word", lambda m: text.rlike("[^\\x20\\x09-\\x0D]{201}")),
     ]
 
 
-def estimate(sample: DataFrame, rules: Sequence[Rule]) -> list[Estimate]:
-    """Selectivity and seconds a row of each rule over the rows of sample, which should be cached."""
+def estimate(sample: DataFrame, rules: Sequence[Rule], measured: str = "__quality") -> list[Estimate]:
+    """Selectivity and seconds a row of each rule over the rows of sample, which should be cached.
+
+    Each rule is evaluated REPEATS times on every row in one job, and the median
+    of RUNS jobs counts, less the median of as many jobs that evaluate nothing.
+    A cost that their spread could be is taken for that spread, and costs are
+    rounded to powers of four: rules whose costs can't be told apart have the
+    same, so that their order is by what they reject and repeats.
+    """
     rows = max(1, sample.count())
+    many = sample.select("*", F.explode(F.sequence(F.lit(1), F.lit(REPEATS))).alias("__turn"))
 
-    def timed(value: Column) -> tuple[int, float]:
-        began = time.perf_counter()
-        found = sample.agg(F.count_if(value)).first()[0]
-        return found, time.perf_counter() - began
+    def timed(value: Column) -> tuple[int, list[float]]:
+        took = []
+        for _ in range(RUNS):
+            began = time.perf_counter()
+            found = many.agg(F.count_if(value & (F.col("__turn") > 0))).first()[0]
+            took.append(time.perf_counter() - began)
+        return found // REPEATS, sorted(took)
 
     timed(F.lit(True))
-    floor = timed(F.lit(True))[1]
+    nothing = timed(F.lit(True))[1]
+    floor = max(nothing[-1] - nothing[0], nothing[RUNS // 2] / 4)
     out = []
     for rule in rules:
-        found, seconds = timed(F.coalesce(rule.rejects, F.lit(False)))
-        out.append(Estimate(rule, found / rows, max(seconds - floor, 1e-6) / rows))
+        found, took = timed(F.coalesce(rule.of(F.col(measured)), F.lit(False)))
+        seconds = max(took[RUNS // 2] - nothing[RUNS // 2], floor) / (rows * REPEATS)
+        out.append(Estimate(rule, found / rows, 4.0 ** round(math.log(seconds, 4))))
     return out
 
 
 def order(estimates: Sequence[Estimate]) -> list[Rule]:
-    """By rejection per cost, the best first; ties by name."""
-    return [e.rule for e in sorted(estimates, key=lambda e: (-e.rank, e.rule.name))]
+    """By rejection per cost, the best first; ties by cost, then by name."""
+    return [e.rule for e in sorted(estimates, key=lambda e: (-e.rank, e.seconds, e.rule.name))]
 
 
-def cascade(rules: Sequence[Rule]) -> Column:
+def cascade(rules: Sequence[Rule], measured: Column | None = None) -> Column:
     """True if no rule rejects; a later rule isn't evaluated for a rejected row."""
     return reduce(
-        lambda later, rule: F.when(F.coalesce(rule.rejects, F.lit(False)), F.lit(False)).otherwise(later),
+        lambda later, rule: F.when(F.coalesce(rule.of(measured), F.lit(False)), F.lit(False)).otherwise(later),
         reversed(rules),
         F.lit(True),
     )
 
 
+def ordered(docs: DataFrame, rules: Sequence[Rule], sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
+    """rules in the order of rejection per cost, by a sample of docs' rows that the base lets through.
+
+    The sample is of at most sample_rows rows of at most SAMPLE_BYTES each, a
+    tenth of the rows that are read; it decides the order and so the cost alone.
+    """
+    short = docs.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= SAMPLE_BYTES)
+    rows = short.sample(0.1, seed=7).limit(sample_rows).collect()
+    if len(rows) < sample_rows:
+        rows = short.limit(sample_rows).collect()
+    local = docs.sparkSession.createDataFrame(rows, docs.schema)
+    sample = local.select("*", measures(F.col("text")).alias("__quality")).where("NOT __quality.base_failed").cache()
+    out = order(estimate(sample, rules))
+    sample.unpersist()
+    return out
+
+
 def judge(docs: DataFrame, rules: Sequence[Rule] | None = None, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """docs with the base columns and kept: the base holds and no rule rejects.
 
-    Columns of docs with the names of base columns are replaced.
+    Columns of docs with the names of base columns are replaced; the names
+    __quality and __turn are reserved.
     """
-    rules = standard_rules() if rules is None else list(rules)
-    measured = base(docs)
-    # a few tasks read the rows; a limit within the plan would sort out so many rows from each of all tasks
-    sample = base(docs.sparkSession.createDataFrame(docs.limit(sample_rows).collect(), docs.schema)).cache()
-    ordered = order(estimate(sample, rules))
-    sample.unpersist()
-    return measured.withColumn("kept", ~F.col("base_failed") & cascade(ordered))
+    chosen = ordered(docs, standard_rules() if rules is None else list(rules), sample_rows)
+    kept = lambda m: ~m["base_failed"] & cascade(chosen, m)
+    whole = let(measures(F.col("text")), lambda m: F.struct(*(m[c].alias(c) for c in _BASE[:6]), kept(m).alias("kept")))
+    own = [c for c in docs.columns if c not in _BASE]
+    return docs.select(*own, whole.alias("__quality")).select(*own, *(F.col(f"__quality.{c}").alias(c) for c in _BASE))
 
 
 def keep_good(docs: DataFrame, rules: Sequence[Rule] | None = None) -> DataFrame:
-    """The rows of docs that are kept, with their own columns alone."""
-    marked = docs.withColumn("__row", F.struct(*(docs[c] for c in docs.columns)))
-    return judge(marked, rules).where("kept").select("__row.*")
+    """The rows of docs that are kept, with their own columns alone: one filter, which measures each text once."""
+    chosen = ordered(docs, standard_rules() if rules is None else list(rules))
+    return docs.where(let(measures(F.col("text")), lambda m: ~m["base_failed"] & cascade(chosen, m)))
