@@ -160,10 +160,12 @@ def count(docs: DataFrame, model: str) -> DataFrame:
             _counters[model] = Counter(zipf_scores(load_pieces(model)))
         counter = _counters[model]
         for batch in batches:
-            gc.disable()  # many tuples and no cycles
             split = [[w.decode() for w in (t.as_py() or b"").split()] for t in batch.column(1)]
-            counter.learn(set(chain.from_iterable(split)))
-            gc.enable()
+            gc.disable()  # many tuples and no cycles
+            try:
+                counter.learn(set(chain.from_iterable(split)))
+            finally:
+                gc.enable()
             of = counter.young.__getitem__
             sums = [(len(words), *map(sum, zip(*map(of, words), strict=True))) if words else (0, 0, 0) for words in split]
             columns = list(zip(*sums, strict=True)) or [(), (), ()]
