@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import string
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +18,7 @@ SPACE_RUN = "[\\x20\\x09-\\x0D]+"
 LOWER_BYTES = bytes.maketrans(string.ascii_uppercase.encode(), string.ascii_lowercase.encode())
 
 #: Rows to an Arrow batch: a batch of long texts must fit in a Python worker.
-BATCH_ROWS = 1000
+BATCH_ROWS = 500
 
 _own_dir: list[str] = []
 
@@ -94,6 +96,14 @@ def arrow_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def tidy(batches):
+    """batches; after the last one the worker gives the memory it has freed back to the system, as its idle time counts too."""
+    yield from batches
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value evaluated once: a lambda's variable isn't inlined as a column would be."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

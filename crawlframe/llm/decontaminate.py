@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from crawlframe.llm.common import arrow_batches
+from crawlframe.llm.common import arrow_batches, tidy
 
 WINDOW = 13
 #: Words of items in one automaton (about 100 MB of Python objects). A larger benchmark is matched in blocks.
@@ -255,7 +255,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_word
 
         def run(batches, shared=shared):
             automaton = _automaton(shared, window)
-            for batch in batches:
+            for batch in tidy(batches):
                 columns = {"n": [], "hit": [], "spans": [], "items": []}
                 texts = batch.column(text_at).cast(pa.binary())
                 before = batch.column(spans_at).to_pylist(), batch.column(items_at).to_pylist()
@@ -305,7 +305,7 @@ def remove(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most_cov
     names = docs.columns
 
     def run(batches):
-        for batch in batches:
+        for batch in tidy(batches):
             texts, spans = batch.column(at["text"]), batch.column(at["__dc_spans"])
             counts = batch.column(at["n_chars"]).to_pylist() if "n_chars" in at else None
             out = []

@@ -107,8 +107,8 @@ def bands(found: np.ndarray) -> np.ndarray:
 
 
 def window_size(t: int) -> int:
-    """The least of 8, 12, 16, 24, 32, ... that is 1.5 times t at least, so at most 2.25 times t from 6 on."""
-    size = 8
+    """The least of 4, 6, 8, 12, 16, 24, ... that is 1.5 times t at least."""
+    size = 4
     while size < 1.5 * t:
         size = size * 3 // 2 if size & (size - 1) == 0 else size * 4 // 3
     return size

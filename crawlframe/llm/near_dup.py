@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crawlframe.llm.common import HOT_ROWS, LOWER_BYTES, arrow_batches, key_filter, lookup, materialise, maybe_in
+from crawlframe.llm.common import HOT_ROWS, LOWER_BYTES, arrow_batches, key_filter, lookup, materialise, maybe_in, tidy
 
 BANDS, ROWS = 32, 5
 #: Signature values compared between two looks at the posterior.
@@ -83,7 +83,7 @@ def shingles(text: bytes | None, k: int) -> np.ndarray:
 
 def _forgetting(batches):
     """batches; the words' hashes go with the task, as a worker serves other operators too."""
-    yield from batches
+    yield from tidy(batches)
     _words.clear()
 
 
@@ -160,7 +160,7 @@ def _text_hash() -> Column:
 
 def _bands(classes: DataFrame) -> DataFrame:
     def run(batches):
-        for batch in batches:
+        for batch in tidy(batches):
             if not batch.num_rows:
                 continue
             sigs = b"".join(batch.column(2).to_pylist())
@@ -263,7 +263,7 @@ def _verify(pairs: DataFrame, sigs: DataFrame, texts: DataFrame, k: int, percent
 
     def prune(batches):
         held = np.zeros((1, BANDS * ROWS), np.uint32)
-        for batch in batches:
+        for batch in tidy(batches):
             if not batch.num_rows:
                 continue
             signed = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint32).reshape(batch.num_rows, -1)

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from crawlframe.llm.common import arrow_batches, materialise
+from crawlframe.llm.common import arrow_batches, materialise, tidy
 
 SIZE = 2048
 END_ID = 0
@@ -155,7 +155,7 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE) -> DataFrame:
         if tokenizer not in _encoders:
             _encoders[tokenizer] = Encoder(tokenizer)
         encoder, end = _encoders[tokenizer], END_ID.to_bytes(4, "little")
-        for batch in batches:
+        for batch in tidy(batches):
             names = batch.column(0).to_pylist()
             texts = [t or "" for t in batch.column(1).to_pylist()]
             rows: list[tuple] = []

@@ -46,7 +46,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from crawlframe.llm.common import arrow_batches, materialise
+from crawlframe.llm.common import arrow_batches, materialise, tidy
 
 # First names by gender and script.
 FIRST_NAMES = {
@@ -391,7 +391,7 @@ def entities(docs: DataFrame, key: bytes) -> DataFrame:
     arrow_batches(docs.sparkSession)
 
     def run(batches):
-        for batch in batches:
+        for batch in tidy(batches):
             found = {(k, normal(e, k), normal(s, k)) for t in batch.column(0).to_pylist() if t for k, e, s in pseudonymise(t, key)[1]}
             columns = list(zip(*sorted(found), strict=True)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], names=["kind", "entity", "surrogate"])
@@ -422,7 +422,7 @@ def replace(docs: DataFrame, key: bytes) -> DataFrame:
     kind = pa.list_(pa.struct([("kind", pa.string()), ("entity", pa.string()), ("surrogate", pa.string())]))
 
     def run(batches):
-        for batch in batches:
+        for batch in tidy(batches):
             texts, done = [], []
             counts = batch.column(chars_at).to_pylist() if chars_at is not None else None
             for k, text in enumerate(batch.column(text_at).to_pylist()):
