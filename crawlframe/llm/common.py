@@ -59,11 +59,12 @@ def lookup(rows: DataFrame, table: DataFrame, key: str, counts: DataFrame, total
     there are fewer than HOT_KEYS hot ones: their part of table is broadcast.
     """
     hot = materialise(counts.where(F.col("rows") > max(total // HOT_KEYS, HOT_ROWS)).select(key), "hot")
+    shuffled = table.hint("merge")  # alike at every size: a small table isn't broadcast either
     if hot.isEmpty():
-        return rows.join(table, key, how)
+        return rows.join(shuffled, key, how)
     few = F.broadcast(hot)
     beside = F.broadcast(table.join(few, key, "left_semi"))
-    return rows.join(few, key, "left_semi").join(beside, key, how).unionByName(rows.join(few, key, "left_anti").join(table, key, how))
+    return rows.join(few, key, "left_semi").join(beside, key, how).unionByName(rows.join(few, key, "left_anti").join(shuffled, key, how))
 
 
 #: Bits of a filter of keys, of which a broadcast takes an eighth in bytes.

@@ -192,7 +192,7 @@ def _texts(docs: DataFrame, classes: DataFrame, k: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*kept, pa.array(marks, pa.list_(pa.int64()))], names=["id", "text", "mark"])
 
     every = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("binary").alias("text"))
-    chosen = maybe_in(every, key_filter(classes, "doc_id"), "doc_id").join(classes.select("id", "doc_id", "digest"), "doc_id")
+    chosen = maybe_in(every, key_filter(classes, "doc_id"), "doc_id").join(classes.select("id", "doc_id", "digest").hint("merge"), "doc_id")
     return chosen.select("id", "text", "digest").mapInArrow(run, "id bigint, text binary, mark array<bigint>").dropDuplicates(["id"])
 
 
@@ -250,8 +250,8 @@ def _beside(pairs: DataFrame, table: DataFrame, what: str) -> DataFrame:
     """
     dealt = pairs.withColumn("salt", _part("b", (F.col("w") / SPLIT).cast("int") + 1))
     value = table.select(F.col("id"), F.col(what).alias("value"))
-    own = dealt.groupBy("a", "salt").agg(F.max("w").alias("w")).join(value.withColumnRenamed("id", "a"), "a")
-    others = dealt.join(value.withColumnRenamed("id", "b"), "b")
+    own = dealt.groupBy("a", "salt").agg(F.max("w").alias("w")).join(value.withColumnRenamed("id", "a").hint("merge"), "a")
+    others = dealt.join(value.withColumnRenamed("id", "b").hint("merge"), "b")
     columns = ("a", "salt", "b", "value", "w")
     every = own.withColumn("b", F.lit(None).cast("bigint")).select(*columns).unionByName(others.select(*columns))
     return every.repartition("a", "salt").sortWithinPartitions("a", "salt", F.asc_nulls_first("b"))
@@ -347,17 +347,17 @@ def _placed(docs: DataFrame, k: int, percent: int) -> DataFrame:
     members = materialise(
         grouped.select("digest", F.col("first.rid").alias("id"), F.col("first.doc_id").alias("doc_id"), F.col("first.h").alias("h"), "rows"), "classes"
     )
-    classes = signed.select(F.col("rid").alias("id"), "n", "sig").join(members.select("id"), "id")
+    classes = signed.select(F.col("rid").alias("id"), "n", "sig").join(members.select("id").hint("merge"), "id")
     rows = materialise(_bands(classes), "bands")
     shared = materialise(rows.groupBy("band").agg(F.count("*").alias("size")).where("size > 1"), "shared")
     sized = materialise(lookup(rows, shared, "band", shared.select("band", F.col("size").alias("rows")), rows.count()), "sized")
     weights = sized.groupBy("id").agg(F.sum("size").alias("weight"))
     buckets = materialise(
-        sized.join(weights, "id").select("band", _part("id", _parts(F.col("size"))).alias("salt"), "id", "n", "size", "weight"), "buckets"
+        sized.join(weights.hint("merge"), "id").select("band", _part("id", _parts(F.col("size"))).alias("salt"), "id", "n", "size", "weight"), "buckets"
     )
     some = materialise(buckets.select("id").distinct(), "candidates")
     signatures = maybe_in(signed.select(F.col("rid").alias("id"), "sig"), key_filter(some, "id"), "id")
-    sigs = materialise(signatures.join(some, "id", "left_semi"), "sigs")
+    sigs = materialise(signatures.join(some.hint("merge"), "id", "left_semi"), "sigs")
     texts = materialise(_texts(docs, members.join(some, "id", "left_semi"), k), "texts")
     alike = 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
 
@@ -423,6 +423,6 @@ def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> Data
     named = docs.where(F.col("doc_id").isNotNull()).withColumn("__text", _text_hash())
     keyed = named.withColumn("doc_id", F.col("doc_id").cast("bigint")) if dict(docs.dtypes)["doc_id"] != "bigint" else named
     sure = maybe_in(keyed, touched, *key, inside=False)
-    left = maybe_in(keyed, touched, *key).join(gone, key, "left_anti").dropDuplicates(key)
+    left = maybe_in(keyed, touched, *key).join(gone.hint("merge"), key, "left_anti").dropDuplicates(key)
     kept = sure.unionByName(left.select(sure.columns)).select([F.col(c).cast(t) for c, t in docs.dtypes])
     return kept.unionByName(docs.where(F.col("doc_id").isNull()))
