@@ -499,7 +499,8 @@ def bloom_fp_rate(spark, sf_dir):
     probes = _table(spark, sf_dir, "events").select(F.concat(F.lit("probe-"), F.col("event_id").cast("string")).alias("url"))
     rows = keys.withColumn("own", F.lit(True)).unionByName(probes.withColumn("own", F.lit(False)))
     tested = dedup.test_bloom(rows, "url", bloom, n)
-    return tested.agg(F.count_if(F.expr("own AND NOT maybe")).alias("missed"), F.count_if(F.expr("NOT own AND maybe")).alias("false_hits"), F.count_if(F.expr("NOT own")).alias("probes"))
+    counts = tested.agg(F.count_if(F.expr("own AND NOT maybe")).alias("missed"), F.count_if(F.expr("NOT own AND maybe")).alias("false_hits"), F.count_if(F.expr("NOT own")).alias("probes"))
+    return counts.withColumn("fp_rate", F.col("false_hits") / F.greatest("probes", F.lit(1)))
 
 
 def bloom_new_urls(spark, sf_dir):
@@ -876,7 +877,8 @@ x AS (SELECT url AS s, true AS own FROM pages UNION ALL SELECT 'probe-' || event
 w AS (SELECT own, s, list_transform(range(0, k), lambda i: ((h.d::HUGEINT * 4294967296 + h.c + i * (h.b::HUGEINT * 4294967296 + h.a)) % 18446744073709551616) % m) AS places FROM h, z),
 b AS (SELECT DISTINCT unnest(places) AS bit FROM w WHERE own), t AS (SELECT own, s, unnest(places) AS bit FROM w),
 r AS (SELECT own, s, count(*) = count(b.bit) AS maybe FROM t LEFT JOIN b USING (bit) GROUP BY own, s)
-SELECT count(*) FILTER (own AND NOT maybe) AS missed, count(*) FILTER (NOT own AND maybe) AS false_hits, count(*) FILTER (NOT own) AS probes FROM r""",
+SELECT count(*) FILTER (own AND NOT maybe) AS missed, count(*) FILTER (NOT own AND maybe) AS false_hits, count(*) FILTER (NOT own) AS probes,
+  count(*) FILTER (NOT own AND maybe) / greatest(count(*) FILTER (NOT own), 1) AS fp_rate FROM r""",
     "bloom_new_urls": f"WITH {_LINKS} SELECT DISTINCT link AS url FROM f WHERE link NOT IN (SELECT {_normal('url')} FROM pages WHERE page_id % 2 = 0)",
     "politeness_state": f"WITH RECURSIVE {_FOLD} SELECT * FROM state",
     "next_fetch": f"{_DUE} SELECT domain, next_fetch AS next_fetch_ns FROM due",
