@@ -160,8 +160,10 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE) -> DataFrame:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             rows: list[tuple] = []
             gc.disable()  # many strings and no cycles
-            coded = list(encoder.encode(texts))
-            gc.enable()
+            try:
+                coded = list(encoder.encode(texts))
+            finally:
+                gc.enable()
             for name, ids in zip(names, coded, strict=True):
                 ids += end
                 for k, at in enumerate(range(0, len(ids), 4 * size)):
