@@ -1,8 +1,9 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney model of trusted text.
 
 1. Trusted text: labelled rows of good quality that aren't toxic. The model is
-   fitted on at most FIT_DOCS of them (a hash of the id chooses), each whole,
-   so that the number of its n-grams doesn't grow with the corpus.
+   fitted on all of them, each whole, but those of one fold of HELD (by a hash
+   of the id), from which the limits come: a text that the model was fitted on
+   has too low a perplexity to tell anything of others.
 2. N-grams of one to three words are counted; the counts are sharded by a hash
    of the n-gram and joined with the sums of their contexts, by a shuffle on
    the context, which gives each n-gram its discounted probability and each
@@ -11,9 +12,10 @@
    the sum of count times value over its n-grams (`values`). The n-grams of all
    documents are counted by document and joined with the values, both sharded
    by the n-gram; the sums give each document's perplexity over all words of
-   its whole text. Before the shuffle a filter of 8 MB drops n-grams that the
-   model surely lacks (they add nothing), and the HOT n-grams that trusted text
-   has most, which would be the hot keys, are added up in each task.
+   its whole text. Before the shuffle a filter of 8 MB drops n-grams of which
+   the model surely lacks a part or the whole (they add nothing; the larger the
+   model, the fewer are told), and the HOT n-grams that trusted text has most,
+   which would be the hot keys, are added up in each task.
 4. For each language, the limit is a quantile of the perplexities of all
    trusted rows that the model wasn't fitted on, times a margin; documents
    above it go. A short text's mean strays further, so that its limit has
@@ -37,12 +39,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from crawlframe.llm.common import HOT_ROWS, LOWER_BYTES, arrow_batches, lookup, materialise, tidy
+from crawlframe.llm.common import HOT_ROWS, LOWER_BYTES, arrow_batches, key_filter, lookup, materialise, maybe_in, tidy
 
-FIT_DOCS = 2_000
 QUANTILE, MARGIN = 0.99, 1.25
 LEAST_ROWS = 30
 #: One in so many trusted rows is never fitted on.
@@ -77,7 +78,8 @@ def _ngrams(trusted: DataFrame) -> DataFrame:
     counted = trusted.select(F.col("text").cast("binary").alias("text")).mapInArrow(
         run, "w1 binary, w2 binary, w3 binary, c bigint"
     )
-    return counted.groupBy("w1", "w2", "w3").agg(F.sum("c").alias("c"))
+    # dealt by context, so that its sums need no other shuffle
+    return counted.repartition("w1", "w2").groupBy("w1", "w2", "w3").agg(F.sum("c").alias("c"))
 
 
 def discounts(histogram: dict[int, int]) -> tuple[float, float, float]:
@@ -92,11 +94,17 @@ def discounts(histogram: dict[int, int]) -> tuple[float, float, float]:
     return tuple(min(max(d, 0.1), limit - 0.05) for d, limit in ((d1, 1), (d2, 2), (d3, 3)))
 
 
+def _fitted(grams: DataFrame) -> tuple[float, float, float]:
+    return discounts({r["c"]: r["count"] for r in grams.where("c <= 4").groupBy("c").count().collect()})
+
+
+def _discount(d1: float, d2: float, d3: float) -> Column:
+    return F.when(F.col("c") == 1, d1).when(F.col("c") == 2, d2).otherwise(d3)
+
+
 def _level(grams: DataFrame, context: list[str], word: str) -> DataFrame:
     """(context, word, share, weight): the discounted share of the word in its context and what the context leaves."""
-    histogram = {r["c"]: r["count"] for r in grams.where("c <= 4").groupBy("c").count().collect()}
-    d1, d2, d3 = discounts(histogram)
-    discount = F.when(F.col("c") == 1, d1).when(F.col("c") == 2, d2).otherwise(d3)
+    discount = _discount(*_fitted(grams))
     of_context = grams.groupBy(*context).agg(F.sum("c").alias("total"), F.sum(discount).alias("left"))
     joined = grams.join(of_context, context) if context else grams.crossJoin(F.broadcast(of_context))  # one row of sums
     return joined.select(
@@ -159,8 +167,12 @@ class Model:
 
 
 def levels(trusted: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The three orders (context, word, share, weight) of trusted (text), which is bounded by the caller."""
-    tri = materialise(_ngrams(trusted), "trigrams")
+    """The three orders (context, word, share, weight) of all of trusted (text)."""
+    of = Window.partitionBy("w1", "w2")
+    sums = {"total": F.sum("c"), "n1": F.count_if(F.col("c") == 1), "n2": F.count_if(F.col("c") == 2), "n3": F.count_if(F.col("c") > 2)}
+    tri = materialise(_ngrams(trusted).select("*", *(x.over(of).alias(n) for n, x in sums.items())), "trigrams")
+    d = _fitted(tri)
+    left = sum((F.col(f"n{k}") * x for k, x in enumerate(d, 1)), F.lit(0.0))
     # continuation counts: in how many contexts an n-gram of a lower order stands; those at a text's start keep their counts
     bi = (
         tri.groupBy("w2", "w3").agg(F.count("*").alias("n"), F.sum("c").alias("t"))
@@ -169,9 +181,9 @@ def levels(trusted: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     bi = materialise(bi, "bigrams")
     uni = bi.groupBy("w3").agg(F.count("*").alias("c"))
     return (
-        _level(tri, ["w1", "w2"], "w3").select("w1", "w2", "w3", "share", "weight", "c"),
-        _level(bi, ["w2"], "w3"),
-        _level(uni, [], "w3"),
+        tri.select("w1", "w2", "w3", ((F.col("c") - _discount(*d)) / F.col("total")).alias("share"), (left / F.col("total")).alias("weight"), "c"),
+        materialise(_level(bi, ["w2"], "w3"), "level"),
+        materialise(_level(uni, [], "w3"), "level"),
     )
 
 
@@ -302,15 +314,19 @@ def _grams(docs: DataFrame, bits: np.ndarray, hot: np.ndarray, hot_values: np.nd
             doc = np.repeat(np.arange(len(texts)), sizes + 3)
             unigram = np.ones(len(h), bool)
             unigram[starts[:-1]] = False
-            found = [
-                (doc[unigram], keys(h[unigram])),
-                (doc[1:], keys(h[:-1], h[1:])),
-                (doc[2:], keys(h[:-2], h[1:-1], h[2:])),
-            ]
-            whole = [np.ones(len(found[0][0]), bool), doc[1:] == doc[:-1], doc[2:] == doc[:-2]]
-            kept = [np.flatnonzero(ok & _held(own_bits, key)) for (_, key), ok in zip(found, whole, strict=True)]
-            where = np.concatenate([d[k] for (d, _), k in zip(found, kept, strict=True)])
-            key = np.concatenate([x[k] for (_, x), k in zip(found, kept, strict=True)]).view(np.int64)
+            # the model has the parts of each n-gram that it has
+            one = keys(h)
+            ok = _held(own_bits, one)
+            found = [(at := np.flatnonzero(ok & unigram), one[at])]
+            for n in (2, 3):
+                at = np.flatnonzero(ok[:-1] & ok[1:] & (doc[n - 1 :] == doc[: len(doc) - n + 1]))
+                key = keys(*(h[at + k] for k in range(n)))
+                held = _held(own_bits, key)
+                ok = np.zeros(len(ok) - 1, bool)
+                ok[at[held]] = True
+                found.append((at[held], key[held]))
+            where = np.concatenate([doc[at] for at, _ in found])
+            key = np.concatenate([x for _, x in found]).view(np.int64)
             at = np.minimum(np.searchsorted(own_hot, key), max(0, len(own_hot) - 1))
             known = own_hot[at] == key if len(own_hot) else np.zeros(len(key), bool)
             partial = np.bincount(where[known], own_values[at[known]], minlength=len(texts)).astype(float)
@@ -334,8 +350,10 @@ def _grams(docs: DataFrame, bits: np.ndarray, hot: np.ndarray, hot_values: np.nd
 def _score(docs: DataFrame, model: tuple[DataFrame, DataFrame, DataFrame]) -> DataFrame:
     """docs (doc_id, lang, text) without text, with n_words and ln_perplexity, by joins of the n-grams' counts with the model's values."""
     table, unknown = values(*model)
-    # the keys that would be hot in the join: the n-grams that trusted text has most
-    frequent = table.orderBy(F.desc("seen"), "key").limit(HOT).select("key", "value").toArrow()
+    # the keys that would be hot in the join: the n-grams that trusted text has most; by the highest power of two that leaves enough, so that each task sends few
+    above = table.agg(*(F.count_if(F.col("seen") >= 2**j) for j in range(50))).first()
+    enough = 2 ** max((j for j, n in enumerate(above) if n >= HOT), default=0)
+    frequent = table.where(F.col("seen") >= enough).orderBy(F.desc("seen"), "key").limit(HOT).select("key", "value").toArrow()
     by_key = np.argsort(frequent.column("key").to_numpy())
     hot, hot_values = (frequent.column(c).to_numpy()[by_key] for c in ("key", "value"))
     grams = materialise(_grams(docs, _filter(table), hot, hot_values).withColumn("rid", F.monotonically_increasing_id()), "grams")
@@ -354,14 +372,17 @@ def _score(docs: DataFrame, model: tuple[DataFrame, DataFrame, DataFrame]) -> Da
 
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
     """Rows (doc_id, lang, n_words, ln_perplexity, ln_limit, kept), one for each of docs."""
-    good = labels.where("quality = 1 AND coalesce(toxic, 0) = 0 AND doc_id IS NOT NULL").select("doc_id").distinct()
-    fit_for = good.where(F.pmod(F.xxhash64("doc_id"), F.lit(HELD)) != 0)
-    chosen = fit_for.orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_DOCS).select("doc_id", F.lit(True).alias("fitted"))
-    sample = docs.select(F.col("doc_id").cast("bigint"), "text").join(F.broadcast(chosen), "doc_id", "left_semi")  # FIT_DOCS ids
-    model = tuple(materialise(level, "level") for level in levels(sample.select("text")))
+    fitted = F.pmod(F.xxhash64("doc_id"), F.lit(HELD)) != 0
+    good = labels.where("quality = 1 AND coalesce(toxic, 0) = 0 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint")).distinct()
+    fit_for = good.where(fitted)
+    # a filter first, so that few other texts are shuffled; the join is exact
+    texts = maybe_in(docs.select(F.col("doc_id").cast("bigint"), "text").where(fitted), key_filter(fit_for, "doc_id"), "doc_id")
+    trusted = texts.join(fit_for.hint("merge"), "doc_id", "left_semi")
     # labels meet the scores, so that no text is shuffled
-    each = _score(docs.select(F.col("doc_id").cast("bigint"), "lang", F.col("text").cast("binary").alias("text")), model)
-    marks = good.withColumn("trusted", F.lit(True)).join(chosen, "doc_id", "left")
+    each = _score(
+        docs.select(F.col("doc_id").cast("bigint"), "lang", F.col("text").cast("binary").alias("text")), levels(trusted.select("text"))
+    )
+    marks = good.select("doc_id", F.lit(True).alias("trusted"), fitted.alias("fitted"))
     scored = materialise(
         materialise(each, "each").join(marks, "doc_id", "left")
         .withColumns({c: F.coalesce(c, F.lit(False)) for c in ("trusted", "fitted")}),

@@ -416,6 +416,18 @@ def test_kneser_ney_counts_whole_texts(spark):
     assert len(grams) == 2501 and (b"w2498", b"w2499", b"\n") in grams and (b"w1998", b"w1999", b"\n") not in grams
 
 
+def test_the_model_is_of_all_trusted_rows_but_the_held_out(spark):
+    rng = random.Random(26)
+    texts = [text(rng, 2, [*WORDS, f"w{k}"]) for k in range(3000)]
+    docs = documents(spark, texts)
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(2900)], "doc_id bigint, quality int, toxic int")
+    fitted = {r[0] for r in docs.where("doc_id < 2900 AND pmod(xxhash64(doc_id), 4) != 0").select("doc_id").collect()}
+    assert len(fitted) > 2000
+    got = {r["doc_id"]: r["ln_perplexity"] for r in kneser_ney.classify(docs, labels).collect()}
+    for k in range(2880, 2920):
+        assert math.isclose(got[k], brute_kneser_ney([texts[j] for j in fitted], texts[k]), rel_tol=1e-9)
+
+
 # 7 hidden Markov model
 
 
