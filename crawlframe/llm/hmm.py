@@ -21,9 +21,10 @@ Passes over the corpus:
    frequencies with noise, whatever the order of the rows;
 4. scoring: the scaled forward recursion gives the exact likelihood.
 
-Texts of any length are trained on and scored as a whole; of those of over
-SEGMENT tokens, the training holds one stretch at a time and carries the
-recursion over its borders.
+A worker gathers documents of GATHERED tokens and runs those of like length side
+by side. Texts of any length are trained on and scored as a whole; of those of
+over SEGMENT tokens, one stretch at a time is held and the recursion is carried
+over its borders.
 
 Bounds: a worker holds (HEAD + RARE) x STATES parameters and HEAD words. The
 counts of rare words stay distributed and are joined by the word's 64-bit
@@ -53,16 +54,16 @@ HEAD = 30_000
 RARE = 2_048
 #: Passes over all training documents; more of them hardly change the score of held-out text (README).
 PASSES = 4
-#: Steps between two scalings of the forward values in training.
+#: Steps between two scalings of the forward values.
 RESCALE = 8
-#: Steps of one text whose values the training holds at a time.
+#: Steps of one text whose values are held at a time.
 SEGMENT = 50_000
 #: Distinct words that a worker counts before it passes them on.
 FLUSH = 200_000
 #: Pseudo-counts of emissions and transitions.
 SMOOTH_EMIT, SMOOTH_MOVE = 0.05, 1.0
-#: Documents whose recursions run side by side, and the most cells (documents x steps) of one such block.
-LANES, CELLS = 512, 200_000
+#: Tokens of the texts whose recursions run side by side, if more than one, and tokens that a worker gathers to put texts of like length together.
+CELLS, GATHERED = 200_000, 1_000_000
 END = b"\n"  # no word holds white space
 
 
@@ -196,40 +197,60 @@ class Model:
         return Model(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
 
 
-def _lanes(coded: list[np.ndarray]):
-    """Indices of texts that run side by side: of like length, longest first."""
-    by = sorted(range(len(coded)), key=lambda k: -len(coded[k]))
-    at = 0
-    while at < len(by):
-        n = max(1, min(LANES, CELLS // max(1, len(coded[by[at]]))))
-        yield by[at : at + n]
-        at += n
+def _blocks(coded: list[np.ndarray]):
+    """Indices of texts that run side by side: of like length, longest first, up to CELLS tokens."""
+    block, total = [], 0
+    for k in sorted(range(len(coded)), key=lambda k: -len(coded[k])):
+        if block and total + len(coded[k]) > CELLS:
+            yield block
+            block, total = [], 0
+        block.append(k)
+        total += len(coded[k])
+    if block:
+        yield block
+
+
+def _steps(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The symbols of texts, longest first, by step; where each step begins; and where each text ends.
+
+    The texts that still go on at a step are a prefix, so that the k-th symbol of a step is the k-th text's.
+    """
+    sizes = np.array([len(c) for c in texts])
+    at = np.concatenate(([0], np.cumsum(np.searchsorted(-sizes, -np.arange(sizes[0]), side="left"))))
+    step = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    symbols = np.empty(len(step), np.intp)
+    symbols[at[step] + np.repeat(np.arange(len(texts)), sizes)] = np.concatenate(texts)
+    return symbols, at, at[sizes - 1] + np.arange(len(texts))
 
 
 def forward(model: Model, coded: list[np.ndarray]) -> np.ndarray:
-    """Natural log-likelihood of each text by the scaled forward recursion.
+    """Natural log-likelihood of each text by the forward recursion, scaled every RESCALE steps.
 
-    Texts run side by side, longest first, so that at each step the ones that
-    still go on are a prefix.
+    Texts run side by side; those of over SEGMENT tokens alone, so that none is held by more than its symbols.
     """
     out = np.zeros(len(coded))
-    for lane in _lanes(coded):
-        sizes = np.array([len(coded[k]) for k in lane])
-        longest = sizes[0]
-        grid = np.zeros((longest, len(lane)), np.int32)
-        for j, k in enumerate(lane):
-            grid[: sizes[j], j] = coded[k]
-        alive = np.searchsorted(-sizes, -np.arange(longest), side="left")
-        total = np.zeros(len(lane))
-        a = None
-        for t in range(longest):
-            n = alive[t]
-            e = model.emit[grid[t, :n]]
-            a = model.start * e if t == 0 else (a[:n] @ model.move) * e
-            scale = a.sum(axis=1)
-            a /= scale[:, None]
-            total[:n] += np.log(scale)
-        out[lane] = total
+    short = []
+    for k, c in enumerate(coded):
+        if len(c) > SEGMENT:
+            out[k] = _carry(model, c)[1]
+        else:
+            short.append(k)
+    for of_short in _blocks([coded[k] for k in short]):
+        block = [short[k] for k in of_short]
+        symbols, at, ends = _steps([coded[k] for k in block])
+        alpha = model.emit.take(symbols, axis=0)
+        total = np.zeros(len(block))
+        bounds = at.tolist()
+        alpha[: bounds[1]] *= model.start
+        for t in range(1, len(bounds) - 1):
+            here, end = bounds[t], bounds[t + 1]
+            a = alpha[here:end]
+            a *= alpha[bounds[t - 1] : bounds[t - 1] + end - here] @ model.move
+            if t % RESCALE == 0:
+                scale = a.sum(axis=1)
+                a /= scale[:, None]
+                total[: end - here] += np.log(scale)
+        out[block] = total + np.log(alpha[ends].sum(axis=1))
     return out
 
 
@@ -244,46 +265,61 @@ def expect(model: Model, coded: list[np.ndarray], into: tuple[np.ndarray, np.nda
     back, moved = np.ascontiguousarray(model.move.T), np.zeros((states, states))
     log_likelihood = sum(_expect_long(model, c, into) for c in coded if len(c) > SEGMENT)
     short = [c for c in coded if len(c) <= SEGMENT]
-    for lane in _lanes(short):
-        sizes = np.array([len(short[k]) for k in lane])
-        longest, width = int(sizes[0]), len(lane)
-        grid = np.zeros((longest, width), np.int32)
-        for j, k in enumerate(lane):
-            grid[: sizes[j], j] = short[k]
-        alive = np.searchsorted(-sizes, -np.arange(longest), side="left").tolist()
-        emitted = model.emit.take(grid, axis=0)
-        alpha = np.zeros((longest, width, states))
-        np.multiply(model.start, emitted[0], out=alpha[0])
-        for t in range(1, longest):
-            n = alive[t]
-            a = alpha[t, :n]
-            np.matmul(alpha[t - 1, :n], model.move, out=a)
-            a *= emitted[t, :n]
+    for block in _blocks(short):
+        symbols, at, ends = _steps([short[k] for k in block])
+        emitted = model.emit.take(symbols, axis=0)
+        alpha, beta = np.empty_like(emitted), np.empty_like(emitted)
+        bounds = at.tolist()
+        np.multiply(model.start, emitted[: bounds[1]], out=alpha[: bounds[1]])
+        for t in range(1, len(bounds) - 1):
+            here, end = bounds[t], bounds[t + 1]
+            a = alpha[here:end]
+            np.matmul(alpha[bounds[t - 1] : bounds[t - 1] + end - here], model.move, out=a)
+            a *= emitted[here:end]
             if t % RESCALE == 0:
                 scale = a.sum(axis=1, keepdims=True)
                 a /= scale
-                emitted[t, :n] /= scale
+                emitted[here:end] /= scale
                 log_likelihood += float(np.log(scale).sum())
-        last = alpha[sizes - 1, np.arange(width)].sum(axis=1, keepdims=True)
+        last = alpha[ends].sum(axis=1, keepdims=True)
         log_likelihood += float(np.log(last).sum())
-        beta = np.repeat(1 / last, states, axis=1)
-        for t in range(longest - 1, 0, -1):
-            n = alive[t]
-            later = emitted[t, :n]
-            later *= beta[:n]
-            alpha[t, :n] *= beta[:n]  # its posterior: the step after it is done
-            moved += alpha[t - 1, :n].T @ later
-            np.matmul(later, back, out=beta[:n])
-        alpha[0] *= beta
-        start += alpha[0].sum(axis=0)
-        there = np.arange(longest)[:, None] < sizes[None, :]
-        codes, gamma = grid[there], alpha[there]
+        beta[ends] = 1 / last
+        for t in range(len(bounds) - 2, 0, -1):
+            here, end = bounds[t], bounds[t + 1]
+            later = emitted[here:end]
+            later *= beta[here:end]
+            np.matmul(later, back, out=beta[bounds[t - 1] : bounds[t - 1] + end - here])
+        # each step but the first against the one before
+        alive = np.diff(at)
+        before = np.arange(at[1], at[-1]) - np.repeat(alive[:-1], alive[1:])
+        moved += alpha.take(before, axis=0).T @ emitted[at[1] :]
+        alpha *= beta
+        start += alpha[: at[1]].sum(axis=0)
         for s in range(states):
-            emit[:, s] += np.bincount(codes, gamma[:, s], minlength=len(emit))
+            emit[:, s] += np.bincount(symbols, alpha[:, s], minlength=len(emit))
     move += moved * model.move
     return log_likelihood
 
 
+def _carry(model: Model, codes: np.ndarray) -> tuple[list[np.ndarray | None], float]:
+    """The scaled forward values before each stretch of SEGMENT steps of one text, and its log-likelihood."""
+    before: list[np.ndarray | None] = []
+    log_likelihood = 0.0
+    a = None
+    for at in range(0, len(codes), SEGMENT):
+        before.append(a)
+        for symbol in codes[at : at + SEGMENT].tolist():
+            a = _step(model, a, symbol)
+            scale = a.sum()
+            a = a / scale
+            log_likelihood += float(np.log(scale))
+    return before, log_likelihood
+
+
+def _step(model: Model, a: np.ndarray | None, symbol: int) -> np.ndarray:
+    return (model.start if a is None else a @ model.move) * model.emit[symbol]
+
+
 def _expect_long(model: Model, codes: np.ndarray, into: tuple[np.ndarray, np.ndarray, np.ndarray]) -> float:
     """The same for one text of any length, holding the values of SEGMENT steps at a time.
 
@@ -293,27 +329,14 @@ def _expect_long(model: Model, codes: np.ndarray, into: tuple[np.ndarray, np.nda
     """
     start, move, emit = into
     states = len(model.start)
-    before: list[np.ndarray] = []
-    log_likelihood = 0.0
-
-    def step(a: np.ndarray | None, symbol: int) -> np.ndarray:
-        return (model.start if a is None else a @ model.move) * model.emit[symbol]
-
-    a = None
-    for at in range(0, len(codes), SEGMENT):
-        before.append(a)
-        for symbol in codes[at : at + SEGMENT].tolist():
-            a = step(a, symbol)
-            scale = a.sum()
-            a = a / scale
-            log_likelihood += float(np.log(scale))
+    before, log_likelihood = _carry(model, codes)
     beta = np.ones(states)
     for k in range(len(before) - 1, -1, -1):
         own = codes[k * SEGMENT : (k + 1) * SEGMENT]
         alpha = np.empty((len(own), states))
         a = before[k]
         for t, symbol in enumerate(own.tolist()):
-            a = step(a, symbol)
+            a = _step(model, a, symbol)
             a /= a.sum()
             alpha[t] = a
         for t in range(len(own) - 1, -1, -1):
@@ -332,6 +355,19 @@ def _expect_long(model: Model, codes: np.ndarray, into: tuple[np.ndarray, np.nda
     return log_likelihood
 
 
+def _gather(batches):
+    """batches in lists of about GATHERED tokens; the first column holds the codes."""
+    found, total = [], 0
+    for batch in batches:
+        found.append(batch)
+        total += len(batch.column(0).flatten())
+        if total >= GATHERED:
+            yield found
+            found, total = [], 0
+    if found:
+        yield found
+
+
 def _pass(coded: DataFrame, model: Model) -> tuple[Model, float]:
     """One Baum-Welch pass over all of coded; the next model, and the log-likelihood under this one."""
     shared = coded.sparkSession.sparkContext.broadcast(model)
@@ -342,8 +378,8 @@ def _pass(coded: DataFrame, model: Model) -> tuple[Model, float]:
         own = shared.value
         into = np.zeros(states), np.zeros((states, states)), np.zeros((symbols, states))
         log_likelihood = 0.0
-        for batch in batches:
-            log_likelihood += expect(own, _arrays(batch.column(0)), into)
+        for some in _gather(batches):
+            log_likelihood += expect(own, [c for batch in some for c in _arrays(batch.column(0))], into)
         used = np.flatnonzero(into[2].any(axis=1))
         rows = np.vstack((into[2][used], into[1], into[0], np.full(states, log_likelihood)))
         keys = np.concatenate((used, symbols + np.arange(states + 2)))
@@ -400,12 +436,14 @@ def score(docs: DataFrame, states: int = STATES, passes: int = PASSES) -> DataFr
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches):
-        for batch in batches:
-            found = forward(shared.value, _arrays(batch.column(0))) / np.log(10)
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(k) for k in range(1, batch.num_columns)), pa.array(found)],
-                names=[*batch.schema.names[1:], "hmm"],
-            )
+        for some in _gather(batches):
+            found = forward(shared.value, [c for batch in some for c in _arrays(batch.column(0))]) / np.log(10)
+            parts = np.split(found, np.cumsum([batch.num_rows for batch in some])[:-1])
+            for batch, part in zip(some, parts, strict=True):
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(k) for k in range(1, batch.num_columns)), pa.array(part)],
+                    names=[*batch.schema.names[1:], "hmm"],
+                )
 
     kept = coded.select("codes", "rid", "doc_id", "held_out", "n_tokens", "head_known", "head_score", "rare_norm")
     schema = ", ".join(f"{n} {t}" for n, t in kept.dtypes[1:])

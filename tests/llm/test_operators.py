@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -488,6 +489,28 @@ def test_scores(spark):
     assert hmm.score(odd(spark)).count() == 9 and hmm.score(odd(spark).limit(0)).count() == 0
 
 
+def test_texts_run_side_by_side_in_few_steps(monkeypatch):
+    """Rows of texts of mixed lengths over many batches: each is scored as it is alone, in far fewer steps than batch by batch."""
+    rng = np.random.default_rng(3)
+    model = hmm.Model.first(np.arange(1, 8.0), 3)
+    texts = [rng.integers(0, 7, 400 if k % 10 == 0 else int(rng.integers(1, 30))).astype(np.int32) for k in range(200)]
+    batches = [pa.RecordBatch.from_pydict({"codes": pa.array([t.tolist() for t in texts[k : k + 10]], pa.list_(pa.int32()))}) for k in range(0, 200, 10)]
+    monkeypatch.setattr(hmm, "GATHERED", 3000)
+    monkeypatch.setattr(hmm, "CELLS", 2000)
+    parts = [[c for b in some for c in hmm._arrays(b.column(0))] for some in hmm._gather(iter(batches))]
+    assert [len(c) for part in parts for c in part] == [len(t) for t in texts] and len(parts) > 1
+    blocks = [[part[k] for k in block] for part in parts for block in hmm._blocks(part)]
+    assert sum(map(len, blocks)) == 200 and all(sum(map(len, b)) <= 2000 for b in blocks)
+    assert sum(len(b[0]) for b in blocks) < 20 * 400 / 2
+    alone = np.array([hmm._carry(model, t)[1] for t in texts])
+    assert np.allclose(np.concatenate([hmm.forward(model, part) for part in parts]), alone)
+    into = [(np.zeros(3), np.zeros((3, 3)), np.zeros((7, 3))) for _ in range(2)]
+    assert math.isclose(sum(hmm.expect(model, part, into[0]) for part in parts), alone.sum())
+    for t in texts:
+        hmm._expect_long(model, t, into[1])
+    assert all(np.allclose(a, b) for a, b in zip(*into, strict=True))
+
+
 def test_training_passes_take_every_document_whole(spark):
     rng = np.random.default_rng(1)
     texts = [rng.integers(0, 4, 3000), *(rng.integers(0 if k < 2000 else 4, 4 if k < 2000 else 8, 5) for k in range(2100))]
