@@ -168,6 +168,7 @@ class Model:
 
 def levels(trusted: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The three orders (context, word, share, weight) of all of trusted (text)."""
+    arrow_batches(trusted.sparkSession)  # a worker counts a batch at a time
     of = Window.partitionBy("w1", "w2")
     sums = {"total": F.sum("c"), "n1": F.count_if(F.col("c") == 1), "n2": F.count_if(F.col("c") == 2), "n3": F.count_if(F.col("c") > 2)}
     tri = materialise(_ngrams(trusted).select("*", *(x.over(of).alias(n) for n, x in sums.items())), "trigrams")
