@@ -4,18 +4,18 @@
    fitted on all of them, each whole, but those of one fold of HELD (by a hash
    of the id), from which the limits come: a text that the model was fitted on
    has too low a perplexity to tell anything of others.
-2. N-grams of one to three words are counted; the counts are sharded by a hash
-   of the n-gram and joined with the sums of their contexts, by a shuffle on
-   the context, which gives each n-gram its discounted probability and each
-   context its weight for the next lower order.
-3. Each n-gram of the model gets one value, so that a text's log-probability is
-   the sum of count times value over its n-grams (`values`). The n-grams of all
-   documents are counted by document and joined with the values, both sharded
-   by the n-gram; the sums give each document's perplexity over all words of
-   its whole text. Before the shuffle a filter of 8 MB drops n-grams of which
-   the model surely lacks a part or the whole (they add nothing; the larger the
-   model, the fewer are told), and the HOT n-grams that trusted text has most,
-   which would be the hot keys, are added up in each task.
+2. Trigrams are dealt to shards by a hash of the middle word, so that a shard
+   has the contexts and the lower orders of its trigrams too. One run over the
+   trusted texts tells what a shard can't know of the model by itself
+   (`Levels`): the discounts, and unigram counts, which are held by every task
+   for the HOT most connected words and sent with the pair of words for others.
+3. The trigrams of all documents meet the trusted ones in the same shards, which
+   give each text's sum of log-probabilities over all words of its whole text.
+   The documents are read once in each of up to PASSES passes, each of which
+   deals the trigrams of its own shards; its shuffle files go before the next
+   begins. A middle word that would be too much for one shard is split by the
+   word before it, or its trusted trigrams go to each of several shards.
+   Words are compared by hashes of 64 bits, texts for their sums too.
 4. For each language, the limit is a quantile of the perplexities of all
    trusted rows that the model wasn't fitted on, times a margin; documents
    above it go. A short text's mean strays further, so that its limit has
@@ -33,7 +33,7 @@ texts with words are kept; repeated rows are each scored.
 
 from __future__ import annotations
 
-from itertools import chain
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from crawlframe.llm.common import HOT_ROWS, LOWER_BYTES, arrow_batches, key_filter, lookup, materialise, maybe_in, tidy
+from crawlframe.llm.common import LOWER_BYTES, arrow_batches, key_filter, materialise, maybe_in, tidy
 
 QUANTILE, MARGIN = 0.99, 1.25
 LEAST_ROWS = 30
@@ -166,8 +166,8 @@ class Model:
         return self._look(self.tri, a << (2 * _SHIFT) | bc, 0.0) + self._look(self.tri_context, ab, 1.0) * p
 
 
-def levels(trusted: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The three orders (context, word, share, weight) of all of trusted (text)."""
+def _orders(trusted: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The three orders (context, word, share, weight) of trusted (text)."""
     arrow_batches(trusted.sparkSession)  # a worker counts a batch at a time
     of = Window.partitionBy("w1", "w2")
     sums = {"total": F.sum("c"), "n1": F.count_if(F.col("c") == 1), "n2": F.count_if(F.col("c") == 2), "n3": F.count_if(F.col("c") > 2)}
@@ -190,7 +190,7 @@ def levels(trusted: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 def fit(trusted: DataFrame) -> Model:
     """The model in one process: for small samples, and what the joins are held against."""
-    return Model(*(level.toArrow() for level in levels(trusted)))
+    return Model(*(level.toArrow() for level in _orders(trusted)))
 
 
 def hashes(words: list[bytes]) -> np.ndarray:
@@ -206,167 +206,556 @@ def keys(*words: np.ndarray) -> np.ndarray:
     return mixed
 
 
-def values(tri: DataFrame, bi: DataFrame, uni: DataFrame) -> tuple[DataFrame, float]:
-    """(key, value, seen) of the n-grams of the model, and the log-probability of the unknown word.
+#: Tokens to a shard, which a worker holds; a word or pair with more than a quarter of that in all texts is dealt to several shards.
+SHARD = 1 << 21
+#: Times that all texts are read, each time for the shards of one pass: so that a pass's share of the tokens is on disk, not all of them.
+PASSES = 6
+#: Tokens below which one pass does.
+PASS_TOKENS = 1 << 22
+#: Words at most whose unigram counts every task holds.
+HOT = 1 << 18
+#: One in so many rows tells the number of tokens and the frequent words, which decide how rows are dealt and nothing else.
+SAMPLE = 16
+#: Tokens that a task gathers before it sends them, and that a shard scores at once.
+CHUNK, BLOCK = 1 << 20, 1 << 19
+
+_S, _E = hashes([b"", b"\n"])  # the start and the end of a text, as no word is
+_TRAIN, _TEXT, _SEEN, _PAIR = range(4)
+_DEALT = "shard int, kind int, words binary, a binary, b binary, c binary, n binary, docs binary"
+
+
+def _factor(k: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct values of k, of each element the place of its value, and of each value the first element."""
+    coded = pa.array(k.view(np.int64)).dictionary_encode()
+    at = coded.indices.to_numpy()
+    first = np.empty(len(coded.dictionary), np.int64)
+    first[at[::-1]] = np.arange(len(k) - 1, -1, -1)
+    return coded.dictionary.to_numpy().view(np.uint64), at, first
+
+
+def _find(own: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """The place of each of k in own, or -1."""
+    at = pc.index_in(pa.array(k.view(np.int64)), value_set=pa.array(own.view(np.int64)))
+    return pc.fill_null(at, -1).to_numpy(zero_copy_only=False)
+
+
+def _of(own: np.ndarray, values: np.ndarray, k: np.ndarray, missing) -> np.ndarray:
+    """The value of each of k, which own may have."""
+    if not len(own):
+        return np.full(len(k), missing, values.dtype)
+    at = _find(own, k)
+    return np.where(at >= 0, values[at], values.dtype.type(missing))
+
+
+def _pack(x: np.ndarray) -> bytes:
+    raw = np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
+    return np.int64(len(raw)).tobytes() + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _unpack(packed: bytes, kind) -> np.ndarray:
+    size = int(np.frombuffer(packed[:8], np.int64)[0])
+    raw = np.frombuffer(pa.decompress(packed[8:], decompressed_size=size, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+_EIGHTS = np.array([(1 << 8 * n) - 1 for n in range(8)] + [(1 << 64) - 1], np.uint64)
+#: Bytes up to which words are hashed side by side, eight bytes a step.
+_SHORT = 64
+
+
+def _hashed(words: pa.Array) -> np.ndarray:
+    """A hash of each of the words (no nulls, none empty)."""
+    if not len(words):
+        return np.empty(0, np.uint64)
+    _, offsets, data = words.buffers()
+    offsets = np.frombuffer(offsets, np.int32, len(words) + 1, words.offset * 4).astype(np.int64)
+    begin, size = offsets[:-1], np.diff(offsets)
+    raw = np.concatenate((np.frombuffer(data, np.uint8, offsets[-1]), np.zeros(8, np.uint8)))
+    eights = np.ndarray(len(raw) - 7, np.uint64, raw, strides=(1,))  # the eight bytes from each byte on
+    h = keys(size.astype(np.uint64))
+    at = np.flatnonzero(size <= _SHORT)
+    for done in range(0, _SHORT, 8):
+        if done:
+            at = at[size[at] > done]
+        if not len(at):
+            break
+        h[at] = keys(h[at], eights[begin[at] + done] & _EIGHTS[np.minimum(size[at] - done, 8)])
+    for k in np.flatnonzero(size > _SHORT):
+        h[k] = xxhash.xxh3_64_intdigest(raw[begin[k] : offsets[k + 1]].tobytes())
+    return h
+
+
+def _words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """How many words each text has, and the hashes of all words one text after another."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.view(pa.string())))
+    lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    flat = lists.flatten()
+    full = pc.greater(pc.binary_length(flat), 0)  # a text's edges give empty ones
+    sizes = np.bincount(np.repeat(np.arange(len(texts)), lengths)[full.to_numpy(zero_copy_only=False)], minlength=len(texts))
+    return sizes, _hashed(flat if pc.all(full, min_count=0).as_py() else flat.filter(full))
+
+
+def _trigrams(texts: pa.Array) -> tuple[np.ndarray, ...]:
+    """(text's row, a, b, c) of each trigram, with each text as start, start, its words, end."""
+    sizes, words = _words_of(texts)
+    ends = np.cumsum(sizes + 3)
+    h = np.full(ends[-1] if len(ends) else 0, _S)
+    doc = np.repeat(np.arange(len(texts)), sizes + 3)
+    inside = np.ones(len(h), bool)
+    for k in (ends - sizes - 3, ends - sizes - 2, ends - 1):
+        inside[k] = False
+    h[inside] = words
+    h[ends - 1] = _E
+    at = np.flatnonzero(doc[:-2] == doc[2:])
+    return doc[at], h[at], h[at + 1], h[at + 2]
+
+
+class Deal:
+    """Which shard has which trigrams: those of one middle word are together, as contexts and lower orders of a trigram share it.
+
+    A word that the model has very often is split by the word before it; any other
+    very frequent word or pair is spread: its texts' rows are dealt at random and
+    its trusted ones go to each of its shards.
+    """
 
-    The interpolation makes the log-probability of a word c after a and b a sum
-    of one value for each n-gram there, 0 for those that the model lacks:
+    def __init__(self, shards: int, split: dict[int, int], spread: dict[int, int], pairs: dict[int, int]):
+        self.shards = shards
+        few = lambda x, own: np.array([min(x.get(k, 1), shards) for k in own], np.int64)
+        words = [*split, *spread]
+        self.words, self.parts, self.wide = np.array(words, np.uint64), few(split, words), few(spread, words)
+        #: A pair is no more frequent than its words, so that only pairs of self.words are here.
+        self.pairs = np.array(list(pairs), np.uint64), few(pairs, pairs)
+        self.most = max([1, *self.pairs[1]])
+
+    def _base(self, b: np.ndarray) -> np.ndarray:
+        return (keys(b) % np.uint64(self.shards)).astype(np.int64)
+
+    def place(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each trigram the first of its shards, and how many it has."""
+        shard, wide = self._base(b), np.ones(len(b), np.int64)
+        if len(self.words):
+            which = _find(self.words, b)
+            at = np.flatnonzero(which >= 0)
+            a, b, which = a[at], b[at], which[at]
+            shard[at] = (shard[at] + (keys(a) % self.parts[which].astype(np.uint64)).astype(np.int64)) % self.shards
+            wide[at] = np.maximum(self.wide[which], _of(*self.pairs, keys(a, b), 1))
+        return shard, wide
+
+    def reach(self, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each word the first of the shards that may have it as the middle one, and how many there are."""
+        wide = _of(self.words, self.parts - 1 + np.maximum(self.wide, self.most), b, 1)
+        return self._base(b), np.minimum(wide, self.shards)
+
+
+def _find_any(own: np.ndarray, k: np.ndarray) -> np.ndarray:
+    return _find(own, k) >= 0 if len(own) else np.zeros(len(k), bool)
+
+
+def _everywhere(shard: np.ndarray, wide: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """A row for each of the shards of each row: its place and its shard."""
+    at = np.repeat(np.arange(len(shard)), wide)
+    return at, (shard[at] + np.arange(len(at)) - np.repeat(np.cumsum(wide) - wide, wide)) % shards
+
+
+def _sent(shard: np.ndarray, kind: int, passes: int, abc=None, pair=None, n=None, docs=None):
+    """Record batches of _DEALT, a row for each shard: words coded by the shard's own table."""
+    order = np.argsort(shard.astype(np.uint16) if shard.max(initial=0) < 1 << 16 else shard, kind="stable")
+    shard = shard[order]
+    cuts = np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1], [True]))) if len(shard) else np.zeros(1, np.int64)
+    for lo, hi in zip(cuts, cuts[1:], strict=False):
+        at = order[lo:hi]
+        row = {"shard": int(shard[lo]) // passes, "kind": kind, "words": None, "a": None, "docs": None}
+        if abc is not None:
+            table, coded, _ = _factor(np.concatenate([x[at] for x in abc]))
+            coded = coded.astype(np.uint16 if len(table) < 1 << 16 else np.uint32)
+            row |= {"words": _pack(table)} | {k: _pack(x) for k, x in zip("abc", np.split(coded, 3), strict=True)}
+        else:
+            row |= {k: _pack(x[at]) for k, x in zip("bc", pair, strict=True)}
+        if docs is None:
+            row["n"] = _pack(n[at])
+        else:
+            own, local, _ = _factor(docs[n[at]])
+            row |= {"n": _pack(local.astype(np.uint32)), "docs": _pack(own)}
+        names = _DEALT.replace(",", "").split()[::2]
+        types = [pa.int32(), pa.int32(), *[pa.binary()] * 6]
+        yield pa.RecordBatch.from_arrays([pa.array([row[k]], t) for k, t in zip(names, types, strict=True)], names=names)
+
+
+def _received(row: dict) -> tuple[np.ndarray, ...]:
+    """(a, b, c) of a row with trigrams."""
+    table = _unpack(row["words"], np.uint64)
+    return tuple(table[_unpack(row[k], np.uint16 if len(table) < 1 << 16 else np.uint32)] for k in "abc")
+
+
+def _joined(parts: list[tuple], kinds: tuple) -> list[np.ndarray]:
+    return [np.concatenate([p[k] for p in parts]) if parts else np.empty(0, kind) for k, kind in enumerate(kinds)]
+
+
+def _counted(a, b, c, n) -> tuple[np.ndarray, ...]:
+    """The distinct trigrams with the sums of n."""
+    _, at, first = _factor(keys(a, b, c))
+    return a[first], b[first], c[first], np.bincount(at, n, len(first)).astype(np.int64)
+
+
+def _deal_trusted(trusted: DataFrame, deal: Deal, passes: int, now: int) -> DataFrame:
+    """The trigrams of texts (text) with their counts, dealt to the shards of pass `now`."""
+    shared = trusted.sparkSession.sparkContext.broadcast(deal)
+    chunk = CHUNK
 
-        ln p(c | a b) = ln p(unknown) + U(c) + C(b) + D(b c) + C(a b) + D(a b c)
+    def run(batches):
+        dealt, kept, held = shared.value, [], 0
+
+        def send():
+            a, b, c, n = _counted(*_joined([(*x, np.ones(len(x[0]), np.int64)) for x in kept], (np.uint64,) * 3 + (np.int64,)))
+            at, shard = _everywhere(*dealt.place(a, b), dealt.shards)
+            mine = shard % passes == now
+            at, shard = at[mine], shard[mine]
+            yield from _sent(shard, _TRAIN, passes, abc=(a[at], b[at], c[at]), n=n[at])
+
+        for batch in tidy(batches):
+            _, a, b, c = _trigrams(batch.column(0))
+            if passes > 1:
+                at, shard = _everywhere(*dealt.place(a, b), dealt.shards)
+                mine = np.unique(at[shard % passes == now])
+                a, b, c = a[mine], b[mine], c[mine]
+            kept.append((a, b, c))
+            held += len(a)
+            if held >= chunk:
+                yield from send()
+                kept, held = [], 0
+        yield from send()
+
+    return trusted.mapInArrow(run, _DEALT)
+
+
+def _deal_texts(docs: DataFrame, deal: Deal, passes: int, now: int) -> DataFrame:
+    """The trigrams of texts (text) with the texts' hashes, dealt to the shards of pass `now`."""
+    shared = docs.sparkSession.sparkContext.broadcast(deal)
+    chunk = CHUNK
+
+    def run(batches):
+        dealt, kept, names, held, rows = shared.value, [], [], 0, 0
+        send = lambda: _sent(
+            *_joined([x[:1] for x in kept], (np.int64,)), _TEXT, passes,
+            abc=_joined([x[1:4] for x in kept], (np.uint64,) * 3), n=_joined([x[4:] for x in kept], (np.int64,))[0], docs=_joined([(x,) for x in names], (np.uint64,))[0],
+        )
+        for batch in tidy(batches):
+            doc, a, b, c = _trigrams(batch.column(0))
+            shard, wide = dealt.place(a, b)
+            shard = (shard + np.arange(len(shard)) % wide) % dealt.shards
+            mine = np.flatnonzero(shard % passes == now)
+            kept.append((shard[mine], a[mine], b[mine], c[mine], doc[mine] + rows))
+            names.append(_names(batch.column(0)))
+            held, rows = held + len(mine), rows + batch.num_rows
+            if held >= chunk:
+                yield from send()
+                kept, names, held, rows = [], [], 0, 0
+        yield from send()
+
+    return docs.mapInArrow(run, _DEALT)
+
+
+def _names(texts: pa.Array) -> np.ndarray:
+    """A hash of each text; the score of a text is of its content alone."""
+    return hashes([x or b"" for x in texts.to_pylist()])
+
+
+def _deal_pairs(pairs: DataFrame, kind: int, deal: Deal, passes: int, now: int) -> DataFrame:
+    """Rows (w, v, n) of word pairs, dealt to the shards that may have w as the middle word."""
+    shared = pairs.sparkSession.sparkContext.broadcast(deal)
+    chunk = CHUNK
+
+    def run(batches):
+        dealt, kept, held = shared.value, [], 0
+        send = lambda: _sent(
+            *_joined([x[:1] for x in kept], (np.int64,)), kind, passes,
+            pair=_joined([x[1:3] for x in kept], (np.uint64,) * 2), n=_joined([x[3:] for x in kept], (np.int64,))[0],
+        )
+        for batch in tidy(batches):
+            w, v, n = (x.to_numpy() for x in batch.columns)
+            w, v = w.view(np.uint64), v.view(np.uint64)
+            at, shard = _everywhere(*dealt.reach(w), dealt.shards)
+            mine = shard % passes == now
+            at = at[mine]
+            kept.append((shard[mine], w[at], v[at], n[at]))
+            held += len(at)
+            if held >= chunk:
+                yield from send()
+                kept, held = [], 0
+        yield from send()
+
+    return pairs.select("w", "v", "n").mapInArrow(run, _DEALT)
 
-    with U the share of the word against the unknown one, C the weight that a
-    context leaves to the lower order, and D what an n-gram's own share adds:
-    ln((share + weight * lower) / (weight * lower)). Each n-gram has one row, and a
-    text's log-probability is the sum of count times value over its n-grams.
-    seen: how often trusted text has the n-gram.
-    """
-    left, size = uni.agg(F.coalesce(F.max("weight"), F.lit(1.0)), F.count("*")).first()
-    unknown = left / (size + 1)
-    none = F.lit(None).cast("binary")
-    word = materialise(uni.select(F.col("w3").alias("w"), (F.col("share") + unknown).alias("p1")), "words")
-    after = tri.groupBy(F.col("w2").alias("w")).agg(F.sum("c").alias("seen")).join(
-        bi.groupBy(F.col("w2").alias("w")).agg(F.max("weight").alias("c1")), "w"
-    )
-    seen = F.coalesce("seen", F.lit(1))
-    one = word.join(after, "w", "full").select(
-        F.lit(1).alias("n"), none.alias("w1"), none.alias("w2"), F.col("w").alias("w3"),
-        (F.coalesce(F.log(F.col("p1") / unknown), F.lit(0.0)) + F.coalesce(F.log("c1"), F.lit(0.0))).alias("value"), seen.alias("seen"),
-    )
-    pairs = materialise(
-        bi.join(word.withColumnRenamed("w", "w3"), "w3").select("w2", "w3", "share", (F.col("weight") * F.col("p1")).alias("low")), "pairs"
-    )
-    after = tri.groupBy(F.col("w1").alias("w2"), F.col("w2").alias("w3")).agg(F.max("weight").alias("c2"), F.sum("c").alias("seen"))
-    two = pairs.join(after, ["w2", "w3"], "full").select(
-        F.lit(2).alias("n"), none.alias("w1"), "w2", "w3",
-        (F.coalesce(F.log1p(F.col("share") / F.col("low")), F.lit(0.0)) + F.coalesce(F.log("c2"), F.lit(0.0))).alias("value"), seen.alias("seen"),
-    )
-    below = pairs.select("w2", "w3", (F.col("share") + F.col("low")).alias("p2"))
-    three = tri.join(below, ["w2", "w3"]).select(
-        F.lit(3).alias("n"), "w1", "w2", "w3", F.log1p(F.col("share") / (F.col("weight") * F.col("p2"))).alias("value"), F.col("c").alias("seen")
-    )
+
+def _frequent(texts: DataFrame) -> tuple[int, dict[int, int], dict[int, int]]:
+    """About how many tokens the texts have, and the words and pairs with very many, by a sample."""
+    arrow_batches(texts.sparkSession)
 
     def run(batches):
         for batch in tidy(batches):
-            order = batch.column(0).to_numpy()
-            words = [hashes([w or b"" for w in batch.column(k).to_pylist()]) for k in (1, 2, 3)]
-            found = np.zeros(batch.num_rows, np.uint64)
-            for n in (1, 2, 3):
-                at = order == n
-                found[at] = keys(*(w[at] for w in words[3 - n :]))
-            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), batch.column(4), batch.column(5)], names=["key", "value", "seen"])
+            _, a, b, _ = _trigrams(batch.column(0))
+            rows = [(0, np.zeros(1, np.uint64), np.array([len(b)]))]
+            for kind, k in ((1, b), (2, keys(a, b))):
+                own, at, _ = _factor(k)
+                n = np.bincount(at, minlength=len(own))
+                many = n > len(b) >> 13
+                rows.append((kind, own[many], n[many]))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(x)) for x in zip(*((np.full(len(k), kind, np.int32), k.view(np.int64), n) for kind, k, n in rows), strict=True)], names=["kind", "k", "n"]
+            )
+
+    part = texts.where(F.monotonically_increasing_id() % SAMPLE == 0).mapInArrow(run, "kind int, k bigint, n bigint")
+    found = part.groupBy("kind", "k").agg((F.sum("n") * SAMPLE).alias("n")).where(f"kind = 0 OR n > {SHARD // 4}").collect()
+    words, pairs = ({r["k"] % (1 << 64): 1 + 4 * r["n"] // SHARD for r in found if r["kind"] == kind} for kind in (1, 2))
+    return sum(r["n"] for r in found if r["kind"] == 0), words, pairs
+
+
+def _shards(tokens: int, passes: int) -> int:
+    """Shards of a pass: as many as hold its tokens, some at least where there is work for several tasks."""
+    return max(1, -(-tokens // (passes * SHARD)), min(8, tokens // 50_000))
+
 
-    every = one.unionByName(two).unionByName(three)
-    return materialise(every.mapInArrow(run, "key bigint, value double, seen bigint"), "values"), float(np.log(unknown))
+def _settled(df: DataFrame, name: str) -> DataFrame:
+    """materialise, after which the shuffle files go at once and not when the driver next collects its garbage."""
+    spark, setting = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(setting, "false")
+    spark.conf.set(setting, "true")
+    try:
+        return materialise(df, name)
+    finally:
+        spark.conf.set(setting, before)
 
 
-#: Bits of the filter of the model's n-grams (8 MB), and n-grams whose values every task holds.
-FILTER_BITS, HOT = 1 << 26, 1 << 18
-#: Words whose hash a worker remembers.
-MEMORY = 200_000
-_hashes: dict[bytes, int] = {}
+def _remove(*tables: DataFrame) -> None:
+    """Delete the files of materialised tables."""
+    for table in tables:
+        spark = table.sparkSession
+        for folder in {f.rpartition("/")[0] for f in table.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def _held(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
-    """Whether the model may have the keys: two bits for each."""
-    found = np.ones(len(key), bool)
-    for shift in (0, 32):
-        at = (key >> np.uint64(shift)) & np.uint64(FILTER_BITS - 1)
-        found &= (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
-    return found
+def _off(n: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
+    return np.where(n == 1, d[0], np.where(n == 2, d[1], d[2]))
 
 
-def _filter(table: DataFrame) -> np.ndarray:
-    page = 32_768
-    each = F.explode(F.array(*(F.shiftrightunsigned("key", s).bitwiseAND(F.lit(FILTER_BITS - 1)) for s in (0, 32)))).alias("at")
-    pages = table.select(each).groupBy((F.col("at") / page).cast("int").alias("page")).agg(F.bitmap_construct_agg(F.col("at") % page).alias("bits"))
-    bits = np.zeros(FILTER_BITS // 8, np.uint8)
-    for row in pages.toLocalIterator():  # FILTER_BITS in all
-        bits[row["page"] * page // 8 : (row["page"] + 1) * page // 8] = np.frombuffer(bytes(row["bits"]), np.uint8)
-    return bits
+class Levels:
+    """What a shard can't tell of the model by itself.
 
+    texts: the trusted ones. d: the discounts by order. words: how many words the unigram
+    level has, and the sum of their counts. often: hashes and unigram counts of the
+    words that every task holds. split: words dealt to several shards, by number of
+    shards. seen: (w, v, n), the unigram counts n of other words v than those of
+    `often`, by the words w before them, where over 1. pairs: (w, v, n), the bigram
+    counts of `split`.
+    """
 
-def _grams(docs: DataFrame, bits: np.ndarray, hot: np.ndarray, hot_values: np.ndarray) -> DataFrame:
-    """docs (doc_id, lang, text) as rows (doc_id, lang, n_words, partial, keys, counts).
+    def __init__(self, trusted: DataFrame):
+        arrow_batches(trusted.sparkSession)
+        self.texts = _settled(trusted.select(F.col("text").cast("binary").alias("text")), "trusted")
+        tokens, self.split, _ = _frequent(self.texts)
+        least = max(2, -(-tokens // HOT)) if HOT else 1 << 62
+        shards = _shards(2 * tokens, 1)  # what is counted takes more memory than what is scored
+        dealt = _deal_trusted(self.texts, Deal(shards, self.split, {}, {}), 1, 0).repartitionById(shards, "shard")
+        told = _settled(dealt.mapInArrow(_tally(np.array(list(self.split), np.uint64), least), "kind int, w bigint, v bigint, n bigint"), "told")
+        counts: dict[int, dict[int, int]] = {k: {} for k in range(4)}
+        for r in told.where("kind = 0").groupBy("w", "v").agg(F.sum("n").alias("n")).collect():
+            counts[r["w"]][r["v"]] = r["n"]
+        often = told.where("kind = 1").groupBy("w").agg(F.sum("n").alias("n")).toArrow()
+        hashed, n = often.column("w").to_numpy().view(np.uint64), often.column("n").to_numpy()
+        self.seen = told.where("kind = 2")
+        self.pairs = _settled(told.where("kind = 3").groupBy("w", "v").agg(F.sum("n").alias("n")), "pairs")
+        end = int(np.array(_E).view(np.int64))
+        for r in self.pairs.where("n <= 4").groupBy("n").count().collect():
+            counts[2][r["n"]] = counts[2].get(r["n"], 0) + r["count"]
+        ends = counts[0].get(0, 0) + self.pairs.where(F.col("v") == end).count()
+        if ends:
+            hashed, n = np.append(hashed, _E), np.append(n, ends)
+        self.often = hashed, n
+        # of the words that are in several shards, and of the end, no shard has counted the unigram
+        late = n[_find_any(np.array([*self.split, _E], np.uint64), hashed)]
+        for x in late[late <= 4].tolist():
+            counts[1][x] = counts[1].get(x, 0) + 1
+        size, total = counts[0].get(1, 0) + len(late), counts[0].get(2, 0) + int(late.sum())
+        self.d = [(), *(discounts(counts[k]) for k in (1, 2, 3))]
+        self.total = max(total, 1)
+        ones, twos = counts[1].get(1, 0), counts[1].get(2, 0)
+        left = sum(x * y for x, y in zip((ones, twos, size - ones - twos), self.d[1], strict=True)) / total if total else 1.0
+        self.unknown = left / (size + 1)
+        self._told = told
+
+    def drop(self) -> None:
+        """Delete the files; the tables are gone then."""
+        _remove(self.texts, self._told, self.pairs)
+
+
+def levels(trusted: DataFrame) -> Levels:
+    """The three orders of all of trusted (text)."""
+    return Levels(trusted)
+
+
+def _tally(split: np.ndarray, least: int):
+    """What a shard of the trusted trigrams tells, rows (kind, w, v, n).
+
+    0: counts of counts by order w and count v; at w = 0 the pairs before the end, the words and the sum of their counts.
+    1: unigram counts of words that every task is to hold. 2: those of others, by the words before. 3: bigram counts of split words.
+    """
 
-    partial: the sum over the hot n-grams; keys and counts: the other n-grams that the model may have.
+    def run(batches):
+        rows = [r for batch in tidy(batches) for r in batch.to_pylist()]
+        a, b, c, n = _counted(*_joined([(*_received(r), _unpack(r["n"], np.int64)) for r in rows], (np.uint64,) * 3 + (np.int64,)))
+        out = []
+
+        def say(kind, w, v, n):
+            w, v = (np.asarray(x, np.uint64).view(np.int64) for x in (w, v))
+            out.append((np.full(len(n), kind, np.int32), np.broadcast_to(w, len(n)), np.broadcast_to(v, len(n)), np.asarray(n, np.int64)))
+
+        def classes(order, n):
+            for k in (1, 2, 3, 4):
+                say(0, order, k, [np.count_nonzero(n == k)])
+
+        classes(3, n)
+        _, at, first = _factor(keys(b, c))
+        w, v = b[first], c[first]
+        n = np.where(w == _S, np.bincount(at, n, len(first)), np.bincount(at, minlength=len(first))).astype(np.int64)
+        many = _find_any(split, w)
+        say(3, w[many], v[many], n[many])
+        classes(2, n[~many])
+        say(0, 0, 0, [np.count_nonzero(v[~many] == _E)])
+        _, _, first = _factor(keys(a, b))
+        first = first[b[first] != _S]
+        before, word = a[first], b[first]
+        own, at, _ = _factor(word)
+        n = np.bincount(at, minlength=len(own))
+        many = _find_any(split, own)
+        classes(1, n[~many])
+        say(0, 0, 1, [np.count_nonzero(~many)])
+        say(0, 0, 2, [n[~many].sum()])
+        held = many | (n >= least)
+        say(1, own[held], 0, n[held])
+        here = (~held & (n > 1))[at]
+        say(2, before[here], word[here], n[at[here]])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["kind", "w", "v", "n"])
+
+    return run
+
+
+def _sums(model: Levels):
+    """Of a shard's rows (name, s): what its trigrams add to the log-probability of each text.
+
+    A trigram a b c adds ln(p(c | a b) / p(c)), which needs p(c) only if the model has b c, and ln p(b),
+    as each word of a text stands once in the middle; only the end's p comes with c.
     """
-    arrow_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast((bits, hot, hot_values))
-    start, end = hashes([b"", b"\n"])
+    d, total, unknown = model.d, model.total, model.unknown
+    shared = model.texts.sparkSession.sparkContext.broadcast((*model.often, np.array(list(model.split), np.uint64)))
+    block = BLOCK
+
+    def p1(n):
+        return np.where(n > 0, (n - _off(n, d[1])) / total, 0.0) + unknown
 
     def run(batches):
-        own_bits, own_hot, own_values = shared.value
+        rows = {k: [] for k in range(4)}
+        for batch in tidy(batches):
+            for r in batch.to_pylist():
+                rows[r["kind"]].append(r)
+        often, often_n, split = shared.value
+        ta, tb, tc, tn = _counted(*_joined([(*_received(r), _unpack(r["n"], np.int64)) for r in rows[_TRAIN]], (np.uint64,) * 3 + (np.int64,)))
+        pair = lambda kind: _joined([(_unpack(r["b"], np.uint64), _unpack(r["c"], np.uint64), _unpack(r["n"], np.int64)) for r in rows[kind]], (np.uint64,) * 2 + (np.int64,))
+        # trigrams and their contexts
+        three = keys(ta, tb, tc)
+        contexts, at, first = _factor(keys(ta, tb))
+        sums = np.bincount(at, tn, len(first))
+        share3 = (tn - _off(tn, d[3])) / sums[at]
+        weight3 = np.bincount(at, _off(tn, d[3]), len(first)) / sums
+        # words before a word: its unigram count
+        at = first[tb[first] != _S]
+        own, at, _ = _factor(tb[at])
+        own_n = np.bincount(at, minlength=len(own))
+        # bigrams and their contexts
+        two, at, first = _factor(keys(tb, tc))
+        w, v = tb[first], tc[first]
+        n = np.where(w == _S, np.bincount(at, tn, len(first)), np.bincount(at, minlength=len(first)))
+        here = ~_find_any(split, w)
+        pw, pv, pn = pair(_PAIR)
+        w, v, n, two = np.concatenate((w[here], pw)), np.concatenate((v[here], pv)), np.concatenate((n[here], pn)), np.concatenate((two[here], keys(pw, pv)))
+        middles, at, _ = _factor(w)
+        sums = np.bincount(at, n, len(middles))
+        share2 = (n - _off(n, d[2])) / sums[at]
+        weight2 = np.bincount(at, _off(n, d[2]), len(middles)) / sums
+        sw, sv, sn = pair(_SEEN)
+        last = _of(often, often_n, v, 0)
+        last = np.where(last > 0, last, _of(keys(sw, sv), sn, two, 1))
+        low2 = p1(last)
+        p2 = share2 + weight2[at] * low2
+        ends = np.log(p1(_of(often, often_n, np.array([_E]), 0)))[0]
+
+        def texts():
+            """(a, b, c, place of the text's name) and the names of some rows after others, so that a worker holds BLOCK tokens."""
+            some, names, held, base = [], [], 0, 0
+            for r in rows[_TEXT]:
+                some.append((*_received(r), _unpack(r["n"], np.uint32).astype(np.int64) + base))
+                names.append(_unpack(r["docs"], np.uint64))
+                held, base = held + len(some[-1][0]), base + len(names[-1])
+                if held >= block:
+                    yield _joined(some, (np.uint64,) * 3 + (np.int64,)), np.concatenate(names)
+                    some, names, held, base = [], [], 0, 0
+            if some:
+                yield _joined(some, (np.uint64,) * 3 + (np.int64,)), np.concatenate(names)
+
+        for (a, b, c, doc), names in texts():
+            at = _find(two, keys(b, c)) if len(two) else np.full(len(a), -1)
+            known = at >= 0
+            # against p(c) where the model lacks b c
+            mixed = _of(middles, weight2, b, 1.0)
+            mixed[known] = p2[at[known]]
+            s = np.log(_of(three, share3, keys(a, b, c), 0.0) + _of(contexts, weight3, keys(a, b), 1.0) * mixed)
+            s[known] -= np.log(low2[at[known]])
+            n = _of(often, often_n, b, 0)
+            n = np.where(n > 0, n, _of(own, own_n, b, 0))
+            s[b != _S] += np.log(p1(n[b != _S]))
+            s[c == _E] += ends
+            yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(np.bincount(doc, s, len(names)))], names=["name", "s"])
+
+    return run
+
+
+def _score(docs: DataFrame, model: Levels) -> DataFrame:
+    """docs (doc_id, lang, text) without text, with n_words and ln_perplexity.
+
+    The trigrams of all texts meet the model's in shards, by the middle word: a pass deals those of its
+    shards and adds up what they give each text, and its files go before the next begins.
+    """
+    spark = docs.sparkSession
+    arrow_batches(spark)
+
+    def heads(batches):
         for batch in tidy(batches):
-            texts = [_words(t.as_py()) for t in batch.column(2)]
-            sizes = np.array([len(t) for t in texts], np.int64)
-            if len(_hashes) > MEMORY:
-                _hashes.clear()
-            flat = list(chain.from_iterable(texts))
-            for w in set(flat).difference(_hashes):
-                _hashes[w] = xxhash.xxh3_64_intdigest(w)
-            # each text as start, start, its words, end
-            starts = np.concatenate(([0], np.cumsum(sizes + 3)))
-            h = np.full(starts[-1], start, np.uint64)
-            h[starts[1:] - 1] = end
-            inside = np.ones(len(h), bool)
-            for k in (starts[:-1], starts[:-1] + 1, starts[1:] - 1):
-                inside[k] = False
-            h[inside] = np.fromiter(map(_hashes.__getitem__, flat), np.uint64, len(flat))
-            doc = np.repeat(np.arange(len(texts)), sizes + 3)
-            unigram = np.ones(len(h), bool)
-            unigram[starts[:-1]] = False
-            # the model has the parts of each n-gram that it has
-            one = keys(h)
-            ok = _held(own_bits, one)
-            found = [(at := np.flatnonzero(ok & unigram), one[at])]
-            for n in (2, 3):
-                at = np.flatnonzero(ok[:-1] & ok[1:] & (doc[n - 1 :] == doc[: len(doc) - n + 1]))
-                key = keys(*(h[at + k] for k in range(n)))
-                held = _held(own_bits, key)
-                ok = np.zeros(len(ok) - 1, bool)
-                ok[at[held]] = True
-                found.append((at[held], key[held]))
-            where = np.concatenate([doc[at] for at, _ in found])
-            key = np.concatenate([x for _, x in found]).view(np.int64)
-            at = np.minimum(np.searchsorted(own_hot, key), max(0, len(own_hot) - 1))
-            known = own_hot[at] == key if len(own_hot) else np.zeros(len(key), bool)
-            partial = np.bincount(where[known], own_values[at[known]], minlength=len(texts)).astype(float)
-            where, key = where[~known], key[~known]
-            order = np.lexsort((key, where))
-            where, key = where[order], key[order]
-            first = np.flatnonzero(np.concatenate(([True], (where[1:] != where[:-1]) | (key[1:] != key[:-1])))) if len(key) else np.empty(0, np.int64)
-            counts = np.diff(np.concatenate((first, [len(key)])))
-            offsets = pa.array(np.concatenate(([0], np.cumsum(np.bincount(where[first], minlength=len(texts))))).astype(np.int32))
+            sizes, _ = _words_of(batch.column(2))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(sizes), pa.array(partial)]
-                + [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (key[first], counts.astype(np.int32))],
-                names=[*batch.schema.names[:2], "n_words", "partial", "keys", "counts"],
+                [batch.column(0), batch.column(1), pa.array(sizes.astype(np.int64)), pa.array(_names(batch.column(2)).view(np.int64))],
+                names=[*batch.schema.names[:2], "n_words", "name"],
             )
-        _hashes.clear()
 
     schema = ", ".join(f"{c} {t}" for c, t in docs.dtypes[:2])
-    return docs.mapInArrow(run, f"{schema}, n_words bigint, partial double, keys array<bigint>, counts array<int>")
-
-
-def _score(docs: DataFrame, model: tuple[DataFrame, DataFrame, DataFrame]) -> DataFrame:
-    """docs (doc_id, lang, text) without text, with n_words and ln_perplexity, by joins of the n-grams' counts with the model's values."""
-    table, unknown = values(*model)
-    # the keys that would be hot in the join: the n-grams that trusted text has most; by the highest power of two that leaves enough, so that each task sends few
-    above = table.agg(*(F.count_if(F.col("seen") >= 2**j) for j in range(50))).first()
-    enough = 2 ** max((j for j, n in enumerate(above) if n >= HOT), default=0)
-    frequent = table.where(F.col("seen") >= enough).orderBy(F.desc("seen"), "key").limit(HOT).select("key", "value").toArrow()
-    by_key = np.argsort(frequent.column("key").to_numpy())
-    hot, hot_values = (frequent.column(c).to_numpy()[by_key] for c in ("key", "value"))
-    grams = materialise(_grams(docs, _filter(table), hot, hot_values).withColumn("rid", F.monotonically_increasing_id()), "grams")
-    each = grams.select("rid", F.explode(F.arrays_zip("keys", "counts")).alias("g")).select("rid", F.col("g.keys").alias("key"), F.col("g.counts").alias("c"))
-    # which other keys are hot is told by a sixteenth of the documents; it decides how rows are dealt and nothing else
-    part = grams.where(F.pmod(F.xxhash64("rid"), F.lit(16)) == 0)
-    sizes = part.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("rows")).where(F.col("rows") > HOT_ROWS)
-    total = part.agg(F.coalesce(F.sum(F.size("keys")), F.lit(0))).first()[0]
-    met = lookup(each, table.select("key", "value"), "key", sizes, total)
-    sums = met.groupBy("rid").agg(F.sum(F.col("c") * F.col("value")).alias("rest"))
-    log_probability = F.col("partial") + F.coalesce("rest", F.lit(0.0)) + (F.col("n_words") + 1) * F.lit(unknown)
-    return grams.join(sums, "rid", "left").select(
+    each = materialise(docs.mapInArrow(heads, f"{schema}, n_words bigint, name bigint"), "heads")
+    texts = docs.select("text")
+    tokens, words, pairs = _frequent(texts)
+    passes = min(PASSES, 1 + tokens // PASS_TOKENS)
+    shards = _shards(tokens, passes)
+    split = {k: max(v, words.get(k, 1)) for k, v in model.split.items()}
+    deal = Deal(passes * shards, split, {k: v for k, v in words.items() if k not in split}, pairs)
+    parts = []
+    for now in range(passes):
+        dealt = _deal_trusted(model.texts, deal, passes, now).unionAll(_deal_texts(texts, deal, passes, now))
+        dealt = dealt.unionAll(_deal_pairs(model.seen, _SEEN, deal, passes, now)).unionAll(_deal_pairs(model.pairs, _PAIR, deal, passes, now))
+        sums = dealt.repartitionById(shards, "shard").mapInArrow(_sums(model), "name bigint, s double")
+        parts.append(_settled(sums.groupBy("name").agg(F.sum("s").alias("s")), "sums"))
+    sums = reduce(DataFrame.unionAll, parts).groupBy("name").agg(F.sum("s").alias("s"))
+    # copies of a text have added to one sum
+    copies = each.groupBy("name").agg(F.count("*").alias("copies"))
+    scored = each.join(copies.join(sums.hint("merge"), "name").hint("merge"), "name", "left")
+    log_probability = F.col("s") / F.col("copies")
+    return scored.select(
         "doc_id", "lang", "n_words", F.when(F.col("n_words") > 0, -log_probability / (F.col("n_words") + 1)).alias("ln_perplexity")
     )
 
@@ -379,16 +768,14 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, mar
     # a filter first, so that few other texts are shuffled; the join is exact
     texts = maybe_in(docs.select(F.col("doc_id").cast("bigint"), "text").where(fitted), key_filter(fit_for, "doc_id"), "doc_id")
     trusted = texts.join(fit_for.hint("merge"), "doc_id", "left_semi")
+    model = levels(trusted.select("text"))
     # labels meet the scores, so that no text is shuffled
-    each = _score(
-        docs.select(F.col("doc_id").cast("bigint"), "lang", F.col("text").cast("binary").alias("text")), levels(trusted.select("text"))
-    )
+    each = _score(docs.select(F.col("doc_id").cast("bigint"), "lang", F.col("text").cast("binary").alias("text")), model)
     marks = good.select("doc_id", F.lit(True).alias("trusted"), fitted.alias("fitted"))
-    scored = materialise(
-        materialise(each, "each").join(marks, "doc_id", "left")
-        .withColumns({c: F.coalesce(c, F.lit(False)) for c in ("trusted", "fitted")}),
-        "scored",
-    )
+    scored = _settled(
+        each.join(marks, "doc_id", "left").withColumns({c: F.coalesce(c, F.lit(False)) for c in ("trusted", "fitted")}), "scored"
+    )
+    model.drop()
     held = scored.where("trusted AND NOT fitted AND ln_perplexity IS NOT NULL")
     high = (F.percentile_approx("ln_perplexity", quantile, 10_000) + float(np.log(margin))).alias("own")
     limits = held.groupBy("lang").agg(high, F.count("*").alias("rows")).where(F.col("rows") >= LEAST_ROWS)

@@ -429,6 +429,32 @@ def test_the_model_is_of_all_trusted_rows_but_the_held_out(spark):
         assert math.isclose(got[k], brute_kneser_ney([texts[j] for j in fitted], texts[k]), rel_tol=1e-9)
 
 
+@pytest.mark.parametrize("hot", [0, 20])
+def test_kneser_ney_in_small_shards_of_several_passes(spark, hot, monkeypatch):
+    for name, value in (("HOT", hot), ("SHARD", 60), ("PASSES", 3), ("PASS_TOKENS", 300), ("SAMPLE", 1), ("CHUNK", 90), ("BLOCK", 30)):
+        monkeypatch.setattr(kneser_ney, name, value)
+    rng = random.Random(36)
+    trusted = [text(rng, rng.randint(1, 60), WORDS[:12]) for _ in range(25)] + ["the of the", ""]
+    copies = ["of zzz of zzz of zzz the"] * 40  # words and a pair that are frequent there, but not in the model
+    others = [text(rng, rng.randint(1, 40), [*WORDS[:14], "Zzz", "é"]) for _ in range(30)] + trusted[:5] + copies
+    docs = documents(spark, others).select("doc_id", "lang", F.col("text").cast("binary").alias("text"))
+    model = kneser_ney.levels(documents(spark, trusted).select("text"))
+    tokens, words, pairs = kneser_ney._frequent(docs.select("text"))
+    assert model.split and set(words) - set(model.split) and pairs and tokens > 2 * 300
+    got = {r["doc_id"]: r["ln_perplexity"] for r in kneser_ney._score(docs, model).collect()}
+    for k, t in enumerate(others):
+        assert math.isclose(got[k], brute_kneser_ney(trusted, t), rel_tol=1e-9)
+
+
+def test_op6_leaves_none_of_its_large_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "shared_dir", lambda _: f"file://{tmp_path}")
+    docs = documents(spark, [text(random.Random(k), 300) for k in range(400)])
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(300)], "doc_id bigint, quality int, toxic int")
+    assert kneser_ney.classify(docs, labels).count() == 400
+    written = sum(p.stat().st_size for p in tmp_path.rglob("*.parquet"))
+    assert written < 100 * 400  # some figures for each document, no text and no n-gram
+
+
 # 7 hidden Markov model
 
 
