@@ -100,11 +100,32 @@ def arrow_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
 def tidy(batches):
     """batches; after the last one the worker gives the memory it has freed back to the system, as its idle time counts too."""
     yield from batches
+    give_back()
+
+
+def give_back() -> None:
+    """Memory that this process has freed goes back to the system."""
     pa.default_memory_pool().release_unused()
     if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
         trim(0)
 
 
+def leaving(run):
+    """run, a map of batches, after which the worker gives back the memory that the task has freed.
+
+    Unlike tidy it does so once what run itself holds is gone, and also where run ends early.
+    Workers take turns, so that what one keeps after a task is kept by every idle worker of an executor.
+    """
+
+    def ran(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return ran
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value evaluated once: a lambda's variable isn't inlined as a column would be."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -243,17 +243,26 @@ def mark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_word
     No shuffle: each block of the benchmark is one more map over the documents,
     whose automaton is bounded by block_words.
     """
+    return _mapped(docs, benchmark, window, block_words)
+
+
+def _mapped(docs: DataFrame, benchmark: DataFrame, window: int, block_words: int, last=None) -> DataFrame:
+    """mark; last(batch), if given, makes rows of docs of those the last block's map has marked: a further map would be one more Python worker."""
     spark = docs.sparkSession
     arrow_batches(spark)
     marked = docs.withColumns({f.name: F.lit(None).cast(f.dataType) for f in _MARKS})
     place = {name: k for k, name in enumerate(marked.columns)}
     text_at, spans_at, items_at = place["text"], place["__dc_spans"], place["__dc_items"]
     kept = len(marked.columns) - len(_MARKS)
-    for n, block in enumerate(blocks(benchmark, window, block_words)):
+    parts = blocks(benchmark, window, block_words)
+    block, n = next(parts), 0
+    while block is not None:
+        after = next(parts, None)
+        end = last if after is None else None
         shared = _Id(spark.sparkContext.broadcast(block), f"{id(docs)}-{n}-{spark.sparkContext.applicationId}")
         shared.id = f"{shared.broadcast._jbroadcast.id()}-{window}"
 
-        def run(batches, shared=shared):
+        def run(batches, shared=shared, end=end):
             automaton = _automaton(shared, window)
             for batch in tidy(batches):
                 columns = {"n": [], "hit": [], "spans": [], "items": []}
@@ -268,14 +277,16 @@ def mark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_word
                     columns["hit"].append(sum(b - a for a, b in new))
                     columns["spans"].append([x for span in new for x in span])
                     columns["items"].append(sorted({automaton.items[k] for k in found} | set(items or ())))
-                yield pa.RecordBatch.from_arrays(
+                done = pa.RecordBatch.from_arrays(
                     [batch.column(k) for k in range(kept)]
                     + [pa.array(columns["n"], pa.int64()), pa.array(columns["hit"], pa.int64())]
                     + [pa.array(columns["spans"], pa.list_(pa.int64())), pa.array(columns["items"], pa.list_(pa.string()))],
                     names=batch.schema.names,
                 )
+                yield end(done) if end else done
 
-        marked = marked.mapInArrow(run, marked.schema)
+        marked = marked.mapInArrow(run, docs.schema if end else marked.schema)
+        block, n = after, n + 1
     return marked
 
 
@@ -293,36 +304,38 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataF
     )
 
 
-def remove(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most_coverage: float = 0.5) -> DataFrame:
+def remove(
+    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most_coverage: float = 0.5, block_words: int = BLOCK_WORDS
+) -> DataFrame:
     """docs without the hit stretches; a document of which more than most_coverage is hit goes as a whole.
 
     A stretch goes from its first word's start to its last word's end, with
     what lies between. n_chars, where there is one, is counted anew for
     documents that changed. Other columns and clean documents stay as they are.
     """
-    marked = mark(docs, benchmark, window).where(F.col("__dc_n_hit") <= most_coverage * F.col("__dc_n_words"))
-    at = {name: k for k, name in enumerate(marked.columns)}
     names = docs.columns
-
-    def run(batches):
-        for batch in tidy(batches):
-            texts, spans = batch.column(at["text"]), batch.column(at["__dc_spans"])
-            counts = batch.column(at["n_chars"]).to_pylist() if "n_chars" in at else None
-            out = []
-            for k, flat in enumerate(spans.to_pylist()):
-                text = texts[k].as_py()
-                if flat:
-                    text = _without(text.encode(), flat).decode()
-                    if counts:
-                        counts[k] = len(text)
-                out.append(text)
-            arrays = [batch.column(k) for k in range(len(names))]
-            arrays[at["text"]] = pa.array(out, pa.string())
-            if counts is not None:
-                arrays[at["n_chars"]] = pa.array(counts, batch.column(at["n_chars"]).type)
-            yield pa.RecordBatch.from_arrays(arrays, names=names)
-
-    return marked.mapInArrow(run, docs.schema)
+    at = {name: k for k, name in enumerate([*names, *_MARKS.names])}
+
+    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
+        measured = zip(batch.column(at["__dc_n_hit"]).to_pylist(), batch.column(at["__dc_n_words"]).to_pylist(), strict=True)
+        batch = batch.filter(pa.array([hit <= most_coverage * n for hit, n in measured], pa.bool_()))
+        texts, spans = batch.column(at["text"]), batch.column(at["__dc_spans"])
+        counts = batch.column(at["n_chars"]).to_pylist() if "n_chars" in at else None
+        out = []
+        for k, flat in enumerate(spans.to_pylist()):
+            text = texts[k].as_py()
+            if flat:
+                text = _without(text.encode(), flat).decode()
+                if counts:
+                    counts[k] = len(text)
+            out.append(text)
+        arrays = [batch.column(k) for k in range(len(names))]
+        arrays[at["text"]] = pa.array(out, pa.string())
+        if counts is not None:
+            arrays[at["n_chars"]] = pa.array(counts, batch.column(at["n_chars"]).type)
+        return pa.RecordBatch.from_arrays(arrays, names=names)
+
+    return _mapped(docs, benchmark, window, block_words, cut)
 
 
 def _without(text: bytes, flat: list[int]) -> bytes:

@@ -27,7 +27,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,12 +35,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from crawlframe.llm.common import arrow_batches, materialise, tidy
+from crawlframe.llm.common import arrow_batches, leaving, materialise
 
 SIZE = 2048
 END_ID = 0
-#: Chunks of text whose ids a worker remembers.
+#: Chunks of text whose ids a worker remembers within a task.
 CACHE = 500_000
+#: Characters of texts that are split at a time, as their chunks take a multiple of that.
+SPLIT_CHARS = 1 << 20
 #: Rows in a rank's sort.
 RANK_ROWS = 50_000
 #: Rows of a plan that may be broadcast (about 10 MB); a larger one is joined by shuffle.
@@ -131,6 +133,14 @@ class Encoder:
             young.update(zip(some, self._together(some), strict=True))
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
+        ends = list(accumulate(map(len, texts)))
+        at = 0
+        while at < len(texts):
+            end = max(at + 1, bisect.bisect_right(ends, ends[at] - len(texts[at]) + SPLIT_CHARS))
+            yield from self._encode(texts[at:end])
+            at = end
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         split = [t.replace("\n", " ").split(" ") for t in texts]
         if len(self.young) > self.half:
             self.young, self.old = {}, self.young
@@ -138,12 +148,9 @@ class Encoder:
         if missing := self._recall(set(chain.from_iterable(split))):
             self._learn(missing)
         look = self.young.__getitem__
-        for chunks in split:
-            yield b"".join(map(look, chunks))
+        return [b"".join(map(look, chunks)) for chunks in split]
 
 
-_encoders: dict[str, Encoder] = {}
-
 _PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
@@ -152,10 +159,8 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE) -> DataFrame:
     arrow_batches(docs.sparkSession, 500)
 
     def run(batches):
-        if tokenizer not in _encoders:
-            _encoders[tokenizer] = Encoder(tokenizer)
-        encoder, end = _encoders[tokenizer], END_ID.to_bytes(4, "little")
-        for batch in tidy(batches):
+        encoder, end = Encoder(tokenizer), END_ID.to_bytes(4, "little")  # for this task alone
+        for batch in batches:
             names = batch.column(0).to_pylist()
             texts = [t or "" for t in batch.column(1).to_pylist()]
             rows: list[tuple] = []
@@ -176,7 +181,7 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE) -> DataFrame:
                 names=["doc_id", "piece", "start", "length", "ids_crc32"],
             )
 
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text")).mapInArrow(run, _PIECES)
+    return docs.select(F.col("doc_id").cast("bigint"), F.col("text")).mapInArrow(leaving(run), _PIECES)
 
 
 def reduce(free: list[int], size: int) -> list[tuple[list[int], int]]:

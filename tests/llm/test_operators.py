@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import re
+import weakref
 import zlib
 
 import numpy as np
@@ -153,6 +154,30 @@ def test_reduction_keeps_the_optimum():
         assert sum(n for _, n in fixed) + best(rest, size) == best(items, size)
 
 
+def test_pack_leaves_nothing_in_the_worker(monkeypatch):
+    path, r = tokenizer_path(), random.Random(3)
+    texts = [" ".join(f"{r.choice('abcdef')}{r.randrange(10**6)}" for _ in range(n)) for n in (0, 1, 70_000, 5, 200_000, 3, 90_000)]
+    encoder = pack.Encoder(path)
+    most, split = [], encoder._encode
+    encoder._encode = lambda some: most.append((len(some), sum(map(len, some)))) or split(some)
+    coded = list(encoder.encode(texts))
+    assert [len(t) for t in coded] == [4 * len(encoder.tokenizer.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert len(most) > 1 and sum(n for n, _ in most) == len(texts) and all(n == 1 or chars <= pack.SPLIT_CHARS for n, chars in most)
+    held = []
+
+    def run(batches):
+        own = pack.Encoder(path)
+        held.append(weakref.ref(own))
+        for batch in batches:
+            yield list(own.encode(texts[:batch]))
+
+    def back():
+        held.append(held[0]() is None)
+
+    monkeypatch.setattr(common, "give_back", back)
+    assert list(common.leaving(run)([1, 2])) == [coded[:1], coded[:2]] and held[1:] == [True]
+
+
 def test_pack_round_trip(spark):
     from tokenizers import Tokenizer
 
@@ -763,6 +788,20 @@ def test_removal(spark):
     assert decontaminate.report(odd(spark).limit(0), bench).count() == 0
 
 
+def test_decontamination_takes_one_python_worker_a_block(spark):
+    r = random.Random(5)
+    items = [" ".join(f"i{k}w{n}" for n in range(20)) for k in range(4)]
+    texts = [f"{text(r, 30)}. {items[k % 4]}; {text(r, 20)} {items[(k + 1) % 4] if k % 3 else ''}" for k in range(12)]
+    docs = documents(spark, [*texts, items[0], text(r, 40), None, ""])
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    whole, parts = (decontaminate.remove(docs, bench, block_words=most) for most in (1000, 20))
+    maps = [d._jdf.queryExecution().executedPlan().toString().count("MapInArrow") for d in (whole, parts)]
+    assert maps == [1, 4]
+    rows = sorted(map(str, whole.collect()))
+    assert rows == sorted(map(str, parts.collect())) and len(rows) == 15 and whole.columns == docs.columns
+    assert not any(re.search("i[0-3]w", row) for row in rows)
+
+
 # pipeline
 
 
