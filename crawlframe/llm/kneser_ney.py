@@ -197,11 +197,16 @@ def hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, len(words))
 
 
+_MIXER = np.uint64(0x9E3779B97F4A7C15)
+
+
 def keys(*words: np.ndarray) -> np.ndarray:
     """One key for each n-gram of hashed words; n-grams of different orders have different ones."""
-    mixed = np.full(len(words[0]), len(words), np.uint64)
-    for w in words:
-        mixed = (mixed ^ w) * np.uint64(0x9E3779B97F4A7C15)
+    mixed = words[0] ^ np.uint64(len(words))
+    for k, w in enumerate(words):
+        if k:
+            mixed ^= w
+        mixed *= _MIXER
         mixed ^= mixed >> np.uint64(29)
     return mixed
 
@@ -224,13 +229,49 @@ _TRAIN, _TEXT, _SEEN, _PAIR = range(4)
 _DEALT = "shard int, kind int, words binary, a binary, b binary, c binary, n binary, docs binary"
 
 
-def _factor(k: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct values of k, of each element the place of its value, and of each value the first element."""
+def _coded(k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values of k, and of each element the place of its value."""
     coded = pa.array(k.view(np.int64)).dictionary_encode()
-    at = coded.indices.to_numpy()
-    first = np.empty(len(coded.dictionary), np.int64)
-    first[at[::-1]] = np.arange(len(k) - 1, -1, -1)
-    return coded.dictionary.to_numpy().view(np.uint64), at, first
+    return coded.dictionary.to_numpy().view(np.uint64), coded.indices.to_numpy()
+
+
+def _grouped(k: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct values of k sorted, of each element the place of its value, and of each value an element."""
+    order = np.argsort(k)
+    own = k[order]
+    new = np.ones(len(k), bool)
+    new[1:] = own[1:] != own[:-1]
+    at = np.empty(len(k), np.int64)
+    at[order] = np.cumsum(new) - 1
+    return own[new], at, order[new]
+
+
+class Table:
+    """Values by key (distinct, hashed): the keys sorted, and where those with the same first bits begin, so that a key is found in a step or two."""
+
+    def __init__(self, own: np.ndarray, values: np.ndarray, missing):
+        order = np.argsort(own)
+        own, self.size = own[order], len(own)
+        #: A key that isn't there has place -1, the last of the values.
+        self.values = np.concatenate((values[order], np.array(missing, values.dtype).reshape(1, *values.shape[1:])))
+        bits = self.size.bit_length() + 1
+        self.shift = np.uint64(64 - bits)
+        self.begin = np.concatenate(([0], np.cumsum(np.bincount((own >> self.shift).view(np.int64), minlength=1 << bits)))).astype(np.int32)
+        self.own = np.append(own, np.uint64((1 << 64) - 1))
+
+    def find(self, k: np.ndarray) -> np.ndarray:
+        """The place of each of k, or -1."""
+        at = self.begin[(k >> self.shift).view(np.int64)]
+        less = np.flatnonzero(self.own[at] < k)
+        while len(less):
+            at[less] += 1
+            less = less[self.own[at[less]] < k[less]]
+        at[(self.own[at] != k) | (at == self.size)] = -1
+        return at
+
+    def of(self, k: np.ndarray) -> np.ndarray:
+        """The value of each of k."""
+        return self.values[self.find(k)]
 
 
 def _find(own: np.ndarray, k: np.ndarray) -> np.ndarray:
@@ -248,8 +289,8 @@ def _of(own: np.ndarray, values: np.ndarray, k: np.ndarray, missing) -> np.ndarr
 
 
 def _pack(x: np.ndarray) -> bytes:
-    raw = np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
-    return np.int64(len(raw)).tobytes() + pa.compress(raw, codec="zstd", asbytes=True)
+    raw = np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T)
+    return np.int64(raw.size).tobytes() + pa.compress(pa.py_buffer(raw), codec="zstd", asbytes=True)
 
 
 def _unpack(packed: bytes, kind) -> np.ndarray:
@@ -263,51 +304,74 @@ _EIGHTS = np.array([(1 << 8 * n) - 1 for n in range(8)] + [(1 << 64) - 1], np.ui
 _SHORT = 64
 
 
-def _hashed(words: pa.Array) -> np.ndarray:
-    """A hash of each of the words (no nulls, none empty)."""
-    if not len(words):
-        return np.empty(0, np.uint64)
-    _, offsets, data = words.buffers()
-    offsets = np.frombuffer(offsets, np.int32, len(words) + 1, words.offset * 4).astype(np.int64)
-    begin, size = offsets[:-1], np.diff(offsets)
-    raw = np.concatenate((np.frombuffer(data, np.uint8, offsets[-1]), np.zeros(8, np.uint8)))
+#: What the hash of a word of so many bytes begins with.
+_BEGUN = keys(keys(np.arange(_SHORT + 1, dtype=np.uint64)) ^ np.uint64(3)) ^ np.uint64(1)
+
+
+def _cut(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of all texts, A-Z lower-cased, apart by white space; where in them each word begins and how long it is; how many words each text has."""
+    if not len(texts):
+        none = np.empty(0, np.int64)
+        return np.empty(8, np.uint8), none, none, none
+    lowered = pc.ascii_lower((pc.fill_null(texts, b"") if texts.null_count else texts).view(pa.string()))
+    _, offsets, data = lowered.buffers()
+    offsets = np.frombuffer(offsets, np.int32, len(texts) + 1, lowered.offset * 4)
+    given = np.frombuffer(data or b"", np.uint8)
+    starts = offsets - offsets[0] + np.arange(1, len(texts) + 2)  # a space before each text and after the last
+    raw = np.full(starts[-1] + 8, 32, np.uint8)  # and eight bytes from each byte on
+    for lo, hi, at in zip(offsets.tolist(), offsets[1:].tolist(), starts.tolist(), strict=False):
+        raw[at : at + hi - lo] = given[lo:hi]
+    white = (raw - np.uint8(9) < 5) | (raw == 32)
+    edges = np.flatnonzero(white[1:] != white[:-1])
+    edges += 1
+    begin = edges[::2].copy()
+    return raw, begin, edges[1::2] - begin, np.diff(np.searchsorted(begin, starts))
+
+
+def _hashed(raw: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A hash of each of the words, which begin so in raw and are so long (none empty)."""
     eights = np.ndarray(len(raw) - 7, np.uint64, raw, strides=(1,))  # the eight bytes from each byte on
-    h = keys(size.astype(np.uint64))
-    at = np.flatnonzero(size <= _SHORT)
-    for done in range(0, _SHORT, 8):
-        if done:
-            at = at[size[at] > done]
+    # each step gives keys(what is hashed so far, the next eight bytes); half of the first depends on the size alone
+    h = keys(_BEGUN[np.minimum(size, _SHORT)] ^ (eights[begin] & _EIGHTS[np.minimum(size, 8)]))
+    at = np.arange(len(size))
+    for done in range(8, _SHORT, 8):
+        at = np.flatnonzero(size > done) if done == 8 else at[size[at] > done]
         if not len(at):
             break
         h[at] = keys(h[at], eights[begin[at] + done] & _EIGHTS[np.minimum(size[at] - done, 8)])
     for k in np.flatnonzero(size > _SHORT):
-        h[k] = xxhash.xxh3_64_intdigest(raw[begin[k] : offsets[k + 1]].tobytes())
+        h[k] = xxhash.xxh3_64_intdigest(raw[begin[k] : begin[k] + size[k]].tobytes())
     return h
 
 
-def _words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """How many words each text has, and the hashes of all words one text after another."""
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.view(pa.string())))
-    lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
-    flat = lists.flatten()
-    full = pc.greater(pc.binary_length(flat), 0)  # a text's edges give empty ones
-    sizes = np.bincount(np.repeat(np.arange(len(texts)), lengths)[full.to_numpy(zero_copy_only=False)], minlength=len(texts))
-    return sizes, _hashed(flat if pc.all(full, min_count=0).as_py() else flat.filter(full))
+def _framed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The hashes of each text as start, start, its words, end, one text after another; of each text the places of its first start and its end."""
+    raw, begin, size, sizes = _cut(texts)
+    ends = np.cumsum(sizes + 3) - 1
+    first = ends - sizes - 2
+    h = np.empty(ends[-1] + 1 if len(ends) else 0, np.uint64)
+    inside = np.ones(len(h), bool)
+    for k, frame in ((first, _S), (first + 1, _S), (ends, _E)):
+        inside[k] = False
+        h[k] = frame
+    h[inside] = _hashed(raw, begin, size)
+    return h, first, ends
+
+
+def _around(framed: tuple[np.ndarray, ...], some: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """(text's row, place, a, b, c) of each trigram, or of those whose middle is one of `some` (true or false by place)."""
+    h, first, ends = framed
+    middle = np.ones(len(h), bool) if some is None else some
+    middle[first] = middle[ends] = False
+    at = np.flatnonzero(middle)
+    doc = np.repeat(np.arange(len(first)), np.diff(np.searchsorted(at, np.append(first, len(h)))))
+    return doc, at, h[at - 1], h[at], h[at + 1]
 
 
 def _trigrams(texts: pa.Array) -> tuple[np.ndarray, ...]:
-    """(text's row, a, b, c) of each trigram, with each text as start, start, its words, end."""
-    sizes, words = _words_of(texts)
-    ends = np.cumsum(sizes + 3)
-    h = np.full(ends[-1] if len(ends) else 0, _S)
-    doc = np.repeat(np.arange(len(texts)), sizes + 3)
-    inside = np.ones(len(h), bool)
-    for k in (ends - sizes - 3, ends - sizes - 2, ends - 1):
-        inside[k] = False
-    h[inside] = words
-    h[ends - 1] = _E
-    at = np.flatnonzero(doc[:-2] == doc[2:])
-    return doc[at], h[at], h[at + 1], h[at + 2]
+    """(text's row, a, b, c) of each trigram."""
+    doc, _, a, b, c = _around(_framed(texts))
+    return doc, a, b, c
 
 
 class Deal:
@@ -326,9 +390,17 @@ class Deal:
         #: A pair is no more frequent than its words, so that only pairs of self.words are here.
         self.pairs = np.array(list(pairs), np.uint64), few(pairs, pairs)
         self.most = max([1, *self.pairs[1]])
+        self.begins = np.zeros(1 << 16, bool)  # the first bits of self.words
+        self.begins[(self.words >> np.uint64(48)).view(np.int64)] = True
 
     def _base(self, b: np.ndarray) -> np.ndarray:
-        return (keys(b) % np.uint64(self.shards)).astype(np.int64)
+        return ((keys(b) >> np.uint64(32)) * np.uint64(self.shards) >> np.uint64(32)).view(np.int64)
+
+    def near(self, b: np.ndarray, passes: int, now: int) -> np.ndarray:
+        """Whether a trigram with this middle may be in a shard of pass `now`; a plain word's is told by the word alone."""
+        if passes == 1:
+            return np.ones(len(b), bool)
+        return (np.arange(self.shards) % passes == now)[self._base(b)] | self.begins[(b >> np.uint64(48)).view(np.int64)]
 
     def place(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of each trigram the first of its shards, and how many it has."""
@@ -366,7 +438,7 @@ def _sent(shard: np.ndarray, kind: int, passes: int, abc=None, pair=None, n=None
         at = order[lo:hi]
         row = {"shard": int(shard[lo]) // passes, "kind": kind, "words": None, "a": None, "docs": None}
         if abc is not None:
-            table, coded, _ = _factor(np.concatenate([x[at] for x in abc]))
+            table, coded = _coded(np.concatenate([x[at] for x in abc]))
             coded = coded.astype(np.uint16 if len(table) < 1 << 16 else np.uint32)
             row |= {"words": _pack(table)} | {k: _pack(x) for k, x in zip("abc", np.split(coded, 3), strict=True)}
         else:
@@ -374,8 +446,9 @@ def _sent(shard: np.ndarray, kind: int, passes: int, abc=None, pair=None, n=None
         if docs is None:
             row["n"] = _pack(n[at])
         else:
-            own, local, _ = _factor(docs[n[at]])
-            row |= {"n": _pack(local.astype(np.uint32)), "docs": _pack(own)}
+            text = n[at]  # in order: how many trigrams each text has is enough
+            new = np.flatnonzero(np.concatenate(([True], text[1:] != text[:-1])))
+            row |= {"n": _pack(np.diff(np.append(new, len(text))).astype(np.uint32)), "docs": _pack(docs[text[new]])}
         names = _DEALT.replace(",", "").split()[::2]
         types = [pa.int32(), pa.int32(), *[pa.binary()] * 6]
         yield pa.RecordBatch.from_arrays([pa.array([row[k]], t) for k, t in zip(names, types, strict=True)], names=names)
@@ -393,7 +466,7 @@ def _joined(parts: list[tuple], kinds: tuple) -> list[np.ndarray]:
 
 def _counted(a, b, c, n) -> tuple[np.ndarray, ...]:
     """The distinct trigrams with the sums of n."""
-    _, at, first = _factor(keys(a, b, c))
+    _, at, first = _grouped(keys(a, b, c))
     return a[first], b[first], c[first], np.bincount(at, n, len(first)).astype(np.int64)
 
 
@@ -413,10 +486,11 @@ def _deal_trusted(trusted: DataFrame, deal: Deal, passes: int, now: int) -> Data
             yield from _sent(shard, _TRAIN, passes, abc=(a[at], b[at], c[at]), n=n[at])
 
         for batch in tidy(batches):
-            _, a, b, c = _trigrams(batch.column(0))
+            framed = _framed(batch.column(0))
+            _, _, a, b, c = _around(framed, dealt.near(framed[0], passes, now))
             if passes > 1:
-                at, shard = _everywhere(*dealt.place(a, b), dealt.shards)
-                mine = np.unique(at[shard % passes == now])
+                shard, wide = dealt.place(a, b)
+                mine = np.flatnonzero((shard % passes == now) | (wide > 1))
                 a, b, c = a[mine], b[mine], c[mine]
             kept.append((a, b, c))
             held += len(a)
@@ -440,9 +514,10 @@ def _deal_texts(docs: DataFrame, deal: Deal, passes: int, now: int) -> DataFrame
             abc=_joined([x[1:4] for x in kept], (np.uint64,) * 3), n=_joined([x[4:] for x in kept], (np.int64,))[0], docs=_joined([(x,) for x in names], (np.uint64,))[0],
         )
         for batch in tidy(batches):
-            doc, a, b, c = _trigrams(batch.column(0))
+            framed = _framed(batch.column(0))
+            doc, at, a, b, c = _around(framed, dealt.near(framed[0], passes, now))
             shard, wide = dealt.place(a, b)
-            shard = (shard + np.arange(len(shard)) % wide) % dealt.shards
+            shard = (shard + at % wide) % dealt.shards  # alike in each pass
             mine = np.flatnonzero(shard % passes == now)
             kept.append((shard[mine], a[mine], b[mine], c[mine], doc[mine] + rows))
             names.append(_names(batch.column(0)))
@@ -496,7 +571,7 @@ def _frequent(texts: DataFrame) -> tuple[int, dict[int, int], dict[int, int]]:
             _, a, b, _ = _trigrams(batch.column(0))
             rows = [(0, np.zeros(1, np.uint64), np.array([len(b)]))]
             for kind, k in ((1, b), (2, keys(a, b))):
-                own, at, _ = _factor(k)
+                own, at = _coded(k)
                 n = np.bincount(at, minlength=len(own))
                 many = n > len(b) >> 13
                 rows.append((kind, own[many], n[many]))
@@ -615,17 +690,17 @@ def _tally(split: np.ndarray, least: int):
                 say(0, order, k, [np.count_nonzero(n == k)])
 
         classes(3, n)
-        _, at, first = _factor(keys(b, c))
+        _, at, first = _grouped(keys(b, c))
         w, v = b[first], c[first]
         n = np.where(w == _S, np.bincount(at, n, len(first)), np.bincount(at, minlength=len(first))).astype(np.int64)
         many = _find_any(split, w)
         say(3, w[many], v[many], n[many])
         classes(2, n[~many])
         say(0, 0, 0, [np.count_nonzero(v[~many] == _E)])
-        _, _, first = _factor(keys(a, b))
+        _, _, first = _grouped(keys(a, b))
         first = first[b[first] != _S]
         before, word = a[first], b[first]
-        own, at, _ = _factor(word)
+        own, at, _ = _grouped(word)
         n = np.bincount(at, minlength=len(own))
         many = _find_any(split, own)
         classes(1, n[~many])
@@ -662,39 +737,39 @@ def _sums(model: Levels):
         ta, tb, tc, tn = _counted(*_joined([(*_received(r), _unpack(r["n"], np.int64)) for r in rows[_TRAIN]], (np.uint64,) * 3 + (np.int64,)))
         pair = lambda kind: _joined([(_unpack(r["b"], np.uint64), _unpack(r["c"], np.uint64), _unpack(r["n"], np.int64)) for r in rows[kind]], (np.uint64,) * 2 + (np.int64,))
         # trigrams and their contexts
-        three = keys(ta, tb, tc)
-        contexts, at, first = _factor(keys(ta, tb))
+        contexts, at, first = _grouped(keys(ta, tb))
         sums = np.bincount(at, tn, len(first))
-        share3 = (tn - _off(tn, d[3])) / sums[at]
-        weight3 = np.bincount(at, _off(tn, d[3]), len(first)) / sums
+        share3 = Table(keys(ta, tb, tc), (tn - _off(tn, d[3])) / sums[at], 0.0)
+        weight3 = Table(contexts, np.bincount(at, _off(tn, d[3]), len(first)) / sums, 1.0)
         # words before a word: its unigram count
         at = first[tb[first] != _S]
-        own, at, _ = _factor(tb[at])
-        own_n = np.bincount(at, minlength=len(own))
+        own, at, _ = _grouped(tb[at])
+        own_n = Table(own, np.bincount(at, minlength=len(own)), 0)
+        often_n = Table(often, often_n, 0)
         # bigrams and their contexts
-        two, at, first = _factor(keys(tb, tc))
+        two, at, first = _grouped(keys(tb, tc))
         w, v = tb[first], tc[first]
         n = np.where(w == _S, np.bincount(at, tn, len(first)), np.bincount(at, minlength=len(first)))
         here = ~_find_any(split, w)
         pw, pv, pn = pair(_PAIR)
         w, v, n, two = np.concatenate((w[here], pw)), np.concatenate((v[here], pv)), np.concatenate((n[here], pn)), np.concatenate((two[here], keys(pw, pv)))
-        middles, at, _ = _factor(w)
+        middles, at, _ = _grouped(w)
         sums = np.bincount(at, n, len(middles))
         share2 = (n - _off(n, d[2])) / sums[at]
-        weight2 = np.bincount(at, _off(n, d[2]), len(middles)) / sums
+        left2 = np.bincount(at, _off(n, d[2]), len(middles)) / sums
         sw, sv, sn = pair(_SEEN)
-        last = _of(often, often_n, v, 0)
-        last = np.where(last > 0, last, _of(keys(sw, sv), sn, two, 1))
-        low2 = p1(last)
-        p2 = share2 + weight2[at] * low2
-        ends = np.log(p1(_of(often, often_n, np.array([_E]), 0)))[0]
+        last = often_n.of(v)
+        low2 = p1(np.where(last > 0, last, Table(keys(sw, sv), sn, 1).of(two)))
+        p2 = Table(two, np.stack((share2 + left2[at] * low2, np.log(low2)), 1), (1.0, 0.0))
+        weight2 = Table(middles, left2, 1.0)
+        ends = np.log(p1(often_n.of(np.array([_E]))))[0]
 
         def texts():
             """(a, b, c, place of the text's name) and the names of some rows after others, so that a worker holds BLOCK tokens."""
             some, names, held, base = [], [], 0, 0
             for r in rows[_TEXT]:
-                some.append((*_received(r), _unpack(r["n"], np.uint32).astype(np.int64) + base))
                 names.append(_unpack(r["docs"], np.uint64))
+                some.append((*_received(r), np.repeat(np.arange(len(names[-1])) + base, _unpack(r["n"], np.uint32))))
                 held, base = held + len(some[-1][0]), base + len(names[-1])
                 if held >= block:
                     yield _joined(some, (np.uint64,) * 3 + (np.int64,)), np.concatenate(names)
@@ -703,16 +778,22 @@ def _sums(model: Levels):
                 yield _joined(some, (np.uint64,) * 3 + (np.int64,)), np.concatenate(names)
 
         for (a, b, c, doc), names in texts():
-            at = _find(two, keys(b, c)) if len(two) else np.full(len(a), -1)
-            known = at >= 0
+            # what is of the middle word alone is looked up once for each distinct one
+            words, word = _coded(b)
+            n = often_n.of(words)
+            middle = np.where(words == _S, 0.0, np.log(p1(np.where(n > 0, n, own_n.of(words)))))
+            at = p2.find(keys(b, c))
+            known = np.flatnonzero(at >= 0)
+            at = at[known]
             # against p(c) where the model lacks b c
-            mixed = _of(middles, weight2, b, 1.0)
-            mixed[known] = p2[at[known]]
-            s = np.log(_of(three, share3, keys(a, b, c), 0.0) + _of(contexts, weight3, keys(a, b), 1.0) * mixed)
-            s[known] -= np.log(low2[at[known]])
-            n = _of(often, often_n, b, 0)
-            n = np.where(n > 0, n, _of(own, own_n, b, 0))
-            s[b != _S] += np.log(p1(n[b != _S]))
+            p = weight2.of(words)[word]
+            p[known] = p2.values[at, 0]
+            context = weight3.find(keys(a, b))
+            p *= weight3.values[context]
+            both = known[context[known] >= 0]  # the model has a b c only if it has a b and b c
+            p[both] += share3.of(keys(a[both], b[both], c[both]))
+            s = np.log(p) + middle[word]
+            s[known] -= p2.values[at, 1]
             s[c == _E] += ends
             yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(np.bincount(doc, s, len(names)))], names=["name", "s"])
 
@@ -730,7 +811,7 @@ def _score(docs: DataFrame, model: Levels) -> DataFrame:
 
     def heads(batches):
         for batch in tidy(batches):
-            sizes, _ = _words_of(batch.column(2))
+            sizes = _cut(batch.column(2))[3]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(sizes.astype(np.int64)), pa.array(_names(batch.column(2)).view(np.int64))],
                 names=[*batch.schema.names[:2], "n_words", "name"],

@@ -5,6 +5,8 @@ import itertools
 import math
 import random
 import re
+import time
+import types
 import weakref
 import zlib
 
@@ -471,6 +473,48 @@ def test_kneser_ney_in_small_shards_of_several_passes(spark, hot, monkeypatch):
         assert math.isclose(got[k], brute_kneser_ney(trusted, t), rel_tol=1e-9)
 
 
+def test_words_are_cut_and_hashed_text_by_text():
+    """Also where texts touch each other, or are null, empty, blank, sliced; NUL and the like are no white space."""
+    rng = random.Random(46)
+    parts = ["a", "A", "Bc", "é", "中文", "x" * 8, "x" * 9, "y" * 64, "y" * 65, "z" * 200, "a\0", "a\0\0", "\x1c", "\xa0", " ", "\n", "\t ", "\x0b\r\f"]
+    texts = [None if rng.random() < 0.1 else "".join(rng.choice(parts) + rng.choice(["", " "]) for _ in range(rng.randint(0, 9))) for _ in range(400)]
+    split = [re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().translate(common.LOWER_BYTES)) for t in texts]
+    column = pa.array([None if t is None else t.encode() for t in texts], pa.binary())
+    known: dict[int, bytes] = {}
+    for lo, size in ((0, 400), (7, 100), (399, 1), (5, 0)):
+        row, a, b, c = kneser_ney._trigrams(column.slice(lo, size))
+        want = [(k, *g) for k, words in enumerate(split[lo : lo + size]) for f in [[b"^", b"^", *words, b"$"]] for g in zip(f, f[1:], f[2:], strict=False)]
+        assert row.tolist() == [g[0] for g in want]
+        for hashed, place in ((a, 1), (b, 2), (c, 3)):
+            assert all(known.setdefault(h, g[place]) == g[place] for h, g in zip(hashed.tolist(), want, strict=True))
+    assert len(known) == len(set(known.values()))
+
+
+def test_a_shard_in_many_blocks_takes_little_more_than_in_one(spark, monkeypatch):
+    """What is looked up in is built once for the shard, not again for each block of its texts."""
+    frame = types.SimpleNamespace(sparkSession=spark, mapInArrow=lambda run, _: run)
+    rng, words = np.random.default_rng(4), np.array([f"w{k}" for k in range(20_000)])
+    batches = lambda rows, size, n: [pa.RecordBatch.from_pydict({"text": pa.array([" ".join(words[rng.integers(0, n, size)]).encode()])}) for _ in range(rows)]
+    trusted, texts = batches(150, 1000, 20_000), batches(120, 30, 200)
+    deal = kneser_ney.Deal(1, {}, {}, {})
+    rows = list(kneser_ney._deal_trusted(frame, deal, 1, 0)(iter(trusted)))
+    monkeypatch.setattr(kneser_ney, "CHUNK", 1)
+    rows += kneser_ney._deal_texts(frame, deal, 1, 0)(iter([*texts, *trusted[:3]]))
+    often = kneser_ney.keys(np.arange(100_000, dtype=np.uint64)), np.full(100_000, 5)
+    model = types.SimpleNamespace(d=[(), *[(0.6, 1.1, 1.4)] * 3], total=10**6, unknown=1e-7, often=often, split={}, texts=frame)
+
+    def scored(block):
+        monkeypatch.setattr(kneser_ney, "BLOCK", block)
+        began = time.process_time()
+        found = pa.Table.from_batches(kneser_ney._sums(model)(iter(rows))).group_by("name").aggregate([("s", "sum")])
+        return time.process_time() - began, dict(zip(*(found.column(c).to_pylist() for c in ("name", "s_sum")), strict=True))
+
+    scored(1 << 30)
+    (one, whole), (many, parts) = scored(1 << 30), scored(1)
+    assert len(whole) == 123 and whole.keys() == parts.keys() and all(math.isclose(whole[k], parts[k], rel_tol=1e-9) for k in whole)
+    assert many < 5 * one
+
+
 def test_op6_leaves_none_of_its_large_files(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(common, "shared_dir", lambda _: f"file://{tmp_path}")
     docs = documents(spark, [text(random.Random(k), 300) for k in range(400)])
