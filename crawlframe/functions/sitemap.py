@@ -13,8 +13,8 @@ def is_index(body: Column) -> Column:
     return F.substring(body, 1, 512).contains("<sitemapindex")
 
 
-def locs(body: Column, tag: str) -> Column:
-    """The loc of each block (tag: url or sitemap) up to the first block without one, at most MAX_URLS.
+def locs(body: Column, tag: str, most: int | None = MAX_URLS) -> Column:
+    """The loc of each block (tag: url or sitemap) up to the first block without one, at most so many; None: all.
 
     A block reaches from the next tag that starts with the name to its end tag;
     CDATA is unwrapped, references stay as they are.
@@ -24,4 +24,4 @@ def locs(body: Column, tag: str) -> Column:
     first_without = F.coalesce(F.array_position(found, F.lit("")), F.lit(0))
     upto = F.when(first_without > 0, F.slice(found, F.lit(1), F.greatest(first_without - 1, F.lit(0)).cast("int"))).otherwise(found)
     web = F.filter(upto, lambda u: u.startswith("http://") | u.startswith("https://")) if tag == "url" else upto
-    return F.slice(web, 1, MAX_URLS)
+    return web if most is None else F.slice(web, 1, most)
