@@ -66,19 +66,20 @@ def sitemap_urls(roots: DataFrame, bodies: DataFrame, depth: int = 2) -> DataFra
     """(domain, pos, url): pages of the sitemaps (url, body) under roots (domain, pos, url), through indexes up to depth.
 
     In document order, root after root, each URL at its first place. A root
-    gives at most MAX_URLS, repeated ones counted, and so does a domain.
+    gives at most MAX_URLS, repeated ones counted, and so does a domain; of an
+    index all entries are followed, as many of them may give nothing.
     """
     level = roots.select("domain", F.col("pos").alias("root"), F.lit(None).cast("array<int>").alias("path"), "url")
     pages = []
     for k in range(depth + 1):
         opened = level.join(bodies, "url")
         place = F.concat(F.coalesce("path", F.array().cast("array<int>")), F.array(F.col("at")))
-        tell = lambda rows, tag: rows.select("domain", "root", "path", F.posexplode(sitemap.locs(F.col("body"), tag)).alias("at", "url")).select(
+        tell = lambda rows, tag, most: rows.select("domain", "root", "path", F.posexplode(sitemap.locs(F.col("body"), tag, most)).alias("at", "url")).select(
             "domain", "root", place.alias("path"), "url"
         )
-        pages.append(tell(opened.where(~sitemap.is_index(F.col("body"))), "url"))
+        pages.append(tell(opened.where(~sitemap.is_index(F.col("body"))), "url", sitemap.MAX_URLS))  # a root gives no more
         if k < depth:
-            level = tell(opened.where(sitemap.is_index(F.col("body"))), "sitemap")
+            level = tell(opened.where(sitemap.is_index(F.col("body"))), "sitemap", None)
     within = Window.partitionBy("domain", "root").orderBy("path")
     capped = reduce(DataFrame.unionByName, pages).withColumn("nth", F.row_number().over(within)).where(F.col("nth") <= sitemap.MAX_URLS)
     first = capped.groupBy("domain", "url").agg(F.min(F.struct("root", "nth")).alias("first"))

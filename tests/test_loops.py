@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from crawlframe.functions import html, politeness
 from crawlframe.operators import dedup, frontier, inbox, queue
+from crawlframe.plans import crawl
 from crawlframe.sources import archive, tables
 from crawlframe.streaming import state
 
@@ -176,3 +177,12 @@ def test_references(spark):
     cases = {"&#65;&#x1F600;&amp;lt;&#0;": "A\U0001f600&lt;\ufffd", "a&b;&nbsp;&#xD800;": "a&b;\u00a0\ufffd", "": "", "plain": "plain", "&#9999999;": "\ufffd"}
     rows = spark.createDataFrame(list(cases.items()), "t string, want string").withColumn("got", html.unescape(F.col("t"))).collect()
     assert all(r["got"] == r["want"] for r in rows)
+
+
+def test_all_entries_of_an_index_are_followed(spark):
+    """An index whose first 1,200 sitemaps can't be had still gives the URLs of those after."""
+    index = "<sitemapindex>" + "".join(f"<sitemap><loc>https://a/{k}</loc></sitemap>" for k in range(1300)) + "</sitemapindex>"
+    leaves = [(f"https://a/{k}", f"<urlset><url><loc>https://a/p{k}</loc></url></urlset>") for k in range(1200, 1300)]
+    roots = spark.createDataFrame([("a", 0, "https://a/sitemap.xml")], "domain string, pos int, url string")
+    got = crawl.sitemap_urls(roots, spark.createDataFrame([("https://a/sitemap.xml", index), *leaves], "url string, body string")).collect()
+    assert sorted((r["pos"], r["url"]) for r in got) == [(k - 1199, f"https://a/p{k}") for k in range(1200, 1300)]
