@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import ctypes
 import string
-import tempfile
-import uuid
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from crawlframe.operators import store
+from crawlframe.operators.store import shared_dir
+
 #: ASCII white space, the separators of words: space and \x09-\x0D.
 SPACES = " \t\n\x0b\f\r"
 #: The same as a Java regular expression.
@@ -20,18 +21,6 @@ LOWER_BYTES = bytes.maketrans(string.ascii_uppercase.encode(), string.ascii_lowe
 #: Rows to an Arrow batch: a batch of long texts must fit in a Python worker.
 BATCH_ROWS = 500
 
-_own_dir: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset (local runs)."""
-    said = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if said:
-        return said.rstrip("/")
-    if not _own_dir:
-        _own_dir.append(f"file://{tempfile.mkdtemp(prefix='crawlframe-')}")
-    return _own_dir[0]
-
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back.
@@ -39,10 +28,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     Cuts the lineage, so that a lost executor costs a reread and not the whole
     job, and fixes values such as row ids that a rerun would deal out anew.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return store.materialise(df, name, shared_dir(df.sparkSession))
 
 
 #: Most keys of a table that may count as hot: those with over one in so many of its rows.

@@ -44,10 +44,9 @@ def size(frontier: DataFrame) -> DataFrame:
 
 
 def rebuild(queue: DataFrame, state: DataFrame, now_ns: Column) -> DataFrame:
-    """(domain, next_fetch_ns) of the queued domains that aren't dead."""
-    dead = state.where("dead").select("domain")
-    known = state.select("domain", "last_fetch_ns", "crawl_delay_ns", "backoff_until_ns")
-    active = queue.select("domain").distinct().join(dead, "domain", "left_anti").join(known, "domain", "left")
+    """(domain, next_fetch_ns) of the queued domains that aren't dead. state is read once, as it may be a whole fold."""
+    known = state.select("domain", "dead", "last_fetch_ns", "crawl_delay_ns", "backoff_until_ns")
+    active = queue.select("domain").distinct().join(known, "domain", "left").where(~F.coalesce("dead", F.lit(False)))
     due = P.next_fetch(now_ns, F.col("last_fetch_ns"), F.coalesce("crawl_delay_ns", F.lit(P.DEFAULT_DELAY)), F.col("backoff_until_ns"))
     return active.select("domain", due.alias("next_fetch_ns"))
 

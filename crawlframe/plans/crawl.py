@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from crawlframe.functions import robots, sitemap
 from crawlframe.functions.http import encode_wire
 from crawlframe.functions.urls import robots_path
-from crawlframe.operators import dedup, frontier, links, queue, ring
+from crawlframe.operators import dedup, frontier, links, queue, ring, store
 
 ROBOTS_TTL_NS = 24 * 3600 * 10**9
 
@@ -146,27 +146,35 @@ def fetch_round(front: DataFrame, queued: DataFrame, state: DataFrame, bodies: D
     latency_ns, retry_after_ns, body); one without a response is an error. A rate-limited
     URL goes to its queue's end. Outcomes are recorded in state; a domain that
     dies loses its queue. A domain with URLs left comes back with its next time.
+
+    The rows of the k domains are set apart and kept (store.materialise), and all
+    that happens is worked out on them; the other domains' rows go on as they are.
+    front, queued and state are read more than once, so that they should be tables.
     """
-    popped = frontier.pop_ready(front, now_ns, k).select("domain")
-    taken = queue.heads(queued.join(popped, "domain", "left_semi"))
-    alive = taken.join(state.where("dead").select("domain"), "domain", "left_anti")
-    gated = robots_gate(alive, bodies, agent)
-    asked = gated.where("allowed").drop("allowed").join(responses, "url", "left").withColumn("outcome", F.coalesce("outcome", F.lit("error")))
+    popped = store.materialise(frontier.pop_ready(front, now_ns, k).select("domain"), "popped")
+    of_popped = lambda rows: rows.join(popped, "domain", "left_semi")
+    others = lambda rows: rows.join(popped, "domain", "left_anti")
+    mine, known = store.materialise(of_popped(queued), "popped_queues"), store.materialise(of_popped(state), "popped_states")
+    taken = store.materialise(queue.heads(mine), "taken")
+    alive = taken.join(known.where("dead").select("domain"), "domain", "left_anti")
+    gated = store.materialise(robots_gate(alive, of_popped(bodies), agent), "gated")
+    allowed = gated.where("allowed").drop("allowed")
+    answers = responses.join(allowed.select("url"), "url", "left_semi")
+    asked = store.materialise(allowed.join(answers, "url", "left").withColumn("outcome", F.coalesce("outcome", F.lit("error"))), "asked")
     lost = taken.join(alive.select("domain"), "domain", "left_anti").withColumn("outcome", F.lit("dead")).select("domain", "url", "depth", "outcome")
     blocked = gated.where("NOT allowed").select("domain", "url", "depth", F.lit("blocked").alias("outcome"))
     outcomes = asked.select("domain", "url", "depth", "outcome").unionByName(blocked).unionByName(lost)
-    after = frontier.record(state, asked.withColumn("ts_ns", now_ns), compat)
-    dying = after.where("dead").join(asked.where("outcome IN ('error', 'nxdomain')").select("domain"), "domain", "left_semi")
-    rest = queue.drop(queued.join(taken.select("domain", "seq"), ["domain", "seq"], "left_anti"), dying)
+    recorded = store.materialise(frontier.record(known, asked.withColumn("ts_ns", now_ns), compat), "recorded")
+    dying = recorded.where("dead").join(asked.where("outcome IN ('error', 'nxdomain')").select("domain"), "domain", "left_semi")
+    rest = queue.drop(mine.join(taken.select("domain", "seq"), ["domain", "seq"], "left_anti"), dying)
     again = asked.where("outcome = 'rate_limited'").select("domain", "url", "depth")
-    tail = queued.groupBy("domain").agg((F.max("seq") + 1).alias("seq"))
-    left = rest.unionByName(again.join(tail, "domain").select(*rest.columns))
-    back = frontier.rebuild(left.join(outcomes.where("outcome <> 'dead'").select("domain"), "domain", "left_semi"), after, now_ns)
-    held = front.join(popped, "domain", "left_anti")
+    tail = mine.groupBy("domain").agg((F.max("seq") + 1).alias("seq"))
+    left = store.materialise(rest.unionByName(again.join(tail, "domain").select(*rest.columns)), "left")
+    back = frontier.rebuild(left.join(outcomes.where("outcome <> 'dead'").select("domain"), "domain", "left_semi"), recorded, now_ns)
     return Fetched(
         outcomes,
         asked.where("outcome = 'ok'").select("domain", "url", "depth", "body"),
-        left,
-        after,
-        frontier.push(held.select("domain", "next_fetch"), back.withColumnRenamed("next_fetch_ns", "next_fetch")),
+        others(queued).unionByName(left),
+        others(state).unionByName(recorded),
+        frontier.push(others(front).select("domain", "next_fetch"), back.withColumnRenamed("next_fetch_ns", "next_fetch")),
     )

@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import functions as F
 
 from crawlframe.functions import html, politeness
-from crawlframe.operators import dedup, frontier, inbox, queue
+from crawlframe.operators import dedup, frontier, inbox, queue, store
 from crawlframe.plans import crawl
 from crawlframe.sources import archive, tables
 from crawlframe.streaming import state
@@ -186,3 +186,38 @@ def test_all_entries_of_an_index_are_followed(spark):
     roots = spark.createDataFrame([("a", 0, "https://a/sitemap.xml")], "domain string, pos int, url string")
     got = crawl.sitemap_urls(roots, spark.createDataFrame([("https://a/sitemap.xml", index), *leaves], "url string, body string")).collect()
     assert sorted((r["pos"], r["url"]) for r in got) == [(k - 1199, f"https://a/p{k}") for k in range(1200, 1300)]
+
+
+def test_a_round_folds_the_log_once(spark, monkeypatch):
+    """The politeness fold and the queues are worked out once for fetch_round, however often they are used."""
+    from crawlframe import queries
+
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    plans, keep = [], store.materialise
+    monkeypatch.setattr(store, "materialise", lambda df, name: plans.append((name, plan(df))) or keep(df, name))
+    result = queries.fetch_round(spark, "/root/testdata/sf0.001")
+    plans.append(("result", plan(result)))
+    assert {n: p.count("MapInArrow") for n, p in plans if "MapInArrow" in p} == {"state": 1}
+    assert {n for n, p in plans if "events.parquet" in p} == {"queue", "state", "asked"}
+    assert dict(plans)["state"].count("events.parquet") == 1
+
+
+def test_a_round_leaves_other_domains_as_they_are(spark):
+    domains = [f"d{k}" for k in range(6)]
+    queued = [(d, n, f"https://{d}/{n}", 1) for d in domains[:5] for n in range(2)]
+    front = spark.createDataFrame([(d, k) for k, d in enumerate(domains)] + [(None, 99)], "domain string, next_fetch bigint")
+    state = spark.createDataFrame([("d1", True, 1, 1, 1, None, 0), ("d4", False, 7, 7, 7, None, 3), ("d9", False, 5, 5, 5, None, 2)], frontier.STATE)
+    bodies = spark.createDataFrame([(d, "User-agent: *\nDisallow: /") for d in ("d2", "d4")], "domain string, body string")
+    answers = [("https://d0/0", "ok", 10, None, "page"), ("https://d3/0", "rate_limited", 10, None, ""), ("https://d4/0", "nxdomain", 10, None, "")]
+    responses = spark.createDataFrame(answers, "url string, outcome string, latency_ns bigint, retry_after_ns bigint, body string")
+    items = spark.createDataFrame(queued, "domain string, seq bigint, url string, depth int")
+    after = crawl.fetch_round(front, items, state, bodies, responses, "bot", F.lit(50), 4)
+    assert {(r["domain"], r["outcome"]) for r in after.outcomes.collect()} == {("d0", "ok"), ("d1", "dead"), ("d2", "blocked"), ("d3", "rate_limited")}
+    assert [(r["url"], r["body"]) for r in after.pages.collect()] == [("https://d0/0", "page")]
+    left = {(r["domain"], r["seq"], r["url"]) for r in after.queue.collect()}
+    assert left == {(d, 1, f"https://{d}/1") for d in domains[:4]} | {("d3", 2, "https://d3/0"), ("d4", 0, "https://d4/0"), ("d4", 1, "https://d4/1")}
+    states = {r["domain"]: r for r in after.state.collect()}
+    assert set(states) == {"d0", "d1", "d3", "d4", "d9"} and states["d4"]["consecutive_errors"] == 3 and states["d9"]["crawl_delay_ns"] == 5
+    assert states["d0"]["last_fetch_ns"] == 50 and states["d3"]["crawl_delay_ns"] == 2 * politeness.DEFAULT_DELAY
+    times = {r["domain"]: r["next_fetch"] for r in after.frontier.collect()}
+    assert set(times) == {"d0", "d2", "d3", "d4", "d5", None} and times["d4"] == 4 and times["d2"] == 50
